@@ -9,6 +9,7 @@ as the histogram allows. Workers then turn a piece's rank within its length into
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -21,7 +22,14 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 END = 1
 _READY: dict[str, object] = {}
-_KEEP = 300_000
+_KEEP = 600_000
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level vocabularies write printable bytes as themselves and the others as letters from U+0100 on."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(0x100, 0x200))
+    return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
 class _Ids(dict):
@@ -29,13 +37,18 @@ class _Ids(dict):
 
     def __init__(self, tokenizer):
         super().__init__({"": b""})
-        self.tokenizer = tokenizer
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.letters = _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # such a mark is a token run of its own
             ids = self[word[:-1]] + self[word[-1]]
-        elif word.isascii() and word.isalpha() and not word.islower():
+        elif word.isalpha() and max(word) < "\u0100" and not word.islower():
             ids = self[word.lower()]
+        elif word.isalpha() and word.islower() and max(word) < "\u0250":  # nothing to normalise or to cut
+            told = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
+            known = [t.id for t in self.model.tokenize(told)]
+            ids = struct.pack(f"<{len(known)}I", *known)
         else:
             ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
