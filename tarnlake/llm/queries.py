@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checkpoints, decontam, packing, simhash, urlrules, vafile
+from . import checkpoints, decontam, kneser, packing, simhash, toxicity, urlrules, vafile
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -54,6 +54,19 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.learn(docs, _read(spark, sf_dir, "labels").filter(~held))
+    found = toxicity.classify(docs, model)
+    return found.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), F.col("evidence.doc_id").alias("evidence"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = kneser.classify(_read(spark, sf_dir, "documents").select("doc_id", "lang", "text"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "perplexity", "threshold", "keep")
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
@@ -64,6 +77,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_url_filters": op3_url_filters,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_simhash_dedup": op6_simhash_dedup,
+        "op8_toxicity": op8_toxicity,
+        "op9_quality": op9_quality,
         "op10_packing": op10_packing,
     }
 
