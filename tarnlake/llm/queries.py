@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checkpoints, decontam, kneser, packing, simhash, toxicity, urlrules, vafile
+from . import checkpoints, decontam, kneser, licenses, lmscore, packing, secrets, simhash, toxicity, urlrules, vafile
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -29,6 +29,20 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``documents`` has no paths: a layout of three levels under each source gives them, with every eighth text as a licence file."""
+    doc = F.col("doc_id")
+    root, folder = F.coalesce("source", F.lit("none")), F.concat(F.lit("b"), F.expr("doc_id div 64").cast("string"))
+    path = (
+        F.when(doc % 16 == 0, F.concat_ws("/", root, F.concat(F.lit("LICENSE-"), doc)))
+        .when(doc % 16 == 8, F.concat_ws("/", root, folder, F.concat(F.lit("LICENSE-"), doc)))
+        .otherwise(F.concat_ws("/", root, folder, F.coalesce("lang", F.lit("none")), F.concat(doc, F.lit(".txt"))))
+    )
+    files = _read(spark, sf_dir, "documents").filter("doc_id IS NOT NULL").select(path.alias("path"), "text")
+    found = licenses.scan(files)
+    return found.select(F.regexp_extract("path", "([0-9]+)([.]txt)?$", 1).cast("long").alias("doc_id"), *found.columns)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.decontaminate(docs, _read(spark, sf_dir, "benchmark"))
@@ -44,6 +58,11 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages, urlrules.rule_table(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lmscore.lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "tokens", "log_likelihood", "mean_log_likelihood")
+
+
 def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _read(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return vafile.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
@@ -54,6 +73,11 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.col("source").alias("path"))
+    return secrets.scan(docs).select("doc_id", "start", "finish", "candidate", *secrets.FEATURES, F.round("score", 6).alias("score"), "secret")
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
@@ -73,10 +97,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scans": op1_license_scans,
         "op2_decontamination": op2_decontamination,
         "op3_url_filters": op3_url_filters,
+        "op4_lm_scoring": op4_lm_scoring,
         "op5_exact_top_k": op5_exact_top_k,
         "op6_simhash_dedup": op6_simhash_dedup,
+        "op7_secret_scans": op7_secret_scans,
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
@@ -84,7 +111,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op2_decontamination": OP2_SQL}
+    return {"op1_license_scans": _op1_sql(), "op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op2_decontamination": OP2_SQL}
+
+
+def _op1_sql() -> str:
+    rows, idf, unseen = licenses.template_weights(licenses.TEMPLATES)
+    quoted = ", ".join(f"('{a}', {i}, '{w}', CAST({x!r} AS DOUBLE))" for a, i, w, x in rows)
+    known = ", ".join(f"('{w}', CAST({x!r} AS DOUBLE))" for w, x in idf.items())
+    return rf"""
+WITH weights(license, template, word, weight) AS (VALUES {quoted}),
+idf(word, idf) AS (VALUES {known}),
+files AS (
+  SELECT doc_id, text, CASE
+      WHEN doc_id % 16 = 0 THEN coalesce(source, 'none') || '/LICENSE-' || doc_id
+      WHEN doc_id % 16 = 8 THEN coalesce(source, 'none') || '/b' || (doc_id // 64) || '/LICENSE-' || doc_id
+      ELSE coalesce(source, 'none') || '/b' || (doc_id // 64) || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' END AS path
+  FROM documents WHERE doc_id IS NOT NULL),
+said AS (
+  SELECT DISTINCT path, notice
+  FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.!?])[ 	
+]+', '' || chr(10), 'g'), chr(10))) AS notice FROM files)
+  WHERE regexp_matches(notice, '{licenses.CUE}')),
+counted AS (
+  SELECT path, notice, word, count(*) AS n
+  FROM (SELECT path, notice, unnest(regexp_extract_all(lower(notice), '{licenses._WORD}')) AS word FROM said) GROUP BY ALL),
+weighed AS (SELECT path, notice, word, n * coalesce(idf, CAST({unseen!r} AS DOUBLE)) AS w FROM counted LEFT JOIN idf USING (word)),
+norms AS (SELECT path, notice, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+dots AS (SELECT path, notice, license, template, sum(w * weight) AS dot FROM weighed JOIN weights USING (word) GROUP BY ALL),
+scored AS (SELECT path, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, notice) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}),
+own AS (SELECT path, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
+grants AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, score, path AS source FROM own
+  WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}')
+  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, license, path) = 1),
+inherited AS (
+  SELECT f.path, g.license, g.score, g.source FROM files f JOIN grants g ON g.folder = '' OR starts_with(f.path, g.folder || '/')
+  WHERE f.path NOT IN (SELECT path FROM own)
+  QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(g.folder) DESC) = 1)
+SELECT f.doc_id, f.path, coalesce(o.license, i.license) AS license, coalesce(o.score, i.score) AS score,
+  CASE WHEN o.license IS NOT NULL THEN 'own' WHEN i.license IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN o.license IS NOT NULL THEN f.path ELSE i.source END AS source
+FROM (SELECT DISTINCT doc_id, path FROM files) f LEFT JOIN own o USING (path) LEFT JOIN inherited i USING (path)
+"""
 
 
 OP2_SQL = r"""
