@@ -1,4 +1,4 @@
-"""The shared folder in which lineage is cut."""
+"""What the operators need of a session: the shared folder in which lineage is cut, and bounded Arrow batches."""
 
 from __future__ import annotations
 
@@ -7,8 +7,12 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+ARROW_BYTES = 4 << 20
+
+
 def ensure(spark: SparkSession) -> None:
     """Use spark.checkpoint.dir as the cluster names it; only where it is unset (tests, one machine) take a temporary folder."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # rows alone don't bound a batch of texts
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
     if context._jsc.sc().getCheckpointDir().isEmpty():
