@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checkpoints, decontam, kneser, licenses, lmscore, packing, secrets, simhash, toxicity, urlrules, vafile
+from . import checkpoints, decontam, forest, kneser, licenses, lmscore, packing, secrets, simhash, toxicity, urlrules, vafile
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -111,7 +111,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": _op1_sql(), "op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op2_decontamination": OP2_SQL}
+    return {"op1_license_scans": _op1_sql(), "op7_secret_scans": _op7_sql(), "op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op2_decontamination": OP2_SQL}
 
 
 def _op1_sql() -> str:
@@ -129,7 +129,7 @@ files AS (
   FROM documents WHERE doc_id IS NOT NULL),
 said AS (
   SELECT DISTINCT path, notice
-  FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.!?])[ 	
+  FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.!?])[ 	
 ]+', '' || chr(10), 'g'), chr(10))) AS notice FROM files)
   WHERE regexp_matches(notice, '{licenses.CUE}')),
 counted AS (
@@ -155,6 +155,38 @@ FROM (SELECT DISTINCT doc_id, path FROM files) f LEFT JOIN own o USING (path) LE
 """
 
 
+def _op7_sql() -> str:
+    bare = "lower_ascii"
+    for word in secrets.DICTIONARY:
+        bare = f"replace({bare}, '{word}', '')"
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    among = lambda x, words: "CAST(" + " OR ".join(f"contains({x}, '{w}')" for w in words) + " AS DOUBLE)"
+    pattern, issued = secrets.PATTERN.replace("'", "''"), secrets.ISSUED
+    return rf"""
+WITH RECURSIVE found AS (SELECT row_number() OVER () AS row, doc_id, text, coalesce(source, '') AS path, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL),
+walk AS (
+  SELECT row, doc_id, text, path, m, 0 AS i, CAST(0 AS BIGINT) AS s, CAST(1 AS BIGINT) AS pos FROM found WHERE len(m) > 0
+  UNION ALL
+  SELECT row, doc_id, text, path, m, i + 1, pos - 1 + strpos(substr(text, pos), m[i + 1]), pos - 1 + strpos(substr(text, pos), m[i + 1]) + length(m[i + 1]) FROM walk WHERE i < len(m)),
+cut AS (
+  SELECT doc_id, path, m[i] AS match, s, regexp_matches(m[i], '{issued}') AS known,
+    {low("substr(text, greatest(s - 48, 1), least(48, s - 1)) || ' ' || substr(text, s + length(m[i]), 48)")} AS around
+  FROM walk WHERE i > 0),
+told AS (SELECT *, CASE WHEN known THEN match ELSE regexp_extract(match, '[A-Za-z0-9+/_.=-]{{8,}}$') END AS candidate FROM cut),
+plain AS (
+  SELECT *, {low("candidate")} AS lower_ascii,
+    regexp_replace(regexp_replace(regexp_replace(regexp_replace(candidate, '[^0-9a-zA-Z]+', '-', 'g'), '[0-9]+', '0', 'g'), '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g') AS runs
+  FROM told),
+features AS (
+  SELECT doc_id, s - 1 + length(match) - length(candidate) AS start, s - 1 + length(match) AS finish, candidate, CAST(length(candidate) AS DOUBLE) AS length,
+    (length(runs) - 1) / greatest(1, length(candidate) - 1) AS transitions, 1 - length({bare}) / greatest(1, length(candidate)) AS coverage,
+    {among(low("path"), secrets.PATHS)} AS doubtful_path, {among("around", secrets.DOUBTFUL)} AS doubtful_words, CAST(known AS DOUBLE) AS issued
+  FROM plain),
+scored AS (SELECT *, {forest.sql(list(secrets.default_forest()))} AS vote FROM features)
+SELECT * EXCLUDE (vote), round(vote, 6) AS score, vote >= {secrets.THRESHOLD} AS secret FROM scored
+"""
+
+
 OP2_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
