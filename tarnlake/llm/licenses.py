@@ -46,7 +46,7 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 THRESHOLD = 0.75
 CUE = r"[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Pp]ermission is hereby|free software|SPDX"
-LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)([.-].*)?$"
+LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)(-[a-z0-9]+([.][0-9]+)*)?([.](txt|md|rst|html?))?$"
 _WORD = r"[a-z0-9.]*[a-z0-9]"
 
 

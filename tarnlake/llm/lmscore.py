@@ -199,7 +199,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, masked: floa
     return flat
 
 
-def _mean(copies: DataFrame, otherwise: np.ndarray, fan: int = 32) -> np.ndarray:
+def _mean(copies: DataFrame, otherwise: np.ndarray, fan: int = 8) -> np.ndarray:
     """The mean of all copies by tokens seen: sums of about ``fan`` copies each, until a few are left for the driver."""
 
     def add(batches):

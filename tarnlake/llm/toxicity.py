@@ -71,7 +71,7 @@ class Model:
 
     def blocks(self) -> np.ndarray:
         """Each block's largest weight of each term."""
-        return np.array([self.weight[i : i + BLOCK].max(axis=0) for i in range(0, len(self.weight), BLOCK)])
+        return np.array([self.weight[i : i + BLOCK].max(axis=0) for i in range(0, len(self.weight), BLOCK)]).reshape(-1, self.weight.shape[1])
 
     def nearest(self, queries: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(example, similarity) of each query's k nearest, ties to the smaller place; -1 where there are fewer."""
