@@ -8,6 +8,7 @@ Hadoop's file system, so a table may lie in any store it knows.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -19,6 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: A version that was claimed so long ago without an entry belongs to a writer that died.
+STALE_SECONDS = 600
+
+
 class CommitConflict(RuntimeError):
     """Another writer committed this version first."""
 
@@ -74,11 +79,13 @@ class Table:
         stream = fs.create(draft, False)
         stream.write(bytearray(body))
         stream.close()
+        claim = self._hadoop.Path(f"{self.path}/_log/{commit.version:020d}.claim")
         try:
-            claim = fs.create(self._hadoop.Path(f"{self.path}/_log/{commit.version:020d}.claim"), False)
-            claim.close()
+            fs.create(claim, False).close()
         except Exception as e:
             fs.delete(draft, False)
+            if fs.exists(claim) and not fs.exists(p) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS:
+                fs.delete(claim, False)  # its writer died before the entry
             raise CommitConflict(f"version {commit.version} of {self.path} is taken") from e
         fs.rename(draft, p)
 
