@@ -256,6 +256,11 @@ def sessionize(spark, sf_dir):
     return sessions.sessionize(staged(spark, sf_dir)).select("event_key", "user_id", "session_id", "user_session_seq", "event_time", "previous_event_time")
 
 
+@query("sessionize_sliced", SESSIONS + " SELECT event_key, user_id, session_id, user_session_seq, event_time, previous_event_time FROM sessions")
+def sessionize_sliced(spark, sf_dir):
+    return sessions.sessionize_sliced(staged(spark, sf_dir)).select("event_key", "user_id", "session_id", "user_session_seq", "event_time", "previous_event_time")
+
+
 @query(
     "session_summary",
     SESSIONS

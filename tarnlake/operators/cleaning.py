@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import category_levels, event_key, iso_time
@@ -75,9 +75,13 @@ def duplicate_rate(rows: DataFrame, key: str) -> DataFrame:
 
 
 def keep_latest(rows: DataFrame, keys: list[str], newest: list[str]) -> DataFrame:
-    """One row for each key: the greatest by ``newest``, which should end in a tie-breaker."""
-    own = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in newest])
-    return rows.withColumn("_n", F.row_number().over(own)).filter("_n = 1").drop("_n")
+    """One row for each key: the greatest by ``newest`` (nulls least), which should end in a tie-breaker.
+
+    An aggregate, not a window: tasks keep one row for each key before the shuffle, so a key that holds a
+    large share of all rows costs no more than others.
+    """
+    best = F.max_by(F.struct(*rows.columns), F.struct(*newest)).alias("_best")
+    return rows.groupBy(*keys).agg(best).select("_best.*")
 
 
 def stage_events(events: DataFrame) -> DataFrame:

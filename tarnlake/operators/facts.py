@@ -34,7 +34,7 @@ def daily_summary(events: DataFrame, purchases: DataFrame, products: DataFrame,
     def of(facts: DataFrame, at: str) -> DataFrame:
         own = facts.withColumn("date", F.col(at).cast("date"))
         if affected is not None:
-            own = own.join(small(affected.select(F.col("affected_date").alias("date"))), "date", "left_semi")
+            own = own.join(affected.select(F.col("affected_date").alias("date")), "date", "left_semi")
         return own.join(p, "product_key", "left").withColumn("category_l1", F.coalesce("category_l1", F.lit("unknown"))).groupBy("date", "category_l1")
 
     e = of(events, "event_time").agg(F.count("*").alias("total_events"), F.count_distinct("user_id").alias("active_users"))

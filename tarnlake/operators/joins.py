@@ -10,7 +10,7 @@ MOST_BROADCAST = 1_000_000
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A broadcast hint, where a count shows that the side is small; else adaptive execution decides."""
+    """A broadcast hint, where a count shows that the side is small; else adaptive execution decides. For stored or generated tables: of a derived one the count would repeat the work."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
@@ -36,17 +36,17 @@ def asof_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_
 
 
 def interval_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time") -> DataFrame:
-    """The same by an equality on the key and the interval as a further condition; right for small histories."""
+    """The same by an equality on the key and the interval as a further condition; right for short histories. Adaptive execution broadcasts the history if it turns out small."""
     h = history.withColumnRenamed(key, "_key")
     cond = (events[key] == h["_key"]) & (events[at] >= h["valid_from"]) & (h["valid_to"].isNull() | (events[at] < h["valid_to"]))
-    return events.join(small(h), cond, "left").drop("_key")
+    return events.join(h, cond, "left").drop("_key")
 
 
 def enrich(events: DataFrame, sessions: DataFrame, products: DataFrame) -> DataFrame:
     """Events with their session and, where their own values are null, the product's latest attributes."""
     s = sessions.select("event_key", "session_id", "user_session_seq")
     p = products.select("product_id", *[F.col(c).alias(f"_{c}") for c in ("brand", "category_code", "category_l1", "category_l2", "category_l3")], F.col("latest_price").alias("product_latest_price"))
-    joined = events.join(s, "event_key").join(small(p), "product_id", "left")
+    joined = events.join(s, "event_key").join(p, "product_id", "left")
     filled = {c: F.coalesce(c, f"_{c}") for c in ("brand", "category_code", "category_l1", "category_l2", "category_l3")}
     return joined.withColumns(filled).drop(*[f"_{c}" for c in filled])
 

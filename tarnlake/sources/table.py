@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from datetime import UTC, datetime
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -267,10 +267,10 @@ def _merged(old: T.StructType | None, new: T.StructType) -> T.StructType:
 
 
 def latest_by(df: DataFrame, key: list[str], newest: str = "ingested_at") -> DataFrame:
-    """One row for each key: the newest, ties by all other columns."""
-    order = [F.col(newest).desc_nulls_last()] if newest in df.columns else []
-    rest = [F.col(c) for c in df.columns if c not in key and c != newest]
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order, *rest) if order or rest else Window.partitionBy(*key).orderBy(*key))).filter("_n = 1").drop("_n")
+    """One row for each key: the newest, ties by all other columns. Tasks keep one row for each key before the shuffle."""
+    order = [c for c in (newest,) if c in df.columns] + [c for c in df.columns if c not in key and c != newest]
+    best = F.max_by(F.struct(*df.columns), F.struct(*(order or key))).alias("_best")
+    return df.groupBy(*key).agg(best).select("_best.*")
 
 
 def zordered(df: DataFrame, columns: list[str], files: int, bits: int = 8) -> DataFrame:
