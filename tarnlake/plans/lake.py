@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, dimensions, facts, joins, sessions
+from ..quality import reconcile
 from ..sources import raw
 from ..sources.table import Table
 
@@ -109,6 +110,35 @@ class Lake:
         events = facts.fact_events(full, dimensions.date_dimension(self.spark), dimensions.customer_dimension(full), history)
         return events, facts.fact_purchases(events), history
 
+    def materialise(self, model, df: DataFrame) -> DataFrame:
+        """For the registry: views by name, tables as new snapshots, incremental models by the days they hold."""
+        if model.kind == "view":
+            df.createOrReplaceTempView(model.name)
+            return df
+        table = self.table(model.name)
+        if model.kind == "incremental" and table.exists():
+            table.replace_keys(df, ["date"])
+        else:
+            table.overwrite(df)
+        return table.read()
+
+    def reconcile(self) -> DataFrame:
+        """Rows and revenue from layer to layer: raw against Bronze by its files, Bronze against Silver, Silver against facts and mart."""
+        bronze, silver = self.table("bronze"), self.table("silver")
+        n = F.count("*")
+        events, purchases, _ = self.star()
+        landed = bronze.read()
+        files = [r[0] for r in landed.select("source_file").distinct().limit(10_000).collect()]
+        pairs = [
+            reconcile.Pair("raw_vs_bronze", raw.read_csv(self.spark, files).agg(n), landed.agg(n), at_least=True),
+            reconcile.Pair("bronze_vs_silver", landed.agg(n), silver.read().agg(n), at_least=True),
+            reconcile.Pair("silver_vs_fact_events", silver.read().agg(n), events.agg(n)),
+            reconcile.Pair("silver_purchases_vs_facts", silver.read().filter("event_type = 'purchase'").agg(n), purchases.agg(n)),
+        ]
+        if self.table("mart_daily_summary").exists():
+            pairs.append(reconcile.Pair("revenue_facts_vs_mart", purchases.agg(F.round(F.sum("revenue"), 2)), self.table("mart_daily_summary").read().agg(F.round(F.sum("total_revenue"), 2))))
+        return reconcile.compare(self.spark, pairs)
+
     def rebuild_daily(self, now: datetime, dates: list[str] | None = None, full: bool = False) -> int:
         """Recompute the days that Silver commits have touched since the mart's last run (or the given ones), and replace those days whole."""
         mart, state = self.table("mart_daily_summary"), self.table("mart_state")

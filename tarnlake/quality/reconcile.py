@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from dataclasses import dataclass
+from datetime import datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.table import Table
+
 
 @dataclass(frozen=True)
 class Pair:
@@ -31,6 +37,17 @@ def compare(spark: SparkSession, pairs: list[Pair]) -> DataFrame:
     return spark.createDataFrame(rows, "check_name string, source_value double, target_value double, drift double, status string")
 
 
+def record(table: Table, results: DataFrame, now: datetime, folder: str | None = None) -> str:
+    """Append the results to an audit table, and write them as JSON too where a folder is given; returns the run's id."""
+    run = uuid.uuid4().hex[:8]
+    table.append(results.select(F.lit(run).alias("run_id"), "*", F.lit(now).alias("executed_at")))
+    if folder:
+        Path(folder).mkdir(parents=True, exist_ok=True)
+        rows = [r.asDict() for r in results.collect()]
+        (Path(folder) / f"reconciliation_{run}.json").write_text(json.dumps({"run_id": run, "executed_at": now.isoformat(), "results": rows}, indent=2))
+    return run
+
+
 def exit_code(results: DataFrame) -> int:
     return int(not results.filter("status = 'FAIL'").isEmpty())
 
