@@ -15,5 +15,5 @@ def ensure(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # rows alone don't bound a batch of texts
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir")
-    if context._jsc.sc().getCheckpointDir().isEmpty():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
