@@ -145,7 +145,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = staged(spark, sf_dir)
-    return joins.enrich(e, sessions.sessionize(e), cleaning.latest_products(e))
+    return joins.enrich(sessions.sessionize(e), cleaning.latest_products(e))
 
 
 class Star:
@@ -258,7 +258,7 @@ def sessionize(spark, sf_dir):
 
 @query("sessionize_sliced", SESSIONS + " SELECT event_key, user_id, session_id, user_session_seq, event_time, previous_event_time FROM sessions")
 def sessionize_sliced(spark, sf_dir):
-    return sessions.sessionize_sliced(staged(spark, sf_dir)).select("event_key", "user_id", "session_id", "user_session_seq", "event_time", "previous_event_time")
+    return sessions.sessionize(staged(spark, sf_dir), slice_seconds=21_600).select("event_key", "user_id", "session_id", "user_session_seq", "event_time", "previous_event_time")
 
 
 @query(
@@ -298,6 +298,13 @@ def enrich_fallback(spark, sf_dir):
     return enriched(spark, sf_dir).select(*_ENRICHED_COLUMNS)
 
 
+@query("enrich_by_join", ENRICHED + f" SELECT {', '.join(_ENRICHED_COLUMNS)} FROM enriched")
+def enrich_by_join(spark, sf_dir):
+    """The same with sessions from a table of their own, joined by event key."""
+    e = staged(spark, sf_dir)
+    return joins.enrich(e, cleaning.latest_products(e), sessions.sessionize(e)).select(*_ENRICHED_COLUMNS)
+
+
 @query("dim_date", "WITH " + DATES + " SELECT * FROM dates")
 def dim_date(spark, sf_dir):
     return dimensions.date_dimension(spark)
@@ -313,6 +320,12 @@ def dim_product_scd2(spark, sf_dir):
     return dimensions.product_history(enriched(spark, sf_dir))
 
 
+@query("dim_product_scd2_sliced", HISTORY + " SELECT * FROM history")
+def dim_product_scd2_sliced(spark, sf_dir):
+    """The history with each product's events dealt to tasks by days."""
+    return dimensions.product_history(enriched(spark, sf_dir), slice_seconds=86_400)
+
+
 @query("scd2_overlap_none", HISTORY + " SELECT product_id, product_version, valid_from, valid_to AS covered_until FROM history WHERE false")
 def scd2_overlap_none(spark, sf_dir):
     return dimensions.overlapping_versions(dimensions.product_history(enriched(spark, sf_dir)))

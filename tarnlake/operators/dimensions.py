@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import date_key, surrogate_key
+from .runs import number_runs
 
 
 def date_dimension(spark: SparkSession, first: str = "2019-01-01", beyond: str = "2028-01-01") -> DataFrame:
@@ -24,22 +25,16 @@ def customer_dimension(events: DataFrame) -> DataFrame:
     return first.select(surrogate_key(F.col("user_id")).alias("customer_key"), "user_id", "first_seen_at", date_key(F.col("first_seen_at").cast("date")).alias("first_seen_date_key"))
 
 
-def product_history(events: DataFrame) -> DataFrame:
+def product_history(events: DataFrame, slice_seconds: int | None = None) -> DataFrame:
     """Versions of each product: a new one where the price or category changes (a null category is an empty one; a null price on either side is no change).
 
     Attributes are the last non-null ones of a version, valid_to is the next version's start. Events
     at one instant are ordered by key; versions that would begin at the same instant become one.
+    ``slice_seconds`` splits the work of products with very many events by time; the result is the same.
     """
-    own = Window.partitionBy("product_id").orderBy("event_time", "event_key")
-    rows = events.filter("product_id IS NOT NULL")
-    code = F.coalesce("category_code", F.lit(""))
-    changed = (
-        F.when(F.row_number().over(own) == 1, 1)
-        .when(F.col("price") != F.lag("price").over(own), 1)
-        .when(code != F.coalesce(F.lag("category_code").over(own), F.lit("")), 1)
-        .otherwise(0)
-    )
-    numbered = rows.withColumn("_new", changed).withColumn("product_version", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    code = lambda row: F.coalesce(row["category_code"], F.lit(""))
+    changed = lambda before, now: F.coalesce(before["price"] != now["price"], F.lit(False)) | (code(before) != code(now))
+    numbered = number_runs(events.filter("product_id IS NOT NULL"), "product_id", ["event_time", "event_key"], ["price", "category_code"], changed, "product_version", slice_seconds)
     last = lambda c: F.expr(f"max_by({c}, struct(event_time, event_key)) FILTER (WHERE {c} IS NOT NULL)").alias(c)
     attributes = [c for c in ("brand", "category_code", "category_l1", "category_l2", "category_l3", "price") if c in events.columns]
     versions = numbered.groupBy("product_id", "product_version").agg(F.min("event_time").alias("valid_from"), *[last(c) for c in attributes])

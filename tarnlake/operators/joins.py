@@ -42,11 +42,15 @@ def interval_join(events: DataFrame, history: DataFrame, key: str, at: str = "ev
     return events.join(h, cond, "left").drop("_key")
 
 
-def enrich(events: DataFrame, sessions: DataFrame, products: DataFrame) -> DataFrame:
-    """Events with their session and, where their own values are null, the product's latest attributes."""
-    s = sessions.select("event_key", "session_id", "user_session_seq")
+def enrich(events: DataFrame, products: DataFrame, sessions: DataFrame | None = None) -> DataFrame:
+    """Events with their session and, where their own values are null, the product's latest attributes.
+
+    Sessionized events bear their session already; only where sessions come from elsewhere are they
+    joined by event_key, which costs a shuffle of both sides.
+    """
     p = products.select("product_id", *[F.col(c).alias(f"_{c}") for c in ("brand", "category_code", "category_l1", "category_l2", "category_l3")], F.col("latest_price").alias("product_latest_price"))
-    joined = events.join(s, "event_key").join(p, "product_id", "left")
+    own = events if sessions is None else events.join(sessions.select("event_key", "session_id", "user_session_seq"), "event_key")
+    joined = own.join(p, "product_id", "left")
     filled = {c: F.coalesce(c, f"_{c}") for c in ("brand", "category_code", "category_l1", "category_l2", "category_l3")}
     return joined.withColumns(filled).drop(*[f"_{c}" for c in filled])
 

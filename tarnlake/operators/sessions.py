@@ -6,44 +6,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import micros
+from .runs import number_runs
 
 GAP_SECONDS = 1800
 
 
-def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS) -> DataFrame:
-    """Adds previous_event_time, user_session_seq and session_id. A gap of more than ``gap_seconds`` starts a session; exactly that gap does not. Both windows share one sort."""
-    own = Window.partitionBy("user_id").orderBy("event_time", "event_key")
-    before = F.lag("event_time").over(own)
-    marked = events.withColumn("previous_event_time", before)
-    new = F.when(F.col("previous_event_time").isNull() | (micros(F.col("event_time")) - micros(F.col("previous_event_time")) > gap_seconds * 1_000_000), 1).otherwise(0)
-    seq = F.sum(new).over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    out = marked.withColumn("user_session_seq", seq)
-    return out.withColumn("session_id", F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("user_session_seq").cast("string")))
+def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int | None = None) -> DataFrame:
+    """Adds previous_event_time, user_session_seq and session_id.
 
-
-def sessionize_sliced(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int = 21_600) -> DataFrame:
-    """The same result where a few users hold much of the data: windows run within slices of a user's time.
-
-    Each slice passes on one row - its first and last event and the sessions that start in it - and the
-    rows of a user's slices tell each slice what came before it.
+    A gap of more than ``gap_seconds`` starts a session; exactly that gap does not. ``slice_seconds``
+    splits the work of users with very many events by time; the result is the same.
     """
-    micros_of = micros(F.col("event_time"))
-    cut = events.withColumn("_slice", F.floor(micros_of / (slice_seconds * 1_000_000)))
-    own = Window.partitionBy("user_id", "_slice").orderBy("event_time", "event_key")
-    before = F.lag("event_time").over(own)
-    new = F.when(before.isNotNull() & (micros_of - micros(before) > gap_seconds * 1_000_000), 1).otherwise(0)
-    local = cut.withColumns({"_before": before, "_new": new})
-    local = local.withColumn("_starts", F.sum("_new").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    ends = local.groupBy("user_id", "_slice").agg(F.min("event_time").alias("_first"), F.max("event_time").alias("_last"), F.sum("_new").alias("_inside"))
-    order = Window.partitionBy("user_id").orderBy("_slice")
-    carried = ends.withColumn("_previous", F.lag("_last").over(order))
-    opens = F.when(F.col("_previous").isNull() | (micros(F.col("_first")) - micros(F.col("_previous")) > gap_seconds * 1_000_000), 1).otherwise(0)
-    carried = carried.withColumn("_opens", opens)
-    carried = carried.withColumn("_base", F.sum(F.col("_opens") + F.col("_inside")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_inside"))
-    out = local.join(carried.select("user_id", "_slice", "_previous", "_base"), ["user_id", "_slice"])
-    out = out.withColumns({"previous_event_time": F.coalesce("_before", "_previous"), "user_session_seq": F.col("_base") + F.col("_starts")})
-    out = out.withColumn("session_id", F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("user_session_seq").cast("string")))
-    return out.select(*events.columns, "previous_event_time", "user_session_seq", "session_id")
+    apart = lambda before, now: micros(now["event_time"]) - micros(before["event_time"]) > gap_seconds * 1_000_000
+    out = number_runs(events, "user_id", ["event_time", "event_key"], ["event_time"], apart, "user_session_seq", slice_seconds)
+    session = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("user_session_seq").cast("string"))
+    return out.select(*events.columns, F.col("_previous.event_time").alias("previous_event_time"), "user_session_seq", session.alias("session_id"))
 
 
 def session_summary(sessions: DataFrame) -> DataFrame:

@@ -103,9 +103,11 @@ class Lake:
     # -- Gold -------------------------------------------------------------------
 
     def star(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """fact_events, fact_purchases and the product history, from Silver."""
+        """fact_events, fact_purchases and the product history, from Silver. Enriched events are stored once and read by all that build on them."""
         e = cleaning.keep_latest(self.table("silver").read(), ["event_key"], ["ingested_at", "source_file"])
-        full = joins.enrich(e, sessions.sessionize(e), cleaning.latest_products(e))
+        stored = self.table("int_events_enriched")
+        stored.overwrite(joins.enrich(sessions.sessionize(e), cleaning.latest_products(e)))
+        full = stored.read()
         history = dimensions.product_history(full)
         events = facts.fact_events(full, dimensions.date_dimension(self.spark), dimensions.customer_dimension(full), history)
         return events, facts.fact_purchases(events), history

@@ -18,7 +18,7 @@ def build(events: DataFrame) -> Registry:
     r.model("stg_events", "staging", kind="view", tests=(t(checks.not_null, "event_key"), t(checks.unique, "event_key")))(lambda: cleaning.stage_events(events))
     r.model("stg_products", "staging", ("stg_events",), kind="view", tests=(t(checks.unique, "product_id"),))(cleaning.latest_products)
     r.model("int_sessions", "intermediate", ("stg_events",), kind="view", tests=(t(checks.not_null, "session_id"), sessions.gap_violations))(sessions.sessionize)
-    r.model("int_events_enriched", "intermediate", ("stg_events", "int_sessions", "stg_products"), kind="view", tests=(t(checks.unique, "event_key"),))(joins.enrich)
+    r.model("int_events_enriched", "intermediate", ("int_sessions", "stg_products"), kind="view", tests=(t(checks.unique, "event_key"),))(joins.enrich)
     r.model("dim_date", "core", tests=(t(checks.unique, "date_key"),))(lambda: dimensions.date_dimension(spark))
     r.model("dim_customer", "core", ("int_events_enriched",), tests=(t(checks.unique, "customer_key"),))(dimensions.customer_dimension)
     r.model("dim_product", "core", ("int_events_enriched",), tests=(t(checks.unique, "product_key"), dimensions.overlapping_versions))(dimensions.product_history)

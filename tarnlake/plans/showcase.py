@@ -15,6 +15,16 @@ from ..streaming import events as streams
 from .models import build
 
 
+#: What the registry must come to: tests of each model, and what each model and dashboard needs.
+TESTS = {"stg_events": 2, "stg_products": 1, "int_sessions": 2, "int_events_enriched": 1, "dim_date": 1, "dim_customer": 1, "dim_product": 2, "fact_events": 2, "fact_purchases": 1, "mart_customer_retention": 2, "mart_daily_summary": 1, "mart_category_performance": 2}
+NEEDS = {
+    "stg_products": "stg_events", "int_sessions": "stg_events", "int_events_enriched": "int_sessions stg_products", "dim_customer": "int_events_enriched", "dim_product": "int_events_enriched",
+    "fact_events": "int_events_enriched dim_date dim_customer dim_product", "fact_purchases": "fact_events", "int_customer_month_activity": "fact_purchases dim_date",
+    "mart_customer_retention": "int_customer_month_activity", "mart_daily_summary": "fact_events fact_purchases dim_product", "mart_category_performance": "fact_purchases dim_product",
+    "sales_dashboard": "mart_daily_summary", "retention_dashboard": "mart_customer_retention", "category_dashboard": "mart_category_performance",
+}
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder that driver and executors share: in the checkpoint folder if the cluster names one, else in the warehouse."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
@@ -108,7 +118,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     e = "SELECT event_id, ts, user_id, event_type, value FROM events"
+    values = lambda rows: "(VALUES " + ", ".join(map(str, rows)) + ")"
+    tests = [(m, i, 0) for m, n in TESTS.items() for i in range(n)]
+    links = [(a, m) for m, needs in NEEDS.items() for a in needs.split()]
     return {
+        "model_tests": f"SELECT model, CAST(test AS INTEGER) AS test, CAST(violations AS BIGINT) AS violations FROM {values(tests)} t(model, test, violations)",
+        "lineage_links": f"SELECT source, target FROM {values(links)} t(source, target)",
         "merge_insert_only": e,
         "time_travel": f"{e} WHERE event_id % 2 = 0",
         "table_history": "SELECT CAST(0 AS INTEGER) AS version, 'APPEND' AS operation, count(*) AS inserted FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 1, 'MERGE', count(*) FROM events WHERE event_id % 2 <> 0 UNION ALL SELECT 2, 'OPTIMIZE', 0",

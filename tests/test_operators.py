@@ -94,9 +94,10 @@ def test_date_dimension(spark):
 @given(st.lists(st.tuples(st.integers(1, 3), st.integers(0, 20000)), min_size=1, max_size=40))
 def test_sessions_match_a_plain_walk(spark, rows):
     e = cleaning.with_event_key(events(spark, [dict(event_id=i, user_id=u, event_time=T0 + timedelta(seconds=s), product_id=i) for i, (u, s) in enumerate(rows)]))
-    got = sessions.sessionize(e).groupBy("user_id").agg(F.max("user_session_seq")).collect()
     want = {}
     for u in {u for u, _ in rows}:
         times = sorted(s for v, s in rows if v == u)
         want[u] = 1 + sum(b - a > 1800 for a, b in zip(times, times[1:], strict=False))
-    assert {r[0]: r[1] for r in got} == want
+    for slices in (None, 3600):
+        got = sessions.sessionize(e, slice_seconds=slices).groupBy("user_id").agg(F.max("user_session_seq")).collect()
+        assert {r[0]: r[1] for r in got} == want
