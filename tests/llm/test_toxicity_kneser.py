@@ -132,6 +132,8 @@ def test_rejects_junk_and_keeps_the_rest(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(0, 300, 2)] + [(i, 1) for i in range(1, 100, 2)] + [(1000, 0), (None, 1), (7, None)], "doc_id long, quality int")
     got = kneser.classify(docs, labels).collect()
     assert len(got) == len(rows)
+    by_shuffle = kneser.classify(docs, labels, most_sent=10).collect()
+    assert sorted(map(str, by_shuffle)) == sorted(map(str, got))
     kept = {r["doc_id"]: r["keep"] for r in got}
     assert not any(kept[1000 + i] for i in range(3))
     assert kept[2000] and kept[2001] and sum(kept[i] for i in range(300)) >= 295
