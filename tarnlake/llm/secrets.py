@@ -8,6 +8,7 @@ dictionary words cover, its path, and the words around it. DataFrame functions o
 from __future__ import annotations
 
 import random
+import re
 from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame
@@ -28,14 +29,16 @@ PATTERN = (
     r"|(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd]|[Aa][Pp][Ii]_?-?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss]_?-?[Kk][Ee][Yy])"
     r"[\"']? ?[:=]>? ?[\"']?[A-Za-z0-9+/_.=-]{8,}"
 )
+#: The value of an assignment: what follows the first sign.
+VALUE = r"[:=]>? ?[\"']?([A-Za-z0-9+/_.=-]{8,})$"
 #: Cheap test that every text with a match passes; most texts end here.
 CUE = r"AKIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|PRIVATE KEY|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]"
 #: Issuers' formats, where the pattern alone is strong evidence.
 ISSUED = r"^(AKIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN)"
-# Words of placeholders and of common code, and words near examples.
+# Parts of placeholders and of common code; words near examples and in their paths.
 DICTIONARY = ["example", "sample", "placeholder", "changeme", "password", "secret", "token", "value", "string", "insert", "here", "your", "dummy", "test", "default", "admin", "user", "none", "null", "undefined", "true", "false", "config", "environ", "getenv", "process", "settings", "variable", "function", "return", "access", "hidden", "redacted", "qwerty", "letmein", "hello", "world", "abcdef", "123456", "xxxx", "0000"]
-DOUBTFUL = ["example", "sample", "dummy", "placeholder", "fake", "test", "mock", "e.g", "replace", "documentation", "demo"]
-PATHS = ["test", "example", "sample", "doc", "mock", "fixture", "readme", "demo"]
+DOUBTFUL = "examples?|samples?|dummy|placeholders?|fake|tests?|mock|replace|documentation|demo"
+PATHS = "tests?|examples?|samples?|docs?|mocks?|fixtures?|readme|demos?"
 FEATURES = ["length", "transitions", "coverage", "doubtful_path", "doubtful_words", "issued"]
 THRESHOLD = 0.5
 #: Characters looked at on either side of a candidate.
@@ -43,8 +46,13 @@ AROUND = 48
 MASK = "[SECRET]"
 
 
+def whole(words: str) -> str:
+    """A pattern for any of the words where no letter or digit adjoins it."""
+    return f"(^|[^a-z0-9])({words})([^a-z0-9]|$)"
+
+
 def _class(c: str) -> int:
-    return 0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3
+    return 0 if c.isdigit() else 1 if c.islower() else 2
 
 
 def describe(candidate: str, around: str, path: str, issued: bool) -> dict[str, float]:
@@ -53,29 +61,34 @@ def describe(candidate: str, around: str, path: str, issued: bool) -> dict[str,
     rest = low
     for word in DICTIONARY:
         rest = rest.replace(word, "")
-    kinds = [_class(c) for c in candidate]
+    kinds = [_class(c) for c in candidate if c.isascii() and c.isalnum()]  # separators part words, not kinds
     return {
         "length": float(len(candidate)),
         "transitions": sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) / max(1, len(kinds) - 1),
         "coverage": 1 - len(rest) / max(1, len(low)),
-        "doubtful_path": float(any(w in path.lower() for w in PATHS)),
-        "doubtful_words": float(any(w in around.lower() for w in DOUBTFUL)),
+        "doubtful_path": float(bool(re.search(whole(PATHS), path.lower()))),
+        "doubtful_words": float(bool(re.search(whole(DOUBTFUL), around.lower()))),
         "issued": float(issued),
     }
 
 
-def labelled_findings(n: int = 1200, seed: int = 11) -> list[dict[str, float]]:
+def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
     """Synthetic reviewed findings: random keys of usual alphabets are secrets; placeholders, code, words and keys shown as examples are not."""
     rng = random.Random(seed)
-    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"]
+    alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "01234567890123456789abcdef"]
     parts = ["con", "ver", "ing", "ter", "ment", "able", "pre", "tion", "der", "sub", "or", "ly", "est", "un"]
     plain_paths, odd_paths = ["src/app.py", "src0/12", "config/prod.yml", "lib/net.go"], ["tests/test_a.py", "docs/readme.md", "examples/run.sh", "fixtures/keys.json"]
     out = []
     for i in range(n):
-        kind = i % 6
+        kind = i % 7
         path, around, issued, label = rng.choice(plain_paths), " the value is set to = ", False, 0
-        if kind <= 2:
-            text = "".join(rng.choices(alphabets[rng.randrange(4)], k=rng.choice([16, 20, 24, 32, 40, 48, 64])))
+        if kind == 6:  # an issuer's format, at times without any digit
+            text = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + rng.choice(["", "234567", "0123456789"]), k=16))
+            issued, label = True, 1
+            if rng.random() < 0.15:
+                text, around, path, label = text[:-7] + "EXAMPLE", " sample keys ", rng.choice(odd_paths), 0
+        elif kind <= 2:
+            text = "".join(rng.choices(rng.choice(alphabets), k=rng.randrange(12, 65)))
             issued, label = rng.random() < 0.3, 1
             if rng.random() < 0.12:  # a real-looking key in an example
                 path, around, label = rng.choice(odd_paths), " for example replace this dummy ", 0
@@ -103,13 +116,6 @@ def _lower(value: Column) -> Column:
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _any(value: Column, words: list[str]) -> Column:
-    out = F.lit(False)
-    for w in words:
-        out = out | F.contains(value, F.lit(w))
-    return out.cast("double")
-
-
 def _spans(text: Column) -> Column:
     """Array of (match, start): matches are found again one after the other; start counts characters from 1."""
     begin = F.struct(F.array().cast("array<struct<match:string,start:int>>").alias("found"), F.lit(1).alias("at"))
@@ -125,7 +131,7 @@ def _part(text: Column):
     def part(span: Column) -> Column:
         match, start = span["match"], span["start"]
         issued = match.rlike(ISSUED)
-        value = F.when(issued, match).otherwise(F.regexp_extract(match, r"([A-Za-z0-9+/_.=-]{8,})$", 1))
+        value = F.when(issued, match).otherwise(F.regexp_extract(match, VALUE, 1))
         before = F.substring(text, F.greatest(start - AROUND, F.lit(1)), F.least(F.lit(AROUND), start - 1))
         after = F.substring(text, start + F.length(match), F.lit(AROUND))
         at = (start - 1 + F.length(match) - F.length(value)).cast("long")
@@ -135,21 +141,23 @@ def _part(text: Column):
 
 
 def _features(path: Column):
-    odd = _any(_lower(path), PATHS)
+    odd = _lower(path).rlike(whole(PATHS)).cast("double")
 
     def features(part: Column) -> Column:
         value = part["candidate"]
         size, low = F.length(value), _lower(value)
         for word in DICTIONARY:
             low = F.replace(low, F.lit(word), F.lit(""))
-        runs = value
-        for kind, letter in (("[^0-9a-zA-Z]+", "-"), ("[0-9]+", "0"), ("[a-z]+", "a"), ("[A-Z]+", "A")):
+        plain = F.regexp_replace(value, "[^0-9a-zA-Z]", "")
+        runs = plain
+        for kind, letter in (("[0-9]+", "0"), ("[a-z]+", "a"), ("[A-Z]+", "A")):
             runs = F.regexp_replace(runs, kind, letter)
+        changes = F.greatest(F.lit(0), F.length(runs) - 1) / F.greatest(F.lit(1), F.length(plain) - 1)
         return F.struct(
             part["start"].alias("start"), (part["start"] + size).alias("finish"), value.alias("candidate"),
-            size.cast("double").alias("length"), ((F.length(runs) - 1) / F.greatest(F.lit(1), size - 1)).alias("transitions"),
+            size.cast("double").alias("length"), changes.alias("transitions"),
             (1 - F.length(low) / F.greatest(F.lit(1), size)).alias("coverage"), odd.alias("doubtful_path"),
-            _any(part["around"], DOUBTFUL).alias("doubtful_words"), part["issued"].cast("double").alias("issued"),
+            part["around"].rlike(whole(DOUBTFUL)).cast("double").alias("doubtful_words"), part["issued"].cast("double").alias("issued"),
         )
 
     return features
