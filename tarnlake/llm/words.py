@@ -7,7 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once: it bounds the working arrays of a Python worker.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
