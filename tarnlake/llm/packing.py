@@ -9,10 +9,12 @@ as the histogram allows. Workers then turn a piece's rank within its length into
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
 import zlib
 from collections import Counter
 from pathlib import Path
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,10 @@ from pyspark.sql import functions as F
 CAPACITY = 2048
 END = 1
 _READY: dict[str, object] = {}
-_KEEP = 600_000
+_PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
+_KEEP = 400_000
+#: Runs of letters, single digits, runs of marks: the cut of tokenizers whose words can be encoded one by one. A fixed value.
+_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def _byte_letters() -> list[str]:
@@ -33,26 +38,31 @@ def _byte_letters() -> list[str]:
 
 
 class _Ids(dict):
-    """The ids of a run of characters without white space, as bytes; a bounded memo."""
+    """The ids of a run of characters without white space, as bytes; a memo of two generations of bounded size, so that frequent words outlive rare ones."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, word_wise: bool):
         super().__init__({"": b""})
-        self.tokenizer, self.model = tokenizer, tokenizer.model
+        self.tokenizer, self.model, self.word_wise = tokenizer, tokenizer.model, word_wise
         self.letters = _byte_letters()
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) > 1 and word[-1] in ",." and word[-2].isalpha():  # such a mark is a token run of its own
-            ids = self[word[:-1]] + self[word[-1]]
-        elif word.isalpha() and max(word) < "\u0100" and not word.islower():
-            ids = self[word.lower()]
-        elif word.isalpha() and word.islower() and max(word) < "\u0250":  # nothing to normalise or to cut
+        ids = self.old.get(word)
+        if ids is not None:
+            self[word] = ids
+            return ids
+        bare = word.rstrip(punctuation)
+        if bare and len(bare) < len(word) and bare[-1].islower() and bare[-1] < "\u0250" and "<|" not in word:  # the marks behind a letter are a run of their own
+            ids = self[bare] + self[word[len(bare) :]]
+        elif word.isalpha() and word.islower() and (word.isascii() or max(word) < "\u0250"):  # nothing to normalise or to cut
             told = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
             known = [t.id for t in self.model.tokenize(told)]
-            ids = struct.pack(f"<{len(known)}I", *known)
+            ids = _PACK[len(known)](*known) if len(known) < len(_PACK) else struct.pack(f"<{len(known)}I", *known)
         else:
             ids = np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
         if len(word) <= 64:
             if len(self) > _KEEP:
+                self.old = dict(self)
                 self.clear()
                 self[""] = b""
             self[word] = ids
@@ -65,17 +75,42 @@ def _ids(definition: str) -> _Ids:
         from tokenizers import Tokenizer
 
         _READY.clear()
-        _READY[key] = _Ids(Tokenizer.from_str(definition))
+        _READY[key] = _Ids(Tokenizer.from_str(definition), _word_wise(definition))
     return _READY[key]
 
 
-def encode(ids: _Ids, text: str | None) -> bytes:
-    """Little-endian 32-bit ids of a whole text.
+def _latin(text: str) -> bool:
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
-    Holds for a tokenizer whose pre-tokenizer drops white space and never joins across it, and
-    whose normaliser folds case and leaves marks apart from letters.
-    """
+
+def _word_wise(definition: str) -> bool:
+    """Whether a tokenizer folds case, drops white space and cuts at it, so that a text's ids are its words' ids."""
+    told = json.loads(definition)
+    kinds = lambda part, many: [x["type"] for x in (part or {}).get(many, [])]
+    cut = next(iter((told.get("pre_tokenizer") or {}).get("pretokenizers", [])), {})
+    special = [t for t in told.get("added_tokens") or [] if "<|" not in t["content"] or t["normalized"] or t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
+    return (
+        kinds(told.get("normalizer"), "normalizers") == ["NFC", "Replace", "Lowercase"]
+        and kinds(told.get("pre_tokenizer"), "pretokenizers") == ["Split", "ByteLevel"]
+        and (cut.get("pattern"), cut.get("behavior"), cut.get("invert")) == ({"Regex": _RUNS}, "Removed", True)
+        and not told["pre_tokenizer"]["pretokenizers"][1]["add_prefix_space"]
+        and not special
+    )
+
+
+def encode(ids: _Ids, text: str | None) -> bytes:
+    """Little-endian 32-bit ids of a whole text."""
+    if not ids.word_wise:
+        return np.asarray(ids.tokenizer.encode(text or "", add_special_tokens=False).ids, "<u4").tobytes()
     plain = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
+    if "<|" not in plain and _latin(plain):  # case folds alike, letter by letter, and no special token can come of it
+        plain = plain.lower()
     return b"".join(map(ids.__getitem__, plain.split(" ")))
 
 

@@ -1,3 +1,4 @@
+import random
 import struct
 import zlib
 from collections import Counter, defaultdict
@@ -43,6 +44,20 @@ def test_round_trip(spark):
     assert waste < 64
 
 
+def test_any_other_tokenizer_encodes_whole_texts():
+    import numpy as np
+    import public_tokenizers
+    from tarnlake.llm.queries import tokenizer_path
+
+    for path, word_wise in ((tokenizer_path(), True), (public_tokenizers.path("byte_bpe_50k.json"), False)):
+        ids, plain = packing._ids(open(path).read()), Tokenizer.from_file(path)
+        assert ids.word_wise == word_wise
+        rng = random.Random(3)
+        odd = ["".join(rng.choices("ab'é.,!$%<|>sStTmMdDllveß1 \u0301ΣİÅ’-_\"ªµ", k=rng.randrange(1, 14))) for _ in range(3000)]
+        for text in [*TEXTS, *odd]:
+            assert np.frombuffer(packing.encode(ids, text), "<u4").tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
 def test_hot_length_is_ranked_in_shares(spark):
     docs = spark.createDataFrame([(i, "same text") for i in range(700)], "doc_id long, text string")
     rows = packing.pack(docs, tokenizer_path(), 64).collect()
