@@ -5,16 +5,19 @@ conditional log-probabilities. The vocabulary and its class layout come from the
 documents. In every round each task trains a copy of the network on masked tokens of all its
 documents, and the copies are averaged by a tree of partial sums, so no node gathers them all.
 
-Output is factored: the class of a token first, then the token within its class.
+Output is factored: the class of a token first, then the token within its class. Words that share an
+id have a third factor, ln p(word | id) from the exact counts of all texts, so every word of a corpus
+of any size has a probability of its own. The most frequent of these words go to all workers; the rest
+meet their counts in a join.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
@@ -22,6 +25,10 @@ from . import words as W
 #: Words with an id of their own; the others share OTHERS ids by hash.
 VOCABULARY = 1984
 OTHERS = 63
+#: Words sharing ids whose counts all workers hold; beyond, counts are joined.
+SENT = 1 << 17
+#: Bytes that words are made of (W.ALNUM after folding), and the end of a word.
+SPELLING = 10 + 26 + 128 + 1
 WINDOW = 2
 WIDTH = 16
 ROUNDS = 2
@@ -39,6 +46,14 @@ class Vocabulary:
     key: np.ndarray
     id: np.ndarray
     size: int
+    #: Sorted hashes of the most frequent words that share ids, and ln p(word | id) of each.
+    often: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    often_log: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    #: Of each shared id: ln(tokens + unseen), and ln of the share of words not seen.
+    total_log: np.ndarray = field(default_factory=lambda: np.zeros(OTHERS))
+    unseen_log: np.ndarray = field(default_factory=lambda: np.zeros(OTHERS))
+    #: word, n of the words with shared ids that are not among ``often``; None if there are none.
+    rare: DataFrame | None = None
 
     @property
     def side(self) -> int:
@@ -52,9 +67,30 @@ class Vocabulary:
         at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
         return np.where(self.key[at] == hashes, self.id[at], other)
 
+    def within(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ln p(word | id) as if words not among ``key`` and ``often`` were not seen, and which these are.
 
-def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
-    """The most frequent words of all texts, counted exactly."""
+        The share of words not seen is dealt by spelling: each byte, and the end, is one of SPELLING.
+        """
+        bucket = (hashes % np.uint64(OTHERS)).astype(np.int64)
+        out = self.unseen_log[bucket] - (sizes + 1) * np.log(SPELLING)
+        left = np.ones(len(hashes), bool)
+        for keys, logs in ((self.often, self.often_log), (self.key, np.zeros(len(self.key)))):
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[at] == hashes
+                out[hit] = logs[at[hit]]
+                left &= ~hit
+        return out, left
+
+
+def _bucket() -> Column:
+    """The shared id of ``word``, from 0: its hash is unsigned."""
+    return F.pmod(F.col("word") % OTHERS + F.when(F.col("word") < 0, pow(2, 64, OTHERS)).otherwise(0), F.lit(OTHERS)).cast("int")
+
+
+def vocabulary(docs: DataFrame, size: int = VOCABULARY, sent: int = SENT) -> Vocabulary:
+    """The most frequent words of all texts, counted exactly, and the probabilities of all others within their shared ids."""
 
     def count(batches):
         for batch in batches:
@@ -62,11 +98,28 @@ def vocabulary(docs: DataFrame, size: int = VOCABULARY) -> Vocabulary:
                 kinds, n = np.unique(W.split(part.column(0), W.ALNUM).hash, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(kinds.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
-    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(size).collect()
-    key = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(key)
-    return Vocabulary(key[order], order + 1, 1 + len(top) + OTHERS)
+    counted = docs.select(F.col("text").cast("string")).mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).checkpoint()
+    top = counted.orderBy(F.desc("n"), "word").limit(size + sent).toArrow()
+    word, n = (top.column(c).to_numpy() for c in ("word", "n"))
+    rank = np.lexsort((word, -n))
+    word, n = word[rank].view(np.uint64), n[rank]
+    key, order = word[:size], np.argsort(word[:size])
+    tokens, once = np.zeros(OTHERS), np.ones(OTHERS)  # an unseen word is as likely as the words seen once, and possible in any case
+    for r in counted.groupBy(_bucket().alias("b")).agg(F.sum("n").alias("n"), F.sum((F.col("n") == 1).cast("long")).alias("once")).collect():
+        tokens[r["b"]] += r["n"]
+        once[r["b"]] += r["once"]
+    shared = (key % np.uint64(OTHERS)).astype(np.int64)
+    np.subtract.at(tokens, shared, n[:size])
+    np.subtract.at(once, shared, n[:size] == 1)
+    total_log = np.log(tokens + once)
+    often, often_n = word[size:], n[size:]
+    by_hash = np.argsort(often)
+    often_log = np.log(often_n) - total_log[(often % np.uint64(OTHERS)).astype(np.int64)]
+    rare = None
+    if len(word) == size + sent:
+        last, last_word = int(n[-1]), int(word[-1:].view(np.int64)[0])
+        rare = counted.filter((F.col("n") < last) | ((F.col("n") == last) & (F.col("word") > last_word)))
+    return Vocabulary(key[order], order + 1, 1 + len(key) + OTHERS, often[by_hash], often_log[by_hash], total_log, np.log(once) - total_log, rare)
 
 
 class Network:
@@ -157,12 +210,16 @@ def _soft(z: np.ndarray) -> np.ndarray:
 
 def windows(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ids of all texts with WINDOW zeros around each text, the place of each token there, and the texts' bounds among the tokens."""
+    return _laid(column, vocab)[:3]
+
+
+def _laid(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray, W.Words]:
     found = W.split(column, W.ALNUM)
     n = len(column)
     at = np.arange(len(found.hash)) + WINDOW * np.repeat(np.arange(1, n + 1), found.counts())
     line = np.zeros(len(found.hash) + WINDOW * (n + 1), np.int64)
     line[at] = vocab.ids(found.hash)
-    return line, at, found.bounds
+    return line, at, found.bounds, found
 
 
 def _near(line: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -174,6 +231,7 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, masked: floa
     spark = docs.sparkSession
     flat = Network(vocab.size, vocab.side).pack()
     texts = docs.select(F.col("text").cast("string").alias("text"))
+    vocab = replace(vocab, rare=None)
     for turn in range(rounds):
         sent = spark.sparkContext.broadcast((vocab, flat))
 
@@ -220,10 +278,46 @@ def _mean(copies: DataFrame, otherwise: np.ndarray, fan: int = 8) -> np.ndarray:
     return sum(np.frombuffer(r["weights"], np.float32) * (r["seen"] / total) for r in rows).astype(np.float32) if total else otherwise
 
 
+def _key() -> list[Column]:
+    """A text's 128 bits: what is added to its score follows from the text alone."""
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(SEED), text).alias("_k2")]
+
+
+def _rare(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """_k1, _k2 and _more of each text with words of vocab.rare: what their counts give beyond the unseen words' probability."""
+    sent = docs.sparkSession.sparkContext.broadcast(replace(vocab, rare=None))
+
+    def find(batches):
+        own = sent.value
+        for batch in batches:
+            for part in W.slices(batch, "text"):
+                found = W.split(part.column(2), W.ALNUM)
+                guess, left = own.within(found.hash, found.end - found.start)
+                place = np.flatnonzero(left)
+                text = np.searchsorted(found.bounds, place, "right") - 1
+                counts = np.bincount(text, minlength=part.num_rows)
+                rows = np.flatnonzero(counts)
+                offsets = np.concatenate([[0], np.cumsum(counts[rows])]).astype(np.int32)
+                words = pa.ListArray.from_arrays(offsets, pa.array(found.hash[place].view(np.int64)))
+                guesses = pa.ListArray.from_arrays(offsets, pa.array(guess[place]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows)), part.column(1).take(pa.array(rows)), words, guesses], ["_k1", "_k2", "words", "guesses"])
+
+    texts = docs.select(*_key(), F.col("text").cast("string").alias("text"))
+    bags = texts.mapInArrow(find, "_k1 long, _k2 long, words array<long>, guesses array<double>").dropDuplicates(["_k1", "_k2"])
+    each = bags.select("_k1", "_k2", F.explode(F.arrays_zip("words", "guesses")).alias("e")).select("_k1", "_k2", F.col("e.words").alias("word"), F.col("e.guesses").alias("guess"))
+    total = F.element_at(F.array(*[F.lit(float(x)) for x in vocab.total_log]), _bucket() + 1)
+    met = each.join(vocab.rare, "word").withColumn("more", F.log("n") - total - F.col("guess"))
+    return met.groupBy("_k1", "_k2").agg(F.sum("more").alias("_more"))
+
+
 def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFrame:
     """docs (text and any columns) with tokens, log_likelihood (the sum) and mean_log_likelihood (null without tokens)."""
     base = docs.drop("tokens", "log_likelihood", "mean_log_likelihood").withColumns({"tokens": F.lit(0).cast("long"), "log_likelihood": F.lit(0.0)})
-    sent = docs.sparkSession.sparkContext.broadcast((vocab, flat))
+    names = base.columns
+    if vocab.rare is not None:
+        base = base.select("*", *_key())
+    sent = docs.sparkSession.sparkContext.broadcast((replace(vocab, rare=None), flat))
 
     def judge(batches):
         own, weights = sent.value
@@ -231,16 +325,20 @@ def score(docs: DataFrame, vocab: Vocabulary, flat: np.ndarray) -> DataFrame:
         for batch in batches:
             for part in W.slices(batch, "text"):
                 column = dict(zip(part.schema.names, part.columns, strict=True))
-                line, at, bounds = windows(column["text"], own)
+                line, at, bounds, found = _laid(column["text"], own)
                 value = np.zeros(len(at) + 1)
+                value[1:] = own.within(found.hash, found.end - found.start)[0]
                 for i in range(0, len(at), 1 << 14):
                     own_at = at[i : i + (1 << 14)]
-                    value[i + 1 : i + 1 + len(own_at)] = net.log_prob(_near(line, own_at), line[own_at])
+                    value[i + 1 : i + 1 + len(own_at)] += net.log_prob(_near(line, own_at), line[own_at])
                 total = np.cumsum(value)
                 column |= {"tokens": pa.array(np.diff(bounds)), "log_likelihood": pa.array(total[bounds[1:]] - total[bounds[:-1]])}
                 yield pa.RecordBatch.from_arrays(list(column.values()), list(column))
 
-    return base.mapInArrow(judge, base.schema).withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("tokens"), F.lit(0)))
+    out = base.mapInArrow(judge, base.schema)
+    if vocab.rare is not None:
+        out = out.join(_rare(docs, vocab), ["_k1", "_k2"], "left").withColumn("log_likelihood", F.col("log_likelihood") + F.coalesce("_more", F.lit(0.0))).select(*names)
+    return out.withColumn("mean_log_likelihood", F.col("log_likelihood") / F.nullif(F.col("tokens"), F.lit(0)))
 
 
 def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:

@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -67,3 +68,37 @@ def test_mean_of_many_copies(spark):
     copies = spark.createDataFrame(rows, "seen long, weights binary")
     mean = lmscore._mean(copies, np.zeros(4, np.float32), fan=8)
     assert np.allclose(mean, sum(n * n for n in range(1, 101)) / 5050, rtol=1e-5)
+
+
+def test_every_word_has_a_probability_of_its_own(spark):
+    # the n-th word occurs in n texts; 10 words have ids, 20 more counts are sent, the rest are joined
+    names = [f"w{i}" for i in range(1, 101)]
+    rows = [(k, " ".join(w for i, w in enumerate(names, 1) if i > k)) for k in range(100)]
+    rows += [(1000, "w3 w3 w40"), (1001, "w3 w3 w40"), (1002, "w99"), (1003, None), (1004, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    flat = None
+    for sent in (20, 1000):
+        vocab = lmscore.vocabulary(docs, 10, sent)
+        assert (vocab.rare is not None) == (sent == 20)
+        flat = lmscore.Network(vocab.size, vocab.side).pack() if flat is None else flat
+        net = lmscore.Network(vocab.size, vocab.side).unpack(flat)
+        got = {r["doc_id"]: r["log_likelihood"] for r in lmscore.score(docs, vocab, flat).collect()}
+        assert len(got) == len(rows)
+        hashes = dict(zip(names, lmscore.W.split(pa.array(names), lmscore.W.ALNUM).hash.tolist(), strict=True))
+        kept, by_id = set(vocab.key.tolist()), {}
+        for w, h in hashes.items():
+            if h not in kept:
+                by_id.setdefault(h % lmscore.OTHERS, []).append(counts[w])
+
+        def within(w):
+            own = by_id.get(hashes[w] % lmscore.OTHERS, [])
+            return 0.0 if hashes[w] in kept else np.log(counts[w] / (sum(own) + own.count(1) + 1))
+
+        for i, text in rows:
+            line, at, _ = lmscore.windows(pa.array([text]), vocab)
+            ids = float(net.log_prob(lmscore._near(line, at), line[at]).sum()) if len(at) else 0.0
+            assert np.isclose(got[i], ids + sum(within(w) for w in (text or "").split()), rtol=1e-5), i
+    # words that no text has share what is left, and less than the rarest word has
+    new = {r["text"]: r["log_likelihood"] for r in lmscore.score(spark.createDataFrame([("qzxv",), ("w1",)], "text string"), vocab, flat).collect()}
+    assert new["qzxv"] < new["w1"]
