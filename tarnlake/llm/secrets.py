@@ -78,6 +78,7 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
     alphabets = ["0123456789abcdef", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "01234567890123456789abcdef"]
     parts = ["con", "ver", "ing", "ter", "ment", "able", "pre", "tion", "der", "sub", "or", "ly", "est", "un"]
     plain_paths, odd_paths = ["src/app.py", "src0/12", "config/prod.yml", "lib/net.go"], ["tests/test_a.py", "docs/readme.md", "examples/run.sh", "fixtures/keys.json"]
+    beside = [" write to ops@example.com about ", " passed the last test and then ", " a demo for the board, ", " see the documentation "]
     out = []
     for i in range(n):
         kind = i % 7
@@ -87,6 +88,8 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
             issued, label = True, 1
             if rng.random() < 0.15:
                 text, around, path, label = text[:-7] + "EXAMPLE", " sample keys ", rng.choice(odd_paths), 0
+            elif rng.random() < 0.3:
+                around = rng.choice(beside)
         elif kind <= 2:
             text = "".join(rng.choices(rng.choice(alphabets), k=rng.randrange(12, 65)))
             issued, label = rng.random() < 0.3, 1
@@ -94,6 +97,8 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
                 path, around, label = rng.choice(odd_paths), " for example replace this dummy ", 0
             elif rng.random() < 0.2:
                 path = rng.choice(odd_paths)
+            elif rng.random() < 0.3:  # a real key whose neighbours say nothing of it
+                around = rng.choice(beside)
         elif kind == 3:
             words = rng.sample(DICTIONARY, rng.randrange(1, 4))
             text = rng.choice(["_", "-", ".", ""]).join(words) + rng.choice(["", "1", "123", "xxxxxxxx"])
