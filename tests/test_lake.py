@@ -181,3 +181,14 @@ def test_ingest_and_listing(spark, tmp_path):
         return "ok"
 
     assert raw.retrying(flaky, sleep=waits.append) == "ok" and waits == [2, 4, 8]
+
+
+def test_reconciliation_counts_all_raw_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tarnlake.plans.lake.FILES", 2)  # five files in blocks of two
+    lake = Lake(spark, str(tmp_path / "lake"))
+    for day in range(1, 6):
+        csv(tmp_path / "raw" / f"{day}.csv", [event(day), event(day, hour=1, kind="purchase")])
+    lake.land(str(tmp_path / "raw"), NOW)
+    lake.refine(NOW)
+    got = {r["check_name"]: r for r in lake.reconcile().collect()}["raw_vs_bronze"]
+    assert (got["source_value"], got["target_value"], got["status"]) == (10.0, 10.0, "PASS")
