@@ -6,14 +6,26 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-
 ARROW_BYTES = 4 << 20
 
 
-def ensure(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir as the cluster names it; only where it is unset (tests, one machine) take a temporary folder."""
+def ensure(spark: SparkSession) -> str:
+    """The folder that driver and executors share, spark.checkpoint.dir as the session names it.
+
+    Every operator calls this first. Where the setting is missing, a session of this machine alone gets
+    a temporary folder; on a cluster that is an error, as executors could not read it.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)  # rows alone don't bound a batch of texts
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir")
     if context.getCheckpointDir() is None:
+        named = context.getConf().get("spark.checkpoint.dir")
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+    return context.getCheckpointDir()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder that a job wrote between its steps."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text handled at once: it bounds the working arrays of a Python worker.
 SLICE_BYTES = 1 << 19
@@ -40,7 +41,10 @@ class _Poly:
         return (total[end] - total[start]) * self.down[start]
 
 
-_BYTES, _WORDS = _Poly(0xD6E8FEB86659FD93), _Poly(0xA0761D6478BD642F)
+_WORDS = _Poly(0xA0761D6478BD642F)
+#: Words of more bytes are hashed one by one.
+_LONG = 256
+_KEPT = np.array([(1 << 8 * n) - 1 for n in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -49,6 +53,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_SIZES = mix(np.arange(_LONG + 1, dtype=np.uint64)) * _MULT
+
+
 class Alphabet:
     """Which bytes belong to words, and how they fold."""
 
@@ -67,6 +74,43 @@ ALNUM = Alphabet(lambda b: 48 <= b <= 57 or 97 <= _lower(b) <= 122 or b >= 128,
 SPACED = Alphabet(lambda b: not (b == 32 or 9 <= b <= 13))
 
 
+def eights(data: np.ndarray) -> np.ndarray:
+    """For each byte of data the eight from there on, as a number; zeros follow the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def hashed(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits of each range of bytes: eight bytes at a time are mixed in, so no pattern of bytes cancels out."""
+    size, windows = end - start, eights(data)
+    short = np.minimum(size, _LONG)
+    out = mix(_SIZES[short] + (windows[start] & _KEPT[np.minimum(size, 8)]))
+    live, at = np.flatnonzero(short > 8), 8
+    while len(live):
+        chunk = windows[start[live] + at] & _KEPT[np.minimum(short[live] - at, 8)]
+        out[live] = mix(out[live] * _MULT + chunk)
+        at += 8
+        live = live[short[live] > at]
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes())
+    return out
+
+
+def same(a: np.ndarray, a_start: np.ndarray, a_end: np.ndarray, b: np.ndarray, b_start: np.ndarray, b_end: np.ndarray) -> np.ndarray:
+    """Whether ranges of bytes a are those of b, pair by pair."""
+    size = a_end - a_start
+    out = size == b_end - b_start
+    mine, theirs = eights(a), eights(b)
+    live, at = np.flatnonzero(out & (size > 0)), 0
+    while len(live):
+        differ = ((mine[a_start[live] + at] ^ theirs[b_start[live] + at]) & _KEPT[np.minimum(size[live] - at, 8)]) != 0
+        out[live[differ]] = False
+        at += 8
+        live = live[~differ & (size[live] > at)]
+    return out
+
+
 class Words:
     """The words of several texts.
 
@@ -107,15 +151,7 @@ def split(column: pa.Array, alphabet: Alphabet) -> Words:
     last[cuts - 1] |= inside[1:-1][cuts - 1]
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     bounds = np.searchsorted(start, offs)
-    hashes = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):  # slices, as the powers are as long as what they span
-        to = max(at + 1, int(np.searchsorted(end, start[at] + SLICE_BYTES, "right")))
-        low, high = start[at], end[to - 1]
-        values = alphabet.fold[data[low:high]].astype(np.uint64) + np.uint64(1)
-        hashes[at:to] = _BYTES.ranges(values, start[at:to] - low, end[at:to] - low)
-        at = to
-    return Words(data, start, end, bounds, mix(hashes + (end - start).astype(np.uint64)))
+    return Words(data, start, end, bounds, hashed(alphabet.fold[data], start, end))
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:

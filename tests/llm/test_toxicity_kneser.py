@@ -6,7 +6,8 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
-from tarnlake.llm import kneser, toxicity
+from tarnlake.llm import kneser, queries, toxicity
+from tarnlake.llm import words as W
 
 
 def corpus(n=400, seed=1):
@@ -34,18 +35,57 @@ def test_finds_held_out_toxic_texts(spark):
     assert all(0 <= r["score"] <= 1 and r["evidence"] for r in got.values())
 
 
-def test_search_equals_full_scan():
-    rng = np.random.default_rng(2)
-    w = np.abs(rng.normal(size=(500, 12))) * (rng.random((500, 12)) < 0.3)
-    w[:, -1] = 1
-    w[100:200] = w[:100]
-    w /= np.sqrt((w**2).sum(axis=1, keepdims=True))
-    model = toxicity.Model(np.zeros(11, np.uint64), np.zeros(11), w, np.arange(500), np.ones(500), np.zeros(500))
-    q = w[rng.integers(0, 500, 40)]
-    place, near = model.nearest(q)
-    full = np.round(q @ w.T, 9)
-    want = np.lexsort((np.broadcast_to(np.arange(500), full.shape), -full), axis=1)[:, : toxicity.NEIGHBOURS]
-    assert (place == want).all() and np.allclose(near, np.take_along_axis(full, want, 1))
+def cosines(model, texts):
+    """By dictionaries, over all words of the texts that the model knows."""
+    weight = dict(zip(model.term.tolist(), model.weight.tolist(), strict=True))
+    out = []
+    for text in texts:
+        bag = Counter(W.split(pa.array([text]), W.ALNUM).hash.tolist())
+        value = {t: (1 + math.log(c)) * weight[t] for t, c in bag.items() if t in weight} | {None: toxicity.COMMON_WEIGHT}
+        norm = math.sqrt(sum(x * x for x in value.values()))
+        out.append({t: x / norm for t, x in value.items()})
+    return out
+
+
+def test_search_equals_full_scan(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "BLOCK", 8)
+    rows = corpus(300, 5) + [(1000 + i, corpus(300, 5)[i][1], 1) for i in range(20)]  # copies tie
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    assert len(model.doc) == len(rows) and (model.column >= 0).any() and len(model.block) > 0
+    texts = {i: t for i, t, _ in rows}
+    examples = cosines(model, [texts[i] for i in model.doc.tolist()])
+    asked = [t for _, t, _ in corpus(60, 9)] + ["", None, "nothing known", "vileone " * 50, rows[3][1]]
+    place, near = model.nearest(*toxicity.terms(pa.array(asked)), len(asked))
+    for i, own in enumerate(cosines(model, asked)):
+        all_ = [(-round(sum(x * e[t] for t, x in own.items() if t in e), 9), j) for j, e in enumerate(examples)]
+        want = sorted(all_)[: toxicity.NEIGHBOURS]
+        assert np.allclose(near[i], [-s for s, _ in want], atol=2e-9)
+        exact = dict((j, s) for s, j in all_)
+        assert np.allclose([exact[j] for j in place[i].tolist()], [s for s, _ in want], atol=2e-9)
+    few = toxicity.learn(docs, spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int"))
+    place, near = few.nearest(*toxicity.terms(pa.array(["word1", None])), 2)
+    assert place.shape == (2, 2) and (place >= 0).all()
+
+
+def test_bound_on_examples(spark):
+    docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    assert len(toxicity.learn(docs, labels, 20).doc) == 20
+    few = toxicity.learn(docs, labels, 50, 200)
+    assert 0 < len(few.doc) < 50 and len(few.example) + (few.full[:, :-1] > 0).sum() <= 200
+
+
+def test_query_marks_the_held_out(spark, tmp_path):
+    rows = corpus(200) + [(900, None, 0)]
+    spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in queries.op8_toxicity(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for i, _, y in rows:
+        r = got[i]
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and r["predicted"] == int(r["score"] >= 0.3)
+        assert not r["held_out"] or r["predicted"] == y
 
 
 def test_no_labels_and_one_class(spark):
@@ -57,10 +97,9 @@ def test_no_labels_and_one_class(spark):
     assert toxicity.classify(docs.limit(0), toxicity.learn(docs.limit(0), one)).collect() == []
 
 
-def test_terms_count_words_and_beginnings():
+def test_terms_count_words():
     text, term, count = toxicity.terms(pa.array(["Aa aa bb", None, "abcdefgh abcdxyz"]))
-    per = Counter(text.tolist())
-    assert per == {0: 2, 2: 2 + 2 * 2 - 1}  # two words, four beginnings of which one is shared
+    assert Counter(text.tolist()) == {0: 2, 2: 2}
     assert count[text == 0].sum() == 3 and len(term) == len(text)
 
 
