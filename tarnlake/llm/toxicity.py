@@ -29,7 +29,7 @@ STEEP = 4
 LEAST_SHARE = 0.05
 COMMON_WEIGHT = 2.0
 NEIGHBOURS = 9
-BLOCK = 64
+BLOCK = 128
 #: Terms in more than this share of the examples are columns.
 FREQUENT = 0.1
 #: Bytes of text that are scored at once.
