@@ -3,7 +3,9 @@
 Each token is predicted from the tokens on both sides of it; a document's score is the sum of the
 conditional log-probabilities. The vocabulary and its class layout come from the counts of all
 documents. In every round each task trains a copy of the network on masked tokens of all its
-documents, and the copies are averaged by a tree of partial sums, so no node gathers them all.
+documents, and the copies are averaged by a tree of partial sums, so no node gathers them all. The
+rounds take turns, so that every token of the corpus is a target. What a task learns follows from the
+rows it gets, in their order: the same tables in other files or partitions give slightly other scores.
 
 Output is factored: the class of a token first, then the token within its class. Words that share an
 id have a third factor, ln p(word | id) from the exact counts of all texts, so every word of a corpus
@@ -20,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import checkpoints
 from . import words as W
 
 #: Words with an id of their own; the others share OTHERS ids by hash.
@@ -32,9 +35,9 @@ SPELLING = 10 + 26 + 128 + 1
 WINDOW = 2
 WIDTH = 16
 ROUNDS = 2
-#: Share of tokens that are masked for training, in every document.
-MASKED = 0.125
-BATCH = 1024
+#: Times that each token is masked and predicted, spread over the rounds.
+PASSES = 1
+BATCH = 4096
 RATE = 0.15
 SEED = 20
 
@@ -145,7 +148,7 @@ class Network:
         h = self.hidden(near)
         z = h @ w["group"] + w["group_bias"]
         out[:] = z[np.arange(len(z)), group] - _log_sum(z)
-        order = np.argsort(group, kind="stable")
+        order = _order(group)
         cuts = np.searchsorted(group[order], np.arange(self.side + 1))
         for g in np.flatnonzero(np.diff(cuts)):
             own = order[cuts[g] : cuts[g + 1]]
@@ -153,8 +156,8 @@ class Network:
             out[own] += z[np.arange(len(own)), word[own]] - _log_sum(z)
         return out
 
-    def step(self, near: np.ndarray, token: np.ndarray, square: dict[str, np.ndarray], rate: float = RATE) -> None:
-        """One Adagrad step on a batch."""
+    def gradients(self, near: np.ndarray, token: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
+        """Of the mean cost of a batch: those of the dense weights, and per place the rows of ``near`` that occur with theirs."""
         w, n = self.weights, len(token)
         group, word = np.divmod(token, self.side)
         h = self.hidden(near)
@@ -163,27 +166,36 @@ class Network:
         p /= n
         dh = p @ w["group"].T
         grad = {"group": h.T @ p, "group_bias": p.sum(axis=0)}
-        order = np.argsort(group, kind="stable")
+        order = _order(group)
         cuts = np.searchsorted(group[order], np.arange(self.side + 1))
         dword, dword_bias = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
+        sorted_h, sorted_word, sorted_dh = h[order], word[order], np.empty_like(h)
         for g in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[g] : cuts[g + 1]]
-            q = _soft(h[own] @ w["word"][g] + w["word_bias"][g])
-            q[np.arange(len(own)), word[own]] -= 1
+            own = slice(cuts[g], cuts[g + 1])
+            q = _soft(sorted_h[own] @ w["word"][g] + w["word_bias"][g])
+            q[np.arange(len(q)), sorted_word[own]] -= 1
             q /= n
-            dh[own] += q @ w["word"][g].T
-            dword[g], dword_bias[g] = h[own].T @ q, q.sum(axis=0)
+            sorted_dh[own] = q @ w["word"][g].T
+            dword[g], dword_bias[g] = sorted_h[own].T @ q, q.sum(axis=0)
+        dh[order] += sorted_dh
         dh *= 1 - h * h
         grad |= {"word": dword, "word_bias": dword_bias, "bias": dh.sum(axis=0)}
-        for k, g in grad.items():
-            square[k] += g * g
-            w[k] -= rate * g / np.sqrt(square[k])
+        places = []
         for j in range(2 * WINDOW):
-            order = np.argsort(near[:, j], kind="stable")
+            order = _order(near[:, j])
             rows = near[order, j]
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            g = np.add.reduceat(dh[order], first)
-            at = rows[first]
+            places.append((rows[first], np.add.reduceat(dh[order], first)))
+        return grad, places
+
+    def step(self, near: np.ndarray, token: np.ndarray, square: dict[str, np.ndarray], rate: float = RATE) -> None:
+        """One Adagrad step on a batch."""
+        w = self.weights
+        grad, places = self.gradients(near, token)
+        for k, g in grad.items():
+            square[k] += g * g
+            w[k] -= rate * g / np.sqrt(square[k])
+        for j, (at, g) in enumerate(places):
             square["near"][j, at] += g * g
             w["near"][j, at] -= rate * g / np.sqrt(square["near"][j, at])
 
@@ -198,6 +210,11 @@ class Network:
         return self
 
 
+def _order(ids: np.ndarray) -> np.ndarray:
+    """A stable order; small ids sort by their digits."""
+    return np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
+
+
 def _log_sum(z: np.ndarray) -> np.ndarray:
     top = z.max(axis=1)
     return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
@@ -226,8 +243,8 @@ def _near(line: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.stack([line[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))], axis=1)
 
 
-def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, masked: float = MASKED) -> np.ndarray:
-    """The averaged weights. Each task's batches, and which tokens are masked, follow from its texts alone."""
+def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, passes: int = PASSES) -> np.ndarray:
+    """The averaged weights. Every token is a target in ``passes`` of the rounds."""
     spark = docs.sparkSession
     flat = Network(vocab.size, vocab.side).pack()
     texts = docs.select(F.col("text").cast("string").alias("text"))
@@ -243,8 +260,8 @@ def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, masked: floa
             for batch in batches:
                 for part in W.slices(batch, "text"):
                     line, at, _ = windows(part.column(0), own)
-                    rng = np.random.default_rng([turn, len(at), int(line.sum())])
-                    at = at[rng.random(len(at)) < masked]
+                    rng = np.random.default_rng([len(at), int(line.sum())])
+                    at = at[(rng.permutation(len(at)) - turn) % rounds < passes]
                     rng.shuffle(at)
                     for i in range(0, len(at), BATCH):
                         own_at = at[i : i + BATCH]
@@ -347,5 +364,6 @@ def lm_scores(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     Null and empty texts have no tokens and a sum of 0; without any token the untrained network
     stands. Repeated rows are trained on and scored each; columns named as the result's are replaced.
     """
+    checkpoints.ensure(docs.sparkSession)
     vocab = vocabulary(docs)
     return score(docs, vocab, train(docs, vocab, rounds))

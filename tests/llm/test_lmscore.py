@@ -11,18 +11,30 @@ def test_gradient_matches_differences():
     net = lmscore.Network(30, 6)
     net.weights = {k: v.astype(np.float64) for k, v in net.weights.items()}
     near, token = rng.integers(0, 30, (12, 4)), rng.integers(0, 30, 12)
-    before = {k: v.copy() for k, v in net.weights.items()}
-    square = {k: np.zeros_like(v) for k, v in net.weights.items()}
-    net.step(near, token, square, rate=0.0 + 1e-12)
-    net.weights = {k: v.copy() for k, v in before.items()}
-    for k, at in [("group", (0, 1)), ("bias", (2,)), ("near", (1, near[0, 1], 3)), ("word", (token[0] // 6, 1, token[0] % 6)), ("word_bias", (token[0] // 6, token[0] % 6))]:
-        out = []
+    grad, places = net.gradients(near, token)
+    dense = {k: {at: v[at] for at in np.ndindex(v.shape)} for k, v in grad.items()}
+    dense["near"] = {(j, int(r), i): g[n, i] for j, (rows, g) in enumerate(places) for n, r in enumerate(rows) for i in range(lmscore.WIDTH)}
+    for k, at in [("group", (0, 1)), ("group_bias", (3,)), ("bias", (2,)), ("near", (1, near[0, 1], 3)), ("near", (3, near[5, 3], 0)), ("word", (token[0] // 6, 1, token[0] % 6)), ("word_bias", (token[0] // 6, token[0] % 6))]:
+        at, out = tuple(map(int, at)), []
         for d in (1e-6, -1e-6):
-            net.weights[k] = before[k].copy()
             net.weights[k][at] += d
             out.append(-net.log_prob(near, token).mean())
-        net.weights[k] = before[k]
-        assert np.isclose(abs((out[0] - out[1]) / 2e-6), np.sqrt(square[k][at]), atol=1e-7)
+            net.weights[k][at] -= d
+        assert np.isclose((out[0] - out[1]) / 2e-6, dense[k][at], atol=1e-8)
+
+
+def test_every_token_is_a_target(spark, monkeypatch, tmp_path):
+    """The rounds take turns: over all of them each token is predicted ``passes`` times."""
+    rng = np.random.default_rng(1)
+    for rounds, passes in ((2, 1), (3, 2), (4, 4)):
+        n = 1000
+        told = sum(((rng2.permutation(n) - turn) % rounds < passes).astype(int) for turn in range(rounds) for rng2 in [np.random.default_rng([n, 5])])
+        assert (told == passes).all()
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in rng.integers(0, 9, 30))) for i in range(40)], "doc_id long, text string").coalesce(1)
+    vocab = lmscore.vocabulary(docs, 12)
+    before = lmscore.Network(vocab.size, vocab.side)
+    score = lambda flat: lmscore.score(docs, vocab, flat).agg({"log_likelihood": "sum"}).first()[0]
+    assert score(lmscore.train(docs, vocab)) > score(before.pack())
 
 
 def test_probabilities_sum_to_one():
@@ -45,7 +57,7 @@ def test_scores_follow_the_corpus(spark):
     docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, tokens int").repartition(3)
     vocab = lmscore.vocabulary(docs, 12)
     assert len(vocab.key) == 12
-    flat = lmscore.train(docs, vocab, rounds=3, masked=0.5)
+    flat = lmscore.train(docs, vocab, rounds=3, passes=2)
     got = {r["doc_id"]: r for r in lmscore.score(docs, vocab, flat).collect()}
     assert got[1000]["mean_log_likelihood"] > got[1001]["mean_log_likelihood"] + 0.3
     assert (got[1002]["tokens"], got[1002]["log_likelihood"], got[1002]["mean_log_likelihood"]) == (0, 0.0, None)
