@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import checkpoints, decontam, forest, kneser, licenses, lmscore, packing, secrets, simhash, toxicity, urlrules, vafile
+from . import decontam, forest, kneser, licenses, lmscore, packing, secrets, simhash, toxicity, urlrules, vafile
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -19,7 +19,6 @@ URL_RULES = [
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    checkpoints.ensure(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -231,9 +230,10 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
   FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS (SELECT DISTINCT vec_id, e FROM v WHERE vec_id % 100 = 0),
 s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0)
+  SELECT q.vec_id AS query_id, q.e AS own, c.vec_id, CASE WHEN len(q.e) = 0 THEN 0 ELSE CAST(list_dot_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) END AS score
+  FROM q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from tarnlake.llm import urlrules, vafile
 
 
@@ -35,21 +36,59 @@ def test_url_rules_empty(spark):
     assert urlrules.judge(one, none).first()["verdict"] == "allow"
 
 
+def brute(rows, asked, k=10):
+    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()]
+    want = []
+    for q, v in {(i, tuple(v)) for i, v in good if asked(i)}:
+        best = sorted((-int(np.array(v, int) @ w), j) for j, w in good if j != q and len(w) == len(v))[:k]
+        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(want)
+
+
 def test_top_k_matches_brute_force(spark):
     rng = np.random.default_rng(4)
-    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(30)]
-    rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1004, [1.0, 2.0]), (1005, [3.0, 1.0]), (None, [1.0] * 8), (7, rows[7][1]), (1006, [])]
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(300)]
+    rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1002, [float("nan")] * 8), (1003, [float("inf")] * 8), (1004, [1.0, 2.0]), (1005, [3.0, 1.0]), (None, [1.0] * 8), (7, rows[7][1]), (50, rows[3][1]), (1006, []), (1050, []), (1007, [])]
+    rows += [(2000 + i, [1e4 * float(x) for x in rng.normal(size=3)]) for i in range(40)] + [(2100, [0.0] * 5)]
     table = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<float>, score int")
     asked = table.filter("vec_id % 50 = 0 OR vec_id IN (7, 1001, 1004)")
-    got = sorted(tuple(r) for r in vafile.top_k(table, asked, block=64).collect())
-    good = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
-    want = []
-    for q, v in {i: v for i, v in good if i % 50 == 0 or i in (7, 1004)}.items():
-        best = sorted((-int(v @ w), j) for j, w in good if j != q and len(w) == len(v))[:10]
-        want += [(q, r + 1, j, -s) for r, (s, j) in enumerate(best)]
-    assert got == sorted(want)
+    want = brute(rows, lambda i: i % 50 == 0 or i in (7, 1004))
+    for k, batch in ((10, 4096), (10, 5)):
+        assert sorted(tuple(r) for r in vafile.top_k(table, asked, k, batch=batch).collect()) == want
+    assert sorted(tuple(r) for r in vafile.top_k(table, asked, 2).collect()) == brute(rows, lambda i: i % 50 == 0 or i in (7, 1004), 2)
+
+
+def test_bounds_hold_and_few_vectors_are_read():
+    rng = np.random.default_rng(6)
+    values = np.floor(1024 * rng.normal(size=(3000, 32)) / 5).astype(np.int64)
+    grid = vafile.Grid(values.min(axis=0), values.max(axis=0))
+    lower, more = grid.bounds(grid.cells(values), values[:20])
+    exact = values[:20] @ values.T
+    assert (lower <= exact).all() and (exact <= lower + more[:, None]).all()
+    best = vafile._Best(np.arange(20), 10)
+    for at in range(0, 3000, 500):
+        best.add(0, np.arange(at, at + 500), lower[:, at : at + 500], more)
+    for q in range(20):
+        best.prune(q, more[q])
+        kept = set(best.rows[q][0][0].tolist())
+        top = sorted((-s, j) for j, s in enumerate(exact[q].tolist()) if j != q)[:10]
+        assert {j for _, j in top} <= kept and len(kept) < 100  # of 3000
+
+
+def test_hot_vector_is_cut(spark):
+    rows = spark.createDataFrame([(i, [1, 2]) for i in range(500)] + [(1000, [3, 4])] * 3, "vec_id long, v array<long>")
+    got = sorted(r["vec_id"] for r in vafile._without_copies(rows, 4).collect())
+    assert got == [0, 1, 2, 3, 4, 1000, 1000, 1000]
+
+
+def test_scores_beyond_64_bits(spark):
+    table = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1.0, 1e8])], "vec_id long, embedding array<double>")
+    with pytest.raises(ValueError, match="64 bits"):
+        vafile.top_k(table, table)
 
 
 def test_top_k_empty(spark):
     table = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vafile.top_k(table, table).collect() == []
+    one = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
+    assert vafile.top_k(one, one).collect() == []
