@@ -28,6 +28,21 @@ def test_url_rules(spark):
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in rows] == [slow_judge(u, rules) for u in urls]
 
 
+def test_a_hot_host_with_many_paths(spark, monkeypatch):
+    rng = random.Random(3)
+    rules = list({(p := f"big.com/{rng.randrange(300)}{rng.choice(['', '/', '/a', '/ab'])}"): ("block" if rng.random() < 0.5 else "allow", p) for _ in range(600)}.values()) + [("block", "com"), ("allow", "x.big.com/1")]
+    urls = [f"http://{rng.choice(['', '', 'x.', 'y.x.'])}big.com/{rng.randrange(400)}{rng.choice(['', '/', '/a', '/abc', '/é'])}" for _ in range(800)] + ["http://other.org/1"] * 3
+    pages = spark.createDataFrame([(i, u, 1, 2) for i, u in enumerate(urls)], "page_id long, url string, space int, _r int")
+    want = [slow_judge(u, rules) for u in urls]
+    for most in (10**5, 0):
+        monkeypatch.setattr(urlrules, "MOST_SENT", most)
+        got = urlrules.judge(pages, urlrules.rule_table(spark, rules))
+        assert got.columns == ["page_id", "url", "space", "_r", "host", "path", "rule", "verdict"]
+        assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in got.orderBy("page_id").collect()] == want
+    paths = spark.createDataFrame([("k", p) for p in {"".join("".join(r[1].partition("/")[1:])) for r in rules}], "space string, key string")
+    assert urlrules.stacks(paths, urlrules.F.sequence(urlrules.F.lit(0), urlrules.F.length("key"))).selectExpr("max(size(stack))").first()[0] < 12
+
+
 def test_url_rules_empty(spark):
     pages = spark.createDataFrame([], "page_id long, url string")
     assert urlrules.judge(pages, urlrules.rule_table(spark, [("block", "com/")])).collect() == []
