@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest directory.
 
-Every sentence of a text that speaks of a licence is a candidate. Its weighted words are joined with
-the templates' by word and summed; the best template above the threshold names the licence. Files
-without one take it from the nearest directory above that holds a licence file, by joins of paths
-with the directories above them. DataFrame functions only.
+Candidates are the sentences of a text that speak of a licence, read twice: line by line, and with the
+lines of a paragraph joined after their comment marks are taken off, so that wrapped headers and whole
+licence texts count. A candidate's weighted words are joined with the templates' by word and summed; a
+template above the threshold names a licence, and a file may have several. Files without one take those
+of the nearest directory above that holds a licence file, by joins of paths with the directories above
+them. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -15,28 +17,54 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import checkpoints
+
 #: Sentences of notices and licence texts by SPDX id; fixed values.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("Apache-2.0", "Apache License 2.0"),
     ("Apache-2.0", "You may not use this file except in compliance with the License"),
     ("MIT", "Released under the MIT License"),
     ("MIT", "The MIT License"),
+    ("MIT", "MIT License"),
     ("MIT", "Licensed under the MIT license"),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+    ("GPL-1.0-or-later", "GNU General Public License"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "GNU General Public License version 3, 29 June 2007"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License, either version 3 of the License, or any later version"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("GPL-2.0", "This program is free software under the terms of the GNU General Public License, version 2"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "GNU General Public License version 2, June 1991"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"),
     ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3, 29 June 2007"),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1, February 1999"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version"),
     ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License version 3, 19 November 2007"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License"),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under this license"),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted under this license"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
     ("ISC", "Licensed under the ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
     ("Unlicense", "This is free and unencumbered software released into the public domain under the Unlicense"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal license"),
+    ("CC0-1.0", "Creative Commons CC0 1.0 Universal"),
     ("CC-BY-4.0", "Licensed under CC BY 4.0"),
     ("CC-BY-4.0", "Licensed under the Creative Commons Attribution 4.0 International License"),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
@@ -44,8 +72,20 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
     ("CC-BY-NC-4.0", "Licensed under the Creative Commons Attribution-NonCommercial 4.0 International License"),
 ]
+#: Ids that an SPDX line may name, with the licence of each; fixed values.
+SPDX = {
+    "Apache-2.0": "Apache-2.0", "MIT": "MIT", "ISC": "ISC", "Unlicense": "Unlicense", "MPL-2.0": "MPL-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "CC0-1.0": "CC0-1.0",
+    "CC-BY-4.0": "CC-BY-4.0", "CC-BY-SA-4.0": "CC-BY-SA-4.0", "CC-BY-NC-4.0": "CC-BY-NC-4.0", "GPL-2.0": "GPL-2.0", "GPL-2.0-only": "GPL-2.0", "GPL-2.0-or-later": "GPL-2.0", "GPL-3.0": "GPL-3.0",
+    "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0",
+    "AGPL-3.0-or-later": "AGPL-3.0",
+}
+TEMPLATES += [(name, f"SPDX-License-Identifier: {key}") for key, name in SPDX.items()]
+#: A licence whose text holds the other one's.
+LARGER = {"BSD-2-Clause": "BSD-3-Clause", "GPL-1.0-or-later": "GPL-[23].0|LGPL-[23].[01]|AGPL-3.0"}
 THRESHOLD = 0.75
-CUE = r"[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Pp]ermission is hereby|free software|SPDX"
+CUE = r"[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Pp]ermission is hereby|[Pp]ermission to use|free software|SPDX|[Rr]edistribution and use|[Nn]either the name of|public domain|unencumbered|CC0|[Cc]reative [Cc]ommons"
+#: What stands before the words of a comment's line.
+MARKS = r"(^|\n)[ \t]*(//+!?|#+|/?[*]+/?|--+|;+|%+|<!--|[.][.])?[ \t]*"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense|notice)(-[a-z0-9]+([.][0-9]+)*)?([.](txt|md|rst|html?))?$"
 _WORD = r"[a-z0-9.]*[a-z0-9]"
 
@@ -70,45 +110,80 @@ def _lower(value: Column) -> Column:
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: An SPDX line may name several licences.
+OPERATORS = r" +(OR|AND) +[(]?"
+
+
+def _sentences(text: Column) -> Column:
+    """Ended by a line's end or by a full stop and white space."""
+    return F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), r"\n")
+
+
 def _notices(text: Column) -> Column:
-    """Sentences, ended by a line's end or by a full stop and white space, that speak of a licence."""
-    return F.filter(F.split(F.regexp_replace(text, r"([.!?])[ \t\r\n]+", "$1\n"), r"\n"), lambda s: s.rlike(CUE))
+    """Sentences of the lines and of the paragraphs that speak of a licence."""
+    bare = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), MARKS, "$1")
+    paragraphs = F.transform(F.split(bare, r"\n\n+"), lambda p: F.regexp_replace(p, r"[ \t\n]+", " "))
+    both = F.filter(F.concat(_sentences(text), F.flatten(F.transform(paragraphs, _sentences))), lambda s: s.rlike(CUE))
+    each = F.transform(both, lambda s: F.when(s.contains("SPDX"), F.split(F.regexp_replace(s, OPERATORS, "\nSPDX-License-Identifier: "), "\n")).otherwise(F.array(s)))
+    return F.array_distinct(F.flatten(each))
 
 
 def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files (path, text) to (path, license, score): the best template of each path that reaches the threshold, ties to the lesser name."""
+    """files (path, text) to (path, license, score): of each path all licences with a template that reaches the threshold, with the best score of each.
+
+    Of one sentence only its best template counts, and ties with it; an SPDX line is one for each licence. A licence whose text is part of
+    another found one's is left out (``LARGER``).
+    """
     spark: SparkSession = files.sparkSession
     rows, idf, unseen = template_weights(templates)
     weights = F.broadcast(spark.createDataFrame(rows, "license string, template int, word string, weight double"))  # the templates are a parameter
     own_idf = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
     spoken = files.filter(F.col("path").isNotNull() & F.col("text").rlike(CUE))
-    said = spoken.select("path", F.explode_outer(F.array_distinct(_notices(F.col("text")))).alias("notice")).filter("notice IS NOT NULL")
+    said = spoken.select("path", F.explode_outer(_notices(F.col("text"))).alias("notice")).filter("notice IS NOT NULL")
     bags = said.select("path", F.xxhash64("notice").alias("notice"), F.explode_outer(F.regexp_extract_all(_lower(F.col("notice")), F.lit(_WORD), F.lit(0))).alias("word")).filter("word IS NOT NULL")
     counted = bags.groupBy("path", "notice", "word").agg(F.count("*").alias("n"))
     weighed = counted.join(own_idf, "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
     norms = weighed.groupBy("path", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     dots = weighed.join(weights, "word").groupBy("path", "notice", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["path", "notice"]).select("path", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
-    return scored.groupBy("path").agg(F.min_by(F.struct("license", "score"), F.struct(-F.col("score"), "license")).alias("best")).select("path", "best.*")
+    scored = dots.join(norms, ["path", "notice"]).select("path", "notice", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+    named = scored.groupBy("path", "notice").agg(F.max("score").alias("score"), F.collect_set(F.struct("license", "score")).alias("all"))
+    told = named.select("path", F.explode("all").alias("t"), "score").filter(F.col("t.score") == F.col("score"))
+    best = told.groupBy("path", F.col("t.license").alias("license")).agg(F.max("t.score").alias("score"))
+    every = best.groupBy("path").agg(F.collect_list(F.struct("license", "score")).alias("all"))  # at most one entry for each licence of the templates
+    names = F.array_join("all.license", " ")
+    smaller = [F.lit(False)] + [(F.col("a.license") == small) & F.col("names").rlike(f"(^| )({larger})( |$)") for small, larger in LARGER.items()]
+    within = smaller[0]
+    for s in smaller[1:]:
+        within = within | s
+    return every.select("path", names.alias("names"), F.explode("all").alias("a")).filter(~within).select("path", "a.*")
 
 
 def _folder(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """files (path, text) to one row for each distinct path: path, license, score, origin and source.
+def _together(found: DataFrame, *by: str) -> DataFrame:
+    """One row for each path (or folder): the best licence, and all of them, sorted and joined by commas."""
+    best = F.min_by(F.struct("license", "score", *[c for c in ("path",) if c not in by]), F.struct(-F.col("score"), "license", "path")).alias("best")
+    return found.groupBy(*by).agg(best, F.array_join(F.array_sort(F.collect_set("license")), ",").alias("licenses"))
 
-    origin is ``own`` where the file itself bears a notice and ``inherited`` where the nearest
-    directory above it, its own first, has a licence file with one; source is the path of the notice.
-    Other paths have nulls. Of several licence files in a directory, and of repeated paths, the best
-    score counts, then the lesser license and path. Null paths are left out, null and empty texts have
-    no notice, other columns are ignored.
+
+def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """files (path, text) to one row for each distinct path: path, license, score, licenses, origin and source.
+
+    license is the one with the best score (ties to the lesser name), licenses are all that the file
+    names. origin is ``own`` where the file itself bears a notice and ``inherited`` where the nearest
+    directory above it, its own first, has a licence file with one; source is the path of the notice, and
+    a directory's licences are those of all its licence files. Other paths have nulls. Texts of repeated
+    paths count together. Null paths are left out, null and empty texts have no notice, other columns are
+    ignored.
     """
-    own = notices(files, templates, threshold).checkpoint()
+    checkpoints.ensure(files.sparkSession)
+    every = notices(files, templates, threshold).checkpoint()
+    own = _together(every, "path").select("path", "best.license", "best.score", "licenses").checkpoint()
     name = F.regexp_extract("path", "[^/]*$", 0)
-    holders = own.filter(name.rlike(LICENCE_FILE)).withColumn("folder", _folder(F.col("path")))
-    grants = holders.groupBy("folder").agg(F.min_by(F.struct("license", "score", F.col("path").alias("source")), F.struct(-F.col("score"), "license", "path")).alias("grant")).checkpoint()
+    holders = every.filter(name.rlike(LICENCE_FILE)).withColumn("folder", _folder(F.col("path")))
+    grants = _together(holders, "folder").select("folder", F.struct("best.license", "best.score", "licenses", F.col("best.path").alias("source")).alias("grant")).checkpoint()
     paths = files.select("path").filter("path IS NOT NULL").distinct()
     known = paths.join(own, "path", "left")
     folders = known.filter("license IS NULL").select(_folder(F.col("path")).alias("folder")).distinct()
@@ -122,6 +197,7 @@ def scan(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thresho
         "path",
         F.coalesce("license", "grant.license").alias("license"),
         F.coalesce("score", "grant.score").alias("score"),
+        F.coalesce("licenses", "grant.licenses").alias("licenses"),
         F.when(F.col("license").isNotNull(), "own").when(inherited, "inherited").alias("origin"),
         F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("grant.source")).alias("source"),
     )

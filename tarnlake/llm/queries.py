@@ -117,6 +117,7 @@ def _op1_sql() -> str:
     rows, idf, unseen = licenses.template_weights(licenses.TEMPLATES)
     quoted = ", ".join(f"('{a}', {i}, '{w}', CAST({x!r} AS DOUBLE))" for a, i, w, x in rows)
     known = ", ".join(f"('{w}', CAST({x!r} AS DOUBLE))" for w, x in idf.items())
+    within = " OR ".join(f"license = '{small}' AND regexp_matches(names, '(^| )({larger})( |$)')" for small, larger in licenses.LARGER.items())
     return rf"""
 WITH weights(license, template, word, weight) AS (VALUES {quoted}),
 idf(word, idf) AS (VALUES {known}),
@@ -126,28 +127,35 @@ files AS (
       WHEN doc_id % 16 = 8 THEN coalesce(source, 'none') || '/b' || (doc_id // 64) || '/LICENSE-' || doc_id
       ELSE coalesce(source, 'none') || '/b' || (doc_id // 64) || '/' || coalesce(lang, 'none') || '/' || doc_id || '.txt' END AS path
   FROM documents WHERE doc_id IS NOT NULL),
-said AS (
-  SELECT DISTINCT path, notice
-  FROM (SELECT path, unnest(string_split(regexp_replace(text, '([.!?])[ 	
-]+', '' || chr(10), 'g'), chr(10))) AS notice FROM files)
+bare AS (SELECT path, text, regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '{licenses.MARKS}', '\1', 'g') AS plain FROM files WHERE regexp_matches(text, '{licenses.CUE}')),
+passages AS (
+  SELECT path, text AS passage FROM bare
+  UNION ALL SELECT path, regexp_replace(paragraph, '[ \t\n]+', ' ', 'g') FROM (SELECT path, unnest(string_split_regex(plain, '\n\n+')) AS paragraph FROM bare)),
+sentences AS (
+  SELECT path, notice
+  FROM (SELECT path, unnest(string_split(regexp_replace(passage, '([.!?])[ \t\r\n]+', '\1' || chr(10), 'g'), chr(10))) AS notice FROM passages)
   WHERE regexp_matches(notice, '{licenses.CUE}')),
+said AS (
+  SELECT DISTINCT path, unnest(string_split(CASE WHEN contains(notice, 'SPDX') THEN regexp_replace(notice, '{licenses.OPERATORS}', chr(10) || 'SPDX-License-Identifier: ', 'g') ELSE notice END, chr(10))) AS notice
+  FROM sentences),
 counted AS (
   SELECT path, notice, word, count(*) AS n
   FROM (SELECT path, notice, unnest(regexp_extract_all(lower(notice), '{licenses._WORD}')) AS word FROM said) GROUP BY ALL),
 weighed AS (SELECT path, notice, word, n * coalesce(idf, CAST({unseen!r} AS DOUBLE)) AS w FROM counted LEFT JOIN idf USING (word)),
 norms AS (SELECT path, notice, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
 dots AS (SELECT path, notice, license, template, sum(w * weight) AS dot FROM weighed JOIN weights USING (word) GROUP BY ALL),
-scored AS (SELECT path, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, notice) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}),
-own AS (SELECT path, license, score FROM scored QUALIFY row_number() OVER (PARTITION BY path ORDER BY score DESC, license) = 1),
-grants AS (
-  SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, score, path AS source FROM own
-  WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}')
-  QUALIFY row_number() OVER (PARTITION BY regexp_replace(path, '/?[^/]*$', '') ORDER BY score DESC, license, path) = 1),
+scored AS (SELECT path, notice, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, notice) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}),
+best AS (SELECT * FROM scored QUALIFY score = max(score) OVER (PARTITION BY path, notice)),
+named AS (SELECT *, (SELECT string_agg(DISTINCT b.license, ' ') FROM best b WHERE b.path = g.path) AS names FROM (SELECT path, license, max(score) AS score FROM best GROUP BY path, license) g),
+every AS (SELECT path, license, score FROM named WHERE NOT ({within})),
+own AS (SELECT path, arg_min(license, ROW(-score, license)) AS license, max(score) AS score, string_agg(license, ',' ORDER BY license) AS licenses FROM every GROUP BY path),
+held AS (SELECT regexp_replace(path, '/?[^/]*$', '') AS folder, license, score, path FROM every WHERE regexp_matches(regexp_extract(path, '[^/]*$'), '{licenses.LICENCE_FILE}')),
+grants AS (SELECT folder, arg_min(license, ROW(-score, license, path)) AS license, max(score) AS score, arg_min(path, ROW(-score, license, path)) AS source, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses FROM held GROUP BY folder),
 inherited AS (
-  SELECT f.path, g.license, g.score, g.source FROM files f JOIN grants g ON g.folder = '' OR starts_with(f.path, g.folder || '/')
+  SELECT f.path, g.license, g.score, g.licenses, g.source FROM files f JOIN grants g ON g.folder = '' OR starts_with(f.path, g.folder || '/')
   WHERE f.path NOT IN (SELECT path FROM own)
   QUALIFY row_number() OVER (PARTITION BY f.path ORDER BY length(g.folder) DESC) = 1)
-SELECT f.doc_id, f.path, coalesce(o.license, i.license) AS license, coalesce(o.score, i.score) AS score,
+SELECT f.doc_id, f.path, coalesce(o.license, i.license) AS license, coalesce(o.score, i.score) AS score, coalesce(o.licenses, i.licenses) AS licenses,
   CASE WHEN o.license IS NOT NULL THEN 'own' WHEN i.license IS NOT NULL THEN 'inherited' END AS origin,
   CASE WHEN o.license IS NOT NULL THEN f.path ELSE i.source END AS source
 FROM (SELECT DISTINCT doc_id, path FROM files) f LEFT JOIN own o USING (path) LEFT JOIN inherited i USING (path)

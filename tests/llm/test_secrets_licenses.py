@@ -93,6 +93,52 @@ def test_licenses_of_files_and_directories(spark):
     assert scores == {"p1": slow_score("Licensed under the Apache License, Version 2.0."), "p3": slow_score(notice["mit"])} and slow_score(notice["odd"]) is None
 
 
+GPL3 = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+APACHE = ['Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0"]
+MIT = ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights", "to use, copy, modify, merge, publish, distribute, sublicense, and/or sell", "copies of the Software, and to permit persons to whom the Software is", "furnished to do so, subject to the following conditions:"]
+BSD = ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"]
+NEITHER = ["3. Neither the name of the copyright holder nor the names of its", "   contributors may be used to endorse or promote products derived from", "   this software without specific prior written permission."]
+MPL = ["This Source Code Form is subject to the terms of the Mozilla Public", "License, v. 2.0. If a copy of the MPL was not distributed with this", "file, You can obtain one at https://mozilla.org/MPL/2.0/."]
+ISC = ["Permission to use, copy, modify, and/or distribute this software for any", "purpose with or without fee is hereby granted, provided that the above", "copyright notice and this permission notice appear in all copies."]
+
+
+def comment(lines, mark):
+    return "\n".join(f"{mark} {x}".rstrip() for x in lines)
+
+
+#: Headers and licence files as they are usually written, with the licences that they name.
+HEADERS = [
+    ("// SPDX-License-Identifier: MIT", "MIT"), ("# SPDX-License-Identifier: Apache-2.0\nimport os", "Apache-2.0"), ("/* SPDX-License-Identifier: GPL-2.0-only */", "GPL-2.0"), ("// SPDX-License-Identifier: GPL-3.0-or-later", "GPL-3.0"),
+    ("-- SPDX-License-Identifier: BSD-3-Clause", "BSD-3-Clause"), ("# SPDX-License-Identifier: MPL-2.0", "MPL-2.0"), ("// SPDX-License-Identifier: ISC", "ISC"), ("# SPDX-License-Identifier: MIT OR Apache-2.0", "Apache-2.0,MIT"),
+    (comment(GPL3, "#"), "GPL-3.0"), (comment(GPL3, "//"), "GPL-3.0"), ("/*\n" + comment(GPL3, " *") + "\n */\nint main;", "GPL-3.0"), (comment([x.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2") for x in GPL3], "%%"), "GPL-2.0"),
+    (comment([x.replace("program", "library").replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1") for x in GPL3], ";;"), "LGPL-2.1"), (comment([x.replace("GNU General", "GNU Affero General") for x in GPL3], "//"), "AGPL-3.0"),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>\n Everyone is permitted to copy and distribute verbatim copies\n of this license document, but changing it is not allowed.\n", "GPL-3.0"),
+    ("GNU GENERAL PUBLIC LICENSE", "GPL-1.0-or-later"), ("\t\t  GNU LESSER GENERAL PUBLIC LICENSE\n\t\t       Version 2.1, February 1999\n", "LGPL-2.1"),
+    (comment(APACHE, "#"), "Apache-2.0"), ("/*\n" + comment(APACHE, " *") + "\n */", "Apache-2.0"), ("                                 Apache License\n                           Version 2.0, January 2004\n                        http://www.apache.org/licenses/\n\n   TERMS AND CONDITIONS", "Apache-2.0"),
+    ("MIT License\n\nCopyright (c) 2020 Somebody\n\n" + "\n".join(MIT), "MIT"), ("\r\n".join(MIT), "MIT"), (comment(MIT, "//"), "MIT"), ("Copyright (c) 2020 X. MIT License", "MIT"), ("# Released under the MIT license.", "MIT"),
+    ("Copyright (c) 2019, Someone\nAll rights reserved.\n\n" + "\n".join(BSD), "BSD-2-Clause"), ("\n".join([*BSD, "", "1. Redistributions of source code must retain the above copyright notice.", "", *NEITHER]), "BSD-3-Clause"), (comment(BSD, " *"), "BSD-2-Clause"),
+    (comment(MPL, "#"), "MPL-2.0"), ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"), ("ISC License\n\n" + "\n".join(ISC), "ISC"), (comment(ISC, "//"), "ISC"),
+    ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"), ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n", "CC0-1.0"), ("prose and more prose\nLicensed under CC BY-NC 4.0.\nand again prose", "CC-BY-NC-4.0"),
+    ("text. This work is licensed under the GNU General Public License, version 3. text", "GPL-3.0"),
+]
+NO_HEADERS = ["You need a driving licence to rent the van.", "His license was revoked, the paper said, and the public domain of the town grew.", "def check_license(path): return path", "free software is what the talk was about", "All rights reserved. This file is confidential.", "The permission to use, the court held, had lapsed.", "see LICENSE for details"]
+
+
+def test_usual_headers_are_found(spark):
+    rows = [(f"f{i}/x", t) for i, (t, _) in enumerate(HEADERS)] + [(f"n{i}/x", t) for i, t in enumerate(NO_HEADERS)]
+    got = {r["path"]: r["licenses"] for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    wrong = [(t, want, got[f"f{i}/x"]) for i, (t, want) in enumerate(HEADERS) if got[f"f{i}/x"] != want]
+    assert len(wrong) <= 0.1 * len(HEADERS), wrong
+    assert [got[f"n{i}/x"] for i in range(len(NO_HEADERS))] == [None] * len(NO_HEADERS)
+    print(len(wrong), "of", len(HEADERS), wrong)
+
+
+def test_a_licence_file_grants_all_its_licences(spark):
+    rows = [("a/COPYING", HEADERS[14][0]), ("a/x.c", "int x;"), ("b/LICENSE", "MIT License\n\n" + "\n".join(MIT)), ("b/LICENSE-APACHE", APACHE[0]), ("b/c/y.rs", "fn y")]
+    got = {r["path"]: (r["licenses"], r["origin"]) for r in licenses.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got["a/x.c"] == ("GPL-3.0", "inherited") and got["b/c/y.rs"] == ("Apache-2.0,MIT", "inherited")
+
+
 def test_no_licences(spark):
     empty = spark.createDataFrame([], "path string, text string")
     assert licenses.scan(empty).collect() == []
