@@ -121,28 +121,45 @@ def _lower(value: Column) -> Column:
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def _spans(text: Column) -> Column:
-    """Array of (match, start): matches are found again one after the other; start counts characters from 1."""
-    begin = F.struct(F.array().cast("array<struct<match:string,start:int>>").alias("found"), F.lit(1).alias("at"))
+#: Matches have this many characters at least, so so many of them and the texts between hold AROUND characters.
+LEAST = 8
+NEAR = 2 * (AROUND // LEAST + 1) + 1
 
-    def step(state: Column, match: Column) -> Column:
-        place = F.position(match, text, state["at"])
-        return F.struct(F.concat(state["found"], F.array(F.struct(match.alias("match"), place.alias("start")))).alias("found"), (place + F.length(match)).alias("at"))
 
-    return F.aggregate(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), begin, step)["found"]
+def _line(text: Column) -> Column:
+    """The text in turn: what stands before a match, the match, ..., what stands after the last one. Each character is looked at once."""
+    between, found = F.split(text, PATTERN, -1), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))
+    return F.flatten(F.zip_with(between, found, lambda part, match: F.when(match.isNull(), F.array(part)).otherwise(F.array(part, match))))
 
 
-def _part(text: Column):
-    def part(span: Column) -> Column:
-        match, start = span["match"], span["start"]
+def _starts(sizes: Column, group: int = 64) -> Column:
+    """For each size the sum of those before it, by groups, so that no array grows part by part."""
+    add, zero = (lambda n, x: n + x), F.lit(0).cast("long")
+    groups = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / group).cast("int"))
+    own = lambda g, n: F.slice(sizes, g * group + 1, n)
+    sums = F.transform(groups, lambda g: F.aggregate(own(g, F.lit(group)), zero, add))
+    begins = F.aggregate(sums, F.array(zero), lambda done, n: F.concat(done, F.array(F.element_at(done, -1) + n)))
+    each = lambda begin, g: F.transform(own(g, F.lit(group)), lambda _, j: begin + F.aggregate(own(g, j), zero, add))
+    return F.flatten(F.zip_with(F.slice(begins, 1, F.size(groups)), groups, each))
+
+
+def _parts(line: Column, sizes: Column) -> Column:
+    """For each match of the line: where its value starts, the value, whether an issuer's format, and the words around.
+
+    Arrays that are made here are arguments, never looked up in a lambda, where they would be made for each match.
+    """
+
+    def part(at: Column, i: Column) -> Column:
+        match = F.get(line, i)
         issued = match.rlike(ISSUED)
         value = F.when(issued, match).otherwise(F.regexp_extract(match, VALUE, 1))
-        before = F.substring(text, F.greatest(start - AROUND, F.lit(1)), F.least(F.lit(AROUND), start - 1))
-        after = F.substring(text, start + F.length(match), F.lit(AROUND))
-        at = (start - 1 + F.length(match) - F.length(value)).cast("long")
-        return F.struct(at.alias("start"), value.alias("candidate"), issued.alias("issued"), _lower(F.concat(before, F.lit(" "), after)).alias("around"))
+        first = F.greatest(i - NEAR, F.lit(0))
+        before = F.right(F.array_join(F.slice(line, first + 1, i - first), ""), F.lit(AROUND))
+        after = F.left(F.array_join(F.slice(line, i + 2, F.lit(NEAR)), ""), F.lit(AROUND))
+        return F.struct((at + F.length(match) - F.length(value)).alias("start"), value.alias("candidate"), issued.alias("issued"), _lower(F.concat(before, F.lit(" "), after)).alias("around"))
 
-    return part
+    odd = F.filter(_starts(sizes), lambda _, i: i % 2 == 1)
+    return F.transform(odd, lambda at, j: part(at, 2 * j + 1))
 
 
 def _features(path: Column):
@@ -169,15 +186,18 @@ def _features(path: Column):
 
 
 def _with_findings(docs: DataFrame, trees: list | tuple | None, threshold: float) -> DataFrame:
-    """docs with _found, an array of (start, finish, candidate, features, score, secret); never null."""
-    text, path = F.col("text"), F.coalesce(F.col("path").cast("string"), F.lit("")) if "path" in docs.columns else F.lit("")
-    out = docs.withColumn("_found", F.when(text.rlike(CUE), _spans(text)).otherwise(F.array().cast("array<struct<match:string,start:int>>")))
-    out = out.withColumn("_found", F.transform("_found", _part(text)))
-    out = out.withColumn("_found", F.transform("_found", _features(path)))
+    """doc, a struct of all columns of docs, with line and found, an array of (start, finish, candidate, features, score, secret); null without a match."""
+    text, path = F.col("doc.text"), F.coalesce(F.col("doc.path").cast("string"), F.lit("")) if "path" in docs.columns else F.lit("")
+    out = docs.select(F.struct(*docs.columns).alias("doc"))
+    out = out.withColumn("line", F.when(text.rlike(CUE), _line(text)))
+    out = out.withColumn("line", F.when(F.size("line") > 1, F.col("line")))
+    out = out.withColumn("sizes", F.transform("line", lambda part: F.length(part).cast("long")))
+    out = out.withColumn("found", F.when(F.col("line").isNotNull(), _parts(F.col("line"), F.col("sizes"))))
+    out = out.withColumn("found", F.transform("found", _features(path)))
     fields = ", ".join(f"'{c}', f.{c}" for c in ("start", "finish", "candidate", *FEATURES))
     vote = forest.sql(list(trees or default_forest()), "f.")
-    out = out.withColumn("_found", F.expr(f"transform(_found, f -> named_struct({fields}, 'score', {vote}))"))
-    return out.withColumn("_found", F.transform("_found", lambda f: f.withField("secret", f["score"] >= threshold)))
+    out = out.withColumn("found", F.expr(f"transform(found, f -> named_struct({fields}, 'score', {vote}))"))
+    return out.withColumn("found", F.transform("found", lambda f: f.withField("secret", f["score"] >= threshold)))
 
 
 def scan(docs: DataFrame, trees: list | tuple | None = None, threshold: float = THRESHOLD) -> DataFrame:
@@ -189,22 +209,18 @@ def scan(docs: DataFrame, trees: list | tuple | None = None, threshold: float =
     """
     own = ["start", "finish", "candidate", *FEATURES, "score", "secret"]
     found = _with_findings(docs.drop(*own), trees, threshold)
-    rows = found.select(*[c for c in found.columns if c not in ("_found", "text")], F.explode_outer("_found").alias("_f")).filter(F.col("_f").isNotNull())
-    return rows.select("*", "_f.*").drop("_f")
+    rows = found.select("doc", F.explode_outer("found").alias("f")).filter(F.col("f").isNotNull())
+    return rows.select(*[f"doc.{c}" for c in docs.columns if c not in ("text", *own)], "f.*")
 
 
 def redact(docs: DataFrame, trees: list | tuple | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
-    """docs with each secret of the text replaced by ``mask``; all rows and other columns stay as they are."""
+    """docs with each secret of the text replaced by ``mask``; all rows and other columns stay as they are, whatever their names."""
     found = _with_findings(docs, trees, threshold)
-    begin = F.struct(F.lit("").alias("done"), F.lit(0).cast("long").alias("at"))
-    text = F.col("text")
-
-    def step(state: Column, f: Column) -> Column:
-        between = F.substring(text, (state["at"] + 1).cast("int"), (f["start"] - state["at"]).cast("int"))
-        return F.struct(F.concat(state["done"], between, F.lit(mask)).alias("done"), f["finish"].alias("at"))
 
-    def end(state: Column) -> Column:
-        return F.concat(state["done"], F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+    def put(part: Column, i: Column) -> Column:
+        f = F.get("found", F.floor(i / 2).cast("int"))
+        masked = F.concat(F.left(part, F.length(part) - F.length(f["candidate"])), F.lit(mask))
+        return F.when((i % 2 == 1) & f["secret"], masked).otherwise(part)
 
-    secret = F.filter("_found", lambda f: f["secret"])
-    return found.withColumn("_secret", secret).withColumn("text", F.when(F.size("_secret") > 0, F.aggregate("_secret", begin, step, end)).otherwise(text)).select(*docs.columns)
+    text = F.when(F.exists("found", lambda f: f["secret"]), F.array_join(F.transform("line", put), "")).otherwise(F.col("doc.text"))
+    return found.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"doc.{c}").alias(c) for c in docs.columns])

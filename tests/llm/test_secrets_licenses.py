@@ -1,3 +1,4 @@
+import random
 import math
 import re
 
@@ -154,3 +155,21 @@ def test_real_keys_beside_doubtful_words_are_secrets(spark):
     assert {r["doc_id"] for r in got if r["secret"]} == set(range(len(rows)))
     shown = [(0, f'for example token = "{HEX}" replace this dummy', "docs/readme.md")]
     assert not secrets.scan(spark.createDataFrame(shown, "doc_id long, text string, path string")).first()["secret"]
+
+
+def test_many_matches_in_a_long_text(spark):
+    """Places come from one walk: a megabyte with thousands of matches takes no longer than its length."""
+    rng = random.Random(5)
+    parts, want = [], []
+    for i in range(3000):
+        key = "".join(rng.choices("0123456789abcdef", k=40))
+        parts.append(f'{"é " * rng.randrange(200)}token = "{key}"')
+        want.append(key)
+    text = " ".join(parts)
+    rows = secrets.scan(spark.createDataFrame([(1, text, "src")], "doc_id long, text string, path string")).orderBy("start").collect()
+    assert [r["candidate"] for r in rows] == want and all(text[r["start"] : r["finish"]] == r["candidate"] for r in rows)
+    clean = secrets.redact(spark.createDataFrame([(1, text, "src", 5)], "doc_id long, text string, found string, line int")).first()
+    told = dict(zip(want, rows, strict=True))
+    for key in want:
+        text = text.replace(key, secrets.MASK) if told[key]["secret"] else text
+    assert clean["text"] == text and (clean["found"], clean["line"]) == ("src", 5)
