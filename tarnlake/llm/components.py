@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import checkpoints
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """edges (a long, b long) to (node, root): root is the smallest node that node reaches.
+    """edges (a, b; of one type that sorts) to (node, root): root is the smallest node that node reaches.
 
     Every round hooks each component's root below the smallest root beside it and then shortens
     the paths; all steps are joins and minima with partial aggregation, so hot nodes stay split.
     Null ends, loops and repeated edges do no harm. Each round is checkpointed.
     """
+    checkpoints.ensure(edges.sparkSession)
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
     label = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     live = links.filter("a < b")

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import checkpoints
+
 CAPACITY = 2048
 END = 1
 _READY: dict[str, object] = {}
@@ -209,7 +211,7 @@ def place(parts: DataFrame, capacity: int = CAPACITY, group: int = 1 << 16) -> D
     salted = parts.join(shares, "length").withColumn("share", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.col("shares"))).drop("shares")
     sums = salted.groupBy("length", "share").agg(F.count("*").alias("n"))
     before = sums.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("share").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).drop("n")
-    own = Window.partitionBy("length", "share").orderBy("doc_id", "start")
+    own = Window.partitionBy("length", "share").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")  # rows alike in all of these are the same piece
     ranked = salted.withColumn("rank", F.row_number().over(own) - 1).join(before, ["length", "share"]).withColumn("rank", F.col("rank") + F.col("before"))
     return ranked.join(steps, (ranked["length"] == steps["length"]) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select(
         "doc_id", "start", ranked["length"], "ids_crc32", "doc_tokens",
@@ -224,4 +226,5 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = E
     Null ids stay null, repeated rows are packed each, an empty table gives no rows, and other
     columns are ignored. Sequences may end short at any power of two, which needs no padding.
     """
+    checkpoints.ensure(docs.sparkSession)
     return place(pieces(docs, tokenizer, capacity, end).checkpoint(), capacity)

@@ -188,7 +188,7 @@ def _features(path: Column):
 def _with_findings(docs: DataFrame, trees: list | tuple | None, threshold: float) -> DataFrame:
     """doc, a struct of all columns of docs, with line and found, an array of (start, finish, candidate, features, score, secret); null without a match."""
     text, path = F.col("doc.text"), F.coalesce(F.col("doc.path").cast("string"), F.lit("")) if "path" in docs.columns else F.lit("")
-    out = docs.select(F.struct(*docs.columns).alias("doc"))
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"))
     out = out.withColumn("line", F.when(text.rlike(CUE), _line(text)))
     out = out.withColumn("line", F.when(F.size("line") > 1, F.col("line")))
     out = out.withColumn("sizes", F.transform("line", lambda part: F.length(part).cast("long")))
@@ -210,7 +210,7 @@ def scan(docs: DataFrame, trees: list | tuple | None = None, threshold: float =
     own = ["start", "finish", "candidate", *FEATURES, "score", "secret"]
     found = _with_findings(docs.drop(*own), trees, threshold)
     rows = found.select("doc", F.explode_outer("found").alias("f")).filter(F.col("f").isNotNull())
-    return rows.select(*[f"doc.{c}" for c in docs.columns if c not in ("text", *own)], "f.*")
+    return rows.select(*[F.col(f"doc.`{c}`").alias(c) for c in docs.columns if c not in ("text", *own)], "f.*")
 
 
 def redact(docs: DataFrame, trees: list | tuple | None = None, threshold: float = THRESHOLD, mask: str = MASK) -> DataFrame:
@@ -223,4 +223,4 @@ def redact(docs: DataFrame, trees: list | tuple | None = None, threshold: float
         return F.when((i % 2 == 1) & f["secret"], masked).otherwise(part)
 
     text = F.when(F.exists("found", lambda f: f["secret"]), F.array_join(F.transform("line", put), "")).otherwise(F.col("doc.text"))
-    return found.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"doc.{c}").alias(c) for c in docs.columns])
+    return found.withColumn("text", text).select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`").alias(c) for c in docs.columns])

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import words as W
+from . import checkpoints
 from .components import connected_components
 
 BYTES = 8
@@ -101,11 +101,11 @@ def _forest(bits: np.ndarray, ids: np.ndarray, radius: int, left: int | None = N
     return out
 
 
-def links(prints: DataFrame, radius: int = 3, part: int = PART) -> DataFrame:
-    """prints (node long, bits long; stored, bits distinct) to edges (a, b) that connect exactly the components of the links."""
+def links(prints: DataFrame, radius: int = 3, part: int = PART, width: int | None = None) -> DataFrame:
+    """prints (node long, bits long; stored, bits distinct) to edges (a, b) that connect exactly the components of the links. width: positions to index, by their number if None; any width above radius gives the same components."""
     if not 0 <= radius < BYTES:
         raise ValueError("the count filter needs a radius below the number of bytes")
-    width = _width(prints.count())
+    width = width or _width(prints.count())
     keys = [sum(0xFF << 8 * (BYTES - 1 - p) for p in places) for places in combinations(range(width), max(1, width - radius))] if width > radius else [0]
     signed = [k - (1 << 64) if k >> 63 else k for k in keys]
     entry = F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("place"), F.col("bits").bitwiseAND(F.lit(k).cast("long")).alias("key")) for i, k in enumerate(signed)])).alias("e")
@@ -175,6 +175,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3) -> DataF
     like any other. component_id is the smallest doc_id reachable over links of at most ``radius``
     bits. Rows without an id take no part; repeated rows stay, other columns are ignored.
     """
+    checkpoints.ensure(docs.sparkSession)
     own = fingerprints(docs.filter("doc_id IS NOT NULL"), shingle).checkpoint()
     distinct = own.groupBy("bits").agg(F.min("doc_id").alias("node")).checkpoint()
     roots = connected_components(links(distinct, radius))

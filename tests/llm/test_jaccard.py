@@ -39,9 +39,25 @@ def test_matches_brute_force(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert between > 10
-    docs = spark.createDataFrame([(i, t) for i, t in rows] + [(None, "one")], "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: r["component_id"] for r in jaccard.near_duplicates(docs).collect()}
-    assert got == {i: root[i] for i, _ in rows}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for most in (10**6, 0):
+        found = jaccard.near_duplicates(docs, most_sent=most).collect()
+        least = {}
+        for r in found:
+            least[r["group"]] = min(least.get(r["group"], 10**9), r["doc_id"])
+        assert {r["doc_id"]: least[r["group"]] for r in found} == {i: root[i] for i, _ in rows}
+        kept = jaccard.representatives(docs.withColumn("group", docs["doc_id"]), most_sent=most)
+        assert kept.columns == ["doc_id", "text", "group"] and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(root))
+
+
+def test_rows_of_one_id(spark):
+    """Other texts of an id are other documents; only copies go, whatever id they bear."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "alpha beta gamma", "x"), (1, long, "x"), (2, long + " end", "x"), (3, "its own text entirely", "x"), (3, "its own text entirely", "y"), (None, long, "x"), (None, "another text of none", "x"), (2, "kept beside it", "x"), (9, None, "x"), (8, "", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k1 string")
+    for most in (10**6, 0):
+        kept = sorted(map(tuple, jaccard.representatives(docs, most_sent=most).collect()), key=str)
+        assert kept == sorted([rows[0], rows[1], rows[3], rows[6], rows[7], rows[9]], key=str)
 
 
 def test_sets():
