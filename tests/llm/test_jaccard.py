@@ -60,6 +60,34 @@ def test_rows_of_one_id(spark):
         assert kept == sorted([rows[0], rows[1], rows[3], rows[6], rows[7], rows[9]], key=str)
 
 
+def test_a_large_group_is_not_all_of_its_pairs(spark):
+    """Near copies of one text, chains from copy to copy, and texts just beyond them."""
+    rng = random.Random(6)
+    base = [f"b{i}" for i in range(120)]
+
+    def changed(words, n):
+        out = list(words)
+        for at in rng.sample(range(len(out)), n):
+            out[at] = f"c{rng.randrange(10**6)}"
+        return out
+
+    own = [base] + [changed(base, rng.randrange(1, 4)) for _ in range(120)]
+    own += [changed(own[rng.randrange(1, len(own))], 2) for _ in range(40)] + [changed(base, 6) for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(own)]
+    sets, root = [slow_set(t) for _, t in rows], list(range(len(rows)))
+    for i, x in enumerate(sets):
+        for j in range(i):
+            if 100 * len(x & sets[j]) >= 80 * len(x | sets[j]):
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    assert 1 < len(set(root)) < 80
+    least = {}
+    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    for r in found:
+        least[r["group"]] = min(least.get(r["group"], 10**9), r["doc_id"])
+    assert {r["doc_id"]: least[r["group"]] for r in found} == dict(enumerate(root))
+
+
 def test_sets():
     value, bounds = jaccard.shingles(pa.array(["a b c d e f a b c d e", "", "A b", "x", None, "a B"]), 5)
     assert [int(b - a) for a, b in zip(bounds, bounds[1:], strict=False)] == [6, 0, 1, 1, 0, 1]
