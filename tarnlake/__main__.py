@@ -9,6 +9,7 @@ from datetime import UTC, datetime, timedelta
 
 from .plans import replay as replays
 from .plans.lake import Lake
+from .plans.models import build
 from .quality import checks, contracts, reconcile
 from .session import session
 from .sources import raw
@@ -36,7 +37,13 @@ def parser() -> argparse.ArgumentParser:
     command("contract-diff", "old", "new")
     command("contract-validate", "data", "contract", strict={"action": "store_true"}, quarantine={})
     command("raw-checks", "folder", max_age_days={"type": int, "default": 30}, min_bytes={"type": int, "default": 100_000})
-    command("gate", "root", report={})
+    command("contract-register", "root", "contract", status={"default": "COMPATIBLE"}, validation={"default": "UNVALIDATED"})
+    command("contract-list", "root", dataset={}, active_only={"action": "store_true"})
+    command("gate", "root", report={}, raw={"help": "folder of raw files, checked too"}, max_age_days={"type": int, "default": 30}, min_bytes={"type": int, "default": 100_000})
+    command("run", "root", select={"action": "append", "default": []}, retries={"type": int, "default": 3}, wait={"type": float, "default": 120.0})
+    command("test", "root", select={"action": "append", "default": []})
+    command("ls", "root", select={"action": "append", "default": []})
+    command("vacuum", "table", keep_versions={"type": int, "default": 10})
     command("reconcile", "root", audit={})
     command("history", "table")
     command("show", "table", version={"type": int}, limit={"type": int, "default": 20})
@@ -44,13 +51,39 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def raw_suite(lake: Lake, folder: str, now: datetime, max_age_days: int = 30, min_bytes: int = 100_000):
+    """The structural checks of a raw folder as checks of a gate."""
+    told = [(x["check"], folder, None if x["value"] is None or isinstance(x["value"], str) else float(x["value"]), "pass" if x["passed"] else "fail") for x in raw.structural_checks(lake.spark, folder, now, max_age_days, min_bytes)]
+    return lake.spark.createDataFrame(told, "metric string, columns string, value double, outcome string")
+
+
 def gate_suites(lake: Lake, now: str) -> dict:
-    """The suites of Bronze and Silver."""
+    """The suites of Bronze and Silver: their columns, then their metrics."""
+    columns = [f.name for f in raw.EVENT_SCHEMA]
     c = checks.Check
     required = [c("missing_count", [x], fail="> 0") for x in ("event_time", "product_id", "user_id", "price")]
     bronze = [*required, c("missing_count", ["brand"]), c("missing_count", ["category_code"]), c("row_count", fail="<= 0"), c("duplicate_percent", ["event_time", "user_id", "product_id", "event_type"], fail=">= 50", warn="> 10"), c("freshness_days", ["ingested_at"], fail="> 30", warn="> 7")]
     silver = [c("duplicate_count", ["event_key"], fail="> 0"), c("min", ["price"], fail="< 0"), c("missing_count", ["user_session"], fail="> 0"), c("missing_count", ["category_l1"], warn="> 0"), c("row_count", fail="<= 0")]
-    return {"bronze": lambda: checks.run(lake.table("bronze").read(), bronze, now), "silver": lambda: checks.run(lake.table("silver").read(), silver, now)}
+    return {"bronze_schema": lambda: checks.schema_suite(lake.table("bronze").read(), [*columns, "ingested_at", "source_file", "batch_id"]), "silver_schema": lambda: checks.schema_suite(lake.table("silver").read(), [*columns, "event_key", "category_l1"]), "bronze": lambda: checks.run(lake.table("bronze").read(), bronze, now), "silver": lambda: checks.run(lake.table("silver").read(), silver, now)}
+
+
+def models_command(lake: Lake, a: argparse.Namespace) -> int:
+    """Build, test or list the models over Silver that selectors name; all without any."""
+    registry = build(lake.table("silver").read())
+    names = registry.select(*a.select) if a.select else registry.order()
+    if a.command == "ls":
+        print(json.dumps(names))
+        return 0
+    failed = []
+    told = lambda n, e: failed.append({"model": n, "error": str(e)[:500]})
+    try:
+        built = registry.run(names, lake.materialise, getattr(a, "retries", 0), getattr(a, "wait", 0.0), told)
+    except Exception:
+        print(json.dumps({"failed": failed}, indent=2))
+        return 1
+    tests = registry.test({n: built[n] for n in names}) if a.command == "test" else []
+    print(json.dumps({"models": names, "tests": tests}, indent=2))
+    return int(any(t["violations"] for t in tests))
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -75,17 +108,29 @@ def main(argv: list[str] | None = None) -> int:
         out = raw.structural_checks(spark, a.folder, now, a.max_age_days, a.min_bytes)
         print(json.dumps(out, indent=2, default=str))
         return int(not all(x["passed"] for x in out))
-    if a.command in ("history", "show", "optimize"):
+    if a.command in ("history", "show", "optimize", "vacuum"):
         t = Table(spark, a.table)
+        if a.command == "vacuum":
+            print(json.dumps({"deleted": t.vacuum(a.keep_versions)}))
+            return 0
         if a.command == "optimize":
             t.optimize(a.zorder or None, a.files)
         (t.read(a.version).limit(a.limit) if a.command == "show" else t.history()).show(a.limit if a.command == "show" else 1000, truncate=False)
         return 0
     lake = Lake(spark, a.root)
     if a.command == "gate":
-        code, out = checks.gate(gate_suites(lake, now.isoformat(sep=" ")), a.report)
+        suites = {"raw": lambda: raw_suite(lake, a.raw, now, a.max_age_days, a.min_bytes)} if a.raw else {}
+        code, out = checks.gate(suites | gate_suites(lake, now.isoformat(sep=" ")), a.report)
         print(json.dumps(out, indent=2, default=str))
         return code
+    if a.command == "contract-register":
+        contracts.register(lake.table("contract_registry"), contracts.load(a.contract), a.status, a.validation, now)
+    if a.command in ("contract-register", "contract-list"):
+        listed = contracts.listing(lake.table("contract_registry"), getattr(a, "dataset", None), getattr(a, "active_only", False))
+        print(json.dumps([r.asDict() for r in listed.collect()], indent=2, default=str))
+        return 0
+    if a.command in ("run", "test", "ls"):
+        return models_command(lake, a)
     if a.command == "reconcile":
         results = lake.reconcile()
         reconcile.record(lake.table("reconciliation_results"), results, now, a.audit)

@@ -372,8 +372,10 @@ def fact_purchases(spark, sf_dir):
 
 @query("mart_daily_summary", FACTS + "," + DAILY + " SELECT * FROM daily")
 def mart_daily_summary(spark, sf_dir):
-    s = Star(spark, sf_dir)
-    return facts.daily_summary(s.events, s.purchases, s.products).withColumn("total_revenue", F.round("total_revenue", 2))
+    e = staged(spark, sf_dir)
+    e = joins.enrich(e, cleaning.latest_products(e))  # sessions play no part in it
+    dated = joins.asof_join(e.select("product_id", "event_time", "event_type", "price", "user_id"), dimensions.product_history(e).withColumn("category", F.col("category_l1")), "product_id", carry=["category"])
+    return facts.daily_rollup(dated, "category").withColumn("total_revenue", F.round("total_revenue", 2))
 
 
 #: Rows count as ingested six hours after they happened.

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Rows of a side that may be broadcast.
-MOST_BROADCAST = 1_000_000
+#: Bytes of a side that may be broadcast.
+MOST_BROADCAST = 64 << 20
+#: Tasks that rows without a key are dealt to.
+SPREAD = 256
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """A broadcast hint, where a count shows that the side is small; else adaptive execution decides. For stored or generated tables: of a derived one the count would repeat the work."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """A broadcast hint, where the optimizer's bound on the side's bytes is small; else adaptive execution decides by the size it sees. No pass over the rows."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def asof_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time", start: str = "valid_from", end: str = "valid_to", carry: list[str] | None = None, salts: int = 1) -> DataFrame:
@@ -25,7 +28,8 @@ def asof_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_
     v = F.struct(F.col(start).alias("_from"), F.col(end).alias("_to"), *names)
     kind = events.schema[at].dataType
     versions = history.filter(F.col(key).isNotNull()).select(F.col(key), F.col(start).cast(kind).alias(at), F.lit(0).alias("_side"), v.alias("_v"))
-    rows = events.withColumns({"_side": F.lit(1), "_salt": F.pmod(F.xxhash64(*[F.col(c) for c in events.columns]), F.lit(salts)) if salts > 1 else F.lit(0).cast("long")})
+    own_hash = F.xxhash64(*[F.col(c) for c in events.columns])  # rows without a key have no version; they are only dealt out
+    rows = events.withColumns({"_side": F.lit(1), "_salt": F.when(F.col(key).isNull(), F.pmod(own_hash, F.lit(SPREAD))).otherwise(F.pmod(own_hash, F.lit(salts)) if salts > 1 else F.lit(0).cast("long"))})
     versions = versions.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     both = rows.unionByName(versions, allowMissingColumns=True)
     own = Window.partitionBy(key, "_salt").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)

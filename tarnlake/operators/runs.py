@@ -16,7 +16,8 @@ def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], s
     """Adds ``out``, the number (from 1) of the run that a row lies in, and ``_previous``, the carried columns of the row before.
 
     ``starts(previous, current)`` tells from the carried columns whether a row starts a run; a key's
-    first row does, and an unknown answer is a no. ``order`` begins with a time.
+    first row does, and an unknown answer is a no. ``order`` begins with a time. Rows without a key have
+    nulls in both columns.
 
     With ``slice_seconds``, windows run within slices of a key's time, so that a key with a large share
     of all rows is sorted by many tasks. Each slice hands on one row - its ends and the runs that start
@@ -24,7 +25,10 @@ def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], s
     """
     rows = rows.withColumn("_row", F.struct(*carry))
     begins = lambda before, now: F.when(starts(before, now), 1).otherwise(0)
-    parts = [key]
+    # rows without a key are no run; they are dealt out, so that they don't meet in one task
+    rows = rows.withColumn("_spread", F.when(F.col(key).isNull(), F.pmod(F.xxhash64(*order), F.lit(256))).otherwise(F.lit(0).cast("long")))
+    known = F.col(key).isNotNull()
+    parts = [key, "_spread"]
     if slice_seconds:
         rows = rows.withColumn("_slice", F.floor(micros(F.col(order[0])) / (slice_seconds * 1_000_000)))
         parts.append("_slice")
@@ -35,12 +39,13 @@ def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], s
     told = told.withColumn("_new", F.when(first, 0 if slice_seconds else 1).otherwise(begins(F.col("_previous"), F.col("_row"))))
     told = told.withColumn("_within", F.sum("_new").over(so_far))
     if not slice_seconds:
-        return told.withColumnRenamed("_within", out).drop("_row", "_new")
+        return told.withColumns({out: F.when(known, F.col("_within")), "_previous": F.when(known, F.col("_previous"))}).drop("_row", "_new", "_within", "_spread")
     at = F.struct(*order)
     ends = told.groupBy(*parts).agg(F.min_by("_row", at).alias("_first"), F.max_by("_row", at).alias("_last"), F.sum("_new").alias("_inside"))
-    slices = Window.partitionBy(key).orderBy("_slice")
+    slices = Window.partitionBy(key, "_spread").orderBy("_slice")
     ends = ends.withColumn("_before", F.lag("_last").over(slices))
     ends = ends.withColumn("_opens", F.when(F.col("_before").isNull(), 1).otherwise(begins(F.col("_before"), F.col("_first"))))
     ends = ends.withColumn("_base", F.sum(F.col("_opens") + F.col("_inside")).over(slices.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_inside"))
-    met = told.join(ends.select(*parts, "_before", "_base"), parts)
-    return met.withColumns({out: F.col("_base") + F.col("_within"), "_previous": F.coalesce("_previous", "_before")}).drop("_row", "_new", "_within", "_slice", "_before", "_base")
+    ends = ends.filter(known).select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), "_before", "_base")
+    met = told.join(ends, (told[key] == ends["_key"]) & (told["_slice"] == ends["_at"]), "left")
+    return met.withColumns({out: F.when(known, F.col("_base") + F.col("_within")), "_previous": F.when(known, F.coalesce("_previous", "_before"))}).drop("_row", "_new", "_within", "_slice", "_before", "_base", "_spread", "_key", "_at")

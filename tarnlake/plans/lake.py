@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import logging
 import os
+import time
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
@@ -12,13 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cleaning, dimensions, facts, joins, sessions
-from ..quality import reconcile
+from ..quality import metrics, reconcile
 from ..sources import raw
 from ..sources.table import Table
 
 WATERMARK = "pipeline_name string, last_processed_event_time timestamp, updated_at timestamp, last_batch_id string"
 #: Raw files that one read counts; reconciliation sums over all blocks of files.
 FILES = 10_000
+LOG = logging.getLogger("tarnlake")
 CRASH = ("TARNLAKE_CRASH", "TARNLAKE_SIMULATE_CRASH", "SIMULATE_CRASH")
 
 
@@ -35,20 +38,31 @@ class Lake:
     # -- Bronze -----------------------------------------------------------------
 
     def land(self, path: str, now: datetime, batch_id: str | None = None) -> dict:
-        """Read raw files, set aside what does not parse, stamp the rest and append it. Files that are in Bronze already are not read again."""
-        batch_id = batch_id or uuid.uuid4().hex[:8]
+        """Read raw files, set aside what does not parse, stamp the rest and append it.
+
+        The files of each landing are named by its commit, those without a valid row too; only files that no
+        commit names are read.
+        """
+        began, batch_id = time.monotonic(), batch_id or uuid.uuid4().hex[:8]
         bronze = self.table("bronze")
-        rows = raw.read_csv(self.spark, path).withColumn("source_file", F.col("_metadata.file_path"))
-        if bronze.exists():
-            rows = rows.join(bronze.read().select("source_file").distinct(), "source_file", "left_anti").select(*rows.columns)
+        known = {f for c in bronze.commits() for f in c.metrics.get("files", [])}
+        files = sorted(f for f in raw.files(self.spark, path) if f not in known)
+        if not files:
+            return {"rows": 0, "valid": 0, "quarantined": 0, "quarantine_pct": 0.0, "batch_id": batch_id}
+        rows = raw.read_csv(self.spark, files).withColumn("source_file", F.col("_metadata.file_path"))
         valid, bad, counts = raw.split_corrupt(rows)
         raw.write_quarantine(bad, f"{self.root}/quarantine", batch_id)
         stamped = raw.stamp_lineage(valid.withColumnRenamed("source_file", "_file"), batch_id, now, "").withColumn("source_file", F.col("_file")).drop("_file")
-        if counts["valid"]:
-            bronze.append(stamped, ["event_date"])
+        bronze.append(stamped, ["event_date"], metrics={"files": files})
         rows.unpersist()
+        self.told("bronze", began, batch_id, now, counts["rows"], counts["valid"], quarantined_rows=counts["quarantined"])
         return counts | {"batch_id": batch_id}
 
+    def told(self, layer: str, began: float, batch_id: str, now: datetime, rows_in: int, rows_out: int, **more) -> None:
+        """A row of pipeline_metrics and a line of the log, from counts that a job has already."""
+        row = metrics.record(self.table("pipeline_metrics"), layer, rows_in, rows_out, round(time.monotonic() - began, 3), batch_id, now=now, **more)
+        LOG.info("%s done", layer, extra=row)
+
     # -- Silver -----------------------------------------------------------------
 
     def watermark(self, pipeline: str = "silver") -> datetime | None:
@@ -77,7 +91,7 @@ class Lake:
         A run that dies after the merge is repaired by running again: the keys are there already. A
         backfill leaves the watermark alone.
         """
-        batch_id = batch_id or uuid.uuid4().hex[:8]
+        began, batch_id = time.monotonic(), batch_id or uuid.uuid4().hex[:8]
         bronze, silver = self.table("bronze").read(), self.table("silver")
         if backfill:
             rows = cleaning.in_range(bronze, *backfill, whole_last_day=whole_last_day)
@@ -92,7 +106,7 @@ class Lake:
             before = silver.version()
             commit = silver.merge_insert(batch, ["event_key"], ["event_date"], bounded_by="event_date")
             inserted = commit.metrics["num_inserted"] if commit else 0
-            if commit and inserted != silver.read().count() - (silver.read(before).count() if before >= 0 else 0):
+            if commit and inserted != sum(f["rows"] for f in silver.files(commit.version)) - (sum(f["rows"] for f in silver.files(before)) if before >= 0 and commit.version == before + 1 else sum(f["rows"] for f in silver.files(commit.version - 1)) if commit.version else 0):
                 raise RuntimeError("the commit does not hold the rows it tells of")
             if any(os.environ.get(v, "").lower() in ("1", "true", "yes") for v in CRASH):
                 raise RuntimeError("crash asked for after the merge")
@@ -101,6 +115,7 @@ class Lake:
                 self.advance(newest, batch_id, now)
         finally:
             batch.unpersist()
+        self.told("silver", began, batch_id, now, counts["rows_in"], inserted)
         return counts | {"inserted": inserted, "batch_id": batch_id}
 
     # -- Gold -------------------------------------------------------------------
@@ -146,26 +161,45 @@ class Lake:
         return reconcile.compare(self.spark, pairs)
 
     def rebuild_daily(self, now: datetime, dates: list[str] | None = None, full: bool = False) -> int:
-        """Recompute the days that Silver commits have touched since the mart's last run (or the given ones), and replace those days whole."""
+        """Recompute the days that Silver commits have touched since the mart's last run (or the given ones), and replace those days whole.
+
+        The days come first: without any nothing else is read. Of Silver only files with such days are read,
+        and of other days only the events of products that occur on them, whose versions tell the category.
+        """
+        began = time.monotonic()
         mart, state = self.table("mart_daily_summary"), self.table("mart_state")
         silver = self.table("silver")
+        version = silver.version()
         seen = state.read().agg(F.max("silver_version")).first()[0] if state.exists() else None
-        events, purchases, history = self.star()
-        affected = None
+        days: list[str] | None = None
         if dates is not None:
-            affected = self.spark.createDataFrame([(d,) for d in dates], "affected_date string").select(F.to_date("affected_date").alias("affected_date"))
+            days = sorted(set(dates))
         elif not full and mart.exists() and seen is not None:
-            added = [f["path"] for c in silver.commits() if c.version > seen and c.operation != "OPTIMIZE" for f in c.add]
-            if not added:
-                return 0
-            new = self.spark.read.schema(silver.schema()).parquet(*[f"{silver.path}/{p}" for p in added])
-            affected = new.select(F.col("event_time").cast("date").alias("affected_date")).distinct()
-        rows = facts.daily_summary(events, purchases, history, affected).withColumn("last_recomputed_at", F.lit(now)).persist()
+            added = [f["path"] for c in silver.commits(version, seen) if c.operation != "OPTIMIZE" for f in c.add]
+            new = self.spark.read.schema(silver.schema(version)).parquet(*[f"{silver.path}/{p}" for p in added]) if added else None
+            days = sorted(r[0] for r in new.select(F.date_format("event_time", "yyyy-MM-dd")).distinct().collect()) if added else []  # a row for each day
+        if days is not None and not days:
+            return 0
+        latest = lambda rows: cleaning.keep_latest(rows, ["event_key"], ["ingested_at", "source_file"])
+        if days is None:
+            own = rest = latest(silver.read(version))
+        else:
+            on_days = self.spark.createDataFrame([(d,) for d in days], "event_date string")
+            touched = silver.read(version, bounds={"event_date": (days[0], days[-1])}).join(F.broadcast(on_days), "event_date", "left_semi").persist()
+            products = touched.select("product_id").distinct()
+            own, rest = latest(touched), latest(silver.read(version).join(products, "product_id", "left_semi"))
+        attributes = cleaning.latest_products(rest)
+        history = dimensions.product_history(joins.enrich(rest, attributes)).withColumn("category", F.col("category_l1"))
+        dated = joins.asof_join(own.select("product_id", "event_time", "event_type", "price", "user_id"), history, "product_id", carry=["category"])
+        rows = facts.daily_rollup(dated, "category").withColumn("last_recomputed_at", F.lit(now)).persist()
         n = rows.count()
-        if affected is None:
+        if days is None:
             mart.overwrite(rows)
         else:
-            mart.replace_keys(rows, ["date"], affected.select(F.col("affected_date").alias("date")))
+            mart.replace_keys(rows, ["date"], on_days.select(F.col("event_date").cast("date").alias("date")))
+            touched.unpersist()
+        read = n and rows.agg(F.sum("total_events")).first()[0]
         rows.unpersist()
-        state.append(self.spark.createDataFrame([(silver.version(), now)], "silver_version int, at timestamp"))
+        state.append(self.spark.createDataFrame([(version, now)], "silver_version int, at timestamp"))
+        self.told("gold", began, uuid.uuid4().hex[:8], now, read, n)
         return n

@@ -133,14 +133,14 @@ def from_manifest(path: str) -> dict:
 
 
 def lineage_event(job: str, inputs: list[DataFrame], output: DataFrame, name: str, kind: str = "COMPLETE", sink: str | None = None, now: datetime | None = None) -> dict:
-    """A run event with the files that the inputs read and the schemas of both sides, appended as a JSON line where a sink is given."""
+    """A run event with all files that the inputs read and the schemas of both sides, appended as a JSON line where a sink is given."""
 
     def dataset(df: DataFrame, label: str) -> dict:
         return {"name": label, "fields": [{"name": f.name, "type": f.dataType.simpleString()} for f in df.schema]}
 
     event = {
         "eventType": kind, "eventTime": (now or datetime.now(UTC)).isoformat(), "run": {"runId": str(uuid.uuid4())}, "job": {"name": job},
-        "inputs": [dataset(df, ",".join(sorted(df.inputFiles())[:100]) or "memory") for df in inputs], "outputs": [dataset(output, name)],
+        "inputs": [dataset(df, ",".join(sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})) or "memory") | {"files": sorted(df.inputFiles())} for df in inputs], "outputs": [dataset(output, name)],
     }
     if sink:
         with open(sink, "a", encoding="utf-8") as f:

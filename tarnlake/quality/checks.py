@@ -43,8 +43,7 @@ def _metric(check: Check, now: str | None) -> Column | None:
         case "missing_percent":
             out = F.round(100 * F.count_if(c[0].isNull()) / F.nullif(F.count("*"), F.lit(0)), 4)
         case "duplicate_percent":
-            key = F.xxhash64(*c)
-            out = F.round(100 * (F.count("*") - F.count_distinct(key)) / F.nullif(F.count("*"), F.lit(0)), 4)
+            out = F.round(100 * (F.count("*") - F.count_distinct(F.struct(*c))) / F.nullif(F.count("*"), F.lit(0)), 4)
         case "min" | "max" | "avg" | "sum":
             out = {"min": F.min, "max": F.max, "avg": F.avg, "sum": F.sum}[check.metric](c[0])
         case "invalid_count":
@@ -82,6 +81,13 @@ def required_columns(rows: DataFrame, names: list[str]) -> DataFrame:
     return rows.sparkSession.createDataFrame([(n, n in have) for n in names], "column_name string, present boolean")
 
 
+def schema_suite(rows: DataFrame, names: list[str]) -> DataFrame:
+    """The same as checks of a gate: a column that is not there fails."""
+    have = set(rows.columns)
+    out = [("required_column", n, float(n in have), "pass" if n in have else "fail") for n in names]
+    return rows.sparkSession.createDataFrame(out, "metric string, columns string, value double, outcome string")
+
+
 def user_sql(rows: DataFrame, sql: str, expected) -> DataFrame:
     """A query of one value over ``{rows}``, held against what is expected."""
     got = rows.sparkSession.sql(sql, rows=rows)

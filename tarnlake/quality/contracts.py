@@ -45,8 +45,13 @@ def diff(old: dict, new: dict) -> dict:
     return {"overall_status": "BREAKING" if any(c["severity"] == "BREAKING" for c in told) else "COMPATIBLE", "changes": told}
 
 
-def violations(rows: DataFrame, contract: dict, strict: bool = False) -> DataFrame:
-    """rule, column_name, violations of the rows, from one pass. Blank text counts as null. strict also checks types, allowed values and minima."""
+def violations(rows: DataFrame, contract: dict, strict: bool = False, now: datetime | None = None) -> DataFrame:
+    """rule, column_name, violations of the rows, from one pass. Blank text counts as null.
+
+    strict also checks types, allowed values and minima; text is held against a type by whether it can be
+    cast, and minima compare what was cast. With ``now`` a contract's ``sla`` (max_latency_hours, column) is
+    checked too: the newest row may be so old.
+    """
     spark, have = rows.sparkSession, dict(rows.dtypes)
     out, aggs = [], []
     for name, spec in contract.get("columns", {}).items():
@@ -58,12 +63,21 @@ def violations(rows: DataFrame, contract: dict, strict: bool = False) -> DataFra
         if not spec.get("nullable", True):
             blank = c.isNull() | (F.trim(c) == "") if have[name] == "string" else c.isNull()
             aggs.append(("null_in_non_nullable_column", name, F.count_if(blank)))
-        if strict and spec.get("type") and have[name] != "string" and _TYPES.get(have[name], have[name]) != spec["type"]:
+        value, kind = c, _TYPES.get(spec.get("type"), spec.get("type"))
+        if strict and kind and have[name] == "string" and kind != "string":
+            value = F.when(F.trim(c) != "", c).try_cast(kind)
+            aggs.append(("type_mismatch", name, F.count_if((F.trim(c) != "") & value.isNull())))
+        elif strict and kind and _TYPES.get(have[name], have[name]) != kind:
             out.append(("type_mismatch", name, 1))
         if strict and spec.get("allowed_values"):
             aggs.append(("value_not_allowed", name, F.count_if(c.isNotNull() & ~c.isin(spec["allowed_values"]))))
         if strict and spec.get("min_value") is not None:
-            aggs.append(("value_below_minimum", name, F.count_if(c < spec["min_value"])))
+            aggs.append(("value_below_minimum", name, F.count_if((value if have[name] != "string" or kind != "string" else c.try_cast("double")) < spec["min_value"])))
+    sla = contract.get("sla") or {}
+    if now and sla.get("max_latency_hours") is not None and (at := sla.get("column", "ingested_at")) in have:
+        newest = F.unix_micros(F.max(F.col(at).try_cast("timestamp") if have[at] == "string" else F.col(at).cast("timestamp")))
+        late = F.unix_micros(F.lit(now.isoformat(sep=" ")).cast("timestamp")) - newest > sla["max_latency_hours"] * 3_600_000_000
+        aggs.append(("sla_exceeded", at, F.coalesce(late, F.lit(False)).cast("long")))
     if aggs:
         got = rows.agg(*[a.alias(f"a{i}") for i, (_, _, a) in enumerate(aggs)]).first()
         out += [(rule, name, got[i]) for i, (rule, name, _) in enumerate(aggs) if got[i]]
@@ -97,3 +111,11 @@ def register(registry: Table, contract: dict, status: str, validation: str, now:
         old = registry.read().filter(~((F.col("dataset_name") == row[0]) & (F.col("version") == row[1])))
         new = old.withColumn("active_flag", F.col("active_flag") & (F.col("dataset_name") != row[0])).unionByName(new)
     registry.overwrite(new)
+
+
+def listing(registry: Table, dataset: str | None = None, active_only: bool = False) -> DataFrame:
+    """The versions entered, the newest first; of one dataset where it is named."""
+    spark = registry.spark
+    rows = registry.read() if registry.exists() else spark.createDataFrame([], REGISTRY)
+    rows = rows if dataset is None else rows.filter(F.col("dataset_name") == dataset)
+    return (rows.filter("active_flag") if active_only else rows).orderBy("dataset_name", F.desc("last_validated_at"), F.desc("version"))

@@ -31,7 +31,26 @@ CORRUPT = "_corrupt_record"
 ZONES = ("raw", "bronze", "silver", "gold", "reference", "logs")
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
+def files(spark: SparkSession, path: str) -> list[str]:
+    """The CSV files that a path (a file, a folder with partitions, or a pattern) names, found by listing alone."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    p = hadoop.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = []
+    for status in fs.globStatus(p) or []:
+        if status.isFile():
+            out.append(status.getPath().toString())
+            continue
+        walk = fs.listFiles(status.getPath(), True)
+        while walk.hasNext():
+            name = walk.next().getPath()
+            parts = name.toUri().getPath().removeprefix(status.getPath().toUri().getPath()).split("/")
+            if not any(x.startswith(("_", ".")) for x in parts):
+                out.append(name.toString())
+    return out
+
+
+def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
     """Typed rows; a row that does not parse keeps its line in ``_corrupt_record``."""
     declared = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
     return spark.read.schema(declared).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)

@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Commits between two checkpoints of the log, so that a read opens few entries.
+CHECKPOINT = 10
+#: Characters of text that a file's range holds; the greatest is rounded up.
+PREFIX = 32
 #: A version that was claimed so long ago without an entry belongs to a writer that died.
 STALE_SECONDS = 600
 
@@ -63,12 +67,7 @@ class Table:
         return sorted(int(s.getPath().getName()[:20]) for s in fs.listStatus(p) if s.getPath().getName().endswith(".json"))
 
     def _load(self, version: int) -> Commit:
-        fs, p = self._fs(self._entry(version))
-        stream = fs.open(p)
-        try:
-            return Commit(**json.loads(bytes(stream.readAllBytes()).decode()))
-        finally:
-            stream.close()
+        return Commit(**json.loads(self._read(self._hadoop.Path(self._entry(version)))))
 
     def _store(self, commit: Commit) -> None:
         fs, p = self._fs(self._entry(commit.version))
@@ -87,6 +86,28 @@ class Table:
             if fs.exists(claim) and not fs.exists(p) and time.time() - fs.getFileStatus(claim).getModificationTime() / 1000 > STALE_SECONDS:
                 fs.delete(claim, False)  # its writer died before the entry
             raise CommitConflict(f"version {commit.version} of {self.path} is taken") from e
+        # a claim may have been taken for dead meanwhile: only what is there afterwards tells who won
+        moved = not fs.exists(p) and fs.rename(draft, p)
+        if not moved or self._read(p) != body:
+            fs.delete(draft, False)
+            raise CommitConflict(f"version {commit.version} of {self.path} is taken")
+        if commit.version % CHECKPOINT == CHECKPOINT - 1:
+            self._checkpoint(commit.version)
+
+    def _read(self, p) -> bytes:
+        stream = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(p)
+        try:
+            return bytes(stream.readAllBytes())
+        finally:
+            stream.close()
+
+    def _checkpoint(self, version: int) -> None:
+        """The live files of a version as one file; it only spares reads, so a lost one does no harm."""
+        fs, p = self._fs(f"{self.path}/_log/{version:020d}.live")
+        draft = self._hadoop.Path(f"{self.path}/_log/.{uuid.uuid4().hex}")
+        stream = fs.create(draft, False)
+        stream.write(bytearray(json.dumps(self.files(version)).encode()))
+        stream.close()
         fs.rename(draft, p)
 
     def exists(self) -> bool:
@@ -96,11 +117,13 @@ class Table:
         """The latest version, -1 before the first."""
         return max(self.versions(), default=-1)
 
-    def commits(self, version: int | None = None) -> list[Commit]:
-        last = self.version() if version is None else version
-        if version is not None and version not in self.versions():
+    def commits(self, version: int | None = None, after: int = -1) -> list[Commit]:
+        """All commits up to a version (the latest) that follow another."""
+        known = self.versions()
+        last = max(known, default=-1) if version is None else version
+        if version is not None and version not in known:
             raise ValueError(f"{self.path} has no version {version}")
-        return [self._load(v) for v in self.versions() if v <= last]
+        return [self._load(v) for v in known if after < v <= last]
 
     def history(self) -> DataFrame:
         """version, timestamp, operation, operation_metrics; the latest first."""
@@ -111,14 +134,21 @@ class Table:
 
     def files(self, version: int | None = None) -> list[dict]:
         live: dict[str, dict] = {}
-        for c in self.commits(version):
+        last, start = self.version() if version is None else version, -1
+        fs, p = self._fs(f"{self.path}/_log")
+        if fs.exists(p):
+            start = max((int(n[:20]) for s in fs.listStatus(p) if (n := s.getPath().getName()).endswith(".live") and int(n[:20]) <= last), default=-1)
+        if start >= 0:
+            live = {a["path"]: a for a in json.loads(self._read(self._hadoop.Path(f"{self.path}/_log/{start:020d}.live")))}
+        for c in self.commits(version, start):
             for gone in c.remove:
                 live.pop(gone, None)
             live |= {a["path"]: a for a in c.add}
         return list(live.values())
 
     def schema(self, version: int | None = None) -> T.StructType:
-        return T.StructType.fromJson(self.commits(version)[-1].schema)
+        last = self.version() if version is None else version
+        return T.StructType.fromJson(self.commits(version, last - 1)[-1].schema)
 
     def read(self, version: int | None = None, where: Column | None = None, bounds: dict[str, tuple] | None = None) -> DataFrame:
         """One version's rows. bounds (column: (low, high), either may be None) also skips files whose stored ranges lie outside."""
@@ -141,13 +171,16 @@ class Table:
         """Files of a commit with rows and ranges of some columns, from one pass over what was written."""
         folder = f"data/{uuid.uuid4().hex}"
         out = df
-        if partition_by:  # rows of a partition value meet in few files, yet a hot value may use many tasks
-            out = df.hint("rebalance", *partition_by)
+        if partition_by:  # files hold ranges of the values, so that bounds skip files; a hot value is parted by its other columns
+            rest = [F.xxhash64(*[c for c in df.columns if c not in partition_by])] if len(df.columns) > len(partition_by) else []
+            out = df.repartitionByRange(*[F.col(c) for c in partition_by], *rest)
         out.write.parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
-        aggs = [F.count("*").alias("rows"), *[f(c).cast("string").alias(f"{n}_{c}") for c in stats for n, f in (("min", F.min), ("max", F.max))]]
+        text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
+        value = lambda c: F.left(c, F.lit(PREFIX)) if c in text else F.col(c)
+        aggs = [F.count("*").alias("rows"), *[f(value(c)).cast("string").alias(f"{n}_{c}") for c in stats for n, f in (("min", F.min), ("max", F.max))]]
         rows = written.groupBy(F.col("_metadata.file_name").alias("name")).agg(*aggs).collect()  # one row for each file of this commit
-        add = [{"path": f"{folder}/{r['name']}", "rows": r["rows"], "stats": {c: [r[f"min_{c}"], r[f"max_{c}"]] for c in stats}} for r in rows]
+        add = [{"path": f"{folder}/{r['name']}", "rows": r["rows"], "stats": {c: [r[f"min_{c}"], _beyond(r[f"max_{c}"]) if c in text else r[f"max_{c}"]] for c in stats}} for r in rows]
         return add, sum(a["rows"] for a in add)
 
     def _commit(self, operation: str, add: list[dict], remove: list[str], schema: T.StructType, metrics: dict, base: int, partition_by: list[str]) -> Commit:
@@ -172,7 +205,7 @@ class Table:
         """Add rows; none makes no commit."""
         by = partition_by or []
         add, n = self._write(df, self._ranged(df), by)
-        if not n and self.exists():
+        if not n and not metrics and self.exists():
             return None
         schema = df.schema
         return self._attempt(lambda base: self._commit(operation, add, [], _merged(self.schema() if base >= 0 else None, schema), {"num_inserted": n} | (metrics or {}), base, by))
@@ -197,11 +230,13 @@ class Table:
             own = latest_by(source, key)
             if base >= 0:
                 limits = None
-                if bounded_by:
+                if bounded_by and source.filter(F.col(bounded_by).isNull()).isEmpty():
                     text = lambda c: c if isinstance(source.schema[bounded_by].dataType, T.LongType | T.IntegerType) else c.cast("string")
                     r = source.agg(text(F.min(bounded_by)).alias("low"), text(F.max(bounded_by)).alias("high")).first()
                     limits = {bounded_by: (r["low"], r["high"])} if r["low"] is not None else None
-                own = own.join(self.read(base, bounds=limits).select(*key), key, "left_anti").select(*source.columns)
+                there = self.read(base, bounds=limits).select(*[F.col(k).alias(f"_{k}") for k in key])
+                same = reduce(lambda a, b: a & b, [own[k].eqNullSafe(there[f"_{k}"]) for k in key])  # a null key is a key
+                own = own.join(there, same, "left_anti").select(*source.columns)
             add, n = self._write(own, self._ranged(own), partition_by or [])
             if not n and base >= 0:
                 return None
@@ -231,6 +266,24 @@ class Table:
 
         return self._attempt(plan)
 
+    def vacuum(self, keep_versions: int = 10) -> int:
+        """Delete files that none of the last versions names and that no writer can still be about to commit; returns how many. Older versions can't be read afterwards."""
+        last = self.versions()[-keep_versions:]
+        named = {f["path"] for v in last for f in self.files(v)}
+        fs, p = self._fs(f"{self.path}/data")
+        gone = 0
+        if not last or not fs.exists(p):
+            return gone
+        walk = fs.listFiles(p, True)
+        root = fs.resolvePath(self._hadoop.Path(self.path)).toUri().getPath().rstrip("/") + "/"
+        while walk.hasNext():
+            status = walk.next()
+            path = status.getPath()
+            name = path.toUri().getPath().removeprefix(root)
+            if name.endswith(".parquet") and name not in named and time.time() - status.getModificationTime() / 1000 > STALE_SECONDS:
+                gone += int(fs.delete(path, False))
+        return gone
+
     def optimize(self, zorder: list[str] | None = None, files: int = 1) -> Commit:
         """Rewrite the same rows into fewer files, laid along a Z-order curve over the given columns."""
 
@@ -246,6 +299,11 @@ class Table:
         return self._attempt(plan)
 
 
+def _beyond(text: str | None) -> str | None:
+    """A bound above all texts with this beginning."""
+    return text + "\U0010ffff" if text is not None and len(text) >= PREFIX else text
+
+
 def _outside(stats: list | None, low, high) -> bool:
     """Whether a file's range surely lies outside [low, high]. Whole numbers compare as such, all else as the text Spark gives them, which sorts as the values do."""
     if not stats or stats[0] is None:
