@@ -6,7 +6,7 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-ARROW_BYTES = 4 << 20
+ARROW_BYTES = 1 << 20
 
 
 def ensure(spark: SparkSession) -> str:

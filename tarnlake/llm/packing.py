@@ -27,7 +27,7 @@ CAPACITY = 2048
 END = 1
 _READY: dict[str, object] = {}
 _PACK = [struct.Struct(f"<{n}I").pack for n in range(32)]
-_KEEP = 400_000
+_KEEP = 200_000
 #: Runs of letters, single digits, runs of marks: the cut of tokenizers whose words can be encoded one by one. A fixed value.
 _RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -9,6 +12,7 @@ import xxhash
 
 #: Bytes of text handled at once: it bounds the working arrays of a Python worker.
 SLICE_BYTES = 1 << 19
+_LIBC = ctypes.CDLL("libc.so.6") if sys.platform == "linux" else None
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -175,6 +179,13 @@ def fits(bounds: np.ndarray, n: int, k: int) -> np.ndarray:
     return ok
 
 
+def release() -> None:
+    """Give freed memory back: a worker serves many stages, and allocators keep what they once had."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 def slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES):
     """Parts of a batch with about ``most`` bytes of text each, and one row at least."""
     column = batch.column(batch.schema.get_field_index(name))
@@ -185,3 +196,4 @@ def slices(batch: pa.RecordBatch, name: str, most: int = SLICE_BYTES):
         to = max(at + 1, int(np.searchsorted(sizes, before + most, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
