@@ -31,7 +31,7 @@ COMMON_WEIGHT = 2.0
 NEIGHBOURS = 9
 BLOCK = 128
 #: Terms in more than this share of the examples are columns.
-FREQUENT = 0.1
+FREQUENT = 0.05
 #: Bytes of text that are scored at once.
 SLICE_BYTES = 1 << 18
 
