@@ -81,11 +81,25 @@ def test_a_large_group_is_not_all_of_its_pairs(spark):
                 low, high = sorted((root[i], root[j]))
                 root = [low if r == high else r for r in root]
     assert 1 < len(set(root)) < 80
-    least = {}
-    found = jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
-    for r in found:
-        least[r["group"]] = min(least.get(r["group"], 10**9), r["doc_id"])
-    assert {r["doc_id"]: least[r["group"]] for r in found} == dict(enumerate(root))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (jaccard.BLOCK, 8000):
+        least = {}
+        found = jaccard.near_duplicates(docs, block=block).collect()
+        for r in found:
+            least[r["group"]] = min(least.get(r["group"], 10**9), r["doc_id"])
+        assert {r["doc_id"]: least[r["group"]] for r in found} == dict(enumerate(root))
+
+
+def test_blocks_return_forests():
+    """Sets that share and don't, in more columns than one product takes; links within a label are left out."""
+    own = [set(range(k, k + 50)) for k in (0, 2, 4, 6, 100, 102)]
+    table = lambda side, at, label: pa.table({f"{side}_own": pa.array([bytes([i]) for i in at], pa.binary()), f"{side}_label": pa.array([label(i) for i in at], pa.binary()), f"{side}_hashes": pa.array([sorted(own[i]) for i in at], pa.list_(pa.int64()))})
+    x, y = table("x", [0, 4], lambda i: bytes([i])), table("y", range(6), lambda i: bytes([i]))
+    for width in (4096, 7):
+        both, n, m = jaccard._shared(x["x_hashes"], y["y_hashes"], width)
+        assert both.tolist() == [[len(own[i] & own[j]) for j in range(6)] for i in (0, 4)] and list(n) == [50, 50] and list(m) == [50] * 6
+    assert set(zip(*jaccard._forest(x, y, 80), strict=True)) == {(b"\0", bytes([i])) for i in (1, 2)} | {(b"\4", b"\5")}
+    assert jaccard._forest(*[table(side, range(6), lambda i: b"s") for side in "xy"], 80) == ([], [])
 
 
 def test_sets():
