@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from . import checkpoints
 
+#: Rows of a round's tables that one file takes; tables of few rows are not spread over all of a shuffle's partitions.
+FILE_ROWS = 100_000
+
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """edges (a, b; of one type that sorts) to (node, root): root is the smallest node that node reaches.
@@ -17,15 +20,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
     """
     checkpoints.ensure(edges.sparkSession)
     links = edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    parts = links.count() // FILE_ROWS + 1
     label = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     live = links.filter("a < b")
-    label = label.checkpoint()
+    label = label.coalesce(parts).checkpoint()
     while not live.isEmpty():
         # live edges join roots; the greater root of each edge hangs below the least root next to it
         hooks = live.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("lower"))
-        parent = _shorten(hooks.checkpoint())
-        label = _renamed(label, "root", parent).checkpoint()
-        live = _renamed(_renamed(live, "a", parent), "b", parent).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+        parent = _shorten(hooks.coalesce(parts).checkpoint(), parts)
+        label = _renamed(label, "root", parent).coalesce(parts).checkpoint()
+        live = _renamed(_renamed(live, "a", parent), "b", parent).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts).checkpoint()
     return label
 
 
@@ -33,11 +37,11 @@ def _renamed(rows: DataFrame, name: str, parent: DataFrame) -> DataFrame:
     return rows.join(parent.withColumnRenamed("root", name), name, "left").withColumn(name, F.coalesce("lower", name)).drop("lower")
 
 
-def _shorten(parent: DataFrame) -> DataFrame:
+def _shorten(parent: DataFrame, parts: int) -> DataFrame:
     """Follow (root, lower) to the end of each path; lower < root, so there are no cycles. Paths halve each time."""
     while True:
         step = parent.select(F.col("root").alias("lower"), F.col("lower").alias("next"))
-        further = parent.join(step, "lower", "left").select("root", F.coalesce("next", "lower").alias("lower"), F.col("next").isNotNull().alias("moved")).checkpoint()
+        further = parent.join(step, "lower", "left").select("root", F.coalesce("next", "lower").alias("lower"), F.col("next").isNotNull().alias("moved")).coalesce(parts).checkpoint()
         if further.filter("moved").isEmpty():
             return parent
         parent = further.drop("moved")
