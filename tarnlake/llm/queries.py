@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, forest, kneser, licenses, lmscore, packing, secrets, simhash, toxicity, urlrules, vafile
+from . import decontam, forest, kneser, licenses, lmscore, ngramjoin, packing, phrases, secrets, simhash, toxicity, urlrules, vafile, whitening
 
 URL_RULES = [
     ("block", "com/en/"),
@@ -94,6 +94,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_join(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": op1_license_scans,
@@ -106,11 +118,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_quality": op9_quality,
         "op10_packing": op10_packing,
+        "op11_embedding_whitening": op11_embedding_whitening,
+        "op12_phrase_collocations": op12_phrase_collocations,
+        "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": _op1_sql(), "op7_secret_scans": _op7_sql(), "op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op2_decontamination": OP2_SQL}
+    return {"op1_license_scans": _op1_sql(), "op7_secret_scans": _op7_sql(), "op3_url_filters": OP3_SQL, "op5_exact_top_k": OP5_SQL, "op2_decontamination": OP2_SQL, "op12_phrase_collocations": OP12_SQL, "op13_ngram_jaccard_join": OP13_SQL}
 
 
 def _op1_sql() -> str:
@@ -245,3 +260,40 @@ s AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id, own ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
+
+OP12_SQL = r"""
+WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM texts),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM words GROUP BY lang),
+grams AS (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM words, (VALUES (1), (2), (3), (4), (5)) AS lengths(k) WHERE len(w) >= k),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY lang, k, phrase HAVING count(*) >= 100),
+candidates AS (
+  SELECT * FROM f AS c WHERE k > 1 AND NOT EXISTS (
+    SELECT 1 FROM f AS x WHERE x.lang = c.lang AND x.k > c.k AND 100 * x.a >= 100 * c.a AND contains(' ' || x.phrase || ' ', ' ' || c.phrase || ' '))),
+cuts AS (SELECT *, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM candidates),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, c.j, x.a AS l, y.a AS r, n, CAST(CAST(1000 AS HUGEINT) * c.a * n // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+  FROM cuts AS c JOIN totals USING (lang)
+  JOIN f AS x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+  JOIN f AS y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, CAST(row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS INTEGER) AS rank, phrase, a, l, r, n, score
+FROM best QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) <= 2000
+"""
+
+OP13_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS s
+  FROM words),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+both_ AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n FROM sets AS x JOIN sets AS y USING (s) WHERE x.doc_id <> y.doc_id GROUP BY x.doc_id, y.doc_id),
+links AS (SELECT a, b FROM both_ AS p JOIN sizes AS x ON x.doc_id = a JOIN sizes AS y ON y.doc_id = b WHERE 100 * p.n >= 85 * (x.n + y.n - p.n)),
+reached AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reached AS r JOIN links AS l ON l.a = r.b),
+least AS (SELECT a AS doc_id, min(b) AS b FROM reached GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM words LEFT JOIN sizes USING (doc_id) LEFT JOIN least USING (doc_id)
+"""
