@@ -12,9 +12,9 @@ counts of all shards are summed, and the thresholds apply to the sums.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter
+from operator import itemgetter
 
 import ahocorasick
 import numpy as np
@@ -33,14 +33,37 @@ MAP_BITS = 27
 SHARD_BITS = 22
 #: Grams that a worker holds before it sums them up.
 HELD = 1 << 21
-#: Characters of candidates in one automaton: about 100 bytes of memory each, at most.
-BLOCK = 1 << 21
+#: Characters of candidates in one block of automata: about 60 bytes of memory each.
+BLOCK = 1 << 22
+#: Candidates whose counts travel together.
+TOGETHER = 1 << 14
 #: Parts of a language that are ranked apart before the last ranking.
 RANKED = 64
 
 _WORD = W.Alphabet(lambda b: b not in (9, 32, *BREAKS.encode()), W._lower)
 _ENDS = np.isin(np.arange(256), list(BREAKS.encode()))
-_FOLD = {**{c: c + 32 for c in range(65, 91)}, 9: " ", **dict.fromkeys(map(ord, BREAKS), "\n")}
+#: Bytes of a text before its words are taken: folded, and a full stop, which no word holds, for what ends a piece.
+_FOLD = bytes(46 if _ENDS[b] else W._lower(b) for b in range(256))
+
+
+def _packed(at: np.ndarray, count: np.ndarray) -> tuple[bytes, int]:
+    """Sorted places with their counts in few bytes, and how many these are unpacked. Gaps have two bytes, larger ones are stepped over; counts have one, larger ones are listed."""
+    gap = np.diff(at, prepend=0)
+    steps = gap // 65535
+    here = np.cumsum(steps + 1) - 1
+    gaps, small = np.full(int(steps.sum()) + len(at), 65535, np.uint16), np.zeros(int(steps.sum()) + len(at), np.uint8)
+    gaps[here], small[here] = gap % 65535, np.minimum(count, 255)
+    parts = [np.array([len(gaps)]), gaps.astype(np.uint8), (gaps >> 8).astype(np.uint8), small, count[count >= 255].astype(np.int64)]
+    body = b"".join(p.tobytes() for p in parts)
+    return pa.compress(body, "zstd", asbytes=True), len(body)
+
+
+def _unpacked(body: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    data = pa.decompress(body, size, "zstd", asbytes=True)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    low, high, small = np.frombuffer(data, np.uint8, 3 * n, 8).reshape(3, n).astype(np.int64)
+    small[small == 255] = np.frombuffer(data, np.int64, -1, 8 + 3 * n)
+    return np.cumsum(low + (high << 8)), small
 
 
 class _Grams:
@@ -146,11 +169,9 @@ def _reaching(texts: DataFrame, lengths: tuple[int, ...], known: Bounds, cells:
                     continue
                 cell, total = _summed_in(c, n)
                 cuts = np.searchsorted(cell, np.arange(shards + 1, dtype=np.uint64) * (inside + np.uint64(1)))
-                for s in range(shards):
-                    if cuts[s] < cuts[s + 1]:
-                        where = (cell[cuts[s] : cuts[s + 1]] & inside).astype(np.uint32)
-                        packed = [np.diff(where, prepend=np.uint32(0)).astype(np.uint32).tobytes(), total[cuts[s] : cuts[s + 1]].astype(np.int64).tobytes()]
-                        yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int32()), "shard": pa.array([s]), "cells": pa.array([pa.compress(packed[0], "zstd", asbytes=True)], pa.binary()), "counts": pa.array([pa.compress(packed[1], "zstd", asbytes=True)], pa.binary()), "n": pa.array([len(where)])})
+                full = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+                bodies = [_packed((cell[cuts[s] : cuts[s + 1]] & inside).astype(np.int64), total[cuts[s] : cuts[s + 1]]) for s in full]
+                yield pa.RecordBatch.from_pydict({"k": pa.array([k] * len(full), pa.int32()), "shard": pa.array(full, pa.int64()), "body": pa.array([b for b, _ in bodies], pa.binary()), "size": pa.array([n for _, n in bodies], pa.int64())})
                 held[k] = ([], [])
 
         for lang, text in _slices(batches):
@@ -168,91 +189,118 @@ def _reaching(texts: DataFrame, lengths: tuple[int, ...], known: Bounds, cells:
     def total(key, part):
         k, shard = (x.as_py() for x in key)
         sums = np.zeros(int(inside) + 1, np.int64)
-        for n, c, t in zip(part["n"].to_pylist(), part["cells"], part["counts"], strict=True):
-            where = np.cumsum(np.frombuffer(pa.decompress(c.as_py(), 4 * n, "zstd", asbytes=True), np.uint32), dtype=np.int64)
-            sums[where] += np.frombuffer(pa.decompress(t.as_py(), 8 * n, "zstd", asbytes=True), np.int64)
+        for body, size in zip(part["body"], part["size"], strict=True):
+            where, count = _unpacked(body.as_py(), size.as_py())
+            sums[where] += count
         bit = (np.flatnonzero(sums >= least) + shard * (int(inside) + 1)) & ((1 << map_bits) - 1)
         place, word = bit >> 6, np.left_shift(np.uint64(1), (bit & 63).astype(np.uint64))
         return pa.Table.from_pydict({"k": pa.array(np.full(len(bit), k, np.int32)), "place": pa.array(place), "word": pa.array(word.view(np.int64))})
 
-    parts = texts.mapInArrow(count, "k int, shard long, cells binary, counts binary, n long")
+    parts = texts.mapInArrow(count, "k int, shard long, body binary, size long")
     words = parts.groupBy("k", "shard").applyInArrow(total, "k int, place long, word long").groupBy("k", "place").agg(F.bit_or("word").alias("word"))
     found = words.toArrow()  # no more rows than the map has words
     k, place, word = (found[c].to_numpy() for c in ("k", "place", "word"))
     return {length: (place[k == length], word[k == length]) for length in lengths}
 
 
-def _candidates(texts: DataFrame, known: Bounds, cells: int, longest: int) -> DataFrame:
-    """(lang, phrase) of 1 to ``longest`` words that may reach the least count, blanks between words."""
+def _candidates(texts: DataFrame, known: Bounds, cells: int, longest: int, shard_bits: int) -> DataFrame:
+    """(lang, phrase) of 1 to ``longest`` words that may reach the least count, blanks between words. A task tells each once; those of one shard travel together."""
     sent = texts.sparkSession.sparkContext.broadcast(known)
+    shards = np.uint64(max(64, cells >> shard_bits))
 
     def name(batches):
-        told: set[tuple[str, int]] = set()
+        told = {k: np.zeros(0, np.uint64) for k in range(1, longest + 1)}
+        found: dict[tuple[str, int], list[bytes]] = {}
         for lang, text in _slices(batches):
             grams = _Grams(text, lang)
-            names = grams.lang.dictionary.to_pylist()
-            langs, phrases = [], []
-            folded = _WORD.fold[grams.found.data]
+            names, of = grams.lang.dictionary.to_pylist(), grams.lang.indices.to_numpy()
+            folded = None
             for k, hashes, at in sent.value.possible(grams, longest, cells):
-                _, once = np.unique(hashes[at], return_index=True)
-                for i in at[once].tolist():
-                    key = (k, int(hashes[i]))
-                    if key not in told:
-                        told.add(key)
-                        langs.append(names[grams.lang.indices[int(grams.own[i])].as_py()])
-                        phrases.append(b" ".join(folded[grams.found.start[j] : grams.found.end[j]].tobytes() for j in range(i, i + k)).decode())
-            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string())], ["lang", "phrase"])
+                new, once = np.unique(hashes[at], return_index=True)
+                place = np.searchsorted(told[k], new)
+                fresh = (place == len(told[k])) | (told[k][np.minimum(place, len(told[k]) - 1)] != new) if len(told[k]) else np.ones(len(new), bool)
+                if not fresh.any():
+                    continue
+                told[k] = np.insert(told[k], place[fresh], new[fresh])
+                folded = _WORD.fold[grams.found.data] if folded is None else folded
+                for i, shard in zip(at[once[fresh]].tolist(), (new[fresh] % shards).tolist(), strict=True):
+                    words = [folded[grams.found.start[j] : grams.found.end[j]].tobytes() for j in range(i, i + k)]
+                    found.setdefault((names[of[grams.own[i]]], shard), []).append(b" ".join(words))
+        bodies = [b"\n".join(v) for v in found.values()]
+        columns = [pa.array([lang for lang, _ in found], pa.string()), pa.array([shard for _, shard in found], pa.int64()), pa.array([pa.compress(b, "zstd", asbytes=True) for b in bodies], pa.binary()), pa.array([len(b) for b in bodies], pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, ["lang", "shard", "body", "size"])
 
-    return texts.mapInArrow(name, "lang string, phrase string").distinct()
+    def once(key, part):
+        found: set[bytes] = set()
+        for body, size in zip(part["body"], part["size"], strict=True):
+            found.update(pa.decompress(body.as_py(), size.as_py(), "zstd", asbytes=True).split(b"\n"))
+        return pa.Table.from_pydict({"lang": pa.array([key[0].as_py()] * len(found), pa.string()), "phrase": pa.array(sorted(found), pa.binary()).cast(pa.string())})
+
+    return texts.mapInArrow(name, "lang string, shard long, body binary, size long").groupBy("lang", "shard").applyInArrow(once, "lang string, phrase string")
 
 
 _BUILT: dict[str, dict] = {}
 
 
-def _automata(name: str, phrases: dict[str, list[str]]) -> dict:
-    """An automaton for each language; a worker keeps those of the block that it works on."""
+def _automata(name: str, phrases: list[tuple[str, str]]) -> dict:
+    """An automaton for each language, with the phrases' places in the list; a worker keeps those of the block that it works on."""
     if name not in _BUILT:
         _BUILT.clear()
         out = _BUILT.setdefault(name, {})
-        for lang, some in phrases.items():
-            out[lang] = auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            for i, phrase in enumerate(some):
-                auto.add_word(f" {phrase} ", i)
+        for i, (lang, phrase) in enumerate(phrases):
+            if lang not in out:
+                out[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+            out[lang].add_word(f" {phrase} ", i)
+        for auto in out.values():
             auto.make_automaton()
     return _BUILT[name]
 
 
-def normalised(text: str) -> str:
-    """Words with a blank on either side, pieces apart by line feeds."""
-    return re.sub(" +", " ", f" {text.translate(_FOLD)} ".replace("\n", " \n "))
+def normalised(text: bytes) -> str:
+    """Words with a blank on either side; where a piece ends, a full stop stands among them."""
+    return f" {b' '.join(text.translate(_FOLD).replace(b'.', b' . ').split()).decode()} "
+
+
+def _counted(texts: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
+    """(lang, phrase, n) of a block's phrases that occur: each task's counts, then their sums."""
+    sent, name = texts.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex
+
+    def scan(batches):
+        automata, counts = _automata(name, sent.value), Counter()
+        for lang, text in _slices(batches):
+            data, at = W.buffers(text)
+            for i, one in enumerate(lang.to_pylist()):
+                if one in automata and at[i] < at[i + 1]:
+                    counts.update(map(itemgetter(1), automata[one].iter(normalised(data[at[i] : at[i + 1]].tobytes()))))
+        ids, found = (np.fromiter(v, np.int64, len(counts)) for v in (counts.keys(), counts.values()))
+        order = np.argsort(ids)
+        ids, found = ids[order], found[order]
+        parts = np.unique(ids // TOGETHER)
+        cuts = np.searchsorted(ids, np.append(parts, parts[-1:] + 1) * TOGETHER)
+        bodies = [_packed(ids[x:y] - p * TOGETHER, found[x:y]) for p, x, y in zip(parts.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(parts), "body": pa.array([b for b, _ in bodies], pa.binary()), "size": pa.array([n for _, n in bodies], pa.int64())})
+        W.release()
+
+    def total(key, rows):
+        first, sums = key[0].as_py() * TOGETHER, np.zeros(TOGETHER, np.int64)
+        for body, size in zip(rows["body"], rows["size"], strict=True):
+            at, count = _unpacked(body.as_py(), size.as_py())
+            sums[at] += count
+        at = np.flatnonzero(sums)
+        told = [sent.value[first + i] for i in at.tolist()]
+        return pa.Table.from_pydict({"lang": pa.array([x for x, _ in told], pa.string()), "phrase": pa.array([x for _, x in told], pa.string()), "n": pa.array(sums[at])})
+
+    return texts.mapInArrow(scan, "part long, body binary, size long").groupBy("part").applyInArrow(total, "lang string, phrase string, n long")
 
 
 def _counts(texts: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
-    """candidates (lang, phrase) to (lang, phrase, n) with exact counts; the texts of a language are read once for each block that holds some of its phrases."""
-    spark = texts.sparkSession
+    """candidates (lang, phrase) to (lang, phrase, n) with exact counts; the texts are read once for each block of candidates."""
     size = candidates.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
     blocks = max(1, -(-size // block))
     out = None
     for b in range(blocks):
         some = candidates.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == b).toArrow()
-        phrases: dict[str, list[str]] = {}
-        for lang, phrase in zip(some["lang"].to_pylist(), some["phrase"].to_pylist(), strict=True):
-            phrases.setdefault(lang, []).append(phrase)
-        sent, name = spark.sparkContext.broadcast(phrases), uuid.uuid4().hex
-
-        def scan(batches, sent=sent, name=name):
-            automata = _automata(name, sent.value)
-            counts = {lang: Counter() for lang in automata}
-            for lang, text in _slices(batches):
-                for one, body in zip(lang.to_pylist(), text.to_pylist(), strict=True):
-                    if one in automata:
-                        counts[one].update(i for _, i in automata[one].iter(normalised(body)))
-            for lang, found in counts.items():
-                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "phrase": pa.array([sent.value[lang][i] for i in found], pa.string()), "n": pa.array(list(found.values()), pa.int64())})
-            W.release()
-
-        held = texts.filter(F.col("lang").isin(list(phrases))) if len(phrases) <= 100 else texts
-        counted = held.mapInArrow(scan, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n")).checkpoint()
+        counted = _counted(texts, list(zip(some["lang"].to_pylist(), some["phrase"].to_pylist(), strict=True))).checkpoint()
         out = counted if out is None else out.unionByName(counted)
     return out
 
@@ -272,13 +320,13 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
     texts = _tidy(docs)
     totals = _totals(texts).checkpoint()
     words = totals.agg(F.sum("n")).first()[0] or 0
-    cells = 1 << min(62, max(16, words.bit_length() + 2))
+    cells = 1 << min(62, max(16, words.bit_length()))
     known = Bounds(map_bits)
     for lengths in ((1,), (2,), tuple(range(3, longest + 1))):
         if lengths and max(lengths) <= longest:
             for k, words_of in _reaching(texts, lengths, known, cells, least, shard_bits, held).items():
                 known.add(k, *words_of)
-    counts = _counts(texts, _candidates(texts, known, cells, longest).checkpoint(), block).filter(F.col("n") >= least)
+    counts = _counts(texts, _candidates(texts, known, cells, longest, shard_bits).checkpoint(), block).filter(F.col("n") >= least)
     return ranked(counts, totals, first)
 
 
