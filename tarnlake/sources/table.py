@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
+from bisect import bisect_left
 from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import UTC, datetime
@@ -150,21 +151,40 @@ class Table:
         last = self.version() if version is None else version
         return T.StructType.fromJson(self.commits(version, last - 1)[-1].schema)
 
-    def read(self, version: int | None = None, where: Column | None = None, bounds: dict[str, tuple] | None = None) -> DataFrame:
-        """One version's rows. bounds (column: (low, high), either may be None) also skips files whose stored ranges lie outside."""
+    def read(self, version: int | None = None, where: Column | None = None, bounds: dict[str, tuple] | None = None, within: dict[str, list] | None = None) -> DataFrame:
+        """One version's rows. bounds (column: (low, high), either may be None) and within (column: values) also skip files whose stored ranges hold no such row. Both take what casts to the column's type."""
         files = self.files(version)
         schema = self.schema(version)
-        for c, (low, high) in (bounds or {}).items():
+        for c, ends in (bounds or {}).items():
+            low, high = self._keys(schema[c], ends)
             files = [f for f in files if not _outside(f.get("stats", {}).get(c), low, high)]
-        if files:
-            df = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f['path']}" for f in files])
-        else:
-            df = self.spark.createDataFrame([], schema)
+        for c, values in (within or {}).items():
+            keys = sorted(k for k in self._keys(schema[c], values) if k is not None)
+            files = [f for f in files if not _without(f.get("stats", {}).get(c), keys)]
+        df = self._open(files, schema)
         for c, (low, high) in (bounds or {}).items():
-            df = df if low is None else df.filter(F.col(c) >= F.lit(low).cast(schema[c].dataType))
-            df = df if high is None else df.filter(F.col(c) <= F.lit(high).cast(schema[c].dataType))
+            df = df if low is None else df.filter(F.col(c) >= _as(low, schema[c].dataType))
+            df = df if high is None else df.filter(F.col(c) <= _as(high, schema[c].dataType))
+        for c, values in (within or {}).items():
+            df = df.filter(F.col(c).isin([_as(v, schema[c].dataType) for v in values]))
         return df if where is None else df.filter(where)
 
+    def added(self, version: int, after: int) -> DataFrame:
+        """The rows that commits beyond ``after`` and up to a version have added, as they were; rewrites of the same rows don't count."""
+        paths = [f for c in self.commits(version, after) if c.metrics.get("data_change", True) for f in c.add]
+        return self._open(paths, self.schema(version))
+
+    def _open(self, files: list[dict], schema: T.StructType) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f['path']}" for f in files])
+
+    def _keys(self, field: T.StructField, values) -> list:
+        """The values of a column as ranges store them."""
+        values = list(values)
+        keys = [range_key(_as(v, field.dataType), field.dataType).alias(f"_{i}") for i, v in enumerate(values)]
+        return list(self.spark.sql("SELECT 1 AS one").select(*keys).first()) if keys else []
+
     # -- writing ---------------------------------------------------------------
 
     def _write(self, df: DataFrame, stats: list[str], partition_by: list[str]) -> tuple[list[dict], int]:
@@ -177,12 +197,16 @@ class Table:
         out.write.parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}")
         text = {f.name for f in df.schema if isinstance(f.dataType, T.StringType)}
-        value = lambda c: F.left(c, F.lit(PREFIX)) if c in text else F.col(c)
-        aggs = [F.count("*").alias("rows"), *[f(value(c)).cast("string").alias(f"{n}_{c}") for c in stats for n, f in (("min", F.min), ("max", F.max))]]
+        kinds = {f.name: f.dataType for f in df.schema}
+        aggs = [F.count("*").alias("rows"), *[f(range_key(F.col(c), kinds[c])).alias(f"{n}_{c}") for c in stats for n, f in (("min", F.min), ("max", F.max))]]
         rows = written.groupBy(F.col("_metadata.file_name").alias("name")).agg(*aggs).collect()  # one row for each file of this commit
         add = [{"path": f"{folder}/{r['name']}", "rows": r["rows"], "stats": {c: [r[f"min_{c}"], _beyond(r[f"max_{c}"]) if c in text else r[f"max_{c}"]] for c in stats}} for r in rows]
         return add, sum(a["rows"] for a in add)
 
+    def _layout(self, base: int) -> list[str]:
+        """By what columns the last commit that had any laid its files."""
+        return next((c.partition_by for v in range(base, -1, -1) for c in self.commits(v, v - 1) if c.partition_by), [])
+
     def _commit(self, operation: str, add: list[dict], remove: list[str], schema: T.StructType, metrics: dict, base: int, partition_by: list[str]) -> Commit:
         commit = Commit(base + 1, datetime.now(UTC).isoformat(), operation, metrics, add, remove, json.loads(schema.json()), partition_by)
         self._store(commit)
@@ -230,10 +254,10 @@ class Table:
             own = latest_by(source, key)
             if base >= 0:
                 limits = None
-                if bounded_by and source.filter(F.col(bounded_by).isNull()).isEmpty():
+                if bounded_by:
                     text = lambda c: c if isinstance(source.schema[bounded_by].dataType, T.LongType | T.IntegerType) else c.cast("string")
-                    r = source.agg(text(F.min(bounded_by)).alias("low"), text(F.max(bounded_by)).alias("high")).first()
-                    limits = {bounded_by: (r["low"], r["high"])} if r["low"] is not None else None
+                    r = source.agg(text(F.min(bounded_by)).alias("low"), text(F.max(bounded_by)).alias("high"), F.count_if(F.col(bounded_by).isNull()).alias("none")).first()
+                    limits = {bounded_by: (r["low"], r["high"])} if r["low"] is not None and not r["none"] else None
                 there = self.read(base, bounds=limits).select(*[F.col(k).alias(f"_{k}") for k in key])
                 same = reduce(lambda a, b: a & b, [own[k].eqNullSafe(there[f"_{k}"]) for k in key])  # a null key is a key
                 own = own.join(there, same, "left_anti").select(*source.columns)
@@ -244,57 +268,52 @@ class Table:
 
         return self._attempt(plan)
 
-    def replace_keys(self, df: DataFrame, keys: list[str], affected: DataFrame | None = None) -> Commit:
-        """Delete the rows of some keys (those of ``affected``, else of df) and insert df, in one commit. Files without such keys stay as they are."""
+    def replace_keys(self, df: DataFrame, keys: list[str], affected: DataFrame | None = None, partition_by: list[str] | None = None) -> Commit:
+        """Delete the rows of some keys (those of ``affected``, else of df) and insert df, in one commit. Files without such keys stay as they are, others keep the layout of the table. A null key is a key."""
 
         def plan(base: int) -> Commit:
             gone = (affected if affected is not None else df).select(*keys).distinct()
             if base < 0:
-                add, n = self._write(df, self._ranged(df), [])
-                return self._commit("REPLACE", add, [], df.schema, {"num_inserted": n, "num_deleted": 0}, base, [])
-            whole = {f.name for f in df.schema if isinstance(f.dataType, T.LongType | T.IntegerType)}
-            ranges = gone.agg(*[(f(k) if k in whole else f(k).cast("string")).alias(f"{n}_{k}") for k in keys for n, f in (("min", F.min), ("max", F.max))]).first()
-            touched = [f for f in self.files(base) if not any(_outside(f["stats"].get(k), ranges[f"min_{k}"], ranges[f"max_{k}"]) for k in keys)]
-            schema = _merged(self.schema(base), df.schema)
+                by = partition_by or []
+                add, n = self._write(df, self._ranged(df), by)
+                return self._commit("REPLACE", add, [], df.schema, {"num_inserted": n, "num_deleted": 0}, base, by)
+            by, schema = partition_by or self._layout(base), _merged(self.schema(base), df.schema)
+            ranged = [k for k in keys if k in self._ranged(df)]
+            of = lambda k: range_key(F.col(k), schema[k].dataType)
+            ends = gone.agg(F.count("*").alias("n"), *[f(of(k)).alias(f"{n}_{k}") for k in ranged for n, f in (("min", F.min), ("max", F.max))], *[F.count_if(F.col(k).isNull()).alias(f"none_{k}") for k in ranged]).first()
+            ranged = [k for k in ranged if not ends[f"none_{k}"]]
+            touched = [f for f in self.files(base) if not any(_outside(f["stats"].get(k), ends[f"min_{k}"], ends[f"max_{k}"]) for k in ranged)] if ends["n"] else []
             new = df
             if touched:
-                old = self.spark.read.schema(schema).parquet(*[f"{self.path}/{f['path']}" for f in touched])
-                new = old.join(gone, keys, "left_anti").select(*old.columns).unionByName(df, allowMissingColumns=True)
-            add, n = self._write(new, self._ranged(new), [])
+                old, out = self._open(touched, schema), gone.select(*[F.col(k).alias(f"_{k}") for k in keys])
+                same = reduce(lambda a, b: a & b, [old[k].eqNullSafe(out[f"_{k}"]) for k in keys])
+                new = old.join(out, same, "left_anti").unionByName(df, allowMissingColumns=True)
+            add, n = self._write(new, self._ranged(new), by)
             before = sum(f["rows"] for f in touched)
-            return self._commit("REPLACE", add, [f["path"] for f in touched], schema, {"rows_written": n, "rows_before": before}, base, [])
+            return self._commit("REPLACE", add, [f["path"] for f in touched], schema, {"rows_written": n, "rows_before": before}, base, by)
 
         return self._attempt(plan)
 
     def vacuum(self, keep_versions: int = 10) -> int:
-        """Delete files that none of the last versions names and that no writer can still be about to commit; returns how many. Older versions can't be read afterwards."""
+        """Delete files that a commit has added and that none of the last versions names; returns how many. Older versions can't be read afterwards. Files that no commit names may belong to a writer at work, however old, and stay."""
         last = self.versions()[-keep_versions:]
+        if not last:
+            return 0
         named = {f["path"] for v in last for f in self.files(v)}
-        fs, p = self._fs(f"{self.path}/data")
+        fs, _ = self._fs(self.path)
         gone = 0
-        if not last or not fs.exists(p):
-            return gone
-        walk = fs.listFiles(p, True)
-        root = fs.resolvePath(self._hadoop.Path(self.path)).toUri().getPath().rstrip("/") + "/"
-        while walk.hasNext():
-            status = walk.next()
-            path = status.getPath()
-            name = path.toUri().getPath().removeprefix(root)
-            if name.endswith(".parquet") and name not in named and time.time() - status.getModificationTime() / 1000 > STALE_SECONDS:
-                gone += int(fs.delete(path, False))
+        for path in {f["path"] for c in self.commits(last[0]) for f in c.add} - named:
+            gone += int(fs.delete(self._hadoop.Path(f"{self.path}/{path}"), False))
         return gone
 
     def optimize(self, zorder: list[str] | None = None, files: int = 1) -> Commit:
         """Rewrite the same rows into fewer files, laid along a Z-order curve over the given columns."""
 
         def plan(base: int) -> Commit:
-            df = self.read(base)
-            if zorder:
-                laid = zordered(df, zorder, files)
-            else:
-                laid = df.repartition(files)
-            add, n = self._write(laid, self._ranged(df), [])
-            return self._commit("OPTIMIZE", add, [f["path"] for f in self.files(base)], df.schema, {"rows": n, "files": len(add), "data_change": False}, base, [])
+            df, by = self.read(base), [] if zorder else self._layout(base)
+            laid = zordered(df, zorder, files) if zorder else df if by else df.repartition(files)
+            add, n = self._write(laid, self._ranged(df), by)
+            return self._commit("OPTIMIZE", add, [f["path"] for f in self.files(base)], df.schema, {"rows": n, "files": len(add), "data_change": False}, base, by)
 
         return self._attempt(plan)
 
@@ -304,13 +323,37 @@ def _beyond(text: str | None) -> str | None:
     return text + "\U0010ffff" if text is not None and len(text) >= PREFIX else text
 
 
+def _as(value, kind: T.DataType) -> Column:
+    """A given value in a column's type. A time without a zone is one of the session's, not of this process's."""
+    plain = isinstance(value, datetime) and value.tzinfo is None
+    return F.lit(value.isoformat(sep=" ") if plain else value).cast(kind)
+
+
+def range_key(value: Column, kind: T.DataType) -> Column:
+    """A value as ranges store and compare it: whole numbers, days, microseconds, and the beginning of a text. None depends on the session's time zone."""
+    if isinstance(kind, T.StringType):
+        return F.left(value, F.lit(PREFIX))
+    if isinstance(kind, T.DateType):
+        return F.unix_date(value).cast("long")
+    if isinstance(kind, T.TimestampNTZType):
+        clock = F.hour(value) * 3600 + F.minute(value) * 60 + F.extract(F.lit("SECOND"), value)
+        return F.unix_date(value.cast("date")).cast("long") * 86_400_000_000 + (clock * 1_000_000).cast("long")
+    return F.unix_micros(value) if isinstance(kind, T.TimestampType) else value.cast("long")
+
+
 def _outside(stats: list | None, low, high) -> bool:
-    """Whether a file's range surely lies outside [low, high]. Whole numbers compare as such, all else as the text Spark gives them, which sorts as the values do."""
+    """Whether a file's range surely lies outside [low, high], all as range_key gives them."""
+    if not stats or stats[0] is None:
+        return False
+    return (low is not None and stats[1] < low) or (high is not None and stats[0] > high)
+
+
+def _without(stats: list | None, keys: list) -> bool:
+    """Whether a file's range surely holds none of some sorted keys."""
     if not stats or stats[0] is None:
         return False
-    like = int if isinstance(low, int) or isinstance(high, int) else str
-    least, most = like(stats[0]), like(stats[1])
-    return (low is not None and most < like(low)) or (high is not None and least > like(high))
+    at = bisect_left(keys, stats[0])
+    return at == len(keys) or keys[at] > stats[1]
 
 
 def _merged(old: T.StructType | None, new: T.StructType) -> T.StructType:

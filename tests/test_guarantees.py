@@ -36,9 +36,48 @@ def test_log_checkpoints_and_vacuum(spark, tmp_path, monkeypatch):
     assert len(t.files()) == 8 and opened == [6, 7]
     assert t.read(version=4).count() == 5 and t.read(bounds={"v": ("v7", None)}).count() == 1
     t.overwrite(t.read().filter("id > 5"))
-    assert t.vacuum(1) == 0  # all files are young
-    monkeypatch.setattr(tables, "STALE_SECONDS", -1)
+    add, _ = t._write(spark.createDataFrame([(9, "late")], "id long, v string"), ["id"], [])  # a writer at work
     assert t.vacuum(1) >= 8 and sorted(r["id"] for r in t.read().collect()) == [6, 7]
+    t._commit("APPEND", add, [], t.schema(), {}, t.version(), [])
+    assert sorted(r["id"] for r in t.read().collect()) == [6, 7, 9]
+
+
+def test_bounds_are_of_the_columns_type(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    rows = [("2020-01-01 00:00:00.5", 10, "2020-01-01"), ("2019-12-31 23:00:00", 9, "2019-12-31"), ("2021-06-01 12:00:00", -7, "2021-06-01")]
+    df = spark.createDataFrame(rows, "t string, k long, d string").selectExpr("cast(t as timestamp) t", "cast(t as timestamp_ntz) n", "k", "cast(d as date) d", "t as s")
+    for r in (df.limit(1), df.filter("k = 9"), df.filter("k = -7")):
+        t.append(r)
+    found = lambda **b: sorted(r["k"] for r in t.read(**b).collect())
+    for c in ("t", "n"):
+        for low in ("2020-01-01T00:00:00", datetime(2020, 1, 1), "2020-01-01"):
+            assert found(bounds={c: (low, None)}) == [-7, 10]
+    assert found(bounds={"k": ("9", None)}) == [9, 10] and found(bounds={"k": (None, 9)}) == [-7, 9]
+    assert found(bounds={"d": (None, "2020-1-1")}) == [9, 10] and found(within={"d": ["2021-06-01", datetime(2019, 12, 31).date()]}) == [-7, 9]
+    assert len(t.read(within={"d": ["2021-06-01"]}).inputFiles()) == 1 and found(within={"k": []}) == [] and found(within={"s": ["2021-06-01 12:00:00"]}) == [-7]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+    try:
+        assert found(bounds={"t": ("2020-01-01 09:00:00", "2020-01-01 09:00:01")}) == [10] and found(bounds={"n": ("2020-01-01 00:00:00", "2020-01-01 00:00:01")}) == [10]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_replaced_keys_may_be_null_and_keep_the_layout(spark, tmp_path):
+    t = Table(spark, str(tmp_path / "t"))
+    df = spark.createDataFrame([(None, 1, "a"), (None, 2, "b"), (3, 1, "c"), (3, None, "d")], "k long, n long, v string")
+    t.append(df, ["k"])
+    t.replace_keys(spark.createDataFrame([(None, 1, "new")], df.schema), ["k", "n"])
+    t.replace_keys(spark.createDataFrame([(3, None, "other")], df.schema), ["k", "n"])
+    assert sorted(r["v"] for r in t.read().collect()) == ["b", "c", "new", "other"]
+    assert [c.partition_by for c in t.commits()] == [["k"]] * 3
+    days = spark.range(4000).select("id", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") % 40).cast("int")).alias("day"))
+    t = Table(spark, str(tmp_path / "days"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    t.append(days, ["day"])
+    t.replace_keys(days.filter("day = '2024-01-03'"), ["day"])
+    t.replace_keys(days.filter("day = '2024-01-05'").limit(0), ["day"], days.filter("day = '2024-01-05'"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert t.read().count() == 3900 and len(t.read(bounds={"day": ("2024-01-20", "2024-01-20")}).inputFiles()) < len(t.read().inputFiles())
 
 
 def test_an_entry_is_never_stored_over(spark, tmp_path):
