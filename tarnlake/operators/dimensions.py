@@ -25,16 +25,17 @@ def customer_dimension(events: DataFrame) -> DataFrame:
     return first.select(surrogate_key(F.col("user_id")).alias("customer_key"), "user_id", "first_seen_at", date_key(F.col("first_seen_at").cast("date")).alias("first_seen_date_key"))
 
 
-def product_history(events: DataFrame, slice_seconds: int | None = None) -> DataFrame:
+def product_history(events: DataFrame, slice_seconds: int | None = None, hot: list | None = None) -> DataFrame:
     """Versions of each product: a new one where the price or category changes (a null category is an empty one; a null price on either side is no change).
 
     Attributes are the last non-null ones of a version, valid_to is the next version's start. Events
     at one instant are ordered by key; versions that would begin at the same instant become one.
-    ``slice_seconds`` splits the work of products with very many events by time; the result is the same.
+    ``slice_seconds`` splits the work of products with very many events by time, with ``hot`` that of these
+    products alone; the result is the same.
     """
     code = lambda row: F.coalesce(row["category_code"], F.lit(""))
     changed = lambda before, now: F.coalesce(before["price"] != now["price"], F.lit(False)) | (code(before) != code(now))
-    numbered = number_runs(events.filter("product_id IS NOT NULL"), "product_id", ["event_time", "event_key"], ["price", "category_code"], changed, "product_version", slice_seconds)
+    numbered = number_runs(events.filter("product_id IS NOT NULL"), "product_id", ["event_time", "event_key"], ["price", "category_code"], changed, "product_version", slice_seconds, hot)
     last = lambda c: F.expr(f"max_by({c}, struct(event_time, event_key)) FILTER (WHERE {c} IS NOT NULL)").alias(c)
     attributes = [c for c in ("brand", "category_code", "category_l1", "category_l2", "category_l3", "price") if c in events.columns]
     versions = numbered.groupBy("product_id", "product_version").agg(F.min("event_time").alias("valid_from"), *[last(c) for c in attributes])
@@ -45,6 +46,28 @@ def product_history(events: DataFrame, slice_seconds: int | None = None) -> Data
     return out.select(surrogate_key(F.col("product_id"), F.col("valid_from")).alias("product_key"), "product_id", "product_version", *attributes, "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
+def overlapping_pairs(history: DataFrame) -> DataFrame:
+    """Each pair of versions of one product whose windows overlap, once: the one that begins first (of equals the lesser version) as ``earlier``, the other as ``later``.
+
+    Versions are placed in the order of their beginnings. One sweep over beginnings and ends tells each
+    version how many begin before it ends; those after its own place are what it overlaps, so the join by
+    place makes no row that is not a pair. Windows are half open, without an end they last for ever; a
+    window that ends no later than it begins overlaps nothing. Null products have no versions.
+    """
+    known = history.filter("product_id IS NOT NULL").select("product_id", "product_version", "valid_from", "valid_to").filter("valid_to IS NULL OR valid_to > valid_from")
+    in_order = Window.partitionBy("product_id").orderBy("valid_from", "product_version")
+    placed = known.withColumn("place", F.row_number().over(in_order).cast("long"))
+    begins = placed.select("product_id", F.col("valid_from").alias("at"), F.lit(1).alias("side"), "product_version", "place", F.lit(1).cast("long").alias("one"))
+    # at one instant an end comes before a beginning
+    ends = placed.filter("valid_to IS NOT NULL").select("product_id", F.col("valid_to").alias("at"), F.lit(0).alias("side"), "product_version", "place", F.lit(0).cast("long").alias("one"))
+    so_far = Window.partitionBy("product_id").orderBy("at", "side", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = begins.unionByName(ends).withColumn("reach", F.sum("one").over(so_far)).filter("side = 0").select("product_id", "place", "reach")
+    lasting = placed.filter("valid_to IS NULL").select("product_id", "place").join(placed.groupBy("product_id").agg(F.count("*").alias("reach")), "product_id")
+    over = reach.unionByName(lasting).filter("reach > place").select("product_id", F.col("place").alias("_first"), F.explode(F.expr("sequence(place + 1, reach)")).alias("_second"))
+    of = lambda name: placed.select("product_id", F.col("place").alias({"earlier": "_first", "later": "_second"}[name]), F.col("product_version").alias(name), F.col("valid_from").alias(f"{name}_from"))
+    return over.join(of("earlier"), ["product_id", "_first"]).join(of("later"), ["product_id", "_second"]).select("product_id", "earlier", "later", "earlier_from", "later_from")
+
+
 def overlapping_versions(history: DataFrame) -> DataFrame:
     """Pairs of versions of one product whose windows overlap. Ordered by start, an overlap shows between neighbours with the greatest end so far, so no self-join of a hot product is needed to tell whether there are any."""
     far = F.lit("9999-12-31 23:59:59").cast("timestamp_ntz")

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import micros
+from .heat import by_heat
+
 #: Bytes of a side that may be broadcast.
 MOST_BROADCAST = 64 << 20
 #: Tasks that rows without a key are dealt to.
@@ -17,13 +20,19 @@ def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
     return F.broadcast(df) if int(str(size)) <= most else df
 
 
-def asof_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time", start: str = "valid_from", end: str = "valid_to", carry: list[str] | None = None, salts: int = 1) -> DataFrame:
+def asof_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time", start: str = "valid_from", end: str = "valid_to", carry: list[str] | None = None, salts: int = 1, slice_seconds: int | None = None, hot: list | None = None) -> DataFrame:
     """Left as-of join: the values that held at each event's time.
 
     Events and versions are sorted together by key and time and the last version is carried on, which
     stays linear for a key of any size, where an interval condition compares all pairs of the key.
-    salts splits the events of hot keys over that many tasks; versions, the few, go to each.
+    salts splits the events of hot keys over that many tasks; versions, the few, go to each. With
+    ``slice_seconds`` a key's time is cut into slices that are sorted apart; each hands its last version
+    on to the next ones, one row for each slice, and no version is copied. With ``hot`` (see ``heat``)
+    only those keys are sliced. Results are the same.
     """
+    if slice_seconds and hot is not None:
+        ways = [lambda own, s=s: asof_join(own, _of(history, key, hot, s is not None), key, at, start, end, carry, salts, s) for s in (None, slice_seconds)]
+        return by_heat(events, key, hot, *ways)
     names = carry or [c for c in history.columns if c not in (key, start, end)]
     v = F.struct(F.col(start).alias("_from"), F.col(end).alias("_to"), *names)
     kind = events.schema[at].dataType
@@ -32,13 +41,32 @@ def asof_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_
     rows = events.withColumns({"_side": F.lit(1), "_salt": F.when(F.col(key).isNull(), F.pmod(own_hash, F.lit(SPREAD))).otherwise(F.pmod(own_hash, F.lit(salts)) if salts > 1 else F.lit(0).cast("long"))})
     versions = versions.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     both = rows.unionByName(versions, allowMissingColumns=True)
-    own = Window.partitionBy(key, "_salt").orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(own)).filter("_side = 1")
+    parts = [key, "_salt"]
+    if slice_seconds:
+        both = both.withColumn("_slice", F.floor(micros(F.col(at)) / (slice_seconds * 1_000_000)))
+        parts.append("_slice")
+    own = Window.partitionBy(*parts).orderBy(at, "_side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_last", F.last("_v", ignorenulls=True).over(own))
+    if slice_seconds:
+        ends = both.groupBy(*parts).agg(F.max_by("_v", F.when(F.col("_side") == 0, F.col(at))).alias("_own"))
+        before = Window.partitionBy(key, "_salt").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        handed = ends.withColumn("_before", F.last("_own", ignorenulls=True).over(before)).filter(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col("_salt").alias("_part"), F.col("_slice").alias("_at"), "_before")
+        found = found.filter("_side = 1").join(handed, (F.col(key) == F.col("_key")) & (F.col("_salt") == F.col("_part")) & (F.col("_slice") == F.col("_at")), "left")
+        found = found.withColumn("_last", F.coalesce("_last", "_before"))
+    found = found.filter("_side = 1")
     held = F.when(F.col(key).isNotNull() & (F.col("_last._to").isNull() | (F.col(at) < F.col("_last._to"))), F.col("_last"))
     found = found.withColumn("_held", held)
     return found.select(*events.columns, *[F.col(f"_held.{c}").alias(c) for c in names])
 
 
+def _of(history: DataFrame, key: str, hot: list, inside: bool) -> DataFrame:
+    """The versions of hot keys, or those of all others."""
+    if not hot:
+        return history
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    return history.filter(is_hot if inside else ~is_hot)
+
+
 def interval_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time") -> DataFrame:
     """The same by an equality on the key and the interval as a further condition; right for short histories. Adaptive execution broadcasts the history if it turns out small."""
     h = history.withColumnRenamed(key, "_key")

@@ -8,11 +8,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import micros
+from .heat import by_heat
 
 Starts = Callable[[Column, Column], Column]
 
 
-def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], starts: Starts, out: str, slice_seconds: int | None = None) -> DataFrame:
+def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], starts: Starts, out: str, slice_seconds: int | None = None, hot: list | None = None) -> DataFrame:
     """Adds ``out``, the number (from 1) of the run that a row lies in, and ``_previous``, the carried columns of the row before.
 
     ``starts(previous, current)`` tells from the carried columns whether a row starts a run; a key's
@@ -21,8 +22,12 @@ def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], s
 
     With ``slice_seconds``, windows run within slices of a key's time, so that a key with a large share
     of all rows is sorted by many tasks. Each slice hands on one row - its ends and the runs that start
-    inside it - and a key's slices, few beside its rows, tell each slice what came before.
+    inside it - and a key's slices, few beside its rows, tell each slice what came before. With ``hot``
+    (see ``heat``) only those keys are sliced; results are the same.
     """
+    if slice_seconds and hot is not None:
+        whole = lambda slices: lambda part: number_runs(part, key, order, carry, starts, out, slices)
+        return by_heat(rows, key, hot, whole(None), whole(slice_seconds))
     rows = rows.withColumn("_row", F.struct(*carry))
     begins = lambda before, now: F.when(starts(before, now), 1).otherwise(0)
     # rows without a key are no run; they are dealt out, so that they don't meet in one task

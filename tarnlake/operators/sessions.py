@@ -11,14 +11,15 @@ from .runs import number_runs
 GAP_SECONDS = 1800
 
 
-def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int | None = None) -> DataFrame:
+def sessionize(events: DataFrame, gap_seconds: int = GAP_SECONDS, slice_seconds: int | None = None, hot: list | None = None) -> DataFrame:
     """Adds previous_event_time, user_session_seq and session_id.
 
     A gap of more than ``gap_seconds`` starts a session; exactly that gap does not. ``slice_seconds``
-    splits the work of users with very many events by time; the result is the same.
+    splits the work of users with very many events by time, with ``hot`` that of these users alone; the
+    result is the same.
     """
     apart = lambda before, now: micros(now["event_time"]) - micros(before["event_time"]) > gap_seconds * 1_000_000
-    out = number_runs(events, "user_id", ["event_time", "event_key"], ["event_time"], apart, "user_session_seq", slice_seconds)
+    out = number_runs(events, "user_id", ["event_time", "event_key"], ["event_time"], apart, "user_session_seq", slice_seconds, hot)
     session = F.concat(F.col("user_id").cast("string"), F.lit("_"), F.col("user_session_seq").cast("string"))
     return out.select(*events.columns, F.col("_previous.event_time").alias("previous_event_time"), "user_session_seq", session.alias("session_id"))
 

@@ -17,6 +17,7 @@ from ..operators import cleaning, dimensions, facts, joins, sessions
 from ..quality import metrics, reconcile
 from ..sources import raw
 from ..sources.table import Table
+from .daily import Daily
 
 WATERMARK = "pipeline_name string, last_processed_event_time timestamp, updated_at timestamp, last_batch_id string"
 #: Raw files that one read counts; reconciliation sums over all blocks of files.
@@ -92,32 +93,48 @@ class Lake:
         backfill leaves the watermark alone.
         """
         began, batch_id = time.monotonic(), batch_id or uuid.uuid4().hex[:8]
-        bronze, silver = self.table("bronze").read(), self.table("silver")
+        bronze = self.table("bronze").read()
         if backfill:
             rows = cleaning.in_range(bronze, *backfill, whole_last_day=whole_last_day)
         else:
             rows = cleaning.since_watermark(bronze, self.watermark(), lookback, "event_date")
-        clean = cleaning.with_event_key(cleaning.parse_category(cleaning.apply_business_rules(rows, F.lit(now.isoformat(sep=" ")).cast("timestamp"))))
-        counts = cleaning.drop_counts(rows, F.lit(now.isoformat(sep=" ")).cast("timestamp")).first().asDict()
+        return self.merge(rows, now, batch_id, not backfill, began)
+
+    def merge(self, rows: DataFrame, now: datetime, batch_id: str | None = None, advance: bool = True, began: float | None = None) -> dict:
+        """Bronze rows to Silver: filter, parse, key, merge, verify, and only then move the watermark. Rows that are there already insert nothing."""
+        began, batch_id, silver = began or time.monotonic(), batch_id or uuid.uuid4().hex[:8], self.table("silver")
+        at = F.lit(now.isoformat(sep=" ")).cast("timestamp")
+        counts = cleaning.drop_counts(rows, at).first().asDict()
         if not counts["rows_out"]:
             return counts | {"inserted": 0, "batch_id": batch_id}
+        clean = cleaning.with_event_key(cleaning.parse_category(cleaning.apply_business_rules(rows, at)))
         batch = clean.withColumn("merged_at", F.lit(now)).persist()
         try:
-            before = silver.version()
             commit = silver.merge_insert(batch, ["event_key"], ["event_date"], bounded_by="event_date")
             inserted = commit.metrics["num_inserted"] if commit else 0
-            if commit and inserted != sum(f["rows"] for f in silver.files(commit.version)) - (sum(f["rows"] for f in silver.files(before)) if before >= 0 and commit.version == before + 1 else sum(f["rows"] for f in silver.files(commit.version - 1)) if commit.version else 0):
-                raise RuntimeError("the commit does not hold the rows it tells of")
+            figures = self._verified(commit, batch) if commit else {}
             if any(os.environ.get(v, "").lower() in ("1", "true", "yes") for v in CRASH):
                 raise RuntimeError("crash asked for after the merge")
-            if not backfill:
-                newest = batch.agg(F.max("event_time").cast("string")).first()[0]
+            newest = batch.agg(F.max("event_time").cast("string")).first()[0]
+            if advance:
                 self.advance(newest, batch_id, now)
         finally:
             batch.unpersist()
-        self.told("silver", began, batch_id, now, counts["rows_in"], inserted)
+        nulls = 100 * (counts["rows_in"] - counts["rows_out"]) / counts["rows_in"]
+        lag = int((now - datetime.fromisoformat(newest)).total_seconds())
+        self.told("silver", began, batch_id, now, counts["rows_in"], inserted, null_rate_pct=round(nulls, 4), watermark_lag_sec=lag, duplicate_rate_pct=figures.get("duplicate_rate_pct", 0.0))
         return counts | {"inserted": inserted, "batch_id": batch_id}
 
+    def _verified(self, commit, batch: DataFrame) -> dict:
+        """What a merge has written, counted by its keys: each once, and each of the batch. Also the share of the batch's rows that were no new keys."""
+        written = self.table("silver").added(commit.version, commit.version - 1)
+        keys = written.select("event_key").groupBy("event_key").agg(F.count("*").alias("n"))
+        told = keys.join(batch.select("event_key").distinct().withColumn("asked", F.lit(1)), "event_key", "left").agg(F.sum("n").alias("rows"), F.count("*").alias("keys"), F.count("asked").alias("asked")).first()
+        if not told["rows"] == told["keys"] == told["asked"] == commit.metrics["num_inserted"]:
+            raise RuntimeError(f"the commit holds {told['rows']} rows of {told['keys']} keys, {told['asked']} of them of the batch, and tells of {commit.metrics['num_inserted']}")
+        n = batch.count()
+        return {"duplicate_rate_pct": round(100 * (n - told["keys"]) / n, 4)}
+
     # -- Gold -------------------------------------------------------------------
 
     def star(self) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -160,46 +177,14 @@ class Lake:
             pairs.append(reconcile.Pair("revenue_facts_vs_mart", purchases.agg(F.round(F.sum("revenue"), 2)), self.table("mart_daily_summary").read().agg(F.round(F.sum("total_revenue"), 2))))
         return reconcile.compare(self.spark, pairs)
 
-    def rebuild_daily(self, now: datetime, dates: list[str] | None = None, full: bool = False) -> int:
-        """Recompute the days that Silver commits have touched since the mart's last run (or the given ones), and replace those days whole.
+    def daily(self) -> Daily:
+        return Daily(*[self.table(n) for n in ("silver", "product_days", "mart_daily_summary", "mart_pending", "mart_state")])
 
-        The days come first: without any nothing else is read. Of Silver only files with such days are read,
-        and of other days only the events of products that occur on them, whose versions tell the category.
-        """
+    def rebuild_daily(self, now: datetime, dates: list[str] | None = None, full: bool = False) -> int:
+        """Bring the daily mart up to Silver's last commit (see ``daily``); the given days are counted anew besides. Returns the rows that were written."""
         began = time.monotonic()
-        mart, state = self.table("mart_daily_summary"), self.table("mart_state")
-        silver = self.table("silver")
-        version = silver.version()
-        seen = state.read().agg(F.max("silver_version")).first()[0] if state.exists() else None
-        days: list[str] | None = None
-        if dates is not None:
-            days = sorted(set(dates))
-        elif not full and mart.exists() and seen is not None:
-            added = [f["path"] for c in silver.commits(version, seen) if c.operation != "OPTIMIZE" for f in c.add]
-            new = self.spark.read.schema(silver.schema(version)).parquet(*[f"{silver.path}/{p}" for p in added]) if added else None
-            days = sorted(r[0] for r in new.select(F.date_format("event_time", "yyyy-MM-dd")).distinct().collect()) if added else []  # a row for each day
-        if days is not None and not days:
+        done = self.daily().rebuild(now, dates, full)
+        if done is None:
             return 0
-        latest = lambda rows: cleaning.keep_latest(rows, ["event_key"], ["ingested_at", "source_file"])
-        if days is None:
-            own = rest = latest(silver.read(version))
-        else:
-            on_days = self.spark.createDataFrame([(d,) for d in days], "event_date string")
-            touched = silver.read(version, bounds={"event_date": (days[0], days[-1])}).join(F.broadcast(on_days), "event_date", "left_semi").persist()
-            products = touched.select("product_id").distinct()
-            own, rest = latest(touched), latest(silver.read(version).join(products, "product_id", "left_semi"))
-        attributes = cleaning.latest_products(rest)
-        history = dimensions.product_history(joins.enrich(rest, attributes)).withColumn("category", F.col("category_l1"))
-        dated = joins.asof_join(own.select("product_id", "event_time", "event_type", "price", "user_id"), history, "product_id", carry=["category"])
-        rows = facts.daily_rollup(dated, "category").withColumn("last_recomputed_at", F.lit(now)).persist()
-        n = rows.count()
-        if days is None:
-            mart.overwrite(rows)
-        else:
-            mart.replace_keys(rows, ["date"], on_days.select(F.col("event_date").cast("date").alias("date")))
-            touched.unpersist()
-        read = n and rows.agg(F.sum("total_events")).first()[0]
-        rows.unpersist()
-        state.append(self.spark.createDataFrame([(version, now)], "silver_version int, at timestamp"))
-        self.told("gold", began, uuid.uuid4().hex[:8], now, read, n)
-        return n
+        self.told("gold", began, uuid.uuid4().hex[:8], now, done[1], done[0])
+        return done[0]

@@ -25,6 +25,8 @@ from pyspark.sql import types as T
 CHECKPOINT = 10
 #: Characters of text that a file's range holds; the greatest is rounded up.
 PREFIX = 32
+#: Values of a key that are told one by one when files are looked for, not by their range.
+FEW = 4096
 #: A version that was claimed so long ago without an entry belongs to a writer that died.
 STALE_SECONDS = 600
 
@@ -283,6 +285,10 @@ class Table:
             ends = gone.agg(F.count("*").alias("n"), *[f(of(k)).alias(f"{n}_{k}") for k in ranged for n, f in (("min", F.min), ("max", F.max))], *[F.count_if(F.col(k).isNull()).alias(f"none_{k}") for k in ranged]).first()
             ranged = [k for k in ranged if not ends[f"none_{k}"]]
             touched = [f for f in self.files(base) if not any(_outside(f["stats"].get(k), ends[f"min_{k}"], ends[f"max_{k}"]) for k in ranged)] if ends["n"] else []
+            for k in ranged:  # a key of few values skips files between them too
+                values = [r[0] for r in gone.select(of(k).alias("v")).distinct().limit(FEW + 1).collect()] if len(touched) > 1 else []
+                if 0 < len(values) <= FEW:
+                    touched = [f for f in touched if not _without(f["stats"].get(k), sorted(values))]
             new = df
             if touched:
                 old, out = self._open(touched, schema), gone.select(*[F.col(k).alias(f"_{k}") for k in keys])

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.table import Table
+from .batches import Batches
 
 LATENESS = "3 days"
 
@@ -55,3 +56,22 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", at: str = "event
     if events.isStreaming:
         rows = rows.withWatermark(at, lateness)
     return rows.groupBy(F.session_window(at, gap), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast(kind).alias("started"), "n")
+
+
+def session_stream(spark: SparkSession, path: str, table: str, checkpoint: str, name: str = "sessions", files_per_batch: int = 1000, lateness: str = LATENESS) -> Table:
+    """Sessions of the event files below a path, appended to a table when they are over: all that is there, then stop.
+
+    Events may come in any order within the lateness. An open session is state; an event between two of
+    them makes them one. A session is written once the watermark of the batch before has passed its end, so
+    the last ones wait for later events, such as heartbeats without a user; each is written once, also where
+    a batch is played again.
+    """
+    batches, target = Batches(Table(spark, f"{table}_batches"), name), Table(spark, table)
+
+    def put(batch: DataFrame, n: int) -> None:
+        if not batches.done(n):  # rows without a user only move the time on; dropped in the query itself, they would not
+            batches.mark(n, batches.append_once(target, batch.filter("user_id IS NOT NULL"), n))
+
+    q = session_windows(source(spark, path, files_per_batch), lateness=lateness).writeStream.outputMode("append").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return target
