@@ -5,8 +5,8 @@ scores: a task keeps, for each query, the rows that its k best lower bounds leav
 lower bound over all tasks then drops most of these. Exact vectors are read by id, for each query in the
 order of its upper bounds, a growing number at a time, until no bound reaches the k-th score found.
 
-Queries go in batches of bounded size. Of equal vectors only the k + 1 smallest ids can matter, so a
-vector that a third of all rows hold costs no more than others.
+Queries go in batches of bounded size. Of equal vectors only the k + 1 smallest ids can matter, and of an
+id's repeated rows k, so a vector that a third of all rows hold costs no more than others.
 """
 
 from __future__ import annotations
@@ -120,14 +120,16 @@ def _grids(rows: DataFrame) -> dict[int, Grid]:
 
 
 def _without_copies(rows: DataFrame, k: int) -> DataFrame:
-    """rows without those of a vector's copies that k + 1 smaller ids (repeated rows count each) stand before."""
+    """rows without those of a vector's copies that k + 1 smaller ids stand before, or k rows of the same id: a query's own id takes one of these ids away, and all of its rows."""
     marked = rows.withColumns({"_a": F.xxhash64("v"), "_b": F.xxhash64(F.lit(k), "v")})
     hot = marked.groupBy("_a", "_b").agg(F.count("*").alias("n")).filter(F.col("n") > k + 1).select("_a", "_b").checkpoint()
     n = hot.count()
     if not n:
         return rows
     held = marked.join(F.broadcast(hot) if n <= MOST_SENT else hot, ["_a", "_b"], "left_semi")
-    first = held.withColumn("_rank", F.row_number().over(Window.partitionBy("_a", "_b").orderBy("vec_id"))).filter(F.col("_rank") <= k + 1)
+    ids = held.groupBy("_a", "_b", "vec_id").agg(F.first("v").alias("v"), F.least(F.count("*"), F.lit(k)).alias("_rows"))
+    first = ids.withColumn("_rank", F.row_number().over(Window.partitionBy("_a", "_b").orderBy("vec_id"))).filter(F.col("_rank") <= k + 1)
+    first = first.withColumn("_row", F.explode(F.sequence(F.lit(1).cast("long"), "_rows")))
     rest = marked.join(F.broadcast(hot) if n <= MOST_SENT else hot, ["_a", "_b"], "left_anti")
     return rest.select("vec_id", "v").unionByName(first.select("vec_id", "v"))
 

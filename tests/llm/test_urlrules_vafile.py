@@ -96,6 +96,13 @@ def test_hot_vector_is_cut(spark):
     assert got == [0, 1, 2, 3, 4, 1000, 1000, 1000]
 
 
+def test_repeated_rows_of_one_id_hide_no_other(spark):
+    rows = [(0, [1.0, 2.0])] * 12 + [(1, [1.0, 2.0]), (2, [0.5, 0.5])] + [(3, [1.0, 2.0])] * 30
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 2, 4):
+        assert sorted(tuple(r) for r in vafile.top_k(table, table.filter("vec_id IN (0, 3)"), k).collect()) == brute(rows, lambda i: i in (0, 3), k)
+
+
 def test_scores_beyond_64_bits(spark):
     table = spark.createDataFrame([(0, [1e8, 1.0]), (1, [1.0, 1e8])], "vec_id long, embedding array<double>")
     with pytest.raises(ValueError, match="64 bits"):
