@@ -183,7 +183,7 @@ def _op7_sql() -> str:
         bare = f"replace({bare}, '{word}', '')"
     low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     among = lambda x, words: f"CAST(regexp_matches({x}, '{secrets.whole(words)}') AS DOUBLE)"
-    pattern, value, issued = secrets.PATTERN.replace("'", "''"), secrets.VALUE.replace("'", "''"), secrets.ISSUED
+    pattern, value, issued, password = secrets.PATTERN.replace("'", "''"), secrets.VALUE.replace("'", "''"), secrets.ISSUED, secrets.PASSWORD
     return rf"""
 WITH RECURSIVE found AS (SELECT row_number() OVER () AS row, doc_id, text, coalesce(source, '') AS path, regexp_extract_all(text, '{pattern}') AS m FROM documents WHERE text IS NOT NULL),
 walk AS (
@@ -194,14 +194,18 @@ cut AS (
   SELECT doc_id, path, m[i] AS match, s, regexp_matches(m[i], '{issued}') AS known,
     {low("substr(text, greatest(s - 48, 1), least(48, s - 1)) || ' ' || substr(text, s + length(m[i]), 48)")} AS around
   FROM walk WHERE i > 0),
-told AS (SELECT *, CASE WHEN known THEN match ELSE regexp_extract(match, '{value}', 1) END AS candidate FROM cut),
+told AS (
+  SELECT *, CAST(regexp_matches(match, '{password}') AS INTEGER) AS tail,
+    CASE WHEN regexp_matches(match, '{password}') THEN regexp_extract(match, '{password}', 1) WHEN known THEN match
+      ELSE regexp_extract(match, '{value}', 1) || regexp_extract(match, '{value}', 2) || regexp_extract(match, '{value}', 3) END AS candidate
+  FROM cut),
 plain AS (
   SELECT *, {low("candidate")} AS lower_ascii,
     regexp_replace(candidate, '[^0-9a-zA-Z]', '', 'g') AS bare_text,
     regexp_replace(regexp_replace(regexp_replace(regexp_replace(candidate, '[^0-9a-zA-Z]', '', 'g'), '[0-9]+', '0', 'g'), '[a-z]+', 'a', 'g'), '[A-Z]+', 'A', 'g') AS runs
   FROM told),
 features AS (
-  SELECT doc_id, s - 1 + length(match) - length(candidate) AS start, s - 1 + length(match) AS finish, candidate, CAST(length(candidate) AS DOUBLE) AS length,
+  SELECT doc_id, s - 1 + length(match) - length(candidate) - tail AS start, s - 1 + length(match) - tail AS finish, candidate, CAST(length(candidate) AS DOUBLE) AS length,
     greatest(0, length(runs) - 1) / greatest(1, length(bare_text) - 1) AS transitions, 1 - length({bare}) / greatest(1, length(candidate)) AS coverage,
     {among(low("path"), secrets.PATHS)} AS doubtful_path, {among("around", secrets.DOUBTFUL)} AS doubtful_words, CAST(known AS DOUBLE) AS issued
   FROM plain),

@@ -16,25 +16,36 @@ from pyspark.sql import functions as F
 
 from . import forest
 
-# issuers' key formats, then assignments to names that tell of a secret. No part looks around
+# issuers' key formats, private keys (to their end, or where that is missing as far as their
+# lines go), passwords in addresses, and assignments to names that tell of a secret. No part looks around
 # itself, so a match can be found again by its text.
 PATTERN = (
-    r"AKIA[0-9A-Z]{16}"
+    r"A[KS]IA[0-9A-Z]{16}"
     r"|gh[pousr]_[A-Za-z0-9]{30,}"
+    r"|github_pat_[A-Za-z0-9_]{22,}"
+    r"|glpat-[A-Za-z0-9_-]{20,}"
+    r"|hf_[A-Za-z0-9]{30,}"
+    r"|npm_[A-Za-z0-9]{36}"
     r"|xox[abprs]-[A-Za-z0-9-]{10,}"
-    r"|sk_live_[A-Za-z0-9]{16,}"
+    r"|[rs]k_live_[A-Za-z0-9]{16,}"
+    r"|sk-[A-Za-z0-9]{32,}"
+    r"|SG[.][A-Za-z0-9_-]{16,}[.][A-Za-z0-9_-]{16,}"
     r"|AIza[A-Za-z0-9_-]{30,}"
     r"|eyJ[A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{10,}[.][A-Za-z0-9_-]{5,}"
-    r"|-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----)?"
+    r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:[A-Za-z0-9+/=\s:,.()@_-]*?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----"
+    r"|(?:\s*Proc-Type: [^\n]*)?(?:\s*DEK-Info: [^\n]*)?[A-Za-z0-9+/=\r\n]*)"
+    r"|[A-Za-z][A-Za-z0-9+.-]*://[^\s:/@\"']*:[^\s/@\"']{2,}@"
     r"|(?:[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww][Oo]?[Rr]?[Dd]|[Aa][Pp][Ii]_?-?[Kk][Ee][Yy]|[Aa][Cc][Cc][Ee][Ss][Ss]_?-?[Kk][Ee][Yy])"
-    r"[\"']? ?[:=]>? ?[\"']?[A-Za-z0-9+/_.=-]{8,}"
+    r"[\"']?[ \t]*[:=]>?[ \t]*(?:\"[^\"\s]{8,}|'[^'\s]{8,}|[A-Za-z0-9+/_.=-]{8,})"
 )
-#: The value of an assignment: what follows the first sign.
-VALUE = r"[:=]>? ?[\"']?([A-Za-z0-9+/_.=-]{8,})$"
+#: The value of an assignment: what follows the first sign, with or without a quote.
+VALUE = r"[:=]>?[ \t]*(?:\"([^\"\s]{8,})|'([^'\s]{8,})|([A-Za-z0-9+/_.=-]{8,}))$"
+#: The password of an address; an at sign follows it.
+PASSWORD = r"://[^\s:/@]*:([^@]*)@$"
 #: Cheap test that every text with a match passes; most texts end here.
-CUE = r"AKIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|PRIVATE KEY|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]"
-#: Issuers' formats, where the pattern alone is strong evidence.
-ISSUED = r"^(AKIA|gh[pousr]_|xox[abprs]-|sk_live_|AIza|eyJ|-----BEGIN)"
+CUE = r"A[KS]IA|gh[pousr]_|github_pat_|glpat-|hf_|npm_|xox[abprs]-|k_live_|sk-|SG[.]|AIza|eyJ|PRIVATE KEY|://[^\s:/@]*:[^\s/@]+@|[Tt][Oo][Kk][Ee][Nn]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Pp][Aa][Ss][Ss][Ww]|[Kk][Ee][Yy]"
+#: Issuers' formats and passwords of addresses, where the pattern alone is strong evidence.
+ISSUED = r"^(A[KS]IA|gh[pousr]_|github_pat_|glpat-|hf_|npm_|xox[abprs]-|[rs]k_live_|sk-|SG[.]|AIza|eyJ|-----BEGIN|[A-Za-z][A-Za-z0-9+.-]*://)"
 # Parts of placeholders and of common code; words near examples and in their paths.
 DICTIONARY = ["example", "sample", "placeholder", "changeme", "password", "secret", "token", "value", "string", "insert", "here", "your", "dummy", "test", "default", "admin", "user", "none", "null", "undefined", "true", "false", "config", "environ", "getenv", "process", "settings", "variable", "function", "return", "access", "hidden", "redacted", "qwerty", "letmein", "hello", "world", "abcdef", "123456", "xxxx", "0000"]
 DOUBTFUL = "examples?|samples?|dummy|placeholders?|fake|tests?|mock|replace|documentation|demo"
@@ -81,15 +92,27 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
     beside = [" write to ops@example.com about ", " passed the last test and then ", " a demo for the board, ", " see the documentation "]
     out = []
     for i in range(n):
-        kind = i % 7
+        kind = i % 9
         path, around, issued, label = rng.choice(plain_paths), " the value is set to = ", False, 0
         if kind == 6:  # an issuer's format, at times without any digit
             text = "AKIA" + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZ" + rng.choice(["", "234567", "0123456789"]), k=16))
             issued, label = True, 1
+            if rng.random() < 0.5:
+                text = rng.choice(["ghp_", "glpat-", "hf_", "npm_", "xoxb-", "sk_live_"]) + "".join(rng.choices(rng.choice(alphabets[1:3]), k=rng.randrange(20, 41)))
             if rng.random() < 0.15:
                 text, around, path, label = text[:-7] + "EXAMPLE", " sample keys ", rng.choice(odd_paths), 0
             elif rng.random() < 0.3:
                 around = rng.choice(beside)
+        elif kind == 7:  # a password in an address
+            text, issued, label = "".join(rng.choices(alphabets[1] + "!$%*-_", k=rng.randrange(4, 20))), True, 1
+            if rng.random() < 0.3:
+                text, label = "".join(rng.sample(DICTIONARY, rng.randrange(1, 3))), 0
+            elif rng.random() < 0.3:
+                text, around = rng.choice(parts).capitalize() + rng.choice(parts) + str(rng.randrange(10, 9999)), rng.choice(beside)
+        elif kind == 8:  # a quoted password with other signs
+            text, label = "".join(rng.choices(alphabets[1] + "!#$%&*?@^~+=", k=rng.randrange(10, 30))), 1
+            if rng.random() < 0.2:
+                text, label = rng.choice(["${%s}", "{{%s}}", "<%s>", "%%(%s)s"]) % "_".join(rng.sample(DICTIONARY, 2)), 0
         elif kind <= 2:
             text = "".join(rng.choices(rng.choice(alphabets), k=rng.randrange(12, 65)))
             issued, label = rng.random() < 0.3, 1
@@ -107,7 +130,7 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
             text = rng.choice(["", "_", "."]).join(rng.choices(parts, k=rng.randrange(3, 8)))
         else:
             text = rng.choice(["config.", "os.environ.", "self.", "process.env.", "settings."]) + "_".join(rng.choices(parts + DICTIONARY, k=2))
-        text = text if len(text) >= 8 else text + "x" * (8 - len(text))
+        text = text if issued or len(text) >= 8 else text + "x" * (8 - len(text))
         out.append(describe(text, around, path, issued) | {"label": label})
     return out
 
@@ -143,6 +166,12 @@ def _starts(sizes: Column, group: int = 64) -> Column:
     return F.flatten(F.zip_with(F.slice(begins, 1, F.size(groups)), groups, each))
 
 
+def _value(match: Column) -> Column:
+    """The part of a match that is the secret: a password or value, else all of it. It ends where the match ends, but for an address's at sign."""
+    whole_match = F.when(match.rlike(ISSUED), match).otherwise(F.concat(*[F.regexp_extract(match, VALUE, i) for i in (1, 2, 3)]))
+    return F.when(match.rlike(PASSWORD), F.regexp_extract(match, PASSWORD, 1)).otherwise(whole_match)
+
+
 def _parts(line: Column, sizes: Column) -> Column:
     """For each match of the line: where its value starts, the value, whether an issuer's format, and the words around.
 
@@ -152,11 +181,11 @@ def _parts(line: Column, sizes: Column) -> Column:
     def part(at: Column, i: Column) -> Column:
         match = F.get(line, i)
         issued = match.rlike(ISSUED)
-        value = F.when(issued, match).otherwise(F.regexp_extract(match, VALUE, 1))
+        value, tail = _value(match), F.when(match.rlike(PASSWORD), 1).otherwise(0)
         first = F.greatest(i - NEAR, F.lit(0))
         before = F.right(F.array_join(F.slice(line, first + 1, i - first), ""), F.lit(AROUND))
         after = F.left(F.array_join(F.slice(line, i + 2, F.lit(NEAR)), ""), F.lit(AROUND))
-        return F.struct((at + F.length(match) - F.length(value)).alias("start"), value.alias("candidate"), issued.alias("issued"), _lower(F.concat(before, F.lit(" "), after)).alias("around"))
+        return F.struct((at + F.length(match) - F.length(value) - tail).alias("start"), value.alias("candidate"), issued.alias("issued"), _lower(F.concat(before, F.lit(" "), after)).alias("around"))
 
     odd = F.filter(_starts(sizes), lambda _, i: i % 2 == 1)
     return F.transform(odd, lambda at, j: part(at, 2 * j + 1))
@@ -219,7 +248,8 @@ def redact(docs: DataFrame, trees: list | tuple | None = None, threshold: float
 
     def put(part: Column, i: Column) -> Column:
         f = F.get("found", F.floor(i / 2).cast("int"))
-        masked = F.concat(F.left(part, F.length(part) - F.length(f["candidate"])), F.lit(mask))
+        tail = F.when(part.rlike(PASSWORD), 1).otherwise(0)
+        masked = F.concat(F.left(part, F.length(part) - F.length(f["candidate"]) - tail), F.lit(mask), F.right(part, tail))
         return F.when((i % 2 == 1) & f["secret"], masked).otherwise(part)
 
     text = F.when(F.exists("found", lambda f: f["secret"]), F.array_join(F.transform("line", put), "")).otherwise(F.col("doc.text"))
