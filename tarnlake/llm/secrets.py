@@ -116,7 +116,7 @@ def labelled_findings(n: int = 2400, seed: int = 11) -> list[dict[str, float]]:
         elif kind <= 2:
             text = "".join(rng.choices(rng.choice(alphabets), k=rng.randrange(12, 65)))
             issued, label = rng.random() < 0.3, 1
-            if rng.random() < 0.12:  # a real-looking key in an example
+            if rng.random() < 0.2:  # a real-looking key in an example
                 path, around, label = rng.choice(odd_paths), " for example replace this dummy ", 0
             elif rng.random() < 0.2:
                 path = rng.choice(odd_paths)
