@@ -10,7 +10,9 @@ bound reaches the k-th score, so the search is exact. Neighbours vote by distanc
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import pickle
+import uuid
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pyarrow as pa
@@ -83,13 +85,13 @@ class Model:
         at = np.searchsorted(term, own)
         value = (1 + np.log(count)) * weight[at]
         norm = np.sqrt(np.bincount(text, value**2, n) + COMMON_WEIGHT**2)
-        value /= norm[text]
+        value = (value / norm[text]).astype(np.float32).astype(float)  # as it is sent
         often = np.bincount(at, minlength=len(term)) > FREQUENT * n
         column = np.where(often, np.cumsum(often) - 1, -1)
         full = np.zeros((-(-n // BLOCK) * BLOCK, int(often.sum()) + 1))
         dense = column[at] >= 0
         full[text[dense], column[at[dense]]] = value[dense]
-        full[:n, -1] = COMMON_WEIGHT / norm
+        full[:n, -1] = (COMMON_WEIGHT / norm).astype(np.float32)
         at, text, value = at[~dense], text[~dense], value[~dense]
         order = np.lexsort((text, at))
         at, text, value = at[order], text[order], value[order]
@@ -97,6 +99,19 @@ class Model:
         most = np.maximum.reduceat(value, new) if len(at) else value
         return Model(term, weight, doc, toxic, column, full, np.searchsorted(at[new], np.arange(len(term) + 1)), text[new] // BLOCK, most, np.append(new, len(at)), text, value)
 
+    def packed(self) -> bytes:
+        """All of it in few bytes, for the copies that every executor keeps on disk: numbers of single precision, which these are, and the smallest whole ones."""
+        small = lambda x: x.astype(np.float32) if x.dtype == float else x.astype(np.min_scalar_type(int(x.max()))) if len(x) and x.min() >= 0 and x.dtype != np.uint64 else x
+        sent = {f.name: getattr(self, f.name) for f in fields(self)}
+        body = pickle.dumps({k: v if k == "weight" else small(v) for k, v in sent.items()}, protocol=5)
+        return pickle.dumps((len(body), pa.compress(body, "zstd", asbytes=True)))
+
+    @staticmethod
+    def unpacked(sent: bytes) -> Model:
+        size, body = pickle.loads(sent)
+        parts = pickle.loads(pa.decompress(body, size, "zstd", asbytes=True))
+        return Model(**{k: v.astype(float) if v.dtype == np.float32 else v.astype(np.int64) if v.dtype.kind in "iu" and k != "term" else v for k, v in parts.items()})
+
     def nearest(self, text: np.ndarray, term: np.ndarray, count: np.ndarray, n: int, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """(example, similarity) of the k nearest of n texts with such words, ties to the smaller place; -1 where there are fewer. Words of no example have no weight."""
         blocks, k = len(self.full) // BLOCK, min(k, len(self.doc))
@@ -153,6 +168,9 @@ class Model:
         return ((votes * self.toxic[place]).sum(axis=1) + 2 * self.toxic.mean()) / (votes.sum(axis=1) + 2)
 
 
+_OPENED: dict[str, Model] = {}
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = MAX_EXAMPLES, most_postings: int = MAX_POSTINGS) -> Model | None:
     """A model from docs (doc_id, text) and labels (doc_id, toxic 0 or 1; where rows differ, the greater); None without a labelled text.
 
@@ -209,10 +227,13 @@ def classify(docs: DataFrame, model: Model | None, evidence: int = 3) -> DataFra
     checkpoints.ensure(docs.sparkSession)
     if model is None:
         return base
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent, name = docs.sparkSession.sparkContext.broadcast(model.packed()), uuid.uuid4().hex
 
     def judge(batches):
-        own = sent.value
+        if name not in _OPENED:  # a worker keeps the model that it works with
+            _OPENED.clear()
+            _OPENED[name] = Model.unpacked(sent.value)
+        own = _OPENED[name]
         for batch in batches:
             for part in W.slices(batch, "text", SLICE_BYTES):
                 column = dict(zip(part.schema.names, part.columns, strict=True))
