@@ -4,16 +4,22 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 from datetime import UTC, datetime, timedelta
 
 from .plans import replay as replays
 from .plans.lake import Lake
 from .plans.models import build
-from .quality import checks, contracts, reconcile
+from .quality import alerts, checks, contracts, metrics, reconcile
 from .session import session
 from .sources import raw
 from .sources.table import Table
+from .streaming import landing
+
+
+#: Names the address that failures are posted to; without it, or where it fails, they go to the table ``alerts``.
+WEBHOOK = "TARNLAKE_WEBHOOK"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -31,6 +37,7 @@ def parser() -> argparse.ArgumentParser:
 
     command("ingest", "raw", file={"action": "append", "required": True}, date={})
     command("land", "root", "path", batch_id={})
+    command("stream", "root", "path", marts={"action": "store_true", "help": "bring Silver and the daily mart up to date too"})
     command("refine", "root", lookback_days={"type": int, "default": 3}, start_date={}, end_date={}, whole_last_day={"action": "store_true"})
     command("marts", "root", full={"action": "store_true"})
     command("replay", "root", mode={"choices": sorted(replays.MODES), "default": "backfill"}, start_date={}, end_date={}, requested_by={"default": "unknown"}, dry_run={"action": "store_true"}, audit={})
@@ -75,7 +82,12 @@ def models_command(lake: Lake, a: argparse.Namespace) -> int:
         print(json.dumps(names))
         return 0
     failed = []
-    told = lambda n, e: failed.append({"model": n, "error": str(e)[:500]})
+    hook = os.environ.get(WEBHOOK)
+    alert = alerts.in_turn(*([alerts.webhook(hook)] if hook else []), alerts.to_table(lake.table("alerts")))
+
+    def told(name: str, error: Exception) -> None:
+        failed.append({"model": name, "error": str(error)[:500], "alerted": alert(name, error)})
+
     try:
         built = registry.run(names, lake.materialise, getattr(a, "retries", 0), getattr(a, "wait", 0.0), told)
     except Exception:
@@ -92,16 +104,17 @@ def main(argv: list[str] | None = None) -> int:
         out = contracts.diff(contracts.load(a.old), contracts.load(a.new))
         print(json.dumps(out, indent=2))
         return int(out["overall_status"] == "BREAKING")
-    if a.command == "ingest":
-        print(raw.ingest(a.file, a.raw, a.date))
-        return 0
+    metrics.json_logs()
     spark = session(master=a.master, **{k.replace(".", "__"): v for k, v in (x.split("=", 1) for x in a.conf)})
     now = datetime.now(UTC).replace(tzinfo=None, microsecond=0)
+    if a.command == "ingest":
+        print(raw.ingest(spark, a.file, a.raw, a.date))
+        return 0
     if a.command == "contract-validate":
         contract = contracts.load(a.contract)
-        out = contracts.validate_csv(spark, a.data, contract, a.strict)
+        out = contracts.validate_csv(spark, a.data, contract, a.strict, now)
         if not out["valid"] and a.quarantine:
-            out["quarantine"] = contracts.quarantine(a.data, out["violations"], a.quarantine)
+            out["quarantine"] = contracts.quarantine(spark, a.data, out["violations"], a.quarantine)
         print(json.dumps(out, indent=2))
         return int(not out["valid"])
     if a.command == "raw-checks":
@@ -138,6 +151,10 @@ def main(argv: list[str] | None = None) -> int:
         return reconcile.exit_code(results)
     if a.command == "land":
         out = lake.land(a.path, now, a.batch_id)
+    elif a.command == "stream":
+        out = landing.land(lake, a.path, now)
+        if a.marts and lake.table("bronze").exists():
+            out["merged"] = landing.marts(lake, landing.bronze_stream(lake), now)
     elif a.command == "refine":
         out = lake.refine(now, timedelta(days=a.lookback_days), (a.start_date, a.end_date) if a.start_date and a.end_date else None, whole_last_day=a.whole_last_day)
     elif a.command == "marts":

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import functions as fn
-from .operators import cleaning, dimensions, facts, joins, sessions
+from .operators import cleaning, dimensions, facts, heat, joins, sessions
 from .quality import checks, reconcile
 from .sources.adapter import CLICKSTREAM_SQL, clickstream
 
@@ -344,6 +344,21 @@ def scd2_overlap(spark, sf_dir):
     return dimensions.overlapping_versions(h.withColumn("valid_to", longer))
 
 
+@query(
+    "scd2_overlapping_pairs",
+    HISTORY
+    + """, broken AS (SELECT * REPLACE (valid_to + INTERVAL 2 DAY AS valid_to) FROM history WHERE product_version % 5 = 0 UNION ALL SELECT * FROM history WHERE product_version % 5 <> 0)
+SELECT a.product_id, a.product_version AS earlier, b.product_version AS later, a.valid_from AS earlier_from, b.valid_from AS later_from
+FROM broken a JOIN broken b ON a.product_id = b.product_id AND (a.valid_from < b.valid_from OR (a.valid_from = b.valid_from AND a.product_version < b.product_version))
+  AND (a.valid_to IS NULL OR b.valid_from < a.valid_to)""",
+)
+def scd2_overlapping_pairs(spark, sf_dir):
+    """The pairs behind scd2_overlap, each once."""
+    h = dimensions.product_history(enriched(spark, sf_dir))
+    longer = F.when(F.col("product_version") % 5 == 0, F.col("valid_to") + F.expr("INTERVAL 2 DAY")).otherwise(F.col("valid_to"))
+    return dimensions.overlapping_pairs(h.withColumn("valid_to", longer))
+
+
 @query("fact_events_asof", FACTS + " SELECT * FROM fact_events")
 def fact_events_asof(spark, sf_dir):
     return Star(spark, sf_dir).events
@@ -356,6 +371,22 @@ def fact_events_asof_salted(spark, sf_dir):
     return joins.asof_join(s.events.drop("product_key"), s.products, "product_id", carry=["product_key"], salts=4).select("event_key", "product_key")
 
 
+@query("fact_events_asof_sliced", FACTS + " SELECT event_key, product_key FROM fact_events")
+def fact_events_asof_sliced(spark, sf_dir):
+    """The as-of join with each product's time cut into hours, every slice handing its last version on."""
+    s = Star(spark, sf_dir)
+    return joins.asof_join(s.events.drop("product_key"), s.products, "product_id", carry=["product_key"], slice_seconds=3600).select("event_key", "product_key")
+
+
+@query("fact_events_asof_hot", FACTS + " SELECT event_key, product_key FROM fact_events")
+def fact_events_asof_hot(spark, sf_dir):
+    """The as-of join with the products sliced that a sketch finds to have a hundredth of all events."""
+    s = Star(spark, sf_dir)
+    events = s.events.drop("product_key")
+    hot = heat.hot_keys(events, "product_id", share=0.01, least=1)
+    return joins.asof_join(events, s.products, "product_id", carry=["product_key"], slice_seconds=3600, hot=hot).select("event_key", "product_key")
+
+
 @query("asof_by_interval", FACTS + " SELECT event_key, product_key FROM fact_events")
 def asof_by_interval(spark, sf_dir):
     s = Star(spark, sf_dir)
@@ -437,6 +468,19 @@ def customer_retention(spark, sf_dir):
     return facts.retention(_grid(spark, sf_dir))
 
 
+@query("customer_retention_bitmaps", _GRID + " SELECT * FROM kept")
+def customer_retention_bitmaps(spark, sf_dir):
+    """Retention from bitmaps by cohort and month, without a row for each customer and month."""
+    return facts.retention_from(facts.cohort_bitmaps(_orders_as_purchases(spark, sf_dir)))
+
+
+@query("active_users_merged", "SELECT event_type, CAST(date_trunc('month', ts) AS DATE) AS month, count(DISTINCT user_id) AS active_users FROM events GROUP BY ALL")
+def active_users_merged(spark, sf_dir):
+    """Exact distinct users of a month, merged from bitmaps by day."""
+    days = facts.id_bitmaps(_table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")), ["day", "event_type"])
+    return facts.distinct_ids(days.withColumn("month", F.trunc("day", "MM")), ["event_type", "month"])
+
+
 @query("retention_month0", _GRID + " SELECT cohort_month, retention_rate FROM kept WHERE months_since_first_purchase = 0 AND retention_rate <> 1.0")
 def retention_month0(spark, sf_dir):
     return facts.retention(_grid(spark, sf_dir)).filter("months_since_first_purchase = 0 AND retention_rate <> 1.0").select("cohort_month", "retention_rate")

@@ -9,11 +9,11 @@ from ..functions import date_key, months_between, ratio
 from .joins import asof_join, small
 
 
-def fact_events(enriched: DataFrame, dates: DataFrame, customers: DataFrame, products: DataFrame, salts: int = 1) -> DataFrame:
+def fact_events(enriched: DataFrame, dates: DataFrame, customers: DataFrame, products: DataFrame, salts: int = 1, slice_seconds: int | None = None, hot: list | None = None) -> DataFrame:
     """One row for each event, with the keys of its day, its customer, and the product version of its time."""
     dated = enriched.withColumn("_day", F.col("event_time").cast("date")).join(small(dates.select("date_key", F.col("date_day").alias("_day"))), "_day", "left").drop("_day")
     named = dated.join(customers.select("user_id", "customer_key"), "user_id", "left")
-    keyed = asof_join(named, products, "product_id", carry=["product_key"], salts=salts)
+    keyed = asof_join(named, products, "product_id", carry=["product_key"], salts=salts, slice_seconds=slice_seconds, hot=hot)
     keep = ["event_key", "session_id", "user_session_seq", "date_key", "customer_key", "product_key", "product_id", "user_id", "event_type", "price", "event_time", "raw_user_session", "ingested_at", "batch_id"]
     return keyed.withColumnRenamed("user_session", "raw_user_session").select(*[c for c in keep if c in keyed.columns or c == "raw_user_session"])
 
@@ -80,6 +80,37 @@ def retention(grid: DataFrame) -> DataFrame:
     return kept.join(size, "cohort_month").select("cohort_month", "months_since_first_purchase", "cohort_size", "retained_count", ratio(F.col("retained_count"), F.col("cohort_size")).alias("retention_rate"))
 
 
+def id_bitmaps(rows: DataFrame, by: list[str], key: str = "user_id") -> DataFrame:
+    """The distinct whole-number ids of each group as bitmaps of bounded size, one for each stretch of ids: ``by``, bucket, bits. Parts by finer groups merge into coarser ones (``distinct_ids``) without the rows. Null ids are left out."""
+    at = F.col(key).cast("long")
+    return rows.filter(at.isNotNull()).groupBy(*by, F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
+
+
+def distinct_ids(bitmaps: DataFrame, by: list[str], name: str = "active_users") -> DataFrame:
+    """How many distinct ids each group has, exactly, from bitmaps by these or finer groups."""
+    return bitmaps.groupBy(*by, "bucket").agg(F.bitmap_or_agg("bits").alias("bits")).groupBy(*by).agg(F.sum(F.bitmap_count("bits")).alias(name))
+
+
+def cohort_bitmaps(purchases: DataFrame) -> DataFrame:
+    """cohort_month, activity_month, bucket, bits: which customers of a cohort bought in a month. Rows of a month can be made anew alone; there is no row for each customer and month."""
+    month = F.trunc(F.col("purchased_at").cast("date"), "MM")
+    bought = purchases.filter("user_id IS NOT NULL").groupBy("user_id", month.alias("activity_month")).agg(F.count("*").alias("n"))
+    first = bought.groupBy("user_id").agg(F.min("activity_month").alias("cohort_month"))
+    return id_bitmaps(bought.join(first, "user_id"), ["cohort_month", "activity_month"])
+
+
+def retention_from(bitmaps: DataFrame) -> DataFrame:
+    """The retention of ``retention(cohort_grid(...))``, from cohort bitmaps: every cohort with every month from its own to the last, months without a purchase too."""
+    kept = distinct_ids(bitmaps, ["cohort_month", "activity_month"], "retained_count")
+    size = kept.filter("activity_month = cohort_month").select("cohort_month", F.col("retained_count").alias("cohort_size"))
+    last = kept.agg(F.max("activity_month").alias("last"))
+    months = F.explode(F.sequence("cohort_month", "last", F.expr("INTERVAL 1 MONTH")))
+    every = size.join(F.broadcast(last)).select("cohort_month", "cohort_size", months.alias("activity_month"))  # a row for each cohort and month
+    n = F.coalesce("retained_count", F.lit(0).cast("long"))
+    out = every.join(kept, ["cohort_month", "activity_month"], "left")
+    return out.select("cohort_month", months_between(F.col("activity_month"), F.col("cohort_month")).alias("months_since_first_purchase"), "cohort_size", n.alias("retained_count"), ratio(n, F.col("cohort_size")).alias("retention_rate"))
+
+
 def category_performance(purchases: DataFrame, products: DataFrame, key: str = "product_key") -> DataFrame:
     """Orders and revenue by category and month, against the category's month before (the one before that has rows)."""
     p = products.select(key, "category_l1")
@@ -94,4 +125,4 @@ def category_performance(purchases: DataFrame, products: DataFrame, key: str = "
     return prior.withColumns({"revenue_growth_rate": ratio(F.col("total_revenue") - F.col("prior_period_revenue"), F.col("prior_period_revenue")), "growth_rate_label": label})
 
 
-__all__ = ["category_performance", "cohort_grid", "daily_rollup", "daily_summary", "date_key", "fact_events", "fact_purchases", "retention"]
+__all__ = ["category_performance", "cohort_bitmaps", "cohort_grid", "daily_rollup", "daily_summary", "date_key", "distinct_ids", "fact_events", "fact_purchases", "id_bitmaps", "retention", "retention_from"]

@@ -13,13 +13,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, dimensions, facts, joins, sessions
+from ..operators import cleaning, dimensions, facts, heat, joins, sessions
 from ..quality import metrics, reconcile
 from ..sources import raw
 from ..sources.table import Table
 from .daily import Daily
+from .registry import record_lineage
 
 WATERMARK = "pipeline_name string, last_processed_event_time timestamp, updated_at timestamp, last_batch_id string"
+#: Hot users and products are sliced by days.
+SLICE = 86_400
 #: Raw files that one read counts; reconciliation sums over all blocks of files.
 FILES = 10_000
 LOG = logging.getLogger("tarnlake")
@@ -32,6 +35,8 @@ class Lake:
 
     spark: SparkSession
     root: str
+    #: Rows from which on a user or product may be hot.
+    hot_rows: int = heat.LEAST
 
     def table(self, name: str) -> Table:
         return Table(self.spark, f"{self.root}/{name}")
@@ -56,11 +61,12 @@ class Lake:
         stamped = raw.stamp_lineage(valid.withColumnRenamed("source_file", "_file"), batch_id, now, "").withColumn("source_file", F.col("_file")).drop("_file")
         bronze.append(stamped, ["event_date"], metrics={"files": files})
         rows.unpersist()
-        self.told("bronze", began, batch_id, now, counts["rows"], counts["valid"], quarantined_rows=counts["quarantined"])
+        self.told("bronze", began, batch_id, now, counts["rows"], counts["valid"], [path], "bronze", quarantined_rows=counts["quarantined"], null_rate_pct=counts["quarantine_pct"])
         return counts | {"batch_id": batch_id}
 
-    def told(self, layer: str, began: float, batch_id: str, now: datetime, rows_in: int, rows_out: int, **more) -> None:
-        """A row of pipeline_metrics and a line of the log, from counts that a job has already."""
+    def told(self, layer: str, began: float, batch_id: str, now: datetime, rows_in: int, rows_out: int, inputs: list[str], output: str, **more) -> None:
+        """A row of pipeline_metrics, one of lineage_events and a line of the log, from figures that a job has already."""
+        record_lineage(self.table("lineage_events"), layer, batch_id, inputs, self.table(output), now)
         row = metrics.record(self.table("pipeline_metrics"), layer, rows_in, rows_out, round(time.monotonic() - began, 3), batch_id, now=now, **more)
         LOG.info("%s done", layer, extra=row)
 
@@ -122,7 +128,7 @@ class Lake:
             batch.unpersist()
         nulls = 100 * (counts["rows_in"] - counts["rows_out"]) / counts["rows_in"]
         lag = int((now - datetime.fromisoformat(newest)).total_seconds())
-        self.told("silver", began, batch_id, now, counts["rows_in"], inserted, null_rate_pct=round(nulls, 4), watermark_lag_sec=lag, duplicate_rate_pct=figures.get("duplicate_rate_pct", 0.0))
+        self.told("silver", began, batch_id, now, counts["rows_in"], inserted, [f"bronze@{self.table('bronze').version()}"], "silver", null_rate_pct=round(nulls, 4), watermark_lag_sec=lag, duplicate_rate_pct=figures.get("duplicate_rate_pct", 0.0))
         return counts | {"inserted": inserted, "batch_id": batch_id}
 
     def _verified(self, commit, batch: DataFrame) -> dict:
@@ -138,13 +144,21 @@ class Lake:
     # -- Gold -------------------------------------------------------------------
 
     def star(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """fact_events, fact_purchases and the product history, from Silver. Enriched events are stored once and read by all that build on them."""
-        e = cleaning.keep_latest(self.table("silver").read(), ["event_key"], ["ingested_at", "source_file"])
-        stored = self.table("int_events_enriched")
-        stored.overwrite(joins.enrich(sessions.sessionize(e), cleaning.latest_products(e)))
+        """fact_events, fact_purchases and the product history, from Silver.
+
+        Enriched events are stored once for each version of Silver and read by all that build on them. Users
+        and products with a large share of the events are found by a sketch and sliced by time.
+        """
+        silver, stored = self.table("silver"), self.table("int_events_enriched")
+        version = silver.version()
+        if not stored.exists() or stored.commits(after=stored.version() - 1)[-1].metrics.get("silver_version") != version:
+            e = cleaning.keep_latest(silver.read(version), ["event_key"], ["ingested_at", "source_file"])
+            users = heat.hot_keys(silver.read(version), "user_id", least=self.hot_rows)
+            stored.overwrite(joins.enrich(sessions.sessionize(e, slice_seconds=SLICE, hot=users), cleaning.latest_products(e)), metrics={"silver_version": version})
         full = stored.read()
-        history = dimensions.product_history(full)
-        events = facts.fact_events(full, dimensions.date_dimension(self.spark), dimensions.customer_dimension(full), history)
+        hot = heat.hot_keys(full, "product_id", least=self.hot_rows)
+        history = dimensions.product_history(full, SLICE, hot)
+        events = facts.fact_events(full, dimensions.date_dimension(self.spark), dimensions.customer_dimension(full), history, slice_seconds=SLICE, hot=hot)
         return events, facts.fact_purchases(events), history
 
     def materialise(self, model, df: DataFrame) -> DataFrame:
@@ -178,7 +192,7 @@ class Lake:
         return reconcile.compare(self.spark, pairs)
 
     def daily(self) -> Daily:
-        return Daily(*[self.table(n) for n in ("silver", "product_days", "mart_daily_summary", "mart_pending", "mart_state")])
+        return Daily(*[self.table(n) for n in ("silver", "product_days", "mart_daily_summary", "mart_pending", "mart_state")], least=self.hot_rows)
 
     def rebuild_daily(self, now: datetime, dates: list[str] | None = None, full: bool = False) -> int:
         """Bring the daily mart up to Silver's last commit (see ``daily``); the given days are counted anew besides. Returns the rows that were written."""
@@ -186,5 +200,10 @@ class Lake:
         done = self.daily().rebuild(now, dates, full)
         if done is None:
             return 0
-        self.told("gold", began, uuid.uuid4().hex[:8], now, done[1], done[0])
+        self.told("gold", began, uuid.uuid4().hex[:8], now, done[1], done[0], [f"{n}@{self.table(n).version()}" for n in ("silver", "product_days")], "mart_daily_summary", watermark_lag_sec=self._lag(now))
         return done[0]
+
+    def _lag(self, now: datetime) -> int:
+        """Seconds from the stored watermark to now; 0 without one."""
+        last = self.watermark()
+        return int((now - last).total_seconds()) if last else 0

@@ -132,6 +132,16 @@ def from_manifest(path: str) -> dict:
     return {"nodes": nodes, "links": links}
 
 
+LINEAGE = "run_id string, job string, event_type string, event_time timestamp, inputs array<string>, output string, output_version int, fields array<struct<name: string, type: string>>"
+
+
+def record_lineage(table, job: str, run_id: str, inputs: list[str], output, now: datetime, kind: str = "COMPLETE") -> None:
+    """A row for what a job has read and which version of a table it wrote, with that version's columns; inputs are paths or ``table@version``."""
+    version = output.version()
+    fields = [(f.name, f.dataType.simpleString()) for f in output.schema(version)] if version >= 0 else []
+    table.append(table.spark.createDataFrame([(run_id, job, kind, now, inputs, output.path.rsplit("/", 1)[-1], version, fields)], LINEAGE))
+
+
 def lineage_event(job: str, inputs: list[DataFrame], output: DataFrame, name: str, kind: str = "COMPLETE", sink: str | None = None, now: datetime | None = None) -> dict:
     """A run event with all files that the inputs read and the schemas of both sides, appended as a JSON line where a sink is given."""
 

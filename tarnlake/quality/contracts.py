@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import json
-import shutil
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import store
 from ..sources.table import Table
 
 REGISTRY = "dataset_name string, version string, owner string, compatibility_status string, sla_max_latency_hours int, last_validated_at timestamp, validation_status string, active_flag boolean"
 _TYPES = {"bigint": "long", "int": "integer", "timestamp_ntz": "timestamp"}
 
 
-def load(path: str) -> dict:
-    """A contract from YAML, or from JSON where YAML cannot be read here."""
-    text = Path(path).read_text(encoding="utf-8")
+def load(path: str, spark: SparkSession | None = None) -> dict:
+    """A contract from YAML, or from JSON where YAML cannot be read here; with a session from any store, else a local file."""
+    if spark is not None:
+        text = store.read(spark, path)
+    else:
+        with open(path, encoding="utf-8") as f:
+            text = f.read()
     try:
         import yaml
     except ImportError:
@@ -84,22 +87,20 @@ def violations(rows: DataFrame, contract: dict, strict: bool = False, now: datet
     return spark.createDataFrame(out, "rule string, column_name string, violations long")
 
 
-def validate_csv(spark: SparkSession, path: str, contract: dict, strict: bool = False) -> dict:
+def validate_csv(spark: SparkSession, path: str, contract: dict, strict: bool = False, now: datetime | None = None) -> dict:
     """valid, violations and rows_checked of a CSV file with a header; all values are read as text."""
     rows = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    found = [r.asDict() for r in violations(rows, contract, strict).collect()]
+    found = [r.asDict() for r in violations(rows, contract, strict, now).collect()]
     return {"valid": not found, "violations": found, "rows_checked": rows.count()}
 
 
-def quarantine(path: str, found: list[dict], folder: str, now: datetime | None = None) -> str:
-    """Move a violating file aside, with its violations as JSON beside it."""
+def quarantine(spark: SparkSession, path: str, found: list[dict], folder: str, now: datetime | None = None) -> str:
+    """Move a violating file aside, to whatever store, with its violations as JSON beside it."""
     now = now or datetime.now(UTC)
-    target = Path(folder)
-    target.mkdir(parents=True, exist_ok=True)
-    name = f"{now:%Y%m%d_%H%M%S}_{Path(path).name}"
-    shutil.move(path, target / name)
-    (target / f"{name}.json").write_text(json.dumps({"source_file": path, "quarantined_at": now.isoformat(), "violations": found}, indent=2))
-    return str(target / f"{name}.json")
+    target = f"{store.make(spark, folder.rstrip('/'))}/{now:%Y%m%d_%H%M%S}_{path.rstrip('/').rsplit('/', 1)[-1]}"
+    store.write(spark, f"{target}.json", json.dumps({"source_file": path, "quarantined_at": now.isoformat(), "violations": found}, indent=2))
+    store.retrying(lambda: store.copy(spark, path, target, move=True))
+    return f"{target}.json"
 
 
 def register(registry: Table, contract: dict, status: str, validation: str, now: datetime) -> None:

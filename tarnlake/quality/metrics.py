@@ -36,6 +36,19 @@ def observed(rows: DataFrame, name: str = "rows") -> tuple[DataFrame, Observatio
     return rows.observe(seen, F.count(F.lit(1)).alias("n")), seen
 
 
+def json_logs(level: int = logging.INFO, stream=None) -> logging.Handler:
+    """The engine's log as JSON lines, on standard error unless a stream is given; a second call replaces the first's handler."""
+    log = logging.getLogger("tarnlake")
+    for old in [h for h in log.handlers if isinstance(h.formatter, JsonFormatter)]:
+        log.removeHandler(old)
+    handler = logging.StreamHandler(stream)
+    handler.setFormatter(JsonFormatter())
+    log.addHandler(handler)
+    log.setLevel(level)
+    log.propagate = False
+    return handler
+
+
 class JsonFormatter(logging.Formatter):
     """One JSON object a line, with all that was passed as ``extra``."""
 

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import json
-import shutil
 import time
 from collections.abc import Callable
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import store
+
 EVENT_SCHEMA = T.StructType(
     [
         T.StructField("event_time", T.TimestampType(), False),
@@ -33,9 +33,7 @@ ZONES = ("raw", "bronze", "silver", "gold", "reference", "logs")
 
 def files(spark: SparkSession, path: str) -> list[str]:
     """The CSV files that a path (a file, a folder with partitions, or a pattern) names, found by listing alone."""
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    p = hadoop.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs, p = store.at(spark, path)
     out = []
     for status in fs.globStatus(p) or []:
         if status.isFile():
@@ -85,44 +83,27 @@ def stamp_lineage(df: DataFrame, batch_id: str, ingested_at: datetime, source: s
     })
 
 
-def retrying(action: Callable, attempts: int = 5, first_wait: float = 2.0, most: float = 30.0, sleep: Callable = time.sleep):
-    """Run an action again after failures, waiting twice as long each time."""
-    for i in range(attempts):
-        try:
-            return action()
-        except OSError:
-            if i == attempts - 1:
-                raise
-            sleep(min(most, first_wait * 2**i))
-
-
-def ingest(files: list[str], raw: str, day: str | None = None, sleep: Callable = time.sleep) -> str:
-    """Copy files into ``ingested_date=``; the ``_SUCCESS`` marker is written after all of them."""
-    folder = Path(raw) / f"ingested_date={day or datetime.now(UTC).date().isoformat()}"
-    folder.mkdir(parents=True, exist_ok=True)
+def ingest(spark: SparkSession, files: list[str], raw: str, day: str | None = None, sleep: Callable = time.sleep) -> str:
+    """Copy files, from whatever store, into ``ingested_date=``; the ``_SUCCESS`` marker is written after all of them."""
+    folder = store.make(spark, f"{raw.rstrip('/')}/ingested_date={day or datetime.now(UTC).date().isoformat()}")
+    name = lambda f: f.rstrip("/").rsplit("/", 1)[-1]
     for f in files:
-        retrying(lambda f=f: shutil.copyfile(f, folder / Path(f).name), sleep=sleep)
-    (folder / "_SUCCESS").write_text(json.dumps({"files": sorted(Path(f).name for f in files), "bytes": sum(Path(f).stat().st_size for f in files)}))
-    return str(folder)
+        store.retrying(lambda f=f: store.copy(spark, f, f"{folder}/{name(f)}"), sleep=sleep)
+    told = {"files": sorted(map(name, files)), "bytes": sum(store.size(spark, f"{folder}/{name(f)}") for f in files)}
+    store.retrying(lambda: store.write(spark, f"{folder}/_SUCCESS", json.dumps(told)), sleep=sleep)
+    return folder
 
 
-def create_zones(root: str) -> list[str]:
+def create_zones(spark: SparkSession, root: str) -> list[str]:
     """The folders of all zones."""
-    made = [Path(root) / z for z in ZONES]
-    for p in made:
-        p.mkdir(parents=True, exist_ok=True)
-    return [str(p) for p in made]
+    return [store.make(spark, f"{root.rstrip('/')}/{z}") for z in ZONES]
 
 
-def head_sample(source: str, target: str, lines: int = 50_000) -> int:
-    """The first lines, the header among them, streamed from one file to another."""
-    n = 0
-    with open(source, encoding="utf-8") as src, open(target, "w", encoding="utf-8") as out:
-        for n, line in enumerate(src, 1):  # noqa: B007
-            if n > lines:
-                return lines
-            out.write(line)
-    return n
+def head_sample(spark: SparkSession, source: str, target: str, lines: int = 50_000) -> int:
+    """The first lines, the header among them, from one file to another; the rest is not read."""
+    found = store.lines(spark, source, lines)
+    store.write(spark, target, "".join(f"{x}\n" for x in found))
+    return len(found)
 
 
 def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
@@ -134,9 +115,8 @@ def listing(spark: SparkSession, folder: str, glob: str = "*") -> DataFrame:
 def structural_checks(spark: SparkSession, folder: str, now: datetime, max_age_days: int = 30, min_bytes: int = 100_000, glob: str = "*.csv") -> list[dict]:
     """Five checks of a raw folder: it exists, has partitions, no empty files, is fresh, and large enough."""
     names = ("exists", "partitions", "non_empty", "fresh", "total_bytes")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    path = hadoop.Path(folder)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    fs, path = store.at(spark, folder)
+    if not fs.exists(path):
         return [{"check": n, "passed": False, "value": None} for n in names]
     r = listing(spark, folder, glob).agg(
         F.count("*").alias("files"), F.countDistinct(F.nullif("partition", F.lit(""))).alias("partitions"), F.count_if(F.col("length") == 0).alias("empty"),

@@ -236,11 +236,11 @@ class Table:
         schema = df.schema
         return self._attempt(lambda base: self._commit(operation, add, [], _merged(self.schema() if base >= 0 else None, schema), {"num_inserted": n} | (metrics or {}), base, by))
 
-    def overwrite(self, df: DataFrame, partition_by: list[str] | None = None) -> Commit:
+    def overwrite(self, df: DataFrame, partition_by: list[str] | None = None, metrics: dict | None = None) -> Commit:
         """A new snapshot; the rows may come from this very table."""
         by = partition_by or []
         add, n = self._write(df, self._ranged(df), by)
-        return self._attempt(lambda base: self._commit("OVERWRITE", add, [f["path"] for f in self.files()] if base >= 0 else [], df.schema, {"num_inserted": n}, base, by))
+        return self._attempt(lambda base: self._commit("OVERWRITE", add, [f["path"] for f in self.files()] if base >= 0 else [], df.schema, {"num_inserted": n} | (metrics or {}), base, by))
 
     def create_or_get(self, df: DataFrame, key: list[str] | None = None, partition_by: list[str] | None = None) -> bool:
         """Create from rows, one for each key; False where the table is there already."""

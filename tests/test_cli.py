@@ -22,7 +22,9 @@ def test_the_whole_way(spark, tmp_path, capsys):
     assert main(["replay", root, "--start-date", "2024-01-01", "--end-date", "2024-01-03", "--dry-run"]) == 0
     assert main(["history", f"{root}/silver"]) == 0 and main(["show", f"{root}/silver", "--version", "0"]) == 0
     assert main(["optimize", f"{root}/silver", "--zorder", "user_id", "--files", "2"]) == 0
-    assert "SUCCESS" not in capsys.readouterr().err
+    assert {"bronze", "silver", "gold"} <= {json.loads(x)["layer"] for x in capsys.readouterr().err.splitlines() if x.startswith("{")}
+    assert main(["stream", f"{root}2", str(tmp_path / "raw"), "--marts"]) == 0
+    assert json.loads(capsys.readouterr().out) == {"rows": 3, "valid": 2, "quarantined": 1, "merged": 2}
     (tmp_path / "v1.json").write_text(json.dumps({"columns": {"a": {"type": "long"}}}))
     (tmp_path / "v2.json").write_text(json.dumps({"columns": {}}))
     assert main(["contract-diff", str(tmp_path / "v1.json"), str(tmp_path / "v2.json")]) == 1

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tarnlake.plans.lake import Lake
 from tarnlake.plans.registry import Registry, from_manifest, lineage_event
 from tarnlake.plans.replay import days_between, replay, status_of
-from tarnlake.sources import raw
+from tarnlake.sources import raw, store
 from tarnlake.sources.table import CommitConflict, Table
 
 HEADER = "event_time,event_type,product_id,category_id,category_code,brand,price,user_id,user_session\n"
@@ -163,15 +163,15 @@ def test_registry(tmp_path, spark):
 
 def test_ingest_and_listing(spark, tmp_path):
     src = csv(tmp_path / "src" / "a.csv", [event(1)])
-    folder = raw.ingest([src], str(tmp_path / "raw"), "2024-01-01")
+    folder = raw.ingest(spark, [f"file:{src}"], str(tmp_path / "raw"), "2024-01-01")
     assert json.loads(open(f"{folder}/_SUCCESS").read())["files"] == ["a.csv"]
     rows = raw.listing(spark, str(tmp_path / "raw"), "*.csv").collect()
     assert [(r["partition"], r["length"] > 0) for r in rows] == [("ingested_date=2024-01-01", True)]
     checks = {c["check"]: c["passed"] for c in raw.structural_checks(spark, str(tmp_path / "raw"), datetime.now(), min_bytes=10)}
     assert all(checks.values())
     assert not any(c["passed"] for c in raw.structural_checks(spark, str(tmp_path / "none"), datetime.now()))
-    assert raw.head_sample(src, str(tmp_path / "head.csv"), 1) == 1 and open(tmp_path / "head.csv").read() == HEADER
-    assert len(raw.create_zones(str(tmp_path / "zones"))) == 6
+    assert raw.head_sample(spark, f"file:{src}", f"file:{tmp_path}/head.csv", 1) == 1 and open(tmp_path / "head.csv").read() == HEADER
+    assert len(raw.create_zones(spark, f"file:{tmp_path}/zones")) == 6
     waits, calls = [], []
 
     def flaky():
@@ -180,7 +180,7 @@ def test_ingest_and_listing(spark, tmp_path):
             raise OSError
         return "ok"
 
-    assert raw.retrying(flaky, sleep=waits.append) == "ok" and waits == [2, 4, 8]
+    assert store.retrying(flaky, sleep=waits.append) == "ok" and waits == [2, 4, 8]
 
 
 def test_reconciliation_counts_all_raw_files(spark, tmp_path, monkeypatch):

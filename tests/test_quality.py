@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 from tarnlake.quality import checks, contracts, metrics, reconcile
+from tarnlake.sources import store
 from tarnlake.sources.table import Table
 
 
@@ -24,8 +25,8 @@ def test_contract_files(spark, tmp_path):
     (tmp_path / "d.csv").write_text("a,b\n1,2\n ,3\n")
     out = contracts.validate_csv(spark, str(tmp_path / "d.csv"), contract)
     assert not out["valid"] and {v["rule"] for v in out["violations"]} == {"missing_required_column", "null_in_non_nullable_column"}
-    meta = contracts.quarantine(str(tmp_path / "d.csv"), out["violations"], str(tmp_path / "q"))
-    assert json.loads(open(meta).read())["violations"] and not (tmp_path / "d.csv").exists()
+    meta = contracts.quarantine(spark, f"file:{tmp_path}/d.csv", out["violations"], f"file:{tmp_path}/q")
+    assert json.loads(store.read(spark, meta))["violations"] and not (tmp_path / "d.csv").exists()
     registry = Table(spark, str(tmp_path / "r"))
     for v in ("1", "2", "2"):
         contracts.register(registry, contract | {"version": v}, "COMPATIBLE", "PASS", datetime(2024, 1, 1))
