@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..operators import cleaning
 from ..sources.adapter import CLICKSTREAM_SQL, clickstream
+from ..sources.partitions import Partitioned
 from ..sources.table import Table
 from ..streaming import events as streams
 from ..streaming import landing as landings
@@ -85,6 +86,17 @@ def replace_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.read()
 
 
+def partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same in Spark's own partitions, of which two are replaced and one is emptied."""
+    daily = lambda e: e.groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
+    e = _events(spark, sf_dir)
+    mart = Partitioned(spark, scratch(spark), "day", daily(e).schema)
+    mart.replace(daily(e.filter("event_id % 2 = 0")))
+    days = ["2024-01-05", "2024-01-06"]
+    mart.replace(daily(e.filter(F.to_date("ts").cast("string").isin(days))), [*days, "2024-01-07"])
+    return mart.read()
+
+
 def state_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A state table that is overwritten from itself."""
     e, t = _events(spark, sf_dir), Table(spark, scratch(spark))
@@ -214,7 +226,7 @@ def run_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (merge_insert_only, time_travel, table_history, zorder_read, replace_keys, state_upsert, model_tests, lineage_links, stream_merge, stream_sessions, rebuild_daily, landing, stream_landing, silver_incremental, stream_marts, replay_backfill, run_metrics)}
+    return {f.__name__: f for f in (merge_insert_only, time_travel, table_history, zorder_read, replace_keys, state_upsert, model_tests, lineage_links, stream_merge, stream_sessions, rebuild_daily, landing, stream_landing, silver_incremental, stream_marts, replay_backfill, run_metrics, partition_overwrite)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -236,6 +248,8 @@ def oracle_sql() -> dict[str, str]:
         "zorder_read": "SELECT event_id, user_id, value FROM events WHERE user_id BETWEEN 3 AND 8",
         "replace_keys": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events
 WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06') OR event_id % 2 = 0 GROUP BY ALL""",
+        "partition_overwrite": """SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events
+WHERE CAST(ts AS DATE) IN (DATE '2024-01-05', DATE '2024-01-06') OR (event_id % 2 = 0 AND CAST(ts AS DATE) <> DATE '2024-01-07') GROUP BY ALL""",
         "state_upsert": "SELECT event_type, max(ts) AS last_seen FROM events GROUP BY event_type",
         "rebuild_daily": c.FACTS + "," + c.DAILY + " SELECT * FROM daily",
         "landing": landed,
