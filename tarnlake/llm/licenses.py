@@ -3,7 +3,9 @@
 Candidates are the sentences of a text that speak of a licence, read twice: line by line, and with the
 lines of a paragraph joined after their comment marks are taken off, so that wrapped headers and whole
 licence texts count. A candidate's weighted words are joined with the templates' by word and summed; a
-template above the threshold names a licence, and a file may have several. Files without one take those
+template above the threshold names a licence, and a file may have several. A candidate must have the
+template's versions and just its modifiers (lesser, non-commercial, an exception...), however close they
+are otherwise, and one that says of something that it is not under a licence is none. Files without one take those
 of the nearest directory above that holds a licence file, by joins of paths with the directories above
 them. DataFrame functions only.
 """
@@ -79,9 +81,41 @@ SPDX = {
     "GPL-3.0-only": "GPL-3.0", "GPL-3.0-or-later": "GPL-3.0", "LGPL-2.1-only": "LGPL-2.1", "LGPL-2.1-or-later": "LGPL-2.1", "LGPL-3.0-only": "LGPL-3.0", "LGPL-3.0-or-later": "LGPL-3.0", "AGPL-3.0-only": "AGPL-3.0",
     "AGPL-3.0-or-later": "AGPL-3.0",
 }
+# Families of licences that differ in versions and modifiers alone: names, prose and ids of each by rule.
+_GNU = [("GPL", "GNU General Public License", ("1.0", "2.0", "3.0")), ("LGPL", "GNU Library General Public License", ("2.0",)), ("LGPL", "GNU Lesser General Public License", ("2.1", "3.0")), ("AGPL", "GNU Affero General Public License", ("1.0", "3.0"))]
+_OTHERS = [("MPL", "Mozilla Public License", ("1.0", "1.1", "2.0")), ("EPL", "Eclipse Public License", ("1.0", "2.0")), ("EUPL", "European Union Public Licence", ("1.1", "1.2")), ("BSL", "Boost Software License", ("1.0",)), ("Apache", "Apache License", ("1.1", "2.0")), ("OSL", "Open Software License", ("3.0",)), ("CDDL", "Common Development and Distribution License", ("1.0", "1.1")), ("Artistic", "Artistic License", ("1.0", "2.0"))]
+_COMMONS = [("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives")]
+
+
+def _by_rule() -> list[tuple[str, str]]:
+    out = []
+    for short, name, versions in _GNU + _OTHERS:
+        for v in versions:
+            own, plain = f"{short}-{v}", v.removesuffix(".0")
+            out += [(own, f"Licensed under the {name}, version {x}") for x in dict.fromkeys((plain, v))] + [(own, f"{name} v{v}"), (own, f"{name} version {plain}"), (own, f"Licensed under {short} {v}")]
+            out += [(own, f"SPDX-License-Identifier: {own}{end}") for end in (("", "-only", "-or-later") if (short, name, versions) in _GNU else ("",))]
+    for short, name in _COMMONS:
+        for v, kind in (("4.0", "International"), ("3.0", "Unported")):
+            own = f"CC-{short}-{v}"
+            out += [(own, f"Licensed under CC {short} {v}"), (own, f"Licensed under the Creative Commons {name} {v} {kind} License"), (own, f"This work is licensed under a Creative Commons {name} {v} {kind} License"), (own, f"SPDX-License-Identifier: {own}")]
+    for v in ("2.0", "3.0"):
+        for end in ("", "-only", "-or-later"):
+            out.append((f"GPL-{v}-with-classpath-exception", f"SPDX-License-Identifier: GPL-{v}{end} WITH Classpath-exception-2.0"))
+    return out
+
+
 TEMPLATES += [(name, f"SPDX-License-Identifier: {key}") for key, name in SPDX.items()]
+TEMPLATES = list(dict.fromkeys(TEMPLATES + _by_rule()))
+#: Words that make another licence of one, by what they come to; fixed values. Those of the second table only count beside a word of the third.
+MODIFIERS = {"lesser": "lesser", "lgpl": "lesser", "affero": "affero", "agpl": "affero", "noncommercial": "nc", "sharealike": "sa", "noderivatives": "nd", "noderivs": "nd", "exception": "exception", "exceptions": "exception", "classpath": "classpath"}
+BESIDE = {"nc": "nc", "sa": "sa", "nd": "nd", "library": "lesser"}
+COMPANY = ["cc", "commons", "gnu"]
+VERSION = r"^v?[0-9]{1,2}([.][0-9]{1,2})?$"
+#: Names a family; a candidate that has a version is one of its members.
+GENERIC = "GPL-1.0-or-later"
+NEGATED = r"(?i)(^|[^a-z])not (been |be )?(released|licen[sc]ed|under|covered|distributed under|available under)"
 #: A licence whose text holds the other one's.
-LARGER = {"BSD-2-Clause": "BSD-3-Clause", "GPL-1.0-or-later": "GPL-[23].0|LGPL-[23].[01]|AGPL-3.0"}
+LARGER = {"BSD-2-Clause": "BSD-3-Clause", "GPL-1.0-or-later": "L?GPL-[123].[01]|AGPL-[13].0|GPL-[23].0-with-classpath-exception"}
 THRESHOLD = 0.75
 CUE = r"[Ll][Ii][Cc][Ee][Nn][CcSs][Ee]|[Pp]ermission is hereby|[Pp]ermission to use|free software|SPDX|[Rr]edistribution and use|[Nn]either the name of|public domain|unencumbered|CC0|[Cc]reative [Cc]ommons"
 #: What stands before the words of a comment's line.
@@ -106,6 +140,13 @@ def template_weights(templates: list[tuple[str, str]]) -> tuple[list[tuple[str,
     return rows, idf, math.log(1 + n) + 1
 
 
+def decisive(text: str) -> tuple[list[str], list[str]]:
+    """The versions and the modifiers that a sentence has, sorted."""
+    terms = set(_terms(text))
+    beside = BESIDE if terms & set(COMPANY) else {}
+    return sorted({t.removeprefix("v").removesuffix(".0") for t in terms if re.search(VERSION, t)}), sorted({(MODIFIERS | beside)[t] for t in terms if t in MODIFIERS or t in beside})
+
+
 def _lower(value: Column) -> Column:
     return F.translate(value, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -139,13 +180,23 @@ def notices(files: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, thre
     weights = F.broadcast(spark.createDataFrame(rows, "license string, template int, word string, weight double"))  # the templates are a parameter
     own_idf = F.broadcast(spark.createDataFrame(list(idf.items()), "word string, idf double"))
     spoken = files.filter(F.col("path").isNotNull() & F.col("text").rlike(CUE))
-    said = spoken.select("path", F.explode_outer(_notices(F.col("text"))).alias("notice")).filter("notice IS NOT NULL")
+    said = spoken.select("path", F.explode_outer(_notices(F.col("text"))).alias("notice")).filter(F.col("notice").isNotNull() & ~F.col("notice").rlike(NEGATED))
     bags = said.select("path", F.xxhash64("notice").alias("notice"), F.explode_outer(F.regexp_extract_all(_lower(F.col("notice")), F.lit(_WORD), F.lit(0))).alias("word")).filter("word IS NOT NULL")
     counted = bags.groupBy("path", "notice", "word").agg(F.count("*").alias("n"))
     weighed = counted.join(own_idf, "word", "left").withColumn("w", F.col("n") * F.coalesce("idf", F.lit(unseen)))
-    norms = weighed.groupBy("path", "notice").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    word, named = F.col("word"), lambda table: F.coalesce(*[F.when(F.col("word") == k, v) for k, v in table.items()])
+    version = F.regexp_replace(F.regexp_replace(F.when(word.rlike(VERSION), word), "^v", ""), "[.]0$", "")
+    norms = weighed.groupBy("path", "notice").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_set(version).alias("versions"), F.collect_set(named(MODIFIERS)).alias("always"),
+        F.collect_set(named(BESIDE)).alias("beside"), F.bool_or(word.isin(COMPANY)).alias("company"),
+    )
+    modifiers = F.array_sort(F.array_union("always", F.when(F.col("company"), F.col("beside")).otherwise(F.array().cast("array<string>"))))
+    norms = norms.select("path", "notice", "norm", "versions", modifiers.alias("modifiers"))
+    marks = [(i, *decisive(text), name == GENERIC) for i, (name, text) in enumerate(templates)]
+    marks = F.broadcast(spark.createDataFrame(marks, "template int, need array<string>, own array<string>, generic boolean"))
+    agrees = (F.size(F.array_except("need", "versions")) == 0) & (F.col("own") == F.col("modifiers")) & ~(F.col("generic") & (F.size("versions") > 0))
     dots = weighed.join(weights, "word").groupBy("path", "notice", "license", "template").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
-    scored = dots.join(norms, ["path", "notice"]).select("path", "notice", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
+    scored = dots.join(norms, ["path", "notice"]).join(marks, "template").filter(agrees).select("path", "notice", "license", F.round(F.col("dot") / F.col("norm"), 6).alias("score")).filter(F.col("score") >= threshold)
     named = scored.groupBy("path", "notice").agg(F.max("score").alias("score"), F.collect_set(F.struct("license", "score")).alias("all"))
     told = named.select("path", F.explode("all").alias("t"), "score").filter(F.col("t.score") == F.col("score"))
     best = told.groupBy("path", F.col("t.license").alias("license")).agg(F.max("t.score").alias("score"))

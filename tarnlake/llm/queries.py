@@ -132,10 +132,14 @@ def _op1_sql() -> str:
     rows, idf, unseen = licenses.template_weights(licenses.TEMPLATES)
     quoted = ", ".join(f"('{a}', {i}, '{w}', CAST({x!r} AS DOUBLE))" for a, i, w, x in rows)
     known = ", ".join(f"('{w}', CAST({x!r} AS DOUBLE))" for w, x in idf.items())
+    texts = lambda values: "CAST([" + ", ".join(f"'{v}'" for v in values) + "] AS VARCHAR[])"
+    marks = ", ".join(f"({i}, {texts(need)}, {texts(own)}, {name == licenses.GENERIC})" for i, (name, text) in enumerate(licenses.TEMPLATES) for need, own in [licenses.decisive(text)])
+    case = lambda table: "CASE word " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in table.items()) + " END"
     within = " OR ".join(f"license = '{small}' AND regexp_matches(names, '(^| )({larger})( |$)')" for small, larger in licenses.LARGER.items())
     return rf"""
 WITH weights(license, template, word, weight) AS (VALUES {quoted}),
 idf(word, idf) AS (VALUES {known}),
+marks(template, need, own, generic) AS (VALUES {marks}),
 files AS (
   SELECT doc_id, text, CASE
       WHEN doc_id % 16 = 0 THEN coalesce(source, 'none') || '/LICENSE-' || doc_id
@@ -152,14 +156,22 @@ sentences AS (
   WHERE regexp_matches(notice, '{licenses.CUE}')),
 said AS (
   SELECT DISTINCT path, unnest(string_split(CASE WHEN contains(notice, 'SPDX') THEN regexp_replace(notice, '{licenses.OPERATORS}', chr(10) || 'SPDX-License-Identifier: ', 'g') ELSE notice END, chr(10))) AS notice
-  FROM sentences),
+  FROM sentences WHERE NOT regexp_matches(notice, '{licenses.NEGATED}')),
 counted AS (
   SELECT path, notice, word, count(*) AS n
   FROM (SELECT path, notice, unnest(regexp_extract_all(lower(notice), '{licenses._WORD}')) AS word FROM said) GROUP BY ALL),
 weighed AS (SELECT path, notice, word, n * coalesce(idf, CAST({unseen!r} AS DOUBLE)) AS w FROM counted LEFT JOIN idf USING (word)),
-norms AS (SELECT path, notice, sqrt(sum(w * w)) AS norm FROM weighed GROUP BY ALL),
+told AS (
+  SELECT path, notice, sqrt(sum(w * w)) AS norm, list_distinct(list(regexp_replace(regexp_replace(word, '^v', ''), '[.]0$', '')) FILTER (WHERE regexp_matches(word, '{licenses.VERSION}'))) AS versions,
+    list({case(licenses.MODIFIERS)}) AS always, list({case(licenses.BESIDE)}) AS beside, bool_or(word IN ({", ".join(f"'{w}'" for w in licenses.COMPANY)})) AS company
+  FROM weighed GROUP BY path, notice),
+norms AS (
+  SELECT path, notice, norm, coalesce(versions, []) AS versions,
+    list_sort(list_distinct(list_filter(list_concat(always, CASE WHEN company THEN beside ELSE [] END), lambda x: x IS NOT NULL))) AS modifiers FROM told),
 dots AS (SELECT path, notice, license, template, sum(w * weight) AS dot FROM weighed JOIN weights USING (word) GROUP BY ALL),
-scored AS (SELECT path, notice, license, round(dot / norm, 6) AS score FROM dots JOIN norms USING (path, notice) WHERE round(dot / norm, 6) >= {licenses.THRESHOLD}),
+scored AS (SELECT path, notice, license, round(dot / norm, 6) AS score
+  FROM dots JOIN norms USING (path, notice) JOIN marks USING (template)
+  WHERE round(dot / norm, 6) >= {licenses.THRESHOLD} AND list_has_all(versions, need) AND own = modifiers AND NOT (generic AND len(versions) > 0)),
 best AS (SELECT * FROM scored QUALIFY score = max(score) OVER (PARTITION BY path, notice)),
 named AS (SELECT *, (SELECT string_agg(DISTINCT b.license, ' ') FROM best b WHERE b.path = g.path) AS names FROM (SELECT path, license, max(score) AS score FROM best GROUP BY path, license) g),
 every AS (SELECT path, license, score FROM named WHERE NOT ({within})),

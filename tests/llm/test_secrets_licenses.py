@@ -88,6 +88,11 @@ def slow_score(notice):
     dots = {}
     for name, i, w, x in rows:
         dots[name, i] = dots.get((name, i), 0) + weight.get(w, 0) * x
+    versions, modifiers = licenses.decisive(notice)
+    marks = [licenses.decisive(t) for _, t in licenses.TEMPLATES]
+    dots = {(n, i): d for (n, i), d in dots.items() if set(marks[i][0]) <= set(versions) and marks[i][1] == modifiers and not (n == licenses.GENERIC and versions)}
+    if not dots:
+        return None
     score, name = max((round(d / norm, 6), [-ord(c) for c in n], n) for (n, _), d in dots.items())[::2]
     return (name, score) if score >= licenses.THRESHOLD else None
 
@@ -134,8 +139,12 @@ HEADERS = [
     (comment(MPL, "#"), "MPL-2.0"), ("Mozilla Public License Version 2.0\n==================================\n", "MPL-2.0"), ("ISC License\n\n" + "\n".join(ISC), "ISC"), (comment(ISC, "//"), "ISC"),
     ("This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy", "Unlicense"), ("Creative Commons Legal Code\n\nCC0 1.0 Universal\n", "CC0-1.0"), ("prose and more prose\nLicensed under CC BY-NC 4.0.\nand again prose", "CC-BY-NC-4.0"),
     ("text. This work is licensed under the GNU General Public License, version 3. text", "GPL-3.0"),
+    ("// SPDX-License-Identifier: CC-BY-NC-ND-4.0", "CC-BY-NC-ND-4.0"), ("Licensed under the Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.", "CC-BY-NC-SA-4.0"), ("# SPDX-License-Identifier: LGPL-2.0-only", "LGPL-2.0"),
+    ("Licensed under the GNU Lesser General Public License, version 2.1", "LGPL-2.1"), ("Licensed under the GNU General Public License, version 1", "GPL-1.0"), ("SPDX-License-Identifier: GPL-1.0-only", "GPL-1.0"), ("GNU General Public License v2.0", "GPL-2.0"),
+    ("# SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0", "GPL-2.0-with-classpath-exception"), ("Mozilla Public License Version 1.1", "MPL-1.1"), ("Licensed under the Eclipse Public License v2.0", "EPL-2.0"), ("Distributed under the Boost Software License, Version 1.0.", "BSL-1.0"),
+    ("Licensed under the European Union Public Licence, version 1.2", "EUPL-1.2"), ("Licensed under CC BY-NC-SA 3.0", "CC-BY-NC-SA-3.0"),
 ]
-NO_HEADERS = ["You need a driving licence to rent the van.", "His license was revoked, the paper said, and the public domain of the town grew.", "def check_license(path): return path", "free software is what the talk was about", "All rights reserved. This file is confidential.", "The permission to use, the court held, had lapsed.", "see LICENSE for details"]
+NO_HEADERS = ["You need a driving licence to rent the van.", "His license was revoked, the paper said, and the public domain of the town grew.", "def check_license(path): return path", "free software is what the talk was about", "All rights reserved. This file is confidential.", "The permission to use, the court held, had lapsed.", "see LICENSE for details", "Not released under the MIT License.", "This file is not licensed under the Apache License, Version 2.0.", "Licensed under the GNU General Public License, version 7", "Licensed under the Apache License, Version 9.0", "Licensed under CC BY-NC 9.0"]
 
 
 def test_usual_headers_are_found(spark):
