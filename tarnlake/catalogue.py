@@ -690,6 +690,76 @@ def preserve_row_count(spark, sf_dir):
     return reconcile.count_changed(staged(spark, sf_dir), enriched(spark, sf_dir))
 
 
+# -- the same invariants on rows that break them
+
+
+@query("not_null_found", "WITH " + CLICKSTREAM_SQL + " SELECT event_id FROM clicks WHERE user_session IS NULL")
+def not_null_found(spark, sf_dir):
+    return checks.not_null(clickstream(spark, sf_dir), "user_session").select("event_id")
+
+
+@query("unique_grain_repeated", FACTS + "," + DAILY + " SELECT date, category_l1, 2 AS n FROM daily WHERE day(date) % 2 = 0")
+def unique_grain_repeated(spark, sf_dir):
+    """The mart with every second day twice."""
+    daily = mart_daily_summary(spark, sf_dir)
+    return reconcile.unique_grain(daily.unionByName(daily.filter("day(date) % 2 = 0")), ["date", "category_l1"])
+
+
+@query("row_count_changed", ENRICHED + " SELECT (SELECT count(*) FROM staged) AS before, (SELECT count(*) FROM enriched WHERE category_code IS NOT NULL AND event_id % 3 = 0) AS after")
+def row_count_changed(spark, sf_dir):
+    """An enrichment that loses rows."""
+    return reconcile.count_changed(staged(spark, sf_dir), enriched(spark, sf_dir).filter("category_code IS NOT NULL AND event_id % 3 = 0"))
+
+
+@query(
+    "retention_month0_broken",
+    _GRID
+    + """, broken AS (SELECT *, made_purchase AND NOT (months_since_first_purchase = 0 AND user_id % 7 = 0) AS bought FROM grid),
+z AS (SELECT cohort_month, count(DISTINCT customer_key) AS cohort_size, count(DISTINCT CASE WHEN bought THEN customer_key END) AS retained_count FROM broken WHERE months_since_first_purchase = 0 GROUP BY 1)
+SELECT cohort_month, round(CAST(retained_count AS DOUBLE) / cohort_size, 4) AS retention_rate FROM z WHERE round(CAST(retained_count AS DOUBLE) / cohort_size, 4) <> 1.0""",
+)
+def retention_month0_broken(spark, sf_dir):
+    """A grid in which a seventh of the customers have not bought in their own first month."""
+    grid = _grid(spark, sf_dir)
+    broken = grid.withColumn("made_purchase", F.col("made_purchase") & ~((F.col("months_since_first_purchase") == 0) & (F.col("user_id") % 7 == 0)))
+    return facts.retention(broken).filter("months_since_first_purchase = 0 AND retention_rate <> 1.0").select("cohort_month", "retention_rate")
+
+
+@query(
+    "reconcile_statuses",
+    """SELECT 'same' AS check_name, CAST(count(*) AS DOUBLE) AS source_value, CAST(count(*) AS DOUBLE) AS target_value, CAST(0 AS DOUBLE) AS drift, 'PASS' AS status FROM events
+UNION ALL SELECT 'fewer', count(*), count(*) FILTER (WHERE event_type <> 'view'), count(*) FILTER (WHERE event_type = 'view'), 'FAIL' FROM events
+UNION ALL SELECT 'fewer_allowed', count(*), count(*) FILTER (WHERE event_type <> 'view'), count(*) FILTER (WHERE event_type = 'view'), 'PASS' FROM events
+UNION ALL SELECT 'more', count(*) FILTER (WHERE event_type <> 'view'), count(*), -count(*) FILTER (WHERE event_type = 'view'), 'FAIL' FROM events
+UNION ALL SELECT 'unknown', -1, -1, 0, 'SKIP'""",
+)
+def reconcile_statuses(spark, sf_dir):
+    """Every status that a reconciliation can have; the last target is a table that is not there."""
+    e = _table(spark, sf_dir, "events")
+    n, few = e.agg(F.count("*")), e.filter("event_type <> 'view'").agg(F.count("*"))
+
+    class Gone:
+        def first(self):
+            return _table(spark, sf_dir, "no_such_table").agg(F.count("*")).first()
+
+    pair = reconcile.Pair
+    return reconcile.compare(spark, [pair("same", n, n), pair("fewer", n, few), pair("fewer_allowed", n, few, at_least=True), pair("more", few, n, at_least=True), pair("unknown", n, Gone())])
+
+
+@query(
+    "gate_report",
+    "WITH " + CLICKSTREAM_SQL + """, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE user_session IS NULL) AS lost, count(*) FILTER (WHERE brand IS NULL) AS plain FROM clicks)
+SELECT 'rows' AS suite, CASE WHEN n < 1 THEN 'FAIL' ELSE 'PASS' END AS status FROM t UNION ALL SELECT 'sessions', CASE WHEN lost > 0 THEN 'FAIL' ELSE 'PASS' END FROM t
+UNION ALL SELECT 'brands', CASE WHEN plain > n THEN 'FAIL' ELSE 'PASS' END FROM t""",
+)
+def gate_report(spark, sf_dir):
+    """A gate of three suites, of which one fails."""
+    e, c = clickstream(spark, sf_dir), checks.Check
+    suites = {"rows": [c("row_count", fail="< 1")], "sessions": [c("missing_count", ["user_session"], fail="> 0")], "brands": [c("missing_count", ["brand"], fail="> 1000000000")]}
+    told = checks.gate({name: (lambda x=x: checks.run(e, x)) for name, x in suites.items()})[1]["suites"]
+    return spark.createDataFrame([(name, x["status"]) for name, x in told.items()], "suite string, status string")
+
+
 # -- set operations, limits ----------------------------------------------------------
 
 

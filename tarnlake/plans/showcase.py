@@ -122,7 +122,7 @@ def stream_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream, merged by key in micro-batches; a second start finds nothing new."""
     root = scratch(spark)
     for _ in range(2):
-        streams.merge_stream(spark, f"{sf_dir}/events.parquet", f"{root}/t", f"{root}/c", ["event_id"])
+        streams.merge_stream(spark, f"{sf_dir}/events.parquet", f"{root}/t", f"{root}/c", ["event_id"], bounded_by="event_id")
     return Table(spark, f"{root}/t").read().select("event_id", "user_id", "event_type", "value")
 
 

@@ -25,12 +25,12 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).isDirectory()
 
 
-def merge_stream(spark: SparkSession, path: str, table: str, checkpoint: str, key: list[str]) -> int:
-    """Merge all that is there into a table, each key once, and stop. Batches that are played again insert nothing."""
+def merge_stream(spark: SparkSession, path: str, table: str, checkpoint: str, key: list[str], bounded_by: str | None = None) -> int:
+    """Merge all that is there into a table, each key once, and stop. Batches that are played again insert nothing. bounded_by: a column that follows from the key; a batch then meets only files with its range."""
 
     def put(batch: DataFrame, _: int) -> None:
         held = batch.persist()
-        Table(batch.sparkSession, table).merge_insert(held, key)
+        Table(batch.sparkSession, table).merge_insert(held, key, [bounded_by] if bounded_by else None, bounded_by)
         held.unpersist()
 
     q = source(spark, path).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
