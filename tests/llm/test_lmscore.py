@@ -68,6 +68,33 @@ def test_scores_follow_the_corpus(spark):
     assert np.isclose(got[1001]["log_likelihood"], slow, rtol=1e-4)
 
 
+def test_held_out_texts_beat_a_unigram_model(spark):
+    """At the query's own values: what the neighbours tell is worth more than word frequencies, on texts that were not trained on."""
+    rng = random.Random(9)
+    after = {i: rng.sample(range(120), 3) for i in range(120)}
+
+    def text(n):
+        words = [rng.randrange(120)]
+        while len(words) < n:
+            words.append(rng.choice(after[words[-1]]))
+        return words
+
+    name = lambda words: " ".join(f"w{i}" for i in words)
+    train, held = [text(150) for _ in range(600)], [text(100) for _ in range(30)]
+    docs = spark.createDataFrame([(i, name(t)) for i, t in enumerate(train)], "doc_id long, text string").repartition(2)
+    vocab = lmscore.vocabulary(docs)
+    flat = lmscore.train(docs, vocab)
+    mixed = [rng.sample(t, len(t)) for t in held]
+    rows = [(i, name(t)) for i, t in enumerate(held)] + [(100 + i, name(t)) for i, t in enumerate(mixed)]
+    got = {r["doc_id"]: r["mean_log_likelihood"] for r in lmscore.score(spark.createDataFrame(rows, "doc_id long, text string"), vocab, flat).collect()}
+    counts = Counter(w for t in train for w in t)
+    total = sum(counts.values())
+    unigram = [sum(np.log(counts[w] / total) for w in t) / len(t) for t in held]
+    gain = [got[i] - u for i, u in enumerate(unigram)]
+    assert np.mean(gain) > 0.5 and min(gain) > 0, (np.mean(gain), min(gain))
+    assert all(got[i] > got[100 + i] for i in range(30))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lmscore.lm_scores(docs).collect() == []
