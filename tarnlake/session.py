@@ -10,6 +10,7 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.ansi.enabled": "true",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # what was checkpointed goes when nothing refers to it
 }
 
 

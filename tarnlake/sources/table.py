@@ -224,13 +224,14 @@ class Table:
         return None
 
     @staticmethod
-    def _ranged(df: DataFrame) -> list[str]:
-        return [f.name for f in df.schema if isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType | T.LongType | T.IntegerType | T.StringType)]
+    def _ranged(df: DataFrame, by: list[str]) -> list[str]:
+        """Columns whose ranges files keep: dates, times, whole numbers, and of texts, which are long to read again, those that the files are laid by."""
+        return [f.name for f in df.schema if isinstance(f.dataType, T.DateType | T.TimestampType | T.TimestampNTZType | T.LongType | T.IntegerType) or (isinstance(f.dataType, T.StringType) and f.name in by)]
 
     def append(self, df: DataFrame, partition_by: list[str] | None = None, operation: str = "APPEND", metrics: dict | None = None) -> Commit | None:
         """Add rows; none makes no commit."""
         by = partition_by or []
-        add, n = self._write(df, self._ranged(df), by)
+        add, n = self._write(df, self._ranged(df, by), by)
         if not n and not metrics and self.exists():
             return None
         schema = df.schema
@@ -239,7 +240,7 @@ class Table:
     def overwrite(self, df: DataFrame, partition_by: list[str] | None = None, metrics: dict | None = None) -> Commit:
         """A new snapshot; the rows may come from this very table."""
         by = partition_by or []
-        add, n = self._write(df, self._ranged(df), by)
+        add, n = self._write(df, self._ranged(df, by), by)
         return self._attempt(lambda base: self._commit("OVERWRITE", add, [f["path"] for f in self.files()] if base >= 0 else [], df.schema, {"num_inserted": n} | (metrics or {}), base, by))
 
     def create_or_get(self, df: DataFrame, key: list[str] | None = None, partition_by: list[str] | None = None) -> bool:
@@ -263,7 +264,7 @@ class Table:
                 there = self.read(base, bounds=limits).select(*[F.col(k).alias(f"_{k}") for k in key])
                 same = reduce(lambda a, b: a & b, [own[k].eqNullSafe(there[f"_{k}"]) for k in key])  # a null key is a key
                 own = own.join(there, same, "left_anti").select(*source.columns)
-            add, n = self._write(own, self._ranged(own), partition_by or [])
+            add, n = self._write(own, self._ranged(own, partition_by or []), partition_by or [])
             if not n and base >= 0:
                 return None
             return self._commit("MERGE", add, [], _merged(self.schema() if base >= 0 else None, source.schema), {"num_inserted": n, "num_updated": 0, "num_deleted": 0}, base, partition_by or [])
@@ -277,10 +278,10 @@ class Table:
             gone = (affected if affected is not None else df).select(*keys).distinct()
             if base < 0:
                 by = partition_by or []
-                add, n = self._write(df, self._ranged(df), by)
+                add, n = self._write(df, self._ranged(df, by), by)
                 return self._commit("REPLACE", add, [], df.schema, {"num_inserted": n, "num_deleted": 0}, base, by)
             by, schema = partition_by or self._layout(base), _merged(self.schema(base), df.schema)
-            ranged = [k for k in keys if k in self._ranged(df)]
+            ranged = [k for k in keys if k in self._ranged(df, by)]
             of = lambda k: range_key(F.col(k), schema[k].dataType)
             ends = gone.agg(F.count("*").alias("n"), *[f(of(k)).alias(f"{n}_{k}") for k in ranged for n, f in (("min", F.min), ("max", F.max))], *[F.count_if(F.col(k).isNull()).alias(f"none_{k}") for k in ranged]).first()
             ranged = [k for k in ranged if not ends[f"none_{k}"]]
@@ -294,7 +295,7 @@ class Table:
                 old, out = self._open(touched, schema), gone.select(*[F.col(k).alias(f"_{k}") for k in keys])
                 same = reduce(lambda a, b: a & b, [old[k].eqNullSafe(out[f"_{k}"]) for k in keys])
                 new = old.join(out, same, "left_anti").unionByName(df, allowMissingColumns=True)
-            add, n = self._write(new, self._ranged(new), by)
+            add, n = self._write(new, self._ranged(new, by), by)
             before = sum(f["rows"] for f in touched)
             return self._commit("REPLACE", add, [f["path"] for f in touched], schema, {"rows_written": n, "rows_before": before}, base, by)
 
@@ -318,7 +319,7 @@ class Table:
         def plan(base: int) -> Commit:
             df, by = self.read(base), [] if zorder else self._layout(base)
             laid = zordered(df, zorder, files) if zorder else df if by else df.repartition(files)
-            add, n = self._write(laid, self._ranged(df), by)
+            add, n = self._write(laid, self._ranged(df, by), by)
             return self._commit("OPTIMIZE", add, [f["path"] for f in self.files(base)], df.schema, {"rows": n, "files": len(add), "data_change": False}, base, by)
 
         return self._attempt(plan)

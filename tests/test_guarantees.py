@@ -29,7 +29,7 @@ def test_log_checkpoints_and_vacuum(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(tables, "CHECKPOINT", 3)
     t = Table(spark, str(tmp_path / "t"))
     for i in range(8):
-        t.append(spark.createDataFrame([(i, f"v{i}" * 40)], "id long, v string"))
+        t.append(spark.createDataFrame([(i, f"v{i}" * 40)], "id long, v string"), ["v"])
     opened = []
     load = t._load
     t._load = lambda v: opened.append(v) or load(v)
