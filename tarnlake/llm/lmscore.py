@@ -16,6 +16,7 @@ meet their counts in a join.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,27 @@ PASSES = 1
 BATCH = 4096
 RATE = 0.15
 SEED = 20
+#: Numbers below this, either sign, go to exp as they are.
+BEARABLE = 60
+
+
+class Lookup:
+    """Where hashes lie among sorted ones: the leading bits say where to begin, so most are found at once."""
+
+    def __init__(self, keys: np.ndarray):
+        self.n, self.shift = len(keys), np.uint64(63 - len(keys).bit_length())
+        starts = np.arange(1 << int(64 - self.shift), dtype=np.uint64) << self.shift
+        self.starts = np.searchsorted(keys, starts)
+        self.keys = np.append(keys, np.uint64(2**64 - 1))
+
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The place of each hash, and whether it is there."""
+        at = self.starts[hashes >> self.shift]
+        live = np.flatnonzero(self.keys[at] < hashes)
+        while len(live):
+            at[live] += 1
+            live = live[self.keys[at[live]] < hashes[live]]
+        return at, (self.keys[at] == hashes) & (at < self.n)
 
 
 @dataclass
@@ -63,27 +85,33 @@ class Vocabulary:
         """Classes, and tokens in a class: ids are laid in a square by rank."""
         return int(np.ceil(np.sqrt(self.size)))
 
+    @cached_property
+    def _own(self) -> Lookup:
+        return Lookup(self.key)
+
+    @cached_property
+    def _often(self) -> Lookup:
+        return Lookup(self.often)
+
     def ids(self, hashes: np.ndarray) -> np.ndarray:
-        other = 1 + len(self.key) + (hashes % np.uint64(OTHERS)).astype(np.int64)
-        if not len(self.key):
-            return other
-        at = np.minimum(np.searchsorted(self.key, hashes), len(self.key) - 1)
-        return np.where(self.key[at] == hashes, self.id[at], other)
+        at, there = self._own.find(hashes)
+        out = np.append(self.id, 0)[at]
+        other = np.flatnonzero(~there)
+        out[other] = 1 + len(self.key) + (hashes[other] % np.uint64(OTHERS)).astype(np.int64)
+        return out
 
     def within(self, hashes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """ln p(word | id) as if words not among ``key`` and ``often`` were not seen, and which these are.
 
         The share of words not seen is dealt by spelling: each byte, and the end, is one of SPELLING.
         """
-        bucket = (hashes % np.uint64(OTHERS)).astype(np.int64)
-        out = self.unseen_log[bucket] - (sizes + 1) * np.log(SPELLING)
-        left = np.ones(len(hashes), bool)
-        for keys, logs in ((self.often, self.often_log), (self.key, np.zeros(len(self.key)))):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
-                hit = keys[at] == hashes
-                out[hit] = logs[at[hit]]
-                left &= ~hit
+        out, left = np.zeros(len(hashes)), np.zeros(len(hashes), bool)
+        other = np.flatnonzero(~self._own.find(hashes)[1])
+        shared = hashes[other]
+        at, there = self._often.find(shared)
+        guess = self.unseen_log[(shared % np.uint64(OTHERS)).astype(np.int64)] - (sizes[other] + 1) * np.log(SPELLING)
+        guess[there] = self.often_log[at[there]]
+        out[other], left[other] = guess, ~there
         return out, left
 
 
@@ -134,58 +162,62 @@ class Network:
         self.side = side
         self.weights = {"near": f(2 * WINDOW, size, WIDTH), "bias": np.zeros(WIDTH, np.float32), "group": f(WIDTH, side), "group_bias": np.zeros(side, np.float32), "word": f(side, WIDTH, side), "word_bias": np.zeros((side, side), np.float32)}
 
-    def hidden(self, near: np.ndarray) -> np.ndarray:
-        w = self.weights
-        total = w["bias"] + w["near"][0, near[:, 0]]
+    def _forward(self, near: np.ndarray, token: np.ndarray):
+        """Of the tokens in the order of their classes: that order, neighbours by place, class and word, hidden layer with a 1 behind it, weights with their biases, and what class and word come to before normalising."""
+        w, n = self.weights, len(token)
+        group = token // self.side
+        order = _order(group)
+        near, group = np.take(near.T, order, axis=1), group[order]
+        word = token[order] - group * self.side
+        total = w["near"][0].take(near[0], axis=0)
         for j in range(1, 2 * WINDOW):
-            total += w["near"][j, near[:, j]]
-        return np.tanh(total)
+            total += w["near"][j].take(near[j], axis=0)
+        total += w["bias"]
+        h = np.ones((n, WIDTH + 1), total.dtype)
+        np.tanh(total, out=h[:, :WIDTH])
+        to_group = np.vstack([w["group"], w["group_bias"]])
+        to_word = np.concatenate([w["word"], w["word_bias"][:, None]], axis=1)
+        cuts = np.searchsorted(group, np.arange(self.side + 1))
+        parts = [(g, slice(cuts[g], cuts[g + 1])) for g in np.flatnonzero(np.diff(cuts))]
+        words = np.empty((n, self.side), total.dtype)
+        for g, own in parts:
+            np.matmul(h[own], to_word[g], out=words[own])
+        groups = _level(h @ to_group, to_group)
+        return order, near, group, word, h, to_group, to_word, parts, groups, _level(words, to_word)
 
     def log_prob(self, near: np.ndarray, token: np.ndarray) -> np.ndarray:
         """ln p(token | neighbours); near has the ids before and after, nearest last and first."""
-        w, out = self.weights, np.empty(len(token), np.float64)
-        group, word = np.divmod(token, self.side)
-        h = self.hidden(near)
-        z = h @ w["group"] + w["group_bias"]
-        out[:] = z[np.arange(len(z)), group] - _log_sum(z)
-        order = _order(group)
-        cuts = np.searchsorted(group[order], np.arange(self.side + 1))
-        for g in np.flatnonzero(np.diff(cuts)):
-            own = order[cuts[g] : cuts[g + 1]]
-            z = h[own] @ w["word"][g] + w["word_bias"][g]
-            out[own] += z[np.arange(len(own)), word[own]] - _log_sum(z)
+        order, _, group, word, *_, groups, words = self._forward(near, token)
+        rows, one, out = np.arange(len(token)), np.ones(self.side, groups.dtype), np.empty(len(token))
+        told = groups[rows, group].astype(np.float64) + words[rows, word]
+        for z in (groups, words):
+            told -= np.log(np.exp(z, out=z) @ one)
+        out[order] = told
         return out
 
     def gradients(self, near: np.ndarray, token: np.ndarray) -> tuple[dict[str, np.ndarray], list[tuple[np.ndarray, np.ndarray]]]:
         """Of the mean cost of a batch: those of the dense weights, and per place the rows of ``near`` that occur with theirs."""
-        w, n = self.weights, len(token)
-        group, word = np.divmod(token, self.side)
-        h = self.hidden(near)
-        p = _soft(h @ w["group"] + w["group_bias"])
-        p[np.arange(n), group] -= 1
-        p /= n
-        dh = p @ w["group"].T
-        grad = {"group": h.T @ p, "group_bias": p.sum(axis=0)}
-        order = _order(group)
-        cuts = np.searchsorted(group[order], np.arange(self.side + 1))
-        dword, dword_bias = np.zeros_like(w["word"]), np.zeros_like(w["word_bias"])
-        sorted_h, sorted_word, sorted_dh = h[order], word[order], np.empty_like(h)
-        for g in np.flatnonzero(np.diff(cuts)):
-            own = slice(cuts[g], cuts[g + 1])
-            q = _soft(sorted_h[own] @ w["word"][g] + w["word_bias"][g])
-            q[np.arange(len(q)), sorted_word[own]] -= 1
-            q /= n
-            sorted_dh[own] = q @ w["word"][g].T
-            dword[g], dword_bias[g] = sorted_h[own].T @ q, q.sum(axis=0)
-        dh[order] += sorted_dh
-        dh *= 1 - h * h
-        grad |= {"word": dword, "word_bias": dword_bias, "bias": dh.sum(axis=0)}
+        _, near, group, word, h, to_group, to_word, parts, p, q = self._forward(near, token)
+        n, one = len(token), np.ones(self.side, h.dtype)
+        for z, at in ((p, group), (q, word)):
+            np.exp(z, out=z)
+            total = z @ one
+            total *= n
+            z /= total[:, None]
+            z[np.arange(n), at] -= 1 / n
+        dgroup, dword, dh = h.T @ p, np.zeros_like(to_word), np.empty_like(h[:, :WIDTH], order="C")
+        for g, own in parts:
+            np.matmul(q[own], to_word[g, :WIDTH].T, out=dh[own])
+            np.matmul(h[own].T, q[own], out=dword[g])
+        dh += p @ to_group[:WIDTH].T
+        dh *= 1 - h[:, :WIDTH] ** 2
+        grad = {"group": dgroup[:WIDTH], "group_bias": dgroup[WIDTH], "word": dword[:, :WIDTH], "word_bias": dword[:, WIDTH], "bias": np.ones(n, dh.dtype) @ dh}
         places = []
-        for j in range(2 * WINDOW):
-            order = _order(near[:, j])
-            rows = near[order, j]
+        for ids in near:
+            order = _order(ids)
+            rows = ids[order]
             first = np.flatnonzero(np.r_[True, rows[1:] != rows[:-1]])
-            places.append((rows[first], np.add.reduceat(dh[order], first)))
+            places.append((rows[first], np.add.reduceat(dh.take(order, axis=0), first)))
         return grad, places
 
     def step(self, near: np.ndarray, token: np.ndarray, square: dict[str, np.ndarray], rate: float = RATE) -> None:
@@ -215,14 +247,11 @@ def _order(ids: np.ndarray) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16) if ids.max(initial=0) < 1 << 16 else ids, kind="stable")
 
 
-def _log_sum(z: np.ndarray) -> np.ndarray:
-    top = z.max(axis=1)
-    return top + np.log(np.exp(z - top[:, None]).sum(axis=1))
-
-
-def _soft(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    return e / e.sum(axis=1, keepdims=True)
+def _level(z: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Rows that exp can bear: less their largest, unless the weights (what they are multiplied with is 1 at most) bound them."""
+    if not np.abs(weights).sum(axis=-2).max() < BEARABLE:
+        z -= z.max(axis=1, keepdims=True)
+    return z
 
 
 def windows(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -240,7 +269,7 @@ def _laid(column: pa.Array, vocab: Vocabulary) -> tuple[np.ndarray, np.ndarray,
 
 
 def _near(line: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return np.stack([line[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))], axis=1)
+    return np.stack([line[at + d] for d in (*range(-WINDOW, 0), *range(1, WINDOW + 1))]).T
 
 
 def train(docs: DataFrame, vocab: Vocabulary, rounds: int = ROUNDS, passes: int = PASSES) -> np.ndarray:
