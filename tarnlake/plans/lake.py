@@ -8,7 +8,6 @@ import time
 import uuid
 from dataclasses import dataclass
 from datetime import datetime, timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +22,9 @@ from .registry import record_lineage
 WATERMARK = "pipeline_name string, last_processed_event_time timestamp, updated_at timestamp, last_batch_id string"
 #: Hot users and products are sliced by days.
 SLICE = 86_400
-#: Raw files that one read counts; reconciliation sums over all blocks of files.
-FILES = 10_000
+LANDED = "file string, bronze_version int"
+#: Files of the table of landed files beyond which they are made one.
+NOTES = 64
 LOG = logging.getLogger("tarnlake")
 CRASH = ("TARNLAKE_CRASH", "TARNLAKE_SIMULATE_CRASH", "SIMULATE_CRASH")
 
@@ -47,12 +47,12 @@ class Lake:
         """Read raw files, set aside what does not parse, stamp the rest and append it.
 
         The files of each landing are named by its commit, those without a valid row too; only files that no
-        commit names are read.
+        commit names are read. See ``landed``.
         """
         began, batch_id = time.monotonic(), batch_id or uuid.uuid4().hex[:8]
         bronze = self.table("bronze")
-        known = {f for c in bronze.commits() for f in c.metrics.get("files", [])}
-        files = sorted(f for f in raw.files(self.spark, path) if f not in known)
+        there = self.spark.createDataFrame([(f,) for f in raw.files(self.spark, path)], "file string")
+        files = sorted(r[0] for r in there.join(self.landed().read(), "file", "left_anti").collect())
         if not files:
             return {"rows": 0, "valid": 0, "quarantined": 0, "quarantine_pct": 0.0, "batch_id": batch_id}
         rows = raw.read_csv(self.spark, files).withColumn("source_file", F.col("_metadata.file_path"))
@@ -64,6 +64,23 @@ class Lake:
         self.told("bronze", began, batch_id, now, counts["rows"], counts["valid"], [path], "bronze", quarantined_rows=counts["quarantined"], null_rate_pct=counts["quarantine_pct"])
         return counts | {"batch_id": batch_id}
 
+    def landed(self) -> Table:
+        """A row for each raw file that a commit of Bronze names, brought up to Bronze's log.
+
+        Only commits beyond the last one noted are read. The log decides: a run that dies before it has noted a
+        commit leaves it to the next one, and two runs that note the same commits only repeat rows.
+        """
+        bronze, ledger = self.table("bronze"), self.table("landed_files")
+        last = ledger.version()
+        noted = next((c.metrics["bronze_version"] for v in range(last, -1, -1) for c in ledger.commits(v, v - 1) if "bronze_version" in c.metrics), -1)
+        new = bronze.commits(after=noted)
+        if new or last < 0:
+            rows = [(f, c.version) for c in new for f in c.metrics.get("files", [])]
+            ledger.append(self.spark.createDataFrame(rows, LANDED), operation="NOTE", metrics={"bronze_version": new[-1].version if new else -1})
+            if len(ledger.files()) > NOTES:
+                ledger.optimize()
+        return ledger
+
     def told(self, layer: str, began: float, batch_id: str, now: datetime, rows_in: int, rows_out: int, inputs: list[str], output: str, **more) -> None:
         """A row of pipeline_metrics, one of lineage_events and a line of the log, from figures that a job has already."""
         record_lineage(self.table("lineage_events"), layer, batch_id, inputs, self.table(output), now)
@@ -179,10 +196,8 @@ class Lake:
         n = F.count("*")
         events, purchases, _ = self.star()
         landed = bronze.read()
-        files = sorted(r[0] for r in landed.select("source_file").distinct().toLocalIterator())
-        blocks = [raw.read_csv(self.spark, files[i : i + FILES]).agg(n.alias("n")) for i in range(0, max(1, len(files)), FILES)]
         pairs = [
-            reconcile.Pair("raw_vs_bronze", reduce(DataFrame.unionByName, blocks).agg(F.sum("n")), landed.agg(n), at_least=True),
+            reconcile.Pair("raw_vs_bronze", raw.rows_of(self.spark, landed.select("source_file")).agg(F.sum("n")), landed.agg(n), at_least=True),
             reconcile.Pair("bronze_vs_silver", landed.agg(n), silver.read().agg(n), at_least=True),
             reconcile.Pair("silver_vs_fact_events", silver.read().agg(n), events.agg(n)),
             reconcile.Pair("silver_purchases_vs_facts", silver.read().filter("event_type = 'purchase'").agg(n), purchases.agg(n)),

@@ -54,6 +54,26 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType =
     return spark.read.schema(declared).option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
+def rows_of(spark: SparkSession, files: DataFrame, schema: T.StructType = EVENT_SCHEMA) -> DataFrame:
+    """file and n, the rows of each CSV file of a column of ``_metadata.file_path`` values.
+
+    Only the names of their folders come to the driver; files lie there that are not asked for, and these are
+    told apart after counting. A file that is gone has no row.
+    """
+    own = files.toDF("file").filter("file IS NOT NULL").distinct()
+    name = F.url_decode(F.replace(F.regexp_replace("file", "/[^/]*$", ""), F.lit("+"), F.lit("%2B")))  # these values are encoded
+    kept: set[str] = set()
+    for r in own.select(name.alias("f")).distinct().orderBy("f").collect():
+        parts = r["f"].split("/")
+        if not kept.intersection("/".join(parts[:i]) for i in range(1, len(parts))):  # else read with the folder above
+            kept.add(r["f"])
+    if not kept:
+        return spark.createDataFrame([], "file string, n long")
+    declared = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType(), True)])
+    rows = spark.read.schema(declared).option("header", True).option("columnNameOfCorruptRecord", CORRUPT).option("recursiveFileLookup", True).csv(sorted(kept))
+    return rows.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.count("*").alias("n")).join(own, "file", "left_semi")
+
+
 def split_corrupt(raw: DataFrame, required: tuple[str, ...] = ("event_time", "event_type", "product_id", "user_id")) -> tuple[DataFrame, DataFrame, dict[str, float]]:
     """(valid, quarantine, counts) from one stored scan. Rows that do not parse, or lack a required value, are quarantined; both counts add up to all rows."""
     held = raw.persist(StorageLevel.MEMORY_AND_DISK)

@@ -183,12 +183,37 @@ def test_ingest_and_listing(spark, tmp_path):
     assert store.retrying(flaky, sleep=waits.append) == "ok" and waits == [2, 4, 8]
 
 
-def test_reconciliation_counts_all_raw_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("tarnlake.plans.lake.FILES", 2)  # five files in blocks of two
+def test_reconciliation_counts_all_raw_files(spark, tmp_path):
+    """Folders below others, names that are encoded, and files that were never landed."""
     lake = Lake(spark, str(tmp_path / "lake"))
-    for day in range(1, 6):
-        csv(tmp_path / "raw" / f"{day}.csv", [event(day), event(day, hour=1, kind="purchase")])
+    for day, folder in enumerate((".", "a b+c", "a b+c/deep", "d%20e", "."), 1):
+        csv(tmp_path / "raw" / folder / f"{day}.csv", [event(day), event(day, hour=1, kind="purchase")])
     lake.land(str(tmp_path / "raw"), NOW)
     lake.refine(NOW)
+    csv(tmp_path / "raw" / "later.csv", [event(9)])
     got = {r["check_name"]: r for r in lake.reconcile().collect()}["raw_vs_bronze"]
     assert (got["source_value"], got["target_value"], got["status"]) == (10.0, 10.0, "PASS")
+    counts = raw.rows_of(spark, lake.table("bronze").read().select("source_file"))
+    assert sorted(r["n"] for r in counts.collect()) == [2] * 5
+    assert raw.rows_of(spark, spark.createDataFrame([(None,)], "f string")).count() == 0
+
+
+def test_landings_read_only_new_entries_of_the_log(spark, tmp_path, monkeypatch):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    loaded, load = [], Table._load
+    monkeypatch.setattr("tarnlake.plans.lake.NOTES", 3)
+    monkeypatch.setattr(Table, "_load", lambda self, v: (loaded.append((self.path.rsplit("/", 1)[-1], v)), load(self, v))[1])
+    for day in range(1, 6):
+        csv(tmp_path / "raw" / f"{day}.csv", [event(day)])
+        loaded.clear()
+        assert lake.land(str(tmp_path / "raw"), NOW)["rows"] == 1
+        assert all(v >= day - 2 for name, v in loaded if name == "bronze")
+    bronze = lake.table("bronze")
+    assert bronze.read().count() == 5 and lake.land(str(tmp_path / "raw"), NOW)["rows"] == 0
+    # a run that died between a commit and its note: the log decides
+    csv(tmp_path / "raw" / "6.csv", [event(6)])
+    bronze.append(bronze.read().limit(0), metrics={"files": [f for f in raw.files(spark, str(tmp_path / "raw")) if f.endswith("6.csv")]})
+    assert lake.land(str(tmp_path / "raw"), NOW)["rows"] == 0
+    told = lake.landed().read()
+    assert told.count() == 6 and told.filter("bronze_version = 5").first()["file"].endswith("6.csv")
+    assert len(lake.landed().files()) <= 4
