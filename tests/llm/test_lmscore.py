@@ -37,6 +37,36 @@ def test_every_token_is_a_target(spark, monkeypatch, tmp_path):
     assert score(lmscore.train(docs, vocab)) > score(before.pack())
 
 
+def test_lookup_finds_what_is_there():
+    rng = np.random.default_rng(2)
+    most = 2**64 - 1
+    for keys in ([], [0], [most], [0, most], list(range(50)), [most - i for i in range(50)], rng.integers(0, 1 << 63, 1000).tolist()):
+        keys = np.unique(np.array(keys, np.uint64))
+        asked = np.concatenate([keys, keys + np.uint64(1), keys - np.uint64(1), np.array([0, 1, most, 1 << 63], np.uint64), rng.integers(0, 1 << 63, 100).astype(np.uint64) * np.uint64(2)])
+        at, there = lmscore.Lookup(keys).find(asked)
+        assert there.tolist() == np.isin(asked, keys).tolist()
+        assert (keys[at[there]] == asked[there]).all()
+
+
+def test_large_weights_and_single_tokens():
+    """Against one window at a time in double precision, also where exp of what comes out is beyond single precision."""
+    rng = np.random.default_rng(3)
+    for scale in (1, 300):
+        net = lmscore.Network(40, 7)
+        net.weights = {k: (scale * v).astype(np.float32) for k, v in net.weights.items()}
+        near, token = rng.integers(0, 40, (50, 4)), rng.integers(0, 40, 50)
+        got = net.log_prob(near, token)
+        w = {k: v.astype(float) for k, v in net.weights.items()}
+        for i, (places, t) in enumerate(zip(near, token, strict=True)):
+            h = np.tanh(sum(w["near"][j, places[j]] for j in range(4)) + w["bias"])
+            g, t = divmod(int(t), net.side)
+            a, b = h @ w["group"] + w["group_bias"], h @ w["word"][g] + w["word_bias"][g]
+            want = a[g] - np.logaddexp.reduce(a) + b[t] - np.logaddexp.reduce(b)
+            assert np.isclose(got[i], want, rtol=1e-3, atol=1e-3 * scale)
+        grad, _ = net.gradients(near, token)
+        assert all(np.isfinite(g).all() for g in grad.values())
+
+
 def test_probabilities_sum_to_one():
     net = lmscore.Network(36, 6)
     near = np.tile([1, 2, 3, 4], (36, 1))

@@ -69,6 +69,26 @@ def test_search_equals_full_scan(spark, monkeypatch):
     assert place.shape == (2, 2) and (place >= 0).all()
 
 
+def test_scores_and_evidence_by_dictionaries(spark):
+    rows = corpus(150, 7)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    label = {i: float(y) for i, _, y in rows}
+    model = toxicity.learn(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"))
+    examples = cosines(model, [dict((i, t) for i, t, _ in rows)[i] for i in model.doc.tolist()])
+    asked = [t for _, t, _ in corpus(40, 8)] + ["", None, "unseen only"]
+    got = toxicity.classify(spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string"), model).collect()
+    assert len(got) == len(asked)
+    base = sum(label.values()) / len(label)
+    for r in got:
+        own = cosines(model, [r["text"]])[0]
+        near = sorted(((-round(sum(x * e[t] for t, x in own.items() if t in e), 9), j) for j, e in enumerate(examples)))[: toxicity.NEIGHBOURS]
+        votes = [(1 / max(1.02 + s, 0.02), label[int(model.doc[j])]) for s, j in near]
+        want = (sum(v * y for v, y in votes) + 2 * base) / (sum(v for v, _ in votes) + 2)
+        assert np.isclose(r["score"], want, atol=1e-6), r["text"]
+        assert np.allclose([e["similarity"] for e in r["evidence"]], [-s for s, _ in near[:3]], atol=2e-9)
+        assert all(e["toxic"] == label[e["doc_id"]] for e in r["evidence"])
+
+
 def test_bound_on_examples(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in corpus(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
