@@ -59,6 +59,11 @@ def _named(texts: DataFrame, size: int, screens: tuple[float, ...]) -> DataFrame
     return texts.mapInArrow(make, "doc_id long, k1 long, k2 long, own binary, short long, n long, seen array<long>")
 
 
+def _linkable(n, percent: int):
+    """Whether a set of n shingles (column or array) can link with a different one: its partner may have one more and lack none."""
+    return (100 - percent) * n >= percent
+
+
 def _screened(texts: DataFrame, size: int, percent: int, low: float, high: float, mask: int) -> DataFrame:
     """(short, token) of the shingles between two parts of all; sets that link with their equals alone have none."""
 
@@ -68,7 +73,7 @@ def _screened(texts: DataFrame, size: int, percent: int, low: float, high: float
                 value, bounds = jaccard.shingles(part.column(0), size)
                 short = np.frombuffer(b"".join(jaccard._names(value, bounds)), np.int64)[::2]
                 n = np.diff(bounds)
-                taken = (value <= _upto(high)) & ((value > _upto(low)) | (low == 0)) & np.repeat((100 - percent) * n // 100 > 0, n)
+                taken = (value <= _upto(high)) & ((value > _upto(low)) | (low == 0)) & np.repeat(_linkable(n, percent), n)
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(short, n)[taken]), pa.array((value[taken] & np.uint64(mask)).view(np.int64))], ["short", "token"])
 
     return texts.mapInArrow(make, "short long, token long")
@@ -89,9 +94,12 @@ def signatures(n: int, token: np.ndarray, held: np.ndarray, percent: int) -> np.
     once = np.concatenate([[True], token[1:] != token[:-1]])
     token, kind = token[once], kind[once]
     out = []
-    # sets that may link differ in size by less than a factor of two: they share the level of the smaller one
-    for level in sorted({int(m).bit_length() - 1 for m in (n, -(-percent * n // 100))}):
+    every = kind
+    # sets that may link share the level of the smaller one
+    for level in range(max(1, -(-percent * n // 100)).bit_length() - 1, int(n).bit_length()):
         parts = max(1, round((1 << level) * (100 - percent) / 100 / PART))
+        # combinations lose up to three shingles a part: where sets of the level have none to spare, all shingles are of class 1
+        kind = every if -(-percent * (1 << level) // 100) > 3 * parts else np.ones_like(every)
         code = np.where(kind == 1, -1, kind * parts + (token % np.uint64(parts)).astype(np.int64))
         by = np.lexsort((np.arange(len(code)), code))
         first = np.concatenate([[True], code[by][1:] != code[by][:-1]])
@@ -161,7 +169,7 @@ def _sets_in_company(texts: DataFrame, own: DataFrame, size: int, percent: int,
     slack = F.expr(f"{100 - percent} * n div 100")
     first = lambda c: F.first(c).alias(c)
     alive = own.groupBy("own").agg(first("short"), first("n"), first("seen"), F.min(F.struct("k1", "k2")).alias("k"), F.count("*").alias("copies"))
-    alive = alive.filter(slack > 0).select("own", "short", "n", "seen", "k.k1", "k.k2", "copies", F.lit(0).cast("long").alias("met"))
+    alive = alive.filter(_linkable(F.col("n"), percent)).select("own", "short", "n", "seen", "k.k1", "k.k2", "copies", F.lit(0).cast("long").alias("met"))
     low, some = 0.0, texts
     for i, high in enumerate(screens):
         rows = _screened(some.select("text"), size, percent, low, high, mask)

@@ -106,3 +106,23 @@ def test_keys_grow_with_the_set_alone():
         for held in (3, 100, 10_000):
             assert len(ngramjoin.signatures(n, token, np.full(n, held), 85)) <= 12 * n
     assert len(ngramjoin.signatures(100, token[:80], np.full(80, 9), 85)) == 0  # a fifth is held by no other set
+
+
+def test_small_sets_that_lack_nothing_of_their_partner(spark):
+    """Six shingles of seven: 600 >= 85 * 7, though a set of six may lack none itself."""
+    line = "a b c d e f g h i"
+    rows = [(1, line + " j"), (2, line), (3, "z " + line), (4, "q r s t u v w x y"), (5, "q r s t u v w x"), (6, "q r s t u v w x"), (7, line.upper())]
+    assert _found(spark, rows) == _expected(rows)
+    assert {r[0]: r[2] for r in _found(spark, rows)} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 5, 6: 5, 7: 1}
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from([30, 45, 60, 85, 95]), st.integers(1, 40), st.integers(0, 40), st.integers(0, 40), st.integers(0, 10**6))
+def test_linked_small_sets_share_a_key_at_any_threshold(percent, both, lost, gained, seed):
+    if 100 * both < percent * (both + lost + gained) or lost + gained == 0:
+        return
+    rng = np.random.default_rng(seed)
+    base = rng.choice(1 << 62, both + lost + gained, replace=False).astype(np.uint64)
+    held = rng.choice([2, 20, 5000], len(base))
+    keys = [ngramjoin.signatures(int(at.sum()), base[at], held[at], percent) for at in (np.arange(len(base)) < both + lost, (np.arange(len(base)) < both) | (np.arange(len(base)) >= both + lost))]
+    assert len(np.intersect1d(*keys))
