@@ -1,4 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of distinct word shingles, met through banded minima.
+"""Near-duplicates by the exact Jaccard similarity of distinct word shingles, met through SimHash and banded minima.
+
+Sets whose SimHash fingerprints differ in at most RADIUS bits, or are joined by such, meet through the
+byte-position index of ``simhash`` with its count filter. Texts at the threshold may differ in more bits;
+these meet through banded minima, so the fingerprints lose no link that minima find. The exact similarity
+decides on all that meet.
 
 Equal sets are one node. Every set has BANDS keys of ROWS minima each; sets that share a key are
 compared whole, so a link is never wrong. Two sets of similarity J share no key with a probability of
@@ -20,13 +25,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import checkpoints
+from . import checkpoints, simhash
 from . import words as W
 from .components import connected_components
 
 ROWS = 5
 BANDS = 25
 SEED = 31
+#: Bits in which fingerprints of sets that meet may differ.
+RADIUS = 3
+#: Hashes whose bits are counted at once.
+COUNTED = 1 << 16
 #: Row keys that are sent to all workers; beyond, the texts are shuffled to them.
 MOST_SENT = 500_000
 #: Hashes, and 128 for each set, of which two such parts are compared at a time.
@@ -84,8 +93,27 @@ def _keys(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _fingerprints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """SimHash of each set: a bit is 1 if set in over half of the hashes."""
+    total = np.zeros((len(bounds) - 1, 64), np.int64)
+    for at in range(0, len(value), COUNTED):
+        some = value[at : at + COUNTED]
+        first = np.clip(bounds - at, 0, len(some))
+        here = np.flatnonzero(np.diff(first))
+        bits = np.unpackbits(some.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        total[here] += np.add.reduceat(bits, first[here], axis=0, dtype=np.int64)
+    return np.packbits(2 * total > np.diff(bounds)[:, None], axis=1).view(">i8").ravel().astype(np.int64)
+
+
+def by_fingerprint(sets: DataFrame) -> DataFrame:
+    """sets (own, n, bits) to (own, n, band, key), one row for each: key names what links of RADIUS bits reach."""
+    prints = sets.select("bits").distinct().withColumn("node", F.col("bits")).select("node", "bits").checkpoint()
+    roots = connected_components(simhash.links(prints, RADIUS)).withColumnRenamed("node", "bits")
+    return sets.join(roots, "bits", "left").select("own", "n", F.lit(BANDS).alias("band"), F.coalesce("root", "bits").alias("key"))
+
+
 def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """docs (text last) to its other columns with own, n and keys of the text's set."""
+    """docs (text last) to its other columns with own, n, keys and fingerprint of the text's set."""
     kept = docs.columns[:-1]
     schema = docs.drop("text").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
 
@@ -94,9 +122,9 @@ def _signed(docs: DataFrame, size: int) -> DataFrame:
             for part in W.slices(batch, "text"):
                 value, bounds = shingles(part.column(len(kept)), size)
                 keys = pa.FixedSizeListArray.from_arrays(pa.array(_keys(value, bounds).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(_names(value, bounds), pa.binary()), pa.array(np.diff(bounds)), keys], [*kept, "own", "n", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(_names(value, bounds), pa.binary()), pa.array(np.diff(bounds)), keys, pa.array(_fingerprints(value, bounds))], [*kept, "own", "n", "keys", "bits"])
 
-    return docs.mapInArrow(make, f"{schema}, own binary, n long, keys array<long>")
+    return docs.mapInArrow(make, f"{schema}, own binary, n long, keys array<long>, bits long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -135,8 +163,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, most_sent
     checkpoints.ensure(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), *row_key(), F.col("text").cast("string").alias("text"))
     own = _signed(texts, size).checkpoint()
-    distinct = own.groupBy("own").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("k1", "k2")).alias("k")).checkpoint()
-    posts = distinct.filter("n > 0").select("own", "n", F.posexplode("keys").alias("band", "key"))
+    distinct = own.groupBy("own").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min(F.struct("k1", "k2")).alias("k")).checkpoint()
+    posts = distinct.filter("n > 0").select("own", "n", F.posexplode("keys").alias("band", "key")).unionByName(by_fingerprint(distinct.filter("n > 0")))
     posts, wanted = in_company(posts, ["band", "key"])
     wanted = wanted.select("own").join(distinct.select("own", "k.k1", "k.k2"), "own").checkpoint()
     sets = _sets(_met(texts, wanted, "left_semi", most_sent).dropDuplicates(["k1", "k2"]).select("text"), size).join(wanted.select("own"), "own", "left_semi").dropDuplicates(["own"]).checkpoint()
