@@ -1,7 +1,8 @@
 """A quality classifier on an interpolated modified Kneser-Ney model of trusted text.
 
 Words are predicted from the word before: counts of word pairs are summed over the cluster and stay there
-as a sharded table, and each document's pairs are joined with it. Words seen once in trusted text, or
+as a sharded table, and each document's pairs are joined with it, shard by shard. Pairs travel packed:
+a row holds a shard's sorted pairs of many texts as differences, in as few bytes as the largest needs. Words seen once in trusted text, or
 beyond the vocabulary, are one word to these counts and are spelled: by a second model whose grams are of
 symbols - letters, and classes of other bytes - with a mark of its own before a word that repeats the one
 before. It also predicts the space between words; its grams are so few that each worker has them all. A
@@ -19,7 +20,8 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import Broadcast
+import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,14 @@ MOST_SENT = 8_000_000
 VOCABULARY = 1 << 17
 #: Pairs whose gains are sent to all workers, the most frequent ones; all others are joined.
 PAIRS_SENT = 1 << 19
+#: Shards of the table of pairs at least, and words of trusted texts beyond which there are more.
+SHARDS = 32
+SHARD_WORDS = 1 << 22
+#: Words whose pairs a task counts at once, and pairs of the table in one row.
+COUNTED = 1 << 20
+ROW_PAIRS = 1 << 18
+#: First or second words whose sums lie in one row.
+ROW_WORDS = 1 << 12
 #: Languages whose means and limits are sent to all workers.
 MOST_LANGS = 10_000
 
@@ -176,6 +186,102 @@ def pairs(found: W.Words, vocabulary: np.ndarray) -> np.ndarray:
     return before << _SHIFT | own
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Non-negative numbers in as few bytes as the largest needs, the lowest bytes of all first, so that bytes alike lie together for Spark's compression."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(blob: pa.BinaryScalar, n: int) -> np.ndarray:
+    raw = np.frombuffer(blob.as_buffer(), np.uint8)
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, : len(raw) // n] = raw.reshape(-1, n).T
+    return wide.view("<i8").ravel()
+
+
+def _steps(codes: np.ndarray) -> bytes:
+    """Sorted codes by their differences."""
+    return packed(np.diff(codes, prepend=0))
+
+
+class Shards:
+    """Where a pair belongs: its code is v * stride + w, and stride leaves 1 over the number of shards, so the pairs of a frequent word are dealt to all of them."""
+
+    def __init__(self, size: int, n: int):
+        self.n, self.stride = n, size + (1 - size) % n
+
+    def codes(self, pair: np.ndarray) -> np.ndarray:
+        return (pair >> _SHIFT) * self.stride + (pair & ((1 << _SHIFT) - 1))
+
+    def words(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return code // self.stride, code % self.stride
+
+    def dealt(self, code: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+        """An order by shards and, in a shard, by codes; and each shard's place in it: (shard, from, to)."""
+        shard = code % self.n
+        order = np.argsort(shard * (self.stride * self.stride // self.n + 1) + code // self.n)
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        return order, [(int(shard[order[i]]), int(i), int(j)) for i, j in zip([0, *cuts], [*cuts, len(order)], strict=True) if i < j]
+
+
+# A row of counted pairs: of kind _TABLE_ROW a shard's codes and counts, of _WORD_ROW the sums of some words, of _COUNT_ROW how many pairs have each count.
+_TABLE_ROW, _WORD_ROW, _COUNT_ROW = range(3)
+_COUNTED = "kind int, id int, first long, n int, a binary, b binary"
+
+
+def _pair_counts(docs: DataFrame, ids: Broadcast | None, vocabulary: np.ndarray, shards: Shards) -> DataFrame:
+    """How often each pair is in docs, as packed rows; each shard is summed by one task, which tells the words' sums too."""
+    known = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    size = len(vocabulary) + 2
+
+    def dealt(held):
+        kinds, n = np.unique(np.concatenate(held), return_counts=True)
+        order, places = shards.dealt(kinds)
+        kinds, n = kinds[order], n[order]
+        rows = [(s, j - i, _steps(kinds[i:j] // shards.n), packed(n[i:j])) for s, i, j in places]
+        return pa.RecordBatch.from_pylist([dict(zip(("shard", "n", "a", "b"), r, strict=True)) for r in rows], pa.schema([("shard", pa.int32()), ("n", pa.int32()), ("a", pa.binary()), ("b", pa.binary())]))
+
+    def count(batches):
+        held, n = [], 0
+        for batch in batches:
+            for part in W.slices(_among(batch, ids and ids.value), "text"):
+                held.append(shards.codes(pairs(W.split(part.column(1), W.SPACED), known.value)))
+                n += len(held[-1])
+                if n >= COUNTED:
+                    yield dealt(held)
+                    held, n = [], 0
+        if n:
+            yield dealt(held)
+
+    def add(table):
+        shard, sizes = table.column("shard")[0].as_py(), table.column("n").to_pylist()
+        code = np.concatenate([np.cumsum(unpacked(x, n)) for x, n in zip(table.column("a"), sizes, strict=True)])
+        count = np.concatenate([unpacked(x, n) for x, n in zip(table.column("b"), sizes, strict=True)])
+        order = np.argsort(code)
+        code, count = code[order], count[order]
+        first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        code, count = code[first], np.add.reduceat(count, first)
+        rows = [(_TABLE_ROW, shard, code[i], _steps(code[i : i + ROW_PAIRS]), packed(count[i : i + ROW_PAIRS]), len(code[i : i + ROW_PAIRS])) for i in range(0, len(code), ROW_PAIRS)]
+        v, w = shards.words(code * shards.n + shard)
+        sums = [np.bincount(v, count, size).astype(np.int64), *(np.bincount(v[at], minlength=size) for at in (count == 1, count == 2, count > 2)), np.bincount(w, minlength=size)]
+        rows += [(_WORD_ROW, k, 0, packed(sums[0][i : i + ROW_WORDS]), packed(np.concatenate([x[i : i + ROW_WORDS] for x in sums[1:]])), len(sums[0][i : i + ROW_WORDS])) for k, i in enumerate(range(0, size, ROW_WORDS))]
+        kinds, often = np.unique(np.minimum(count, 1 << 20), return_counts=True)
+        rows.append((_COUNT_ROW, 0, 0, packed(kinds), packed(often), len(kinds)))
+        kind, id_, start, a, b, n = zip(*rows, strict=True)
+        W.release()
+        return pa.table([pa.array(kind, pa.int32()), pa.array(id_, pa.int32()), pa.array(start, pa.int64()), pa.array(n, pa.int32()), pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["kind", "id", "first", "n", "a", "b"])
+
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(count, "shard int, n int, a binary, b binary").groupBy("shard").applyInArrow(add, _COUNTED)
+
+
+def _added(table: pa.Table) -> pa.Table:
+    """Rows of the same words, summed."""
+    n = table.column("n")[0].as_py()
+    a, b = (sum(unpacked(x, k * n) for x in table.column(c)) for c, k in (("a", 1), ("b", 4)))
+    return pa.table([table.column("id")[:1], table.column("n")[:1], pa.array([packed(a)], pa.binary()), pa.array([packed(b)], pa.binary())], ["id", "n", "a", "b"])
+
+
 class WordModel:
     """The vocabulary, what a word costs after one that it was never seen after, and the gains of seen pairs: the most frequent ones here, all others in a table.
 
@@ -186,41 +292,58 @@ class WordModel:
     def __init__(self, docs: DataFrame, ids: Broadcast | None, folder: str, vocabulary: int = VOCABULARY, pairs_sent: int = PAIRS_SENT):
         spark = docs.sparkSession
         words = _counted(docs, ids, "word", lambda texts: W.split(texts, W.SPACED).hash).filter("n > 1")
-        known = words.orderBy(F.desc("n"), "word").limit(vocabulary).select("word").toArrow().column(0).to_numpy()
-        self.vocabulary = known = np.sort(known.view(np.uint64))
-        size = len(known) + 2
-        _counted(docs, ids, "pair", lambda texts: pairs(W.split(texts, W.SPACED), known)).write.parquet(folder)
-        counted = spark.read.parquet(folder).withColumns({"v": F.shiftright("pair", _SHIFT), "w": F.col("pair").bitwiseAND((1 << _SHIFT) - 1)})
-        # of each first word, each second one, and each count
-        sides = [F.struct(F.lit(i).alias("side"), c.cast("long").alias("id")) for i, c in enumerate((F.col("v"), F.col("w"), F.least("n", F.lit(1 << 20))))]
-        told = counted.select("n", F.explode(F.array(*sides)).alias("s")).groupBy("s.side", "s.id")
-        told = told.agg(F.sum("n").alias("total"), F.count("*").alias("kinds"), *[F.count_if(c).alias(f"n{k}") for k, c in ((1, F.col("n") == 1), (2, F.col("n") == 2), (3, F.col("n") > 2))]).toArrow()
-        side, id_, total, kinds, *ns = (told.column(i).to_numpy() for i in range(7))
-        at = lambda i, value: np.bincount(id_[side == i], value[side == i], size).astype(np.int64)
-        count, often = id_[side == 2], kinds[side == 2]
-        d = _discounts_of([int(often[count == k].sum()) for k in range(1, 5)])
-        all_, off = at(0, total), sum(x * at(0, n) for x, n in zip(d, ns, strict=True))
+        known = words.orderBy(F.desc("n"), "word").limit(vocabulary).toArrow()
+        self.vocabulary = np.sort(known.column("word").to_numpy().view(np.uint64))
+        size = len(self.vocabulary) + 2
+        self.shards = shards = Shards(size, max(SHARDS, -(-(pc.sum(known.column("n")).as_py() or 0) // SHARD_WORDS)))
+        _pair_counts(docs, ids, self.vocabulary, shards).write.parquet(folder)
+        counted = spark.read.parquet(folder)
+        sums = np.zeros((5, size), np.int64)  # of each first word all pairs, and the kinds seen once, twice and more; of each second one the kinds
+        for row in counted.filter(F.col("kind") == _WORD_ROW).groupBy("id").applyInArrow(_added, "id int, n int, a binary, b binary").toArrow().to_batches():
+            for i, n, a, b in zip(*row.columns, strict=True):
+                at = slice(i.as_py() * ROW_WORDS, i.as_py() * ROW_WORDS + n.as_py())
+                sums[0, at], sums[1:, at] = unpacked(a, n.as_py()), unpacked(b, 4 * n.as_py()).reshape(4, -1)
+        counts = counted.filter(F.col("kind") == _COUNT_ROW).select("n", "a", "b").toArrow()
+        each = [[unpacked(x, n.as_py()) for n, x in zip(counts.column("n"), counts.column(c), strict=True)] for c in "ab"]
+        count, at = np.unique(np.concatenate([*each[0], [0]]), return_inverse=True)
+        often = np.bincount(at, np.concatenate([*each[1], [0]])).astype(np.int64)
+        self.discounts = d = np.array(_discounts_of([int(often[count == k].sum()) for k in range(1, 5)]))
+        all_, off = sums[0], d @ sums[1:4]
         free = np.where(all_ > 0, off / np.maximum(all_, 1), 1.0)
-        follows = np.delete(at(1, kinds), _BEGIN)  # after how many words a word is seen
+        follows = np.delete(sums[4], _BEGIN)  # after how many words a word is seen
         p = np.insert(_interpolated(follows, _discounts(follows), np.full(size - 1, 1 / (size - 1))), _BEGIN, 1.0)
-        self.after, self.alone = -np.log(free), -np.log(p)
-        weights = spark.createDataFrame(pa.table({"v": np.arange(size), "off": off}))
-        chances = spark.createDataFrame(pa.table({"w": np.arange(size), "p": p}))
-        n = F.col("n")
-        gain = F.log1p((n - F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])) / (F.col("off") * F.col("p")))
-        gains = counted.join(F.broadcast(weights), "v").join(F.broadcast(chances), "w").select("pair", "n", gain.alias("gain"))
+        self.after, self.alone, self.off, self.p = -np.log(free), -np.log(p), off, p
         falling = np.argsort(-count)
         over = count[falling][np.cumsum(often[falling]) > pairs_sent]
+        over = over[over > 0]
         least = int(over.max()) + 1 if len(over) else 1
-        sent = gains.filter(n >= least).select("pair", "gain").toArrow()
+        table = counted.filter(F.col("kind") == _TABLE_ROW).select("id", "first", "n", "a", "b")
+
+        def frequent(batches):
+            for batch in batches:
+                for shard, _, n, a, b in zip(*batch.columns, strict=True):
+                    times = unpacked(b, n.as_py())
+                    at = np.flatnonzero(times >= least)
+                    v, w = shards.words(np.cumsum(unpacked(a, n.as_py()))[at] * shards.n + shard.as_py())
+                    yield pa.RecordBatch.from_arrays([pa.array(v << _SHIFT | w), pa.array(times[at])], ["pair", "n"])
+
+        sent = table.mapInArrow(frequent, "pair long, n long").toArrow()
         order = np.argsort(sent.column(0).to_numpy())
-        self.sent, self.gain = (sent.column(i).to_numpy()[order] for i in range(2))
-        self.rest = gains.filter(n < least).select("pair", "gain") if len(over) else None
+        self.sent = pair = sent.column(0).to_numpy()[order]
+        self.gain = self.gains(sent.column(1).to_numpy()[order], pair >> _SHIFT, pair & ((1 << _SHIFT) - 1))
+        self.rest = table if len(over) else None
+
+    def gains(self, n: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return _gains(n, v, w, self.discounts, self.off, self.p)
 
     def local(self) -> tuple:
         return self.vocabulary, self.after, self.alone, self.sent, self.gain
 
 
+def _gains(n: np.ndarray, v: np.ndarray, w: np.ndarray, d: np.ndarray, off: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return np.log1p((n - d[np.minimum(n, 3) - 1]) / (off[v] * p[w]))
+
+
 def _found(value: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where the values are in a sorted array, and whether they are."""
     at = np.minimum(np.searchsorted(among, value), max(len(among) - 1, 0))
@@ -229,43 +352,99 @@ def _found(value: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def measure(docs: DataFrame, cost: np.ndarray, model: WordModel) -> DataFrame:
     """docs (key, text; rows of one key have one text) to (key, nats, symbols): summed cost, and number of symbols."""
-    sent = docs.sparkSession.sparkContext.broadcast((cost, *model.local()))
+    context, shards, joined = docs.sparkSession.sparkContext, model.shards, model.rest is not None
+    sent = context.broadcast((cost, *model.local()))
+    facts = context.broadcast((model.discounts, model.off, model.p))
 
-    def own(batches):
+    def own(part):
+        """Each text's costs but for the gains of joined pairs, its symbols, and those pairs with their texts."""
         spell, vocabulary, after, alone, frequent, gain = sent.value
+        found = W.split(part.column(1), W.SPACED)
+        codes, offs = grams(part.column(1), found)
+        by_symbol = np.concatenate([[0.0], np.cumsum(spell[codes].astype(np.float64))])
+        pair = pairs(found, vocabulary)
+        word = pair & ((1 << _SHIFT) - 1)
+        nats = after[pair >> _SHIFT] + alone[word] - np.where(word == _RARE, 0.0, by_symbol[found.end] - by_symbol[found.start])
+        at, hit = _found(pair, frequent)
+        nats[hit] -= gain[at[hit]]
+        by_word = np.concatenate([[0.0], np.cumsum(nats)])[found.bounds]
+        return np.diff(by_symbol[offs]) + np.diff(by_word), np.diff(offs), pair[~hit], np.repeat(np.arange(part.num_rows), found.counts())[~hit]
+
+    def alone(batches):
         for batch in batches:
             for part in W.slices(batch, "text"):
-                found = W.split(part.column(1), W.SPACED)
-                codes, offs = grams(part.column(1), found)
-                by_symbol = np.concatenate([[0.0], np.cumsum(spell[codes].astype(np.float64))])
-                pair = pairs(found, vocabulary)
-                word = pair & ((1 << _SHIFT) - 1)
-                nats = after[pair >> _SHIFT] + alone[word] - np.where(word == _RARE, 0.0, by_symbol[found.end] - by_symbol[found.start])
-                at, hit = _found(pair, frequent)
-                nats[hit] -= gain[at[hit]]
-                by_word = np.concatenate([[0.0], np.cumsum(nats)])[found.bounds]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(by_symbol[offs]) + np.diff(by_word)), pa.array(np.diff(offs))], ["key", "nats", "symbols"])
+                nats, symbols, _, _ = own(part)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(nats), pa.array(symbols)], ["key", "nats", "symbols"])
+
+    names = ["id", "side", "first", "n", "a", "b"]
+    schema = pa.schema(list(zip(names, (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)))
 
     def asked(batches):
-        _, vocabulary, _, _, frequent, _ = sent.value
+        """Of each slice of texts, named by its place and its keys, a row for each shard with the pairs and their texts, and one with what needs no join."""
+        place = 0
         for batch in batches:
             for part in W.slices(batch, "text"):
-                found = W.split(part.column(1), W.SPACED)
-                pair, text = pairs(found, vocabulary), np.repeat(np.arange(part.num_rows), found.counts())
-                rest = ~_found(pair, frequent)[1]
-                pair, text = pair[rest], text[rest]
-                order = np.lexsort((pair, text))
-                pair, text = pair[order], text[order]
-                first = np.flatnonzero(np.concatenate([[True], (pair[1:] != pair[:-1]) | (text[1:] != text[:-1])])[: len(pair)])
-                key = part.column(0).to_numpy()[text[first]]
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(pair[first]), pa.array(np.diff(np.append(first, len(pair))).astype(np.int32))], ["key", "pair", "times"])
+                nats, symbols, pair, text = own(part)
+                key = part.column(0).to_numpy()
+                place += 1
+                name = xxhash.xxh64_intdigest(np.append(key, [TaskContext.get().partitionId(), place]).tobytes())
+                name -= (name >> 63) << 64
+                code = shards.codes(pair)
+                order, places = shards.dealt(code)
+                code, text = code[order] // shards.n, text[order]
+                rows = [(s, 1, name, j - i, _steps(code[i:j]), packed(text[i:j])) for s, i, j in places]
+                rows.append((place % shards.n, 2, name, len(key), key.tobytes(), nats.tobytes() + symbols.tobytes()))
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in rows], schema)
+
+    def answer(batches):
+        """Rows come by shard, its table first: of each slice's pairs the summed gains of its texts."""
+        d, off, p = facts.value
+        shard, parts, table = None, [], None
+        for batch in batches:
+            out = []
+            for id_, side, name, n, a, b in zip(*batch.columns, strict=True):
+                if id_.as_py() != shard:
+                    shard, parts, table = id_.as_py(), [], None
+                side, n = side.as_py(), n.as_py()
+                if side == 0:
+                    parts.append((np.cumsum(unpacked(a, n)), unpacked(b, n).astype(np.int32)))
+                elif side == 2:
+                    out.append((name.as_py(), -1, a.as_py(), b.as_py()))
+                else:
+                    if table is None:
+                        table = [np.concatenate([x[i] for x in parts]) if parts else np.zeros(0, np.int64) for i in range(2)]
+                        parts = []
+                    code, text = np.cumsum(unpacked(a, n)), unpacked(b, n)
+                    at, hit = _found(code, table[0])
+                    if hit.any():
+                        v, w = shards.words(code[hit] * shards.n + shard)
+                        out.append((name.as_py(), shard, np.bincount(text[hit], _gains(table[1][at[hit]], v, w, d, off, p)).tobytes(), None))
+            if out:
+                columns = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["name", "shard", "a", "b"])
+        W.release()
+
+    def total(table):
+        """What one slice's texts cost, shard by shard in order."""
+        table = table.sort_by("shard")
+        if table.column("shard")[0].as_py() != -1 or pc.sum(pc.equal(table.column("shard"), -1)).as_py() != 1:
+            raise RuntimeError("the texts came in another order when a task ran again")
+        key, both = (np.frombuffer(table.column(c)[0].as_buffer(), np.int64) for c in "ab")
+        nats, symbols = both[: len(key)].view(np.float64).copy(), both[len(key) :]
+        for x in table.column("a")[1:]:
+            gain = np.frombuffer(x.as_buffer(), np.float64)
+            nats[: len(gain)] -= gain
+        return pa.table([pa.array(key), pa.array(nats), pa.array(symbols)], ["key", "nats", "symbols"])
 
     docs = docs.select("key", F.col("text").cast("string"))
-    base = docs.mapInArrow(own, "key long, nats double, symbols long").groupBy("key").agg(F.max("nats").alias("nats"), F.max("symbols").alias("symbols"), F.count("*").alias("copies"))
-    if model.rest is None:
-        return base.drop("copies")
-    gains = docs.mapInArrow(asked, "key long, pair long, times int").join(model.rest, "pair").groupBy("key").agg(F.sum(F.col("times") * F.col("gain")).alias("gains"))
-    return base.join(gains, "key", "left").select("key", (F.col("nats") - F.coalesce("gains", F.lit(0.0)) / F.col("copies")).alias("nats"), "symbols")
+    if joined:
+        table = model.rest.select("id", F.lit(0).alias("side"), "first", "n", "a", "b")
+        rows = table.unionByName(docs.mapInArrow(asked, "id int, side int, first long, n int, a binary, b binary"))
+        answers = rows.repartition("id").sortWithinPartitions("id", "side", "first").mapInArrow(answer, "name long, shard int, a binary, b binary")
+        costs_ = answers.groupBy("name").applyInArrow(total, "key long, nats double, symbols long")
+    else:
+        costs_ = docs.mapInArrow(alone, "key long, nats double, symbols long")
+    return costs_.groupBy("key").agg(F.max("nats").alias("nats"), F.max("symbols").alias("symbols"))
 
 
 def _chosen(docs: DataFrame, ids: Broadcast | None) -> DataFrame:
