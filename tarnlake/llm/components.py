@@ -16,20 +16,24 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Every round hooks each component's root below the smallest root beside it and then shortens
     the paths; all steps are joins and minima with partial aggregation, so hot nodes stay split.
-    Null ends, loops and repeated edges do no harm. Each round is checkpointed.
+    Null ends, loops and repeated edges do no harm. Each round's tables are stored, and removed after the next one.
     """
-    checkpoints.ensure(edges.sparkSession)
-    links = edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().checkpoint()
+    steps = checkpoints.Steps(edges.sparkSession)
+    links = steps.keep(edges.filter("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     parts = links.count() // FILE_ROWS + 1
     label = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
     live = links.filter("a < b")
-    label = label.coalesce(parts).checkpoint()
+    label = steps.keep(label.coalesce(parts))
     while not live.isEmpty():
+        before, steps = steps, checkpoints.Steps(edges.sparkSession)
         # live edges join roots; the greater root of each edge hangs below the least root next to it
         hooks = live.groupBy(F.col("b").alias("root")).agg(F.min("a").alias("lower"))
-        parent = _shorten(hooks.coalesce(parts).checkpoint(), parts)
-        label = _renamed(label, "root", parent).coalesce(parts).checkpoint()
-        live = _renamed(_renamed(live, "a", parent), "b", parent).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts).checkpoint()
+        parent = _shorten(steps.keep(hooks.coalesce(parts)), parts, steps)
+        label = steps.keep(_renamed(label, "root", parent).coalesce(parts))
+        live = steps.keep(_renamed(_renamed(live, "a", parent), "b", parent).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().coalesce(parts))
+        before.remove()
+    label = label.checkpoint()
+    steps.remove()
     return label
 
 
@@ -37,11 +41,11 @@ def _renamed(rows: DataFrame, name: str, parent: DataFrame) -> DataFrame:
     return rows.join(parent.withColumnRenamed("root", name), name, "left").withColumn(name, F.coalesce("lower", name)).drop("lower")
 
 
-def _shorten(parent: DataFrame, parts: int) -> DataFrame:
+def _shorten(parent: DataFrame, parts: int, steps: checkpoints.Steps) -> DataFrame:
     """Follow (root, lower) to the end of each path; lower < root, so there are no cycles. Paths halve each time."""
     while True:
         step = parent.select(F.col("root").alias("lower"), F.col("lower").alias("next"))
-        further = parent.join(step, "lower", "left").select("root", F.coalesce("next", "lower").alias("lower"), F.col("next").isNotNull().alias("moved")).coalesce(parts).checkpoint()
+        further = steps.keep(parent.join(step, "lower", "left").select("root", F.coalesce("next", "lower").alias("lower"), F.col("next").isNotNull().alias("moved")).coalesce(parts))
         if further.filter("moved").isEmpty():
             return parent
         parent = further.drop("moved")
