@@ -10,7 +10,7 @@ document's perplexity is held against a quantile of trusted documents of its lan
 were not trained on.
 
 A pair's cost is that of its second word after an unseen first one, which each worker knows, less a gain
-that pairs seen in trusted text have. So only gains are joined, and a document's are summed.
+that pairs seen in trusted text have. So only seen pairs are joined, and a document's gains are summed.
 """
 
 from __future__ import annotations
