@@ -5,15 +5,15 @@ corpus in number and are dealt to shards that sum them. A gram is only counted w
 may reach the least count, so most of the corpus is out after two lengths. Cells that reach it go to all
 workers as bits of a bounded map: a phrase may be taken for a candidate wrongly, never left out.
 
-Candidates become Aho-Corasick automata in blocks of bounded size. A key has a blank on both sides of
-every word, as the normalised texts have, so only whole words match; all overlapping matches count. The
-counts of all shards are summed, and the thresholds apply to the sums.
+Some texts at a time are matched with an Aho-Corasick automaton of the candidates that occur in them, so
+automata are bounded by the texts at hand and not by the number of all candidates, and one reading counts
+everything. A key has a blank on both sides of every word, as the normalised texts have, so only whole
+words match; all overlapping matches count. Counts are summed by shards, and the thresholds apply to the
+sums.
 """
 
 from __future__ import annotations
 
-import uuid
-from collections import Counter
 from operator import itemgetter
 
 import ahocorasick
@@ -33,10 +33,10 @@ MAP_BITS = 27
 SHARD_BITS = 22
 #: Grams that a worker holds before it sums them up.
 HELD = 1 << 21
-#: Characters of candidates in one block of automata: about 60 bytes of memory each.
+#: Characters of distinct candidates beyond which a task builds its automata: about 60 bytes of memory each.
 BLOCK = 1 << 22
-#: Candidates whose counts travel together.
-TOGETHER = 1 << 14
+#: Bytes of texts that a task holds for its automata.
+READ = 1 << 24
 #: Parts of a language that are ranked apart before the last ranking.
 RANKED = 64
 
@@ -203,109 +203,95 @@ def _reaching(texts: DataFrame, lengths: tuple[int, ...], known: Bounds, cells:
     return {length: (place[k == length], word[k == length]) for length in lengths}
 
 
-def _candidates(texts: DataFrame, known: Bounds, cells: int, longest: int, shard_bits: int) -> DataFrame:
-    """(lang, phrase) of 1 to ``longest`` words that may reach the least count, blanks between words. A task tells each once; those of one shard travel together."""
-    sent = texts.sparkSession.sparkContext.broadcast(known)
-    shards = np.uint64(max(64, cells >> shard_bits))
+def normalised(text: bytes) -> str:
+    """Words with a blank on either side; where a piece ends, a full stop stands among them."""
+    return f" {b' '.join(text.translate(_FOLD).replace(b'.', b' . ').split()).decode()} "
 
-    def name(batches):
-        told = {k: np.zeros(0, np.uint64) for k in range(1, longest + 1)}
-        found: dict[tuple[str, int], list[bytes]] = {}
-        for lang, text in _slices(batches):
-            grams = _Grams(text, lang)
-            names, of = grams.lang.dictionary.to_pylist(), grams.lang.indices.to_numpy()
-            folded = None
-            for k, hashes, at in sent.value.possible(grams, longest, cells):
-                new, once = np.unique(hashes[at], return_index=True)
-                place = np.searchsorted(told[k], new)
-                fresh = (place == len(told[k])) | (told[k][np.minimum(place, len(told[k]) - 1)] != new) if len(told[k]) else np.ones(len(new), bool)
-                if not fresh.any():
-                    continue
-                told[k] = np.insert(told[k], place[fresh], new[fresh])
-                folded = _WORD.fold[grams.found.data] if folded is None else folded
-                for i, shard in zip(at[once[fresh]].tolist(), (new[fresh] % shards).tolist(), strict=True):
-                    words = [folded[grams.found.start[j] : grams.found.end[j]].tobytes() for j in range(i, i + k)]
-                    found.setdefault((names[of[grams.own[i]]], shard), []).append(b" ".join(words))
-        bodies = [b"\n".join(v) for v in found.values()]
-        columns = [pa.array([lang for lang, _ in found], pa.string()), pa.array([shard for _, shard in found], pa.int64()), pa.array([pa.compress(b, "zstd", asbytes=True) for b in bodies], pa.binary()), pa.array([len(b) for b in bodies], pa.int64())]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "shard", "body", "size"])
-
-    def once(key, part):
-        found: set[bytes] = set()
-        for body, size in zip(part["body"], part["size"], strict=True):
-            found.update(pa.decompress(body.as_py(), size.as_py(), "zstd", asbytes=True).split(b"\n"))
-        return pa.Table.from_pydict({"lang": pa.array([key[0].as_py()] * len(found), pa.string()), "phrase": pa.array(sorted(found), pa.binary()).cast(pa.string())})
 
-    return texts.mapInArrow(name, "lang string, shard long, body binary, size long").groupBy("lang", "shard").applyInArrow(once, "lang string, phrase string")
+def _occurrences(phrases: list[bytes], texts: list[str]) -> np.ndarray:
+    """How often each phrase occurs in normalised texts, by an automaton of all of them."""
+    auto = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, phrase in enumerate(phrases):
+        auto.add_word(f" {phrase.decode()} ", i)
+    auto.make_automaton()
+    return np.bincount(np.fromiter(map(itemgetter(1), auto.iter(".".join(texts))), np.int64), minlength=len(phrases))
 
 
-_BUILT: dict[str, dict] = {}
+def _told(phrases: list[bytes], counts: np.ndarray) -> bytes:
+    """Phrases with their counts: one byte each, larger ones are listed."""
+    large = counts[counts >= 255].astype(np.int64)
+    return b"".join([np.array([len(phrases), len(large)]).tobytes(), np.minimum(counts, 255).astype(np.uint8).tobytes(), large.tobytes(), b"\n".join(phrases)])
 
 
-def _automata(name: str, phrases: list[tuple[str, str]]) -> dict:
-    """An automaton for each language, with the phrases' places in the list; a worker keeps those of the block that it works on."""
-    if name not in _BUILT:
-        _BUILT.clear()
-        out = _BUILT.setdefault(name, {})
-        for i, (lang, phrase) in enumerate(phrases):
-            if lang not in out:
-                out[lang] = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-            out[lang].add_word(f" {phrase} ", i)
-        for auto in out.values():
-            auto.make_automaton()
-    return _BUILT[name]
+def _heard(data: bytes) -> tuple[list[bytes], np.ndarray]:
+    n, m = np.frombuffer(data, np.int64, 2).tolist()
+    counts = np.frombuffer(data, np.uint8, n, 16).astype(np.int64)
+    counts[counts == 255] = np.frombuffer(data, np.int64, m, 16 + n)
+    return data[16 + n + 8 * m :].split(b"\n"), counts
 
 
-def normalised(text: bytes) -> str:
-    """Words with a blank on either side; where a piece ends, a full stop stands among them."""
-    return f" {b' '.join(text.translate(_FOLD).replace(b'.', b' . ').split()).decode()} "
+def _counts(texts: DataFrame, known: Bounds, cells: int, longest: int, least: int, shard_bits: int, block: int, read: int) -> DataFrame:
+    """(lang, phrase, n) of the phrases of 1 to ``longest`` words that occur ``least`` times, blanks between words.
 
+    A task holds texts until these have ``read`` bytes or their distinct candidates ``block`` characters, builds
+    automata of these candidates, which are all that occur there, and sends their counts to shards that sum them. So
+    texts are read once, whatever the number of all candidates, and no list of these is gathered.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(known)
+    shards = np.uint64(max(64, cells >> shard_bits))
+
+    def count(batches):
+        told, found, bodies = {}, {}, {}
+        size = held = 0
 
-def _counted(texts: DataFrame, phrases: list[tuple[str, str]]) -> DataFrame:
-    """(lang, phrase, n) of a block's phrases that occur: each task's counts, then their sums."""
-    sent, name = texts.sparkSession.sparkContext.broadcast(phrases), uuid.uuid4().hex
+        def out():
+            for lang, some in found.items():
+                some.sort()
+                sums = _occurrences([p for _, p in some], bodies[lang])
+                shard = np.array([s for s, _ in some])
+                full, start = np.unique(shard, return_index=True)
+                data = [_told([p for _, p in some[x:y]], sums[x:y]) for x, y in zip(start.tolist(), [*start[1:].tolist(), len(some)], strict=True)]
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(full), pa.string()), "shard": pa.array(full.astype(np.int64)), "body": pa.array([pa.compress(d, "zstd", asbytes=True) for d in data], pa.binary()), "size": pa.array([len(d) for d in data], pa.int64())})
+            for x in (told, found, bodies):
+                x.clear()
 
-    def scan(batches):
-        automata, counts = _automata(name, sent.value), Counter()
         for lang, text in _slices(batches):
-            data, at = W.buffers(text)
-            for i, one in enumerate(lang.to_pylist()):
-                if one in automata and at[i] < at[i + 1]:
-                    counts.update(map(itemgetter(1), automata[one].iter(normalised(data[at[i] : at[i + 1]].tobytes()))))
-        ids, found = (np.fromiter(v, np.int64, len(counts)) for v in (counts.keys(), counts.values()))
-        order = np.argsort(ids)
-        ids, found = ids[order], found[order]
-        parts = np.unique(ids // TOGETHER)
-        cuts = np.searchsorted(ids, np.append(parts, parts[-1:] + 1) * TOGETHER)
-        bodies = [_packed(ids[x:y] - p * TOGETHER, found[x:y]) for p, x, y in zip(parts.tolist(), cuts[:-1], cuts[1:], strict=True)]
-        yield pa.RecordBatch.from_pydict({"part": pa.array(parts), "body": pa.array([b for b, _ in bodies], pa.binary()), "size": pa.array([n for _, n in bodies], pa.int64())})
+            grams = _Grams(text, lang)
+            names, of = grams.lang.dictionary.to_pylist(), grams.lang.indices.to_numpy()
+            folded = _WORD.fold[grams.found.data]
+            for k, hashes, at in sent.value.possible(grams, longest, cells):
+                new, once = np.unique(hashes[at], return_index=True)
+                before = told.get(k, np.zeros(0, np.uint64))
+                place = np.searchsorted(before, new)
+                fresh = before[np.minimum(place, len(before) - 1)] != new if len(before) else np.ones(len(new), bool)
+                told[k] = np.insert(before, place[fresh], new[fresh])
+                for i, shard in zip(at[once[fresh]].tolist(), (new[fresh] % shards).tolist(), strict=True):
+                    phrase = b" ".join(folded[grams.found.start[j] : grams.found.end[j]].tobytes() for j in range(i, i + k))
+                    found.setdefault(names[of[grams.own[i]]], []).append((shard, phrase))
+                    size += len(phrase) + 2
+            data, bounds = W.buffers(text)
+            for i, j in enumerate(of.tolist()):
+                bodies.setdefault(names[j], []).append(normalised(data[bounds[i] : bounds[i + 1]].tobytes()))
+            held += len(data)
+            if size > block or held > read:
+                yield from out()
+                size = held = 0
+        yield from out()
         W.release()
 
-    def total(key, rows):
-        first, sums = key[0].as_py() * TOGETHER, np.zeros(TOGETHER, np.int64)
-        for body, size in zip(rows["body"], rows["size"], strict=True):
-            at, count = _unpacked(body.as_py(), size.as_py())
-            sums[at] += count
-        at = np.flatnonzero(sums)
-        told = [sent.value[first + i] for i in at.tolist()]
-        return pa.Table.from_pydict({"lang": pa.array([x for x, _ in told], pa.string()), "phrase": pa.array([x for _, x in told], pa.string()), "n": pa.array(sums[at])})
-
-    return texts.mapInArrow(scan, "part long, body binary, size long").groupBy("part").applyInArrow(total, "lang string, phrase string, n long")
-
+    def total(key, part):
+        sums: dict[bytes, int] = {}
+        for body, size in zip(part["body"], part["size"], strict=True):
+            phrases, counts = _heard(pa.decompress(body.as_py(), size.as_py(), "zstd", asbytes=True))
+            for phrase, n in zip(phrases, counts.tolist(), strict=True):
+                sums[phrase] = sums.get(phrase, 0) + n
+        often = sorted((p, n) for p, n in sums.items() if n >= least)
+        return pa.table([pa.array([key[0].as_py()] * len(often), pa.string()), pa.array([p for p, _ in often], pa.binary()).cast(pa.string()), pa.array([n for _, n in often], pa.int64())], ["lang", "phrase", "n"])
 
-def _counts(texts: DataFrame, candidates: DataFrame, block: int) -> DataFrame:
-    """candidates (lang, phrase) to (lang, phrase, n) with exact counts; the texts are read once for each block of candidates."""
-    size = candidates.agg(F.sum(F.length("phrase") + 2)).first()[0] or 0
-    blocks = max(1, -(-size // block))
-    out = None
-    for b in range(blocks):
-        some = candidates.filter(F.pmod(F.xxhash64("lang", "phrase"), F.lit(blocks)) == b).toArrow()
-        counted = _counted(texts, list(zip(some["lang"].to_pylist(), some["phrase"].to_pylist(), strict=True))).checkpoint()
-        out = counted if out is None else out.unionByName(counted)
-    return out
+    return texts.mapInArrow(count, "lang string, shard long, body binary, size long").groupBy("lang", "shard").applyInArrow(total, "lang string, phrase string, n long")
 
 
-def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, block: int = BLOCK, map_bits: int = MAP_BITS, shard_bits: int = SHARD_BITS, held: int = HELD) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int = 2000, block: int = BLOCK, map_bits: int = MAP_BITS, shard_bits: int = SHARD_BITS, held: int = HELD, read: int = READ) -> DataFrame:
     """docs (lang, text) to (lang, rank, phrase, a, l, r, n, score): each language's first phrases of 2 to ``longest`` words.
 
     A-Z are lower-cased; ``BREAKS`` end pieces, blanks and tabs words. a is how often a phrase occurs within
@@ -326,7 +312,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, first: int
         if lengths and max(lengths) <= longest:
             for k, words_of in _reaching(texts, lengths, known, cells, least, shard_bits, held).items():
                 known.add(k, *words_of)
-    counts = _counts(texts, _candidates(texts, known, cells, longest, shard_bits).checkpoint(), block).filter(F.col("n") >= least)
+    counts = _counts(texts, known, cells, longest, least, shard_bits, block, read).checkpoint()
     return ranked(counts, totals, first)
 
 

@@ -73,3 +73,30 @@ def test_products_beyond_64_bits(spark):
     totals = spark.createDataFrame([("en", 5 * 10**15)], "lang string, n long")
     score = 1000 * 6 * 10**12 * 5 * 10**15 // (7 * 10**12 * (6 * 10**12 + 1))
     assert [tuple(r) for r in phrases.ranked(counts, totals, 10).select("a", "l", "r", "n", "score").collect()] == [(6 * 10**12, 7 * 10**12, 6 * 10**12 + 1, 5 * 10**15, score)]
+
+
+def test_texts_are_read_as_often_whatever_the_candidates(spark):
+    """More candidates than one automaton takes cost no further reading."""
+    rows = _corpus(60, 3)
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame(rows, "lang string, text string").mapInArrow(count, "lang string, text string")
+    read = []
+    for block in (phrases.BLOCK, 300, 40):
+        before = seen.value
+        found = phrases.collocations(docs, least=4, block=block).select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()
+        read.append(seen.value - before)
+        assert sorted(map(tuple, found)) == _expected(rows, 4)
+    assert read[0] > 0 and read == [read[0]] * 3
+
+
+def test_counts_of_many_small_holdings(spark):
+    """Texts whose automata are built row by row, with counts beyond a byte in one holding."""
+    rows = [("en", "a b " * 700), (None, "a b. " * 300), ("en", None), *_corpus(20, 4)]
+    for more in ({"read": 1}, {"block": 1}, {}):
+        assert _found(spark, rows, least=3, **more) == _expected(rows, 3)
