@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import date_key, surrogate_key
-from .runs import number_runs
+from .runs import number_runs, reaches
+
+#: Versions of a product that one row holds where pairs are made.
+PLACES = 1024
 
 
 def date_dimension(spark: SparkSession, first: str = "2019-01-01", beyond: str = "2028-01-01") -> DataFrame:
@@ -50,22 +53,21 @@ def overlapping_pairs(history: DataFrame) -> DataFrame:
     """Each pair of versions of one product whose windows overlap, once: the one that begins first (of equals the lesser version) as ``earlier``, the other as ``later``.
 
     Versions are placed in the order of their beginnings. One sweep over beginnings and ends tells each
-    version how many begin before it ends; those after its own place are what it overlaps, so the join by
-    place makes no row that is not a pair. Windows are half open, without an end they last for ever; a
-    window that ends no later than it begins overlaps nothing. Null products have no versions.
+    version how many begin before it ends; those after its own place are what it overlaps. They are read from
+    rows of PLACES versions each, with which a version is joined once, however many of these it overlaps: no
+    row is made that is no pair, and no pair is shuffled. Windows are half open, without an end they last for
+    ever; a window that ends no later than it begins overlaps nothing. Null products have no versions.
     """
     known = history.filter("product_id IS NOT NULL").select("product_id", "product_version", "valid_from", "valid_to").filter("valid_to IS NULL OR valid_to > valid_from")
-    in_order = Window.partitionBy("product_id").orderBy("valid_from", "product_version")
-    placed = known.withColumn("place", F.row_number().over(in_order).cast("long"))
-    begins = placed.select("product_id", F.col("valid_from").alias("at"), F.lit(1).alias("side"), "product_version", "place", F.lit(1).cast("long").alias("one"))
-    # at one instant an end comes before a beginning
-    ends = placed.filter("valid_to IS NOT NULL").select("product_id", F.col("valid_to").alias("at"), F.lit(0).alias("side"), "product_version", "place", F.lit(0).cast("long").alias("one"))
-    so_far = Window.partitionBy("product_id").orderBy("at", "side", "place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    reach = begins.unionByName(ends).withColumn("reach", F.sum("one").over(so_far)).filter("side = 0").select("product_id", "place", "reach")
-    lasting = placed.filter("valid_to IS NULL").select("product_id", "place").join(placed.groupBy("product_id").agg(F.count("*").alias("reach")), "product_id")
-    over = reach.unionByName(lasting).filter("reach > place").select("product_id", F.col("place").alias("_first"), F.explode(F.expr("sequence(place + 1, reach)")).alias("_second"))
-    of = lambda name: placed.select("product_id", F.col("place").alias({"earlier": "_first", "later": "_second"}[name]), F.col("product_version").alias(name), F.col("valid_from").alias(f"{name}_from"))
-    return over.join(of("earlier"), ["product_id", "_first"]).join(of("later"), ["product_id", "_second"]).select("product_id", "earlier", "later", "earlier_from", "later_from")
+    told = reaches(known, "product_id", "valid_from", "product_version")
+    versions = F.sort_array(F.collect_list(F.struct("place", F.col("product_version").alias("later"), F.col("valid_from").alias("later_from")))).alias("versions")
+    blocks = told.groupBy("product_id", F.expr(f"(place - 1) div {PLACES}").alias("block")).agg(versions)
+    met = told.filter("reach > place").select("product_id", F.col("product_version").alias("earlier"), F.col("valid_from").alias("earlier_from"), "place", "reach", F.explode(F.expr(f"sequence(place div {PLACES}, (reach - 1) div {PLACES})")).alias("block"))
+    first = F.greatest(F.col("place") - F.col("block") * PLACES, F.lit(0))
+    beyond = F.least(F.col("reach") - F.col("block") * PLACES, F.lit(PLACES))
+    later = F.slice("versions", (first + 1).cast("int"), (beyond - first).cast("int"))
+    pairs = met.join(blocks, ["product_id", "block"]).select("product_id", "earlier", "earlier_from", F.explode(later).alias("v"))
+    return pairs.select("product_id", "earlier", "v.later", "earlier_from", "v.later_from")
 
 
 def overlapping_versions(history: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Numbering the runs of a key's rows in order: sessions and versions are both of this kind."""
+"""Numbering the runs of a key's rows in order: sessions and versions are both of this kind. Places of a key's windows."""
 
 from __future__ import annotations
 
@@ -54,3 +54,18 @@ def number_runs(rows: DataFrame, key: str, order: list[str], carry: list[str], s
     ends = ends.filter(known).select(F.col(key).alias("_key"), F.col("_slice").alias("_at"), "_before", "_base")
     met = told.join(ends, (told[key] == ends["_key"]) & (told["_slice"] == ends["_at"]), "left")
     return met.withColumns({out: F.when(known, F.col("_base") + F.col("_within")), "_previous": F.when(known, F.coalesce("_previous", "_before"))}).drop("_row", "_new", "_within", "_slice", "_before", "_base", "_spread", "_key", "_at")
+
+
+def reaches(windows: DataFrame, key: str, *order: str) -> DataFrame:
+    """windows (key, valid_from, valid_to and any columns) with ``place``, that of a window among the key's by ``order``, which begins with valid_from, and ``reach``, how many of these begin before its end.
+
+    One sweep over beginnings and ends. Windows are half open, without an end they last for ever.
+    """
+    own = Window.partitionBy(key)
+    placed = windows.withColumn("place", F.row_number().over(own.orderBy(*order)).cast("long"))
+    sides = placed.withColumn("_side", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    ends = F.col("_side") == 0
+    # at one instant an end comes before a beginning
+    at = [ends & F.col("valid_to").isNull(), F.when(ends, F.col("valid_to")).otherwise(F.col("valid_from")), F.col("_side")]
+    so_far = own.orderBy(*at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return sides.withColumn("reach", F.sum("_side").over(so_far)).filter(ends).drop("_side")

@@ -143,3 +143,25 @@ def test_overlapping_pairs_once_each(spark):
     pairs = dimensions.overlapping_pairs(history)
     assert sorted(map(tuple, pairs.select("product_id", "earlier", "later").collect())) == want and len(want) > 50
     assert "Cartesian" not in pairs._jdf.queryExecution().toString() and dimensions.overlapping_pairs(history.limit(0)).count() == 0
+
+
+def _windows(spark, rng, n):
+    at = lambda h: None if h is None else datetime(2024, 1, 1) + timedelta(hours=h)
+    rows = [(p, v, at(a := rng.randrange(40)), at(rng.choice([None, a, a - 1, a + 1, a + rng.randrange(1, 12)]))) for p in (1, 2, None) for v in range(n)]
+    return rows + [(1, n, None, at(5)), rows[0]], "product_id long, product_version long, valid_from timestamp_ntz, valid_to timestamp_ntz"
+
+
+def test_pairs_are_made_after_the_last_shuffle(spark, monkeypatch):
+    """A product's versions lie in several rows, some reach over all of them; pairs themselves are not shuffled."""
+    rows, schema = _windows(spark, random.Random(8), 40)
+    rows = rows[:-2]
+    far = datetime(9999, 1, 1)
+    live = [r for r in rows if r[0] is not None and (r[3] or far) > r[2]]
+    want = sorted((a[0], a[1], b[1], a[2], b[2]) for a in live for b in live if a[0] == b[0] and (a[2], a[1]) < (b[2], b[1]) and b[2] < (a[3] or far))
+    plan = dimensions.overlapping_pairs(spark.createDataFrame(rows, schema))._jdf.queryExecution().executedPlan().toString()
+    assert 0 <= plan.find("Generate") < plan.find("Exchange")
+    for places in (1, 3, 4, 1024):
+        monkeypatch.setattr(dimensions, "PLACES", places)
+        pairs = dimensions.overlapping_pairs(spark.createDataFrame(rows, schema))
+        assert pairs.columns == ["product_id", "earlier", "later", "earlier_from", "later_from"]
+        assert sorted(map(tuple, pairs.collect())) == want and len(want) > 200
