@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import micros
 from .heat import by_heat
+from .runs import reaches
 
 #: Bytes of a side that may be broadcast.
 MOST_BROADCAST = 64 << 20
@@ -67,11 +68,22 @@ def _of(history: DataFrame, key: str, hot: list, inside: bool) -> DataFrame:
     return history.filter(is_hot if inside else ~is_hot)
 
 
-def interval_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time") -> DataFrame:
-    """The same by an equality on the key and the interval as a further condition; right for short histories. Adaptive execution broadcasts the history if it turns out small."""
-    h = history.withColumnRenamed(key, "_key")
-    cond = (events[key] == h["_key"]) & (events[at] >= h["valid_from"]) & (h["valid_to"].isNull() | (events[at] < h["valid_to"]))
-    return events.join(h, cond, "left").drop("_key")
+def interval_join(events: DataFrame, history: DataFrame, key: str, at: str = "event_time", slice_seconds: int | None = None, hot: list | None = None) -> DataFrame:
+    """Left join of events with all versions whose interval their time lies in, also where versions overlap.
+
+    The interval is a condition beside an equality on the key and a place among the key's beginnings: an event
+    has the place of the last version that began, a version those from its own to the last one that begins before its
+    end. So an event is compared with the versions that hold, and such as end before the next one begins, not with all of
+    the key. ``slice_seconds`` and ``hot`` split the search of events' places as in ``asof_join``.
+    """
+    known = history.filter(F.col(key).isNotNull() & F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("valid_from"))))
+    told = reaches(known, key, "valid_from")
+    starts = told.groupBy(key, "valid_from").agg(F.max("place").alias("_place")).withColumn("_open", F.lit(None).cast("timestamp"))
+    asked = events.withColumn("_time", F.col(at).cast(history.schema["valid_from"].dataType))
+    placed = asof_join(asked, starts, key, "_time", end="_open", carry=["_place"], slice_seconds=slice_seconds, hot=hot)
+    h = told.withColumn("_held", F.explode(F.sequence("place", "reach"))).drop("place", "reach").withColumnRenamed(key, "_key")
+    cond = (placed[key] == h["_key"]) & (placed["_place"] == h["_held"]) & (placed[at] >= h["valid_from"]) & (h["valid_to"].isNull() | (placed[at] < h["valid_to"]))
+    return placed.join(h, cond, "left").drop("_key", "_held", "_place", "_time")
 
 
 def enrich(events: DataFrame, products: DataFrame, sessions: DataFrame | None = None) -> DataFrame:

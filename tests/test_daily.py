@@ -165,3 +165,36 @@ def test_pairs_are_made_after_the_last_shuffle(spark, monkeypatch):
         pairs = dimensions.overlapping_pairs(spark.createDataFrame(rows, schema))
         assert pairs.columns == ["product_id", "earlier", "later", "earlier_from", "later_from"]
         assert sorted(map(tuple, pairs.collect())) == want and len(want) > 200
+
+
+def test_interval_join_by_places(spark):
+    """Every version that holds is found, also where several do; events meet versions by place, not all of a product's."""
+    rng = random.Random(9)
+    rows, schema = _windows(spark, rng, 30)
+    times = [datetime(2024, 1, 1) + timedelta(minutes=rng.randrange(-100, 3200)) for _ in range(80)] + [datetime(2024, 1, 1) + timedelta(hours=h) for h in range(0, 50, 3)] + [None]
+    asked = [(i, rng.choice([1, 1, 2, 3, None]), t) for i, t in enumerate(times)]
+    far = datetime(9999, 1, 1)
+    holds = lambda e, r: None not in (e[1], e[2], r[2]) and e[1] == r[0] and r[2] <= e[2] < (r[3] or far)
+    want = []
+    for e in asked:
+        found = [r for r in rows if holds(e, r)]
+        want += [(*e, *r[1:]) for r in found] or [(*e, None, None, None)]
+    events, history = spark.createDataFrame(asked, "i long, product_id long, event_time timestamp_ntz"), spark.createDataFrame(rows, schema)
+    for more in ({}, {"slice_seconds": 3600}, {"slice_seconds": 7200, "hot": [1]}):
+        got = joins.interval_join(events, history, "product_id", **more)
+        assert got.columns == ["i", "product_id", "event_time", "product_version", "valid_from", "valid_to"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and len(want) > 150
+    single = history.filter("product_version = 1")
+    assert joins.interval_join(events, single.limit(0), "product_id").count() == len(asked)
+
+
+def test_interval_join_compares_few(spark):
+    """A product of 30,000 versions and events would be 900 million comparisons."""
+    n = 30_000
+    time = lambda seconds: F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, {seconds})")
+    history = spark.range(n).select(F.lit(1).cast("long").alias("product_id"), F.col("id").alias("version"), time("10 * id").alias("valid_from"), time("10 * id + 10").alias("valid_to"))
+    events = spark.range(n).select(F.col("id").alias("i"), F.lit(1).cast("long").alias("product_id"), time("10 * id + 3").alias("event_time"))
+    joined = joins.interval_join(events, history, "product_id")
+    keys = [x for x in joined._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join LeftOuter" in x]
+    assert len(keys) == 1 and keys[0].count(" = ") == 2
+    assert joined.filter("version = i").count() == n == joined.count()
