@@ -1,13 +1,9 @@
-"""Near-duplicates by the exact Jaccard similarity of distinct word shingles, met through SimHash and banded minima.
+"""Near-duplicates by the exact Jaccard similarity of distinct word shingles, met through prefixes and SimHash.
 
-Sets whose SimHash fingerprints differ in at most RADIUS bits, or are joined by such, meet through the
-byte-position index of ``simhash`` with its count filter. Texts at the threshold may differ in more bits;
-these meet through banded minima, so the fingerprints lose no link that minima find. The exact similarity
-decides on all that meet.
-
-Equal sets are one node. Every set has BANDS keys of ROWS minima each; sets that share a key are
-compared whole, so a link is never wrong. Two sets of similarity J share no key with a probability of
-(1 - J ** ROWS) ** BANDS, at J = 0.8 one in 20,000, whatever the input's size.
+Sets that link share a key of ``ngramjoin``'s prefixes, so no link is lost; sets without such a partner are told
+before. Those left whose SimHash fingerprints differ in at most RADIUS bits, or are joined by such, meet through the
+byte-position index of ``simhash`` with its count filter too. The exact similarity decides on all that meet, so a link
+is never wrong. Equal sets are one node.
 
 A large group of near copies never becomes all of its pairs. Each key's sets are first compared with one
 of them, that which has most company, and linked to it. All sets that were compared with the same one are
@@ -29,8 +25,8 @@ from . import checkpoints, simhash
 from . import words as W
 from .components import connected_components
 
-ROWS = 5
-BANDS = 25
+#: Kinds of keys by prefixes; the next kind is that of fingerprints.
+BANDS = 1
 SEED = 31
 #: Bits in which fingerprints of sets that meet may differ.
 RADIUS = 3
@@ -78,21 +74,6 @@ def _names(value: np.ndarray, bounds: np.ndarray) -> list[bytes]:
     return [row.tobytes() for row in out]
 
 
-def _keys(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BANDS keys of each set; of empty sets zeros."""
-    rng = np.random.default_rng(SEED)
-    odd, plus = (rng.integers(0, 1 << 64, (BANDS, ROWS), np.uint64) for _ in range(2))
-    full = np.flatnonzero(np.diff(bounds))
-    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
-    if len(full):
-        for b in range(BANDS):
-            key = np.full(len(full), b, np.uint64)
-            for r in range(ROWS):
-                key = W.mix(key + np.minimum.reduceat((value + plus[b, r]) * (odd[b, r] | np.uint64(1)), bounds[full]))
-            out[full, b] = key
-    return out.view(np.int64)
-
-
 def _fingerprints(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """SimHash of each set: a bit is 1 if set in over half of the hashes."""
     total = np.zeros((len(bounds) - 1, 64), np.int64)
@@ -112,19 +93,17 @@ def by_fingerprint(sets: DataFrame) -> DataFrame:
     return sets.join(roots, "bits", "left").select("own", "n", F.lit(BANDS).alias("band"), F.coalesce("root", "bits").alias("key"))
 
 
-def _signed(docs: DataFrame, size: int) -> DataFrame:
-    """docs (text last) to its other columns with own, n, keys and fingerprint of the text's set."""
-    kept = docs.columns[:-1]
-    schema = docs.drop("text").schema.simpleString()[7:-1].replace(":", " ").replace(",", ", ")
+def _printed(sets: DataFrame) -> DataFrame:
+    """sets (own, hashes) with their number and fingerprint."""
 
     def make(batches):
         for batch in batches:
-            for part in W.slices(batch, "text"):
-                value, bounds = shingles(part.column(len(kept)), size)
-                keys = pa.FixedSizeListArray.from_arrays(pa.array(_keys(value, bounds).ravel()), BANDS).cast(pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(_names(value, bounds), pa.binary()), pa.array(np.diff(bounds)), keys, pa.array(_fingerprints(value, bounds))], [*kept, "own", "n", "keys", "bits"])
+            lists = batch.column(1)
+            bounds = lists.offsets.to_numpy().astype(np.int64)
+            value = lists.values.to_numpy()[bounds[0] : bounds[-1]].view(np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(bounds)), pa.array(_fingerprints(value, bounds - bounds[0]))], ["own", "n", "bits"])
 
-    return docs.mapInArrow(make, f"{schema}, own binary, n long, keys array<long>, bits long")
+    return sets.select("own", "hashes").mapInArrow(make, "own binary, n long, bits long")
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
@@ -158,19 +137,19 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, most_sent
     Two texts link where the Jaccard similarity of their sets is ``percent`` of a hundred or more; a group
     is all that links reach. Texts without words, null ones too, are equal. Rows are told apart by doc_id
     and text: two texts of one doc_id may be in two groups. Null ids are ids like others. Repeated rows
-    stay, other columns are ignored.
+    stay, other columns are ignored. No link is lost, up to equal 64-bit hashes of two shingles.
     """
+    from . import ngramjoin  # it builds on this module
+
     checkpoints.ensure(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long"), *row_key(), F.col("text").cast("string").alias("text"))
-    own = _signed(texts, size).checkpoint()
-    distinct = own.groupBy("own").agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits"), F.min(F.struct("k1", "k2")).alias("k")).checkpoint()
-    posts = distinct.filter("n > 0").select("own", "n", F.posexplode("keys").alias("band", "key")).unionByName(by_fingerprint(distinct.filter("n > 0")))
-    posts, wanted = in_company(posts, ["band", "key"])
-    wanted = wanted.select("own").join(distinct.select("own", "k.k1", "k.k2"), "own").checkpoint()
-    sets = _sets(_met(texts, wanted, "left_semi", most_sent).dropDuplicates(["k1", "k2"]).select("text"), size).join(wanted.select("own"), "own", "left_semi").dropDuplicates(["own"]).checkpoint()
-    roots = reached(posts, ["band", "key"], sets, percent, block)
-    group = F.coalesce("root", "own").alias("group")
-    return own.join(roots.withColumnRenamed("node", "own"), "own", "left").select("doc_id", "k1", "k2", group)
+    own = ngramjoin._named(texts, size, ngramjoin.SCREENS).checkpoint()
+    sets, posts = ngramjoin.possible(texts, own, size, percent, ngramjoin.SCREENS, most_sent)
+    prints = _printed(sets).checkpoint()
+    posts, _ = in_company(posts.withColumn("band", F.lit(0)).unionByName(by_fingerprint(prints)), ["band", "key"])
+    roots = reached(posts, ["band", "key"], sets.select("own", "hashes"), percent, block)
+    named = sets.select("own", "name").join(roots.withColumnRenamed("node", "own"), "own").select(F.col("name").alias("own"), "root")
+    return own.join(named, "own", "left").select("doc_id", "k1", "k2", F.coalesce("root", "own").alias("group"))
 
 
 def in_company(posts: DataFrame, bucket: list[str]) -> tuple[DataFrame, DataFrame]:

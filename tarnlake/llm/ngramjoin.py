@@ -153,15 +153,21 @@ def jaccard_join(docs: DataFrame, size: int = 4, percent: int = 85, screens: tup
     checkpoints.ensure(spark)
     texts = docs.select(F.col("doc_id").cast("long"), *jaccard.row_key(), F.col("text").cast("string").alias("text"))
     own = _named(texts, size, screens).checkpoint()
+    sets, posts = possible(texts, own, size, percent, screens, most_sent)
+    posts, _ = jaccard.in_company(posts, ["key"])
+    roots = jaccard.reached(posts, ["key"], sets.select("own", "hashes"), percent, block)
+    return _components(own.select("doc_id", "own", "n"), sets.select("own", "name").join(roots.withColumnRenamed("node", "own"), "own").select(F.col("name").alias("own"), "root"))
+
+
+def possible(texts: DataFrame, own: DataFrame, size: int, percent: int, screens: tuple[float, ...], most_sent: int) -> tuple[DataFrame, DataFrame]:
+    """texts and their names to the sets that screenings leave, (id, own, name, n, hashes), and their posts (own, n, key): different sets that link share a key."""
     bits = min(52, max(32, (own.agg(F.sum("n")).first()[0] or 0).bit_length() + SPARE))
     sets = _sets_in_company(texts, own, size, percent, screens, (1 << bits) - 1, most_sent)
     tokens = sets.select("id", "n", F.explode("hashes").alias("token")).withColumn("token", F.col("token").bitwiseAND((1 << bits) - 1))
     held = tokens.groupBy("token").agg(F.count("*").alias("held")).filter("held > 1")
     packed = F.shiftleft(F.least("held", F.lit((1 << 63 - bits) - 1)), bits).bitwiseOR(F.col("token"))
     told = tokens.join(held, "token").groupBy("id").agg(F.first("n").alias("n"), F.collect_list(packed).alias("packed"))
-    posts, _ = jaccard.in_company(_posts(told, percent, bits), ["key"])
-    roots = jaccard.reached(posts, ["key"], sets.select("own", "hashes"), percent, block)
-    return _components(own.select("doc_id", "own", "n"), sets.select("own", "name").join(roots.withColumnRenamed("node", "own"), "own").select(F.col("name").alias("own"), "root"))
+    return sets, _posts(told, percent, bits)
 
 
 def _sets_in_company(texts: DataFrame, own: DataFrame, size: int, percent: int, screens: tuple[float, ...], mask: int, most_sent: int) -> DataFrame:
